@@ -1,0 +1,2 @@
+"""Nothing here on purpose: the engine's inputs are bounded rasters and feature
+files, so there is no stream, watermark or state to express."""
