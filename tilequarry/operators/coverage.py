@@ -219,6 +219,13 @@ def tile_features(tiles: DataFrame, features: DataFrame, region_size: float = RE
     return covered.join(gridded, GRID_KEY).select("fid", "is_inside", *tiles.columns)
 
 
+def tiles_with_features(tiles: DataFrame, features: DataFrame, region_size: float = REGION_SIZE) -> DataFrame:
+    """Left outer join: as tile_features, and tiles without a feature once, with a null fid."""
+    gridded = with_grid(tiles)
+    covered = coverage(features, grids_of(gridded), region_size)
+    return gridded.join(covered, GRID_KEY, "left").select("fid", "is_inside", *tiles.columns)
+
+
 def features_on_tiles(tiles: DataFrame, features: DataFrame, region_size: float = REGION_SIZE) -> DataFrame:
     """Semi join: the features that intersect at least one tile."""
     hit = tile_features(tiles, features, region_size).select("fid").distinct()

@@ -71,10 +71,13 @@ def curve_sizes(tiles: DataFrame) -> DataFrame:
     )
 
 
-def with_tile_code(tiles: DataFrame, curve: str = SFC_HILBERT) -> DataFrame:
-    """Add sfc, tile_code and file_name.  Keys must not be negative."""
+def with_tile_code(tiles: DataFrame, curve: str = SFC_HILBERT, sizes: DataFrame | None = None) -> DataFrame:
+    """Add sfc, tile_code and file_name.  Keys must not be negative.
+
+    ``sizes`` has one row per dataset; it is taken from ``tiles`` if not given.
+    """
     if curve == SFC_HILBERT:
-        coded = tiles.join(curve_sizes(tiles), "dataset_uid")
+        coded = tiles.join(curve_sizes(tiles) if sizes is None else sizes, "dataset_uid")
     else:
         coded = tiles.withColumn("bits", F.lit(31))
     coded = coded.withColumn("sfc", sfc.sfc_encode(curve, F.col("col"), F.col("row_"), F.col("bits")))

@@ -43,7 +43,7 @@ def assemble_tiles(cells: DataFrame, bands: list[str], tile_size: int = TILE_SIZ
         values = F.transform("s", lambda c: c[band])
         gaps = F.transform(
             F.sequence(F.lit(0), F.lit(tile_size - 1)),
-            lambda i: F.element_at(F.filter("s", lambda c: c["lx"] == i), 1)[band],
+            lambda i: F.try_element_at(F.filter("s", lambda c: c["lx"] == i), F.lit(1))[band],
         )
         # Cells 0..n-1 without a gap, the usual case, only need filling up at the end.
         full_from_left = F.element_at("s", -1)["lx"] == F.size("s") - 1
@@ -61,7 +61,7 @@ def assemble_tiles(cells: DataFrame, bands: list[str], tile_size: int = TILE_SIZ
         whole = F.flatten(F.transform("strips", lambda s: s[band]))
         holed = F.flatten(F.transform(
             F.sequence(F.lit(0), F.lit(tile_size - 1)),
-            lambda i: F.coalesce(F.element_at(F.filter("strips", lambda s: s["ly"] == i), 1)[band], empty),
+            lambda i: F.coalesce(F.try_element_at(F.filter("strips", lambda s: s["ly"] == i), F.lit(1))[band], empty),
         ))
         return F.when(F.size("strips") == tile_size, whole).otherwise(holed)
 
@@ -177,12 +177,14 @@ def mask_tiles(tiles: DataFrame, lines: DataFrame, tile_size: int = TILE_SIZE) -
         lambda i: F.col("starts_inside") != (F.size(F.filter("flips", lambda c: c <= first + i)) % 2 == 1),
     )
     by_tile = lines.withColumn("inside", toggles).groupBy("region_id", *TILE_KEY).agg(
-        F.collect_list(F.struct((F.col("py") - F.col("row_") * tile_size).alias("ly"), "inside")).alias("rows"))
+        F.sort_array(F.collect_list(F.struct((F.col("py") - F.col("row_") * tile_size).alias("ly"), "inside")))
+        .alias("rows"))
     outside = F.array_repeat(F.lit(False), tile_size)
-    whole = F.flatten(F.transform(
+    partial = F.flatten(F.transform(
         F.sequence(F.lit(0), F.lit(tile_size - 1)),
-        lambda i: F.coalesce(F.element_at(F.filter("rows", lambda r: r["ly"] == i), 1)["inside"], outside),
+        lambda i: F.coalesce(F.try_element_at(F.filter("rows", lambda r: r["ly"] == i), F.lit(1))["inside"], outside),
     ))
+    whole = F.when(F.size("rows") == tile_size, F.flatten(F.col("rows.inside"))).otherwise(partial)
     masks = by_tile.select("region_id", *TILE_KEY, whole.alias("keep"))
     return tiles.join(masks, TILE_KEY).withColumn(
         "bands",
