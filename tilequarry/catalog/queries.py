@@ -172,7 +172,7 @@ def polygon_intersects_tile(spark, d):
 
 @query
 def features_intersect_region(spark, d):
-    return cov.features_intersect(fx.features(spark, d), fx.regions(spark, d), fx.BIN, fx.REGION).select(
+    return cov.features_intersect(fx.features(spark, d), fx.regions(spark, d), fx.BIN).select(
         F.col("left_fid").alias("fid"), F.col("right_fid").alias("region_id"))
 
 
@@ -243,7 +243,7 @@ def clip_features_to_grid(spark, d):
 @query
 def feature_feature_join(spark, d):
     f = fx.features(spark, d)
-    return cov.features_intersect(f, f, fx.BIN, fx.REGION).where("left_fid < right_fid")
+    return cov.features_intersect(f, f, fx.BIN).where("left_fid < right_fid")
 
 
 @query
@@ -409,18 +409,17 @@ def reproject_points(spark, d):
         "o_orderkey",
         (fx.ORIGIN_X + 10.0 * (F.col("o_orderkey") % 256)).alias("x"),
         (fx.ORIGIN_Y - 10.0 * (F.col("o_orderkey") % 64)).alias("y"))
-    lon, lat = projection.to_lonlat(F.col("x"), F.col("y"), fx.EPSG)
-    geographic = pts.withColumns({"lon": lon, "lat": lat})
-    x2, y2 = projection.from_lonlat(F.col("lon"), F.col("lat"), fx.EPSG)
-    mx, my = projection.from_lonlat(F.col("lon"), F.col("lat"), 3857)
+    geographic = projection.to_lonlat(pts, "x", "y", fx.EPSG, "lon", "lat")
+    back = projection.from_lonlat(geographic, "lon", "lat", fx.EPSG, "x2", "y2")
+    both = projection.from_lonlat(back, "lon", "lat", 3857, "mx", "my")
 
     def rounded(c, scale):
         return F.floor(c * scale + 0.5).cast("bigint")
 
-    return geographic.select(
+    return both.select(
         "o_orderkey", rounded(F.col("lon"), 1e7).alias("lon_e7"), rounded(F.col("lat"), 1e7).alias("lat_e7"),
-        rounded(x2, 1000.0).alias("x_mm"), rounded(y2, 1000.0).alias("y_mm"),
-        rounded(mx, 1000.0).alias("mx_mm"), rounded(my, 1000.0).alias("my_mm"))
+        rounded(F.col("x2"), 1000.0).alias("x_mm"), rounded(F.col("y2"), 1000.0).alias("y_mm"),
+        rounded(F.col("mx"), 1000.0).alias("mx_mm"), rounded(F.col("my"), 1000.0).alias("my_mm"))
 
 
 @query

@@ -168,7 +168,11 @@ def coverage(features: DataFrame, grids: DataFrame, region_size: float = REGION_
     ``is_inside`` cells lie wholly in the feature and meet no edge.  Each cell
     comes once per feature.
     """
-    rows = _with_flip(_with_edge_columns(_edge_rows(match_grids(features, grids, region_size))))
+    return _cover(match_grids(features, grids, region_size))
+
+
+def _cover(matched: DataFrame) -> DataFrame:
+    rows = _with_flip(_with_edge_columns(_edge_rows(matched)))
     touched = F.transform("touched", lambda c: F.struct(c.alias("c"), F.lit(False).alias("is_flip")))
     none = F.array().cast("array<struct<c:bigint,is_flip:boolean>>")
     flip = F.when(
@@ -277,48 +281,47 @@ def tiles_in_extent(tiles: DataFrame, xmin: float, ymin: float, xmax: float, yma
 
 # --- joins of features with features ---------------------------------------------------------
 
-def _common_grid(left: DataFrame, right: DataFrame, bin_size: float) -> DataFrame:
-    """A one-row grid of square bins over the extent of both inputs."""
-    env = left.select("rings").union(right.select("rings")).select(envelope(F.col("rings")).alias("e"))
-    size = F.lit(float(bin_size))
-    return env.agg(
-        F.floor(F.min("e.xmin") / size).alias("c_min"), F.floor(F.max("e.xmax") / size).alias("c_max"),
-        F.floor(-F.max("e.ymax") / size).alias("r_min"), F.floor(-F.min("e.ymin") / size).alias("r_max"),
-    ).where("c_min IS NOT NULL").select(
-        F.lit("bins").alias("grid_id"), F.lit(0.0).alias("ox"), F.lit(0.0).alias("oy"),
-        size.alias("tile_w"), size.alias("tile_h"), "c_min", "c_max", "r_min", "r_max",
+# Bounds of an endless grid, in bins.
+FAR = 1 << 40
+
+
+def _on_bins(features: DataFrame, bin_size: float) -> DataFrame:
+    """Features on an endless grid of square bins; no extent is needed, so nothing is joined."""
+    return features.select(
+        "fid", "rings", F.lit("bins").alias("grid_id"), F.lit(0.0).alias("ox"), F.lit(0.0).alias("oy"),
+        F.lit(float(bin_size)).alias("tile_w"), F.lit(float(bin_size)).alias("tile_h"),
+        *[F.lit(v).cast("bigint").alias(n) for n, v in
+          (("c_min", -FAR), ("c_max", FAR), ("r_min", -FAR), ("r_max", FAR))],
     )
 
 
-def _binned_edges(features: DataFrame, grid: DataFrame, prefix: str, region_size: float) -> DataFrame:
-    rows = _with_edge_columns(_edge_rows(match_grids(features, grid, region_size)))
+def _binned_edges(features: DataFrame, bin_size: float, prefix: str) -> DataFrame:
+    rows = _with_edge_columns(_edge_rows(_on_bins(features, bin_size)))
     return rows.withColumn("gcol", F.explode("touched")).select(
         F.col("fid").alias(prefix + "fid"), "gcol", "grow",
         *[F.col(c).alias(prefix + c) for c in ("x1", "y1", "x2", "y2")],
     )
 
 
-def _contained(inner: DataFrame, outer: DataFrame, grid: DataFrame, region_size: float) -> DataFrame:
+def _contained(inner: DataFrame, outer: DataFrame, bin_size: float) -> DataFrame:
     """(inner, outer) pairs where the first vertex of some inner ring is inside outer.
 
     A vertex in a bin wholly inside is decided by the bin.  In a boundary bin its
     ray is tested against the outer feature's edges in the same row of bins.
     """
-    size = F.col("tile_w")
-    g = {c: grid.select(c).scalar() for c in ("tile_w",)}
+    size = float(bin_size)
     starts = (
         inner.select(F.col("fid").alias("inner_fid"), F.posexplode("rings").alias("ring_no", "ring"))
         .where(F.size("ring") > 0)
         .select("inner_fid", "ring_no", F.element_at("ring", 1).alias("p"))
-        .withColumns(g)
         .select("inner_fid", "ring_no", F.col("p.x").alias("vx"), F.col("p.y").alias("vy"),
                 F.floor(F.col("p.x") / size).alias("gcol"), F.floor(-F.col("p.y") / size).alias("grow"))
     )
-    cov = coverage(outer, grid, region_size).select(F.col("fid").alias("outer_fid"), "gcol", "grow", "is_inside")
-    near = starts.join(cov, ["gcol", "grow"])
+    placed = _on_bins(outer, bin_size)
+    cover = _cover(placed).select(F.col("fid").alias("outer_fid"), "gcol", "grow", "is_inside")
+    near = starts.join(cover, ["gcol", "grow"])
     sure = near.where("is_inside").select("inner_fid", "outer_fid")
-    outer_rows = _edge_rows(match_grids(outer, grid, region_size)).select(
-        F.col("fid").alias("outer_fid"), "grow", "x1", "y1", "x2", "y2")
+    outer_rows = _edge_rows(placed).select(F.col("fid").alias("outer_fid"), "grow", "x1", "y1", "x2", "y2")
     crossing = ray_crosses(*[F.col(c) for c in ("vx", "vy", "x1", "y1", "x2", "y2")])
     tested = (
         near.where(~F.col("is_inside")).join(outer_rows, ["outer_fid", "grow"]).where(crossing)
@@ -328,20 +331,18 @@ def _contained(inner: DataFrame, outer: DataFrame, grid: DataFrame, region_size:
     return sure.union(tested)
 
 
-def features_intersect(left: DataFrame, right: DataFrame, bin_size: float,
-                       region_size: float = REGION_SIZE) -> DataFrame:
+def features_intersect(left: DataFrame, right: DataFrame, bin_size: float) -> DataFrame:
     """(left_fid, right_fid) of every pair of polygons that share a point.
 
     Either two edges meet, found by an equi-join on bins with the exact segment
     test, or one polygon lies inside the other.
     """
-    grid = _common_grid(left, right, bin_size)
-    a = _binned_edges(left, grid, "a_", region_size)
-    b = _binned_edges(right, grid, "b_", region_size)
+    a = _binned_edges(left, bin_size, "a_")
+    b = _binned_edges(right, bin_size, "b_")
     seg = [F.col(p + c) for p in ("a_", "b_") for c in ("x1", "y1", "x2", "y2")]
     meeting = a.join(b, ["gcol", "grow"]).where(segments_meet(*seg)).select(
         F.col("a_fid").alias("left_fid"), F.col("b_fid").alias("right_fid"))
-    in_right = _contained(left, right, grid, region_size).toDF("left_fid", "right_fid")
-    in_left = _contained(right, left, grid, region_size).toDF("right_fid", "left_fid").select(
+    in_right = _contained(left, right, bin_size).toDF("left_fid", "right_fid")
+    in_left = _contained(right, left, bin_size).toDF("right_fid", "left_fid").select(
         "left_fid", "right_fid")
     return meeting.union(in_right).union(in_left).distinct()

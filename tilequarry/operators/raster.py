@@ -114,44 +114,49 @@ def mosaic(cells: DataFrame, bands: list[str], x0: float, y0: float, tile_size:
 # --- masking and cropping --------------------------------------------------------------------
 
 def mask_lines(tiles: DataFrame, regions: DataFrame, tile_size: int = TILE_SIZE,
-               region_size: float = REGION_SIZE) -> DataFrame:
+               region_size: float = REGION_SIZE, hits: DataFrame | None = None) -> DataFrame:
     """Which cells of each tile row have their centre inside each region.
 
     Rows (region_id, dataset_uid, col, row_, py, starts_inside, flips): the state
-    at the tile's first column and the columns at which it changes.  Only tiles
-    that meet the region, and only rows with a cell inside, appear.  Regions are
-    traced once per cell grid; cells are not touched.
+    at the tile's first column and the columns at which it changes.  Only rows
+    with a cell inside appear.  Regions are traced once per grid, whatever the
+    number of datasets on it, and the traces are cut at tile edges; no band and no
+    cell is read.  ``hits`` keeps only tiles that a search found.
     """
-    tile_meta = tiles.select(*TILE_KEY, *ORIGIN, "tile_w", "tile_h")
-    near = cov.tile_features(tile_meta, regions, region_size).drop("is_inside").withColumnRenamed("fid", "region_id")
-    # The same grid logic one level down: cells in place of tiles.
-    cell_grid = cov.with_grid(near.withColumns({
-        "tile_w": F.col("cell_w"), "tile_h": F.col("cell_h"),
-        "tile_col": F.col("col"), "tile_row": F.col("row_"),
-        "col": F.col("col") * tile_size, "row_": F.col("row_") * tile_size,
-    }))
-    used = cov.with_grid(tile_meta.withColumns({
-        "tile_w": F.col("cell_w"), "tile_h": F.col("cell_h"),
-        "col": F.col("col") * tile_size, "row_": F.col("row_") * tile_size,
-    }))
-    grids = cov.grids_of(used).withColumns({
-        "c_max": F.col("c_max") + tile_size - 1, "r_max": F.col("r_max") + tile_size - 1})
-    traced = cov.scan_lines(regions, grids, region_size).withColumnRenamed("fid", "region_id")
-    rows = cell_grid.select(
-        "region_id", "dataset_uid", "tile_col", "tile_row", "grid_id", "gcol",
-        (F.col("col") - F.col("gcol")).alias("shift"),
-        F.col("row_").alias("first_py"), F.col("grow").alias("first_grow"),
-        F.explode(F.sequence(F.lit(0), F.lit(tile_size - 1))).alias("ly"),
-    ).withColumn("grow", F.col("first_grow") + F.col("ly"))
-    joined = rows.join(traced, ["region_id", "grid_id", "grow"])
-    left = F.size(F.filter("flips", lambda c: c <= F.col("gcol")))
-    within = F.filter("flips", lambda c: (c > F.col("gcol")) & (c < F.col("gcol") + tile_size))
-    return joined.select(
-        "region_id", "dataset_uid", F.col("tile_col").alias("col"), F.col("tile_row").alias("row_"),
-        (F.col("first_py") + F.col("ly")).cast("int").alias("py"),
-        (left % 2 == 1).alias("starts_inside"),
-        F.transform(within, lambda c: c + F.col("shift")).alias("flips"),
-    ).where(F.col("starts_inside") | (F.size("flips") > 0))
+    gridded = cov.with_grid(tiles.select(*TILE_KEY, "x0", "y0", "tile_w", "tile_h"))
+    # The same grid one level down: cells in place of tiles.
+    cell_grids = cov.grids_of(gridded).withColumns({
+        "tile_w": F.col("tile_w") / tile_size, "tile_h": F.col("tile_h") / tile_size,
+        "c_min": F.col("c_min") * tile_size, "c_max": (F.col("c_max") + 1) * tile_size - 1,
+        "r_min": F.col("r_min") * tile_size, "r_max": (F.col("r_max") + 1) * tile_size - 1,
+    })
+    traced = cov.scan_lines(regions, cell_grids, region_size).withColumnRenamed("fid", "region_id")
+    size = F.lit(float(tile_size))
+    reached = F.transform(
+        F.filter("flips", lambda c, i: i % 2 == 0),
+        lambda c, i: F.sequence(
+            F.floor(c / size),
+            F.floor((F.element_at("flips", (2 * i + 2).cast("int")) - 1) / size)),
+    )
+    first = F.col("gcol") * tile_size
+    cut = traced.select(
+        "region_id", "grid_id", "flips", F.floor(F.col("grow") / size).alias("tile_grow"),
+        F.pmod("grow", F.lit(tile_size)).alias("ly"),
+        F.explode(F.array_distinct(F.flatten(reached))).alias("gcol"),
+    ).select(
+        "region_id", "grid_id", "gcol", F.col("tile_grow").alias("grow"), "ly",
+        (F.size(F.filter("flips", lambda c: c <= first)) % 2 == 1).alias("starts_inside"),
+        F.transform(
+            F.filter("flips", lambda c: (c > first) & (c < first + tile_size)), lambda c: c - first,
+        ).alias("within"),
+    )
+    wanted = gridded if hits is None else gridded.join(hits, TILE_KEY, "left_semi")
+    on_tiles = cut.join(wanted, cov.GRID_KEY)
+    return on_tiles.select(
+        "region_id", *TILE_KEY,
+        (F.col("row_") * tile_size + F.col("ly")).cast("int").alias("py"),
+        "starts_inside", F.transform("within", lambda c: c + F.col("col") * tile_size).alias("flips"),
+    )
 
 
 def _is_inside() -> Column:
@@ -256,9 +261,8 @@ def projected_layouts(tiles: DataFrame, source: int, target: int, cell_size: flo
         for i, x in enumerate(xs) for j, y in enumerate(ys) if not (i == 1 and j == 1)
     ])
     pts = tiles.select(*TILE_KEY, F.inline(border))
-    tx, ty = projection.transform(F.col("bx"), F.col("by"), source, target)
     size = F.lit(float(cell_size))
-    return pts.withColumns({"tx": tx, "ty": ty}).groupBy(*TILE_KEY).agg(
+    return projection.project(pts, "bx", "by", source, target, "tx", "ty").groupBy(*TILE_KEY).agg(
         (F.floor(F.min("tx") / size) - 1).alias("t_c1"), (F.ceil(F.max("tx") / size) + 1).alias("t_c2"),
         (F.floor(-F.max("ty") / size) - 1).alias("t_r1"), (F.ceil(-F.min("ty") / size) + 1).alias("t_r2"),
     )
@@ -288,10 +292,10 @@ def reproject(cells: DataFrame, bands: list[str], source: int, target: int, cell
         .withColumn("gy", F.explode(F.sequence("t_r1", F.col("t_r2") - 1)))
         .withColumn("gx", F.explode(F.sequence("t_c1", F.col("t_c2") - 1)))
     )
-    sx, sy = projection.transform(
-        (F.col("gx") + F.lit(0.5)) * size, -(F.col("gy") + F.lit(0.5)) * size, target, source)
+    centred = wanted.withColumns({
+        "mx": (F.col("gx") + F.lit(0.5)) * size, "my": -(F.col("gy") + F.lit(0.5)) * size})
     # Position in units of cells, measured from the centre of cell (0, 0).
-    placed = wanted.withColumns({"sx": sx, "sy": sy}).withColumns({
+    placed = projection.project(centred, "mx", "my", target, source, "sx", "sy").withColumns({
         "u": (F.col("sx") - F.col("x0")) / F.col("cell_w") - 0.5,
         "v": (F.col("y0") - F.col("sy")) / F.col("cell_h") - 0.5,
     })

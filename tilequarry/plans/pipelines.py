@@ -58,14 +58,15 @@ def first_region(regions: DataFrame) -> DataFrame:
 
 
 def query_region(cells: DataFrame, tiles: DataFrame, regions: DataFrame, tile_size: int = TILE_SIZE,
-                 region_size: float = REGION_SIZE, all_features: bool = False) -> DataFrame:
-    """Cells inside the query polygon: its envelope picks tiles, its outline cells.
+                 region_size: float = REGION_SIZE, all_features: bool = False,
+                 hits: DataFrame | None = None) -> DataFrame:
+    """Cells inside the query polygon, from the tiles under it (those in ``hits`` if given).
 
     Uses the first feature of ``regions`` unless ``all_features``; then rows are
     per region_id.
     """
     region = regions if all_features else first_region(regions)
-    lines = raster.mask_lines(tiles, region, tile_size, region_size)
+    lines = raster.mask_lines(tiles, region, tile_size, region_size, hits)
     return raster.mask_cells(cells, lines)
 
 
@@ -74,12 +75,11 @@ def search_then_query(cells: DataFrame, tiles: DataFrame, regions: DataFrame, po
                       tile_size: int = TILE_SIZE, region_size: float = REGION_SIZE) -> DataFrame:
     """Keyword search first, then the region query on the tiles found.
 
-    Hits prune the tile table; the mask lines that remain prune the cells, so the
-    cells are joined once.
+    Hits prune the tiles, the mask lines of those that remain prune the cells, and
+    the cells are joined once.
     """
     hits = search.search_all(postings, keywords, mode)
-    found = search.fetch_tiles(tiles, hits)
-    return query_region(cells, found, regions, tile_size, region_size, all_features)
+    return query_region(cells, tiles, regions, tile_size, region_size, all_features, hits)
 
 
 @dataclass(frozen=True)
@@ -112,6 +112,6 @@ def clip_metadata(tiles: DataFrame, features: DataFrame, regions: DataFrame, fil
     if filter_first:
         if bin_size is None:
             raise ValueError("filtering needs a bin size")
-        met = cov.features_intersect(features, first_region(regions), bin_size, region_size)
+        met = cov.features_intersect(features, first_region(regions), bin_size)
         features = features.join(met.select(F.col("left_fid").alias("fid")), "fid", "left_semi")
     return clip_to_tiles(tiles, features, region_size)
