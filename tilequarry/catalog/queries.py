@@ -65,7 +65,7 @@ def scan_tiles(spark, d):
 def scan_features(spark, d):
     return fx.features(spark, d).select(
         "fid", "geom_type", F.size("rings").cast("bigint").alias("n_rings"),
-        geo.vertex_count(F.col("rings")).alias("n_vertices"),
+        F.expr(geo.vertex_count("rings")).alias("n_vertices"),
         ft.attribute("Block_Name").alias("block_name"), ft.attribute("UID", "bigint").alias("uid"),
         F.size("attrs").cast("bigint").alias("n_attrs"))
 
@@ -74,7 +74,7 @@ def scan_features(spark, d):
 def features_by_geom_type(spark, d):
     kinds = [k for k in ft.GEOMETRY_KINDS if k != "MultiPolygon"]
     return ft.of_kind(fx.mixed_geometries(spark, d), *kinds).select(
-        "fid", "geom_type", geo.vertex_count(F.col("rings")).alias("n_vertices"))
+        "fid", "geom_type", F.expr(geo.vertex_count("rings")).alias("n_vertices"))
 
 
 @query
@@ -319,7 +319,7 @@ def keyword_and_search_setop(spark, d):
 @query
 def first_query_feature(spark, d):
     first = ft.first_feature(fx.features(spark, d).select("seg", "fid", "rings"), "seg")
-    return first.select("seg", "fid", F.inline(F.array(geo.envelope(F.col("rings")))))
+    return first.selectExpr("seg", "fid", f"inline(array({geo.envelope('rings')}))")
 
 
 @query

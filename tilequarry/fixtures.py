@@ -29,18 +29,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A 64 x 64 two-band raster per 4096 orders."""
-    key = F.col("o_orderkey")
-    k = F.floor(key / 4096)
-    base = read(spark, sf_dir, "orders").select(
-        pad_left(k.cast("string"), 8).alias("dataset_uid"),
-        (key % SIDE).cast("int").alias("px"),
-        F.floor((key % 4096) / SIDE).cast("int").alias("py"),
-        (ORIGIN_X + CELL * SIDE * (k % 4)).cast("double").alias("x0"),
-        (ORIGIN_Y - CELL * SIDE * F.floor(k / 4)).cast("double").alias("y0"),
-        F.lit(CELL).alias("cell_w"), F.lit(CELL).alias("cell_h"),
-        F.when(F.col("o_orderstatus") != "P", F.floor("o_totalprice") % 4096).cast("double").alias("b1"),
-        (F.col("o_custkey") % 256).cast("double").alias("b2"),
-    )
+    keyed = read(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", "o_orderstatus", "o_totalprice", "o_custkey", "floor(o_orderkey / 4096) AS k")
+    base = keyed.select(pad_left(F.col("k").cast("string"), 8).alias("dataset_uid"), F.expr(
+        f"""struct(
+          int(o_orderkey % {SIDE}) AS px, int(floor((o_orderkey % 4096) / {SIDE})) AS py,
+          {ORIGIN_X}D + {CELL}D * {SIDE} * (k % 4) AS x0, {ORIGIN_Y}D - {CELL}D * {SIDE} * floor(k / 4) AS y0,
+          {CELL}D AS cell_w, {CELL}D AS cell_h,
+          if(o_orderstatus = 'P', NULL, double(floor(o_totalprice) % 4096)) AS b1,
+          double(o_custkey % 256) AS b2)""").alias("c")).select("dataset_uid", "c.*")
     return layout.cut_to_grid(layout.cell_center(base), TILE)
 
 
@@ -50,39 +47,29 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One multipolygon per customer: boxes, triangles, diamonds, boxes with a hole, pairs of boxes."""
-    base = read(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("fid"), "c_nationkey", "c_acctbal", F.col("c_mktsegment").alias("seg"),
-        (ORIGIN_X + CELL * ((F.col("c_custkey") * 97) % 509)).alias("x"),
-        (ORIGIN_Y - CELL * ((F.col("c_custkey") * 61) % 257)).alias("y"),
-        (CELL * (1 + F.col("c_custkey") % 4)).alias("r"),
-        (F.col("c_custkey") % 5).alias("shp"),
-    )
-    x, y, r = F.col("x"), F.col("y"), F.col("r")
-    half = F.floor(r * 0.4)
-
-    def box(cx, cy, s):
-        return geo.box_ring(cx - s, cy - s, cx + s, cy + s)
-
-    rings = (
-        F.when(F.col("shp") == 0, F.array(box(x, y, r)))
-        .when(F.col("shp") == 1, F.array(geo.ring((x - r, y - r), (x + r, y - r), (x, y + r))))
-        .when(F.col("shp") == 2, F.array(geo.ring((x, y - r), (x + r, y), (x, y + r), (x - r, y))))
-        .when(F.col("shp") == 3, F.array(box(x, y, r), box(x, y, half)))
-        .otherwise(F.array(box(x, y, r), box(x + 120, y, r)))
-    )
-    def entry(key, value):
-        return F.struct(key.alias("k"), value.cast("string").alias("v"))
-
-    entries = F.array(
-        entry(F.lit("Block_Name"), F.concat(F.lit("B"), F.col("fid") % 50)),
-        entry(F.lit("UID"), F.col("fid")),
-        entry(F.lit("acctbal"), F.when(F.col("fid") % 7 == 0, F.col("c_acctbal"))),
-        entry(F.lit("nation"), F.when(F.col("fid") % 3 == 0, F.col("c_nationkey"))),
-        entry(F.concat(F.lit("seg_"), F.lower("seg")), F.lit("1")),
-    )
-    attrs = F.map_from_entries(F.filter(entries, lambda e: e["v"].isNotNull()))
-    return base.select(
-        "fid", F.lit("MultiPolygon").alias("geom_type"), rings.alias("rings"), attrs.alias("attrs"), "seg", "shp")
+    base = read(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS fid", "c_nationkey", "c_acctbal", "c_mktsegment AS seg",
+        f"{ORIGIN_X}D + {CELL}D * ((c_custkey * 97) % 509) AS x",
+        f"{ORIGIN_Y}D - {CELL}D * ((c_custkey * 61) % 257) AS y",
+        f"{CELL}D * (1 + c_custkey % 4) AS r",
+        f"double(floor({CELL}D * (1 + c_custkey % 4) * 0.4D)) AS hh",
+        "c_custkey % 5 AS shp")
+    box = geo.box_ring("x - r", "y - r", "x + r", "y + r")
+    hole = geo.box_ring("x - hh", "y - hh", "x + hh", "y + hh")
+    moved = geo.box_ring("x + 120 - r", "y - r", "x + 120 + r", "y + r")
+    triangle = geo.ring(("x - r", "y - r"), ("x + r", "y - r"), ("x", "y + r"))
+    diamond = geo.ring(("x", "y - r"), ("x + r", "y"), ("x", "y + r"), ("x - r", "y"))
+    return base.selectExpr(
+        "fid", "'MultiPolygon' AS geom_type",
+        f"""CASE shp WHEN 0 THEN array({box}) WHEN 1 THEN array({triangle}) WHEN 2 THEN array({diamond})
+            WHEN 3 THEN array({box}, {hole}) ELSE array({box}, {moved}) END AS rings""",
+        """map_from_entries(filter(array(
+             struct('Block_Name' AS k, concat('B', fid % 50) AS v),
+             struct('UID' AS k, string(fid) AS v),
+             struct('acctbal' AS k, if(fid % 7 = 0, string(c_acctbal), NULL) AS v),
+             struct('nation' AS k, if(fid % 3 = 0, string(c_nationkey), NULL) AS v),
+             struct(concat('seg_', lower(seg)) AS k, '1' AS v)), e -> e.v IS NOT NULL)) AS attrs""",
+        "seg", "shp")
 
 
 def mixed_geometries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,9 +93,7 @@ def mixed_geometries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An L-shaped query polygon per region."""
-    x = ORIGIN_X + 100 + 450 * F.col("r_regionkey")
-    y = F.lit(ORIGIN_Y - 50)
+    x, y = f"{ORIGIN_X + 100}D + 450 * r_regionkey", f"{ORIGIN_Y - 50}D"
     offsets = ((0, 0), (400, 0), (400, -200), (200, -200), (200, -400), (0, -400))
-    shape = geo.ring(*[(x + dx, y + dy) for dx, dy in offsets])
-    return read(spark, sf_dir, "region").select(
-        F.col("r_regionkey").cast("bigint").alias("fid"), F.array(shape).alias("rings"))
+    shape = geo.ring(*[(f"{x} + {dx}", f"{y} + {dy}") for dx, dy in offsets])
+    return read(spark, sf_dir, "region").selectExpr("bigint(r_regionkey) AS fid", f"array({shape}) AS rings")

@@ -1,4 +1,7 @@
-"""Exact geometry predicates as column expressions.
+"""Exact geometry as SQL expressions.
+
+Every function takes SQL expressions (column names, mostly) and returns one, for
+``F.expr`` or ``selectExpr``.
 
 A geometry is ``rings ARRAY<ARRAY<STRUCT<x, y>>>``: polygons hold closed rings
 (first vertex repeated at the end), lines open ones, points a ring of one
@@ -9,134 +12,109 @@ they are exact whenever the coordinates are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-RING_TYPE = "array<array<struct<x:double,y:double>>>"
+RING_TYPE = "array<struct<x:double,y:double>>"
+RINGS_TYPE = f"array<{RING_TYPE}>"
+EXTENT = ("xmin", "ymin", "xmax", "ymax")
 
 
-def point(x: Column, y: Column) -> Column:
-    return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+def point(x: str, y: str) -> str:
+    return f"named_struct('x', double({x}), 'y', double({y}))"
 
 
-def ring(*xy: tuple[Column, Column]) -> Column:
+def ring(*xy: tuple[str, str]) -> str:
     """Closed ring through the given vertices."""
-    pts = [point(x, y) for x, y in xy]
-    return F.array(*pts, pts[0])
+    return f"array({', '.join(point(x, y) for x, y in (*xy, xy[0]))})"
 
 
-def box_ring(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
+def box_ring(xmin: str, ymin: str, xmax: str, ymax: str) -> str:
     return ring((xmin, ymin), (xmax, ymin), (xmax, ymax), (xmin, ymax))
 
 
-def extent(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
-    return F.struct(*(c.cast("double").alias(n) for c, n in
-                      ((xmin, "xmin"), (ymin, "ymin"), (xmax, "xmax"), (ymax, "ymax"))))
+def envelope_side(rings: str, side: str) -> str:
+    """One of xmin, ymin, xmax, ymax over all vertices."""
+    return f"array_{side[1:]}(transform(flatten({rings}), p -> p.{side[0]}))"
 
 
-def envelope(rings: Column) -> Column:
+def envelope(rings: str) -> str:
     """Bounding box of all vertices, as STRUCT<xmin, ymin, xmax, ymax>."""
-    xs = F.transform(F.flatten(rings), lambda p: p["x"])
-    ys = F.transform(F.flatten(rings), lambda p: p["y"])
-    return extent(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
+    return f"named_struct({', '.join(f'{s!r}, {envelope_side(rings, s)}' for s in EXTENT)})"
 
 
-def vertex_count(rings: Column) -> Column:
+def vertex_count(rings: str) -> str:
     """Stored vertices, a ring's closing vertex included."""
-    return F.aggregate(rings, F.lit(0).cast("bigint"), lambda n, r: n + F.size(r))
+    return f"bigint(aggregate({rings}, 0, (n, r) -> n + size(r)))"
+
 
+def _steps(r: str, step: str) -> str:
+    """Apply ``step`` to each pair (p, q) of consecutive vertices of ring r."""
+    return f"zip_with(slice({r}, 1, size({r}) - 1), slice({r}, 2, size({r}) - 1), (p, q) -> {step})"
 
-def edges(rings: Column) -> Column:
+
+def edges(rings: str) -> str:
     """ARRAY<STRUCT<x1, y1, x2, y2>>: consecutive vertices of every ring."""
-    def of_ring(r: Column) -> Column:
-        n = F.size(r) - 1
-        return F.zip_with(
-            F.slice(r, F.lit(1), n), F.slice(r, F.lit(2), n),
-            lambda p, q: F.struct(p["x"].alias("x1"), p["y"].alias("y1"),
-                                  q["x"].alias("x2"), q["y"].alias("y2")),
-        )
-    return F.flatten(F.transform(F.filter(rings, lambda r: F.size(r) > 1), of_ring))
+    edge = "named_struct('x1', p.x, 'y1', p.y, 'x2', q.x, 'y2', q.y)"
+    return f"flatten(transform(filter({rings}, r -> size(r) > 1), r -> {_steps('r', edge)}))"
+
 
+def _side(x1: str, y1: str, x2: str, y2: str, px: str, py: str) -> str:
+    """Positive, zero or negative: on which side of the line the point lies."""
+    return f"(({x2} - {x1}) * ({py} - {y1}) - ({px} - {x1}) * ({y2} - {y1}))"
 
-def edge_meets_box(x1, y1, x2, y2, xmin, ymin, xmax, ymax) -> Column:
+
+def edge_meets_box(x1: str, y1: str, x2: str, y2: str, xmin: str, ymin: str, xmax: str, ymax: str) -> str:
     """Segment and closed rectangle share a point: their boxes overlap and the four
     corners are not all strictly on one side of the segment's line."""
-    def side(cx: Column, cy: Column) -> Column:
-        return (x2 - x1) * (cy - y1) - (cx - x1) * (y2 - y1)
-    s = [side(cx, cy) for cx in (xmin, xmax) for cy in (ymin, ymax)]
-    return (
-        (F.least(x1, x2) <= xmax) & (F.greatest(x1, x2) >= xmin)
-        & (F.least(y1, y2) <= ymax) & (F.greatest(y1, y2) >= ymin)
-        & (F.least(*s) <= 0) & (F.greatest(*s) >= 0)
-    )
+    corners = ", ".join(_side(x1, y1, x2, y2, cx, cy) for cx in (xmin, xmax) for cy in (ymin, ymax))
+    return (f"(least({x1}, {x2}) <= {xmax} AND greatest({x1}, {x2}) >= {xmin}"
+            f" AND least({y1}, {y2}) <= {ymax} AND greatest({y1}, {y2}) >= {ymin}"
+            f" AND least({corners}) <= 0 AND greatest({corners}) >= 0)")
 
 
-def ray_crosses(px, py, x1, y1, x2, y2) -> Column:
+def ray_crosses(px: str, py: str, x1: str = "x1", y1: str = "y1", x2: str = "x2", y2: str = "y2") -> str:
     """The ray from (px, py) towards +x crosses the edge; an odd count means inside."""
-    cross = (x2 - x1) * (py - y1) - (px - x1) * (y2 - y1)
-    return ((y1 > py) != (y2 > py)) & F.when(y2 > y1, cross > 0).otherwise(cross < 0)
-
-
-def segments_meet(ax1, ay1, ax2, ay2, bx1, by1, bx2, by2) -> Column:
-    """Two closed segments share a point: boxes overlap and neither lies strictly on
-    one side of the other's line."""
-    def side(x1, y1, x2, y2, px, py) -> Column:
-        return F.signum((x2 - x1) * (py - y1) - (px - x1) * (y2 - y1))
-    a1 = side(ax1, ay1, ax2, ay2, bx1, by1)
-    a2 = side(ax1, ay1, ax2, ay2, bx2, by2)
-    b1 = side(bx1, by1, bx2, by2, ax1, ay1)
-    b2 = side(bx1, by1, bx2, by2, ax2, ay2)
-    return (
-        (F.least(ax1, ax2) <= F.greatest(bx1, bx2)) & (F.greatest(ax1, ax2) >= F.least(bx1, bx2))
-        & (F.least(ay1, ay2) <= F.greatest(by1, by2)) & (F.greatest(ay1, ay2) >= F.least(by1, by2))
-        & (a1 * a2 <= 0) & (b1 * b2 <= 0)
-    )
-
-
-def clip_half_plane(rings: Column, axis: str, bound: Column, keep_above: bool) -> Column:
-    """Cut closed rings by a line parallel to an axis and keep one side.
+    side = _side(x1, y1, x2, y2, px, py)
+    return f"((({y1} > {py}) <> ({y2} > {py})) AND if({y2} > {y1}, {side} > 0, {side} < 0))"
 
-    Rings stay closed; a ring left without area disappears.
-    """
-    other = "y" if axis == "x" else "x"
 
-    def inside(p: Column) -> Column:
-        return p[axis] >= bound if keep_above else p[axis] <= bound
+def segments_meet(a: str, b: str) -> str:
+    """Two closed segments (columns with prefixes a and b) share a point: their boxes
+    overlap and neither lies strictly on one side of the other's line."""
+    def ends(p: str) -> list[str]:
+        return [p + c for c in ("x1", "y1", "x2", "y2")]
 
-    def meet(p: Column, q: Column) -> Column:
-        t = p[other] + (bound - p[axis]) * (q[other] - p[other]) / (q[axis] - p[axis])
-        x, y = (bound, t) if axis == "x" else (t, bound)
-        return F.struct(x.alias("x"), y.alias("y"))
+    def apart(line: str, other: str) -> str:
+        x1, y1, x2, y2 = ends(other)
+        return f"signum({_side(*ends(line), x1, y1)}) * signum({_side(*ends(line), x2, y2)})"
 
-    def step(p: Column, q: Column) -> Column:
-        none = F.array().cast("array<struct<x:double,y:double>>")
-        kept = F.when(inside(p), F.array(p)).otherwise(none)
-        crossed = F.when(inside(p) != inside(q), F.array(meet(p, q))).otherwise(none)
-        return F.concat(kept, crossed)
+    ax1, ay1, ax2, ay2 = ends(a)
+    bx1, by1, bx2, by2 = ends(b)
+    return (f"(least({ax1}, {ax2}) <= greatest({bx1}, {bx2}) AND greatest({ax1}, {ax2}) >= least({bx1}, {bx2})"
+            f" AND least({ay1}, {ay2}) <= greatest({by1}, {by2}) AND greatest({ay1}, {ay2}) >= least({by1}, {by2})"
+            f" AND {apart(a, b)} <= 0 AND {apart(b, a)} <= 0)")
 
-    def clip(r: Column) -> Column:
-        n = F.size(r) - 1
-        return F.flatten(F.zip_with(F.slice(r, F.lit(1), n), F.slice(r, F.lit(2), n), step))
 
-    clipped = F.transform(F.filter(rings, lambda r: F.size(r) > 1), clip)
-    closed = F.transform(
-        F.filter(clipped, lambda r: F.size(r) > 2),
-        lambda r: F.concat(r, F.slice(r, 1, 1)),
-    )
-    return F.filter(closed, lambda r: ring_area(r) > 0)
+def ring_area(r: str) -> str:
+    """Unsigned area of one closed ring."""
+    return f"(abs(aggregate({_steps(r, 'p.x * q.y - q.x * p.y')}, 0D, (s, v) -> s + v)) / 2)"
+
 
+def clip_half_plane(rings: str, axis: str, bound: str, keep_above: bool) -> str:
+    """Cut closed rings by a line parallel to an axis and keep one side.
 
-def clip_to_band(rings: Column, axis: str, low: Column, high: Column) -> Column:
+    Rings stay closed; a ring left without area disappears.
+    """
+    other = "y" if axis == "x" else "x"
+    test = ">=" if keep_above else "<="
+    at = f"p.{other} + ({bound} - p.{axis}) * (q.{other} - p.{other}) / (q.{axis} - p.{axis})"
+    meet = point(bound, at) if axis == "x" else point(at, bound)
+    none = f"cast(array() AS {RING_TYPE})"
+    step = (f"concat(if(p.{axis} {test} {bound}, array(p), {none}),"
+            f" if((p.{axis} {test} {bound}) <> (q.{axis} {test} {bound}), array({meet}), {none}))")
+    cut = f"transform(filter({rings}, r -> size(r) > 1), r -> flatten({_steps('r', step)}))"
+    closed = f"transform(filter({cut}, r -> size(r) > 2), r -> concat(r, slice(r, 1, 1)))"
+    return f"filter({closed}, r -> {ring_area('r')} > 0)"
+
+
+def clip_to_band(rings: str, axis: str, low: str, high: str) -> str:
     """Part of the rings with low <= axis <= high."""
     return clip_half_plane(clip_half_plane(rings, axis, low, True), axis, high, False)
-
-
-def ring_area(r: Column) -> Column:
-    """Unsigned area of one closed ring."""
-    n = F.size(r) - 1
-    twice = F.aggregate(
-        F.zip_with(F.slice(r, F.lit(1), n), F.slice(r, F.lit(2), n),
-                   lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]),
-        F.lit(0.0), lambda acc, v: acc + v,
-    )
-    return F.abs(twice) / 2

@@ -19,18 +19,17 @@ is spread over many keys.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilequarry.constants import REGION_SIZE
-from tilequarry.functions.geometry import (
-    edge_meets_box, edges, envelope, ray_crosses, segments_meet,
-)
+from tilequarry.functions import geometry as geo
 
 # Widens the candidate ranges, in cells; exact tests decide afterwards.
 SLACK = 1e-6
 
 GRID_KEY = ["grid_id", "gcol", "grow"]
+GRID = ["grid_id", "ox", "oy", "tile_w", "tile_h", "c_min", "c_max", "r_min", "r_max"]
 
 
 def with_grid(tiles: DataFrame) -> DataFrame:
@@ -38,13 +37,12 @@ def with_grid(tiles: DataFrame) -> DataFrame:
 
     Needs x0, y0, tile_w, tile_h, which are constant per dataset.
     """
-    ox, oy = F.pmod("x0", "tile_w"), F.pmod("y0", "tile_h")
-    return tiles.withColumns({
-        "grid_id": F.concat_ws(":", "tile_w", "tile_h", ox, oy),
-        "ox": ox, "oy": oy,
-        "gcol": F.col("col") + F.round((F.col("x0") - ox) / F.col("tile_w")).cast("bigint"),
-        "grow": F.col("row_") - F.round((F.col("y0") - oy) / F.col("tile_h")).cast("bigint"),
-    })
+    return tiles.selectExpr("*", "pmod(x0, tile_w) AS ox", "pmod(y0, tile_h) AS oy").selectExpr(
+        "*",
+        "concat_ws(':', tile_w, tile_h, ox, oy) AS grid_id",
+        "col + bigint(round((x0 - ox) / tile_w)) AS gcol",
+        "row_ - bigint(round((y0 - oy) / tile_h)) AS grow",
+    )
 
 
 def grids_of(gridded: DataFrame) -> DataFrame:
@@ -55,13 +53,6 @@ def grids_of(gridded: DataFrame) -> DataFrame:
     )
 
 
-def _regions(df: DataFrame, xmin: Column, ymin: Column, xmax: Column, ymax: Column, size: float) -> DataFrame:
-    """One row per coarse square that a rectangle reaches."""
-    def span(low: Column, high: Column) -> Column:
-        return F.sequence(F.floor(low / size), F.floor(high / size))
-    return df.withColumn("rx", F.explode(span(xmin, xmax))).withColumn("ry", F.explode(span(ymin, ymax)))
-
-
 def match_grids(features: DataFrame, grids: DataFrame, region_size: float = REGION_SIZE) -> DataFrame:
     """Pair each feature with the grids its envelope reaches.
 
@@ -69,46 +60,47 @@ def match_grids(features: DataFrame, grids: DataFrame, region_size: float = REGI
     only in the one with the lower-left corner of the overlap, so no distinct is
     needed afterwards.
     """
-    boxed = grids.withColumns({
-        "gx1": F.col("ox") + F.col("c_min") * F.col("tile_w"),
-        "gx2": F.col("ox") + (F.col("c_max") + 1) * F.col("tile_w"),
-        "gy1": F.col("oy") - (F.col("r_max") + 1) * F.col("tile_h"),
-        "gy2": F.col("oy") - F.col("r_min") * F.col("tile_h"),
-    })
-    g = _regions(boxed, F.col("gx1"), F.col("gy1"), F.col("gx2"), F.col("gy2"), region_size)
-    env = F.col("env") if "env" in features.columns else envelope(F.col("rings"))
+    def squares(df: DataFrame, p: str) -> DataFrame:
+        """One row per coarse square that a rectangle reaches."""
+        def span(axis: str) -> str:
+            low, high = f"floor({p}{axis}min / {region_size})", f"floor({p}{axis}max / {region_size})"
+            return f"explode(sequence({low}, {high})) AS r{axis}"
+        return df.selectExpr("*", span("x")).selectExpr("*", span("y"))
+
+    boxes = grids.selectExpr(
+        *GRID,
+        "ox + c_min * tile_w AS g_xmin", "ox + (c_max + 1) * tile_w AS g_xmax",
+        "oy - (r_max + 1) * tile_h AS g_ymin", "oy - r_min * tile_h AS g_ymax",
+    )
     # A feature without vertices has no edges either, so its place does not matter; a default
     # that is never null keeps null checks on the envelope out of the plan.
-    sides = {c: F.coalesce(env[c], F.lit(0.0)) for c in ("xmin", "ymin", "xmax", "ymax")}
-    boxes = features.select("fid", "rings", *[v.alias("e_" + c) for c, v in sides.items()])
-    f = _regions(boxes, F.col("e_xmin"), F.col("e_ymin"), F.col("e_xmax"), F.col("e_ymax"), region_size)
-    reach = (
-        (F.col("e_xmin") <= F.col("gx2")) & (F.col("e_xmax") >= F.col("gx1"))
-        & (F.col("e_ymin") <= F.col("gy2")) & (F.col("e_ymax") >= F.col("gy1"))
-        & (F.col("rx") == F.floor(F.greatest("e_xmin", "gx1") / region_size))
-        & (F.col("ry") == F.floor(F.greatest("e_ymin", "gy1") / region_size))
-    )
-    return f.join(g, ["rx", "ry"]).where(reach).select(
-        "fid", "rings", "grid_id", "ox", "oy", "tile_w", "tile_h", "c_min", "c_max", "r_min", "r_max")
+    stored = "env" in features.columns
+    envs = features.selectExpr("fid", "rings", *[
+        f"coalesce({f'env.{s}' if stored else geo.envelope_side('rings', s)}, 0D) AS e_{s}" for s in geo.EXTENT])
+    reach = f"""
+        e_xmin <= g_xmax AND e_xmax >= g_xmin AND e_ymin <= g_ymax AND e_ymax >= g_ymin
+        AND rx = floor(greatest(e_xmin, g_xmin) / {region_size})
+        AND ry = floor(greatest(e_ymin, g_ymin) / {region_size})"""
+    return squares(envs, "e_").join(squares(boxes, "g_"), ["rx", "ry"]).where(reach).select("fid", "rings", *GRID)
 
 
-def _sequence(low: Column, high: Column) -> Column:
+def _sequence(low: str, high: str) -> str:
     """low..high, empty when low > high."""
-    return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
+    return f"if({low} <= {high}, sequence({low}, {high}), cast(array() AS array<bigint>))"
 
 
 def _explode_edges(matched: DataFrame) -> DataFrame:
     kept = [c for c in matched.columns if c != "rings"]
-    return matched.select(*kept, F.inline(edges(F.col("rings"))))
+    return matched.selectExpr(*kept, f"inline({geo.edges('rings')})")
 
 
 def _edge_rows(matched: DataFrame) -> DataFrame:
     """Each edge once per grid row whose closed band it reaches."""
-    e = _explode_edges(matched)
-    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    first = F.ceil((F.col("oy") - high) / F.col("tile_h") - SLACK) - 1
-    last = F.floor((F.col("oy") - low) / F.col("tile_h") + SLACK)
-    return e.withColumn("grow", F.explode(_sequence(F.greatest(first, "r_min"), F.least(last, "r_max"))))
+    return _explode_edges(matched).selectExpr(
+        "*",
+        f"greatest(ceil((oy - greatest(y1, y2)) / tile_h - {SLACK}) - 1, r_min) AS r_first",
+        f"least(floor((oy - least(y1, y2)) / tile_h + {SLACK}), r_max) AS r_last",
+    ).selectExpr("*", f"explode({_sequence('r_first', 'r_last')}) AS grow")
 
 
 def _with_edge_columns(rows: DataFrame) -> DataFrame:
@@ -116,25 +108,24 @@ def _with_edge_columns(rows: DataFrame) -> DataFrame:
 
     Steps are separate columns so that each is computed once.
     """
-    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
-    w, h, ox = F.col("tile_w"), F.col("tile_h"), F.col("ox")
-    slope = (x2 - x1) / F.nullif(y2 - y1, F.lit(0.0))  # null when level
-    low, high = F.least(y1, y2), F.greatest(y1, y2)
-    banded = rows.withColumn("top", F.col("oy") - F.col("grow") * h).withColumn("bottom", F.col("top") - h)
-    ya = F.least(F.greatest(F.col("bottom") - h * SLACK, low), high)
-    yb = F.least(F.greatest(F.col("top") + h * SLACK, low), high)
-    sided = banded.withColumns({
-        "xa": F.coalesce(x1 + (ya - y1) * slope, x1),
-        "xb": F.coalesce(x1 + (yb - y1) * slope, x2),
-    })
-    ranged = sided.withColumns({
-        "c_first": F.greatest(F.ceil((F.least("xa", "xb") - ox) / w - SLACK) - 1, "c_min"),
-        "c_last": F.least(F.floor((F.greatest("xa", "xb") - ox) / w + SLACK), "c_max"),
-    })
-    return ranged.withColumn("touched", F.filter(
-        _sequence(F.col("c_first"), F.col("c_last")),
-        lambda c: edge_meets_box(x1, y1, x2, y2, ox + c * w, F.col("bottom"), ox + (c + 1) * w, F.col("top")),
-    ))
+    return rows.selectExpr(
+        "*",
+        "oy - grow * tile_h AS top", "oy - grow * tile_h - tile_h AS bottom",
+        "(x2 - x1) / nullif(y2 - y1, 0D) AS slope",  # null when level
+        "least(y1, y2) AS low", "greatest(y1, y2) AS high",
+    ).selectExpr(
+        "*",
+        f"coalesce(x1 + (least(greatest(bottom - tile_h * {SLACK}, low), high) - y1) * slope, x1) AS xa",
+        f"coalesce(x1 + (least(greatest(top + tile_h * {SLACK}, low), high) - y1) * slope, x2) AS xb",
+    ).selectExpr(
+        "*",
+        f"greatest(ceil((least(xa, xb) - ox) / tile_w - {SLACK}) - 1, c_min) AS c_first",
+        f"least(floor((greatest(xa, xb) - ox) / tile_w + {SLACK}), c_max) AS c_last",
+    ).selectExpr(
+        "*",
+        f"""filter({_sequence('c_first', 'c_last')}, c -> {geo.edge_meets_box(
+            'x1', 'y1', 'x2', 'y2', '(ox + c * tile_w)', 'bottom', '(ox + (c + 1) * tile_w)', 'top')}) AS touched""",
+    )
 
 
 def _with_flip(rows: DataFrame) -> DataFrame:
@@ -144,22 +135,19 @@ def _with_flip(rows: DataFrame) -> DataFrame:
     The quotient gives a guess; the crossing test at the guess and its two
     neighbours makes it exact.  Clamped to the grid, one past the end included.
     """
-    edge = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
-    x1, y1, x2, y2 = edge
-    w, ox, mid = F.col("tile_w"), F.col("ox"), F.col("mid")
-    lined = rows.withColumn("mid", F.col("oy") - (F.col("grow") + F.lit(0.5)) * F.col("tile_h"))
-    guessed = lined.withColumn("guess", F.when(
-        (y1 > mid) != (y2 > mid),
-        F.ceil((x1 + (mid - y1) * (x2 - x1) / F.nullif(y2 - y1, F.lit(0.0)) - ox) / w - 0.5),
-    ))
-
-    def right_of(c: Column) -> Column:
-        return ray_crosses(ox + (c + F.lit(0.5)) * w, mid, *edge).cast("bigint")
-
-    guess = F.col("guess")
-    exact = guess - 1 + right_of(guess - 1) + right_of(guess) + right_of(guess + 1)
-    return guessed.withColumn("flip", F.when(
-        guess.isNotNull(), F.least(F.greatest(exact, F.col("c_min")), F.col("c_max") + 1)))
+    def right_of(c: str) -> str:
+        return f"int({geo.ray_crosses(f'(ox + ({c} + 0.5D) * tile_w)', 'mid')})"
+
+    return rows.selectExpr("*", "oy - (grow + 0.5D) * tile_h AS mid").selectExpr(
+        "*",
+        """if((y1 > mid) <> (y2 > mid),
+              ceil((x1 + (mid - y1) * (x2 - x1) / nullif(y2 - y1, 0D) - ox) / tile_w - 0.5D), NULL) AS guess""",
+    ).selectExpr(
+        "*",
+        f"""if(guess IS NULL, NULL, least(greatest(
+              guess - 1 + {right_of('(guess - 1)')} + {right_of('guess')} + {right_of('(guess + 1)')},
+              c_min), c_max + 1)) AS flip""",
+    )
 
 
 def coverage(features: DataFrame, grids: DataFrame, region_size: float = REGION_SIZE) -> DataFrame:
@@ -173,28 +161,22 @@ def coverage(features: DataFrame, grids: DataFrame, region_size: float = REGION_
 
 def _cover(matched: DataFrame) -> DataFrame:
     rows = _with_flip(_with_edge_columns(_edge_rows(matched)))
-    touched = F.transform("touched", lambda c: F.struct(c.alias("c"), F.lit(False).alias("is_flip")))
-    none = F.array().cast("array<struct<c:bigint,is_flip:boolean>>")
-    flip = F.when(
-        F.col("flip").isNotNull(), F.array(F.struct(F.col("flip").alias("c"), F.lit(True).alias("is_flip")))
-    ).otherwise(none)
-    marks = rows.select("fid", "grid_id", "grow", F.inline(F.concat(touched, flip)))
+    marks = rows.selectExpr("fid", "grid_id", "grow", """inline(concat(
+        transform(touched, c -> named_struct('c', c, 'is_flip', false)),
+        if(flip IS NULL, cast(array() AS array<struct<c:bigint,is_flip:boolean>>),
+           array(named_struct('c', flip, 'is_flip', true)))))""")
     # Combined on the map side; flips that cancel are gone after this.
-    marks = marks.groupBy("fid", "grid_id", "grow", "c", "is_flip").agg((F.count("*") % 2).alias("odd"))
+    marks = marks.groupBy("fid", "grid_id", "grow", "c", "is_flip").agg(F.expr("count(*) % 2 AS odd"))
     per_row = marks.groupBy("fid", "grid_id", "grow").agg(
-        F.collect_list(F.when(~F.col("is_flip"), F.col("c"))).alias("touched"),
-        F.sort_array(F.collect_list(F.when(F.col("is_flip") & (F.col("odd") == 1), F.col("c")))).alias("flips"),
-    )
-    runs = F.transform(
-        F.filter(F.col("flips"), lambda c, i: i % 2 == 0),
-        lambda c, i: F.sequence(c, F.element_at(F.col("flips"), (2 * i + 2).cast("int")) - 1),
-    )
-    inside = F.array_except(F.flatten(runs), F.col("touched"))
-    both = F.concat(
-        F.transform("touched", lambda c: F.struct(c.alias("gcol"), F.lit(False).alias("is_inside"))),
-        F.transform(inside, lambda c: F.struct(c.alias("gcol"), F.lit(True).alias("is_inside"))),
+        F.expr("collect_list(c) FILTER (WHERE NOT is_flip) AS touched"),
+        F.expr("sort_array(collect_list(c) FILTER (WHERE is_flip AND odd = 1)) AS flips"),
     )
-    return per_row.select("fid", "grid_id", "grow", F.inline(both)).select(
+    return per_row.selectExpr("fid", "grid_id", "grow", """inline(concat(
+        transform(touched, c -> named_struct('gcol', c, 'is_inside', false)),
+        transform(
+          array_except(flatten(transform(filter(flips, (c, i) -> i % 2 = 0),
+                                         (c, i) -> sequence(c, element_at(flips, int(2 * i + 2)) - 1))), touched),
+          c -> named_struct('gcol', c, 'is_inside', true))))""").select(
         "fid", "grid_id", "gcol", "grow", "is_inside")
 
 
@@ -204,14 +186,14 @@ def scan_lines(features: DataFrame, grids: DataFrame, region_size: float = REGIO
     A cell centre is inside if an odd number of ``flips`` is at or left of its
     column.  Exact at centres that lie on an edge.
     """
-    e = _explode_edges(match_grids(features, grids, region_size))
-    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    first = F.ceil((F.col("oy") - high) / F.col("tile_h") - 0.5 - SLACK)
-    last = F.floor((F.col("oy") - low) / F.col("tile_h") - 0.5 + SLACK)
-    rows = e.withColumn("grow", F.explode(_sequence(F.greatest(first, "r_min"), F.least(last, "r_max"))))
-    flips = _with_flip(rows).where("flip IS NOT NULL").select("fid", "grid_id", "grow", F.col("flip").alias("c"))
-    odd = flips.groupBy("fid", "grid_id", "grow", "c").agg((F.count("*") % 2).alias("odd")).where("odd = 1")
-    return odd.groupBy("fid", "grid_id", "grow").agg(F.sort_array(F.collect_list("c")).alias("flips"))
+    rows = _explode_edges(match_grids(features, grids, region_size)).selectExpr(
+        "*",
+        f"greatest(ceil((oy - greatest(y1, y2)) / tile_h - 0.5D - {SLACK}), r_min) AS r_first",
+        f"least(floor((oy - least(y1, y2)) / tile_h - 0.5D + {SLACK}), r_max) AS r_last",
+    ).selectExpr("*", f"explode({_sequence('r_first', 'r_last')}) AS grow")
+    flips = _with_flip(rows).where("flip IS NOT NULL").select("fid", "grid_id", "grow", "flip")
+    odd = flips.groupBy("fid", "grid_id", "grow", "flip").agg(F.count("*").alias("n")).where("n % 2 = 1")
+    return odd.groupBy("fid", "grid_id", "grow").agg(F.expr("sort_array(collect_list(flip)) AS flips"))
 
 
 # --- joins of features with tiles ------------------------------------------------------------
@@ -250,23 +232,17 @@ def tiles_in_extents(tiles: DataFrame, extents: DataFrame, region_size: float =
     ``extents`` rows: query_id, xmin, ymin, xmax, ymax.
     """
     gridded = with_grid(tiles)
-    q = extents.select("query_id", *[F.col(c).alias("q" + c) for c in ("xmin", "ymin", "xmax", "ymax")])
-    as_feature = q.withColumnRenamed("query_id", "fid").withColumn(
-        "rings",
-        F.array(F.array(
-            F.struct(F.col("qxmin").alias("x"), F.col("qymin").alias("y")),
-            F.struct(F.col("qxmax").alias("x"), F.col("qymax").alias("y")),
-        )),
-    )
-    m = match_grids(as_feature, grids_of(gridded), region_size).withColumns({
-        "a": F.element_at(F.flatten("rings"), 1), "b": F.element_at(F.flatten("rings"), 2)})
-    w, h = F.col("tile_w"), F.col("tile_h")
-    c_first, c_last = F.floor((F.col("a.x") - F.col("ox")) / w), F.ceil((F.col("b.x") - F.col("ox")) / w) - 1
-    r_first, r_last = F.floor((F.col("oy") - F.col("b.y")) / h), F.ceil((F.col("oy") - F.col("a.y")) / h) - 1
+    as_feature = extents.selectExpr(
+        "query_id AS fid", f"array(array({geo.point('xmin', 'ymin')}, {geo.point('xmax', 'ymax')})) AS rings")
     keys = (
-        m.withColumn("grow", F.explode(_sequence(F.greatest(r_first, "r_min"), F.least(r_last, "r_max"))))
-        .withColumn("gcol", F.explode(_sequence(F.greatest(c_first, "c_min"), F.least(c_last, "c_max"))))
-        .select(F.col("fid").alias("query_id"), *GRID_KEY)
+        match_grids(as_feature, grids_of(gridded), region_size)
+        .selectExpr("*", "rings[0][0] AS a", "rings[0][1] AS b")
+        .selectExpr(
+            "*",
+            "greatest(floor((a.x - ox) / tile_w), c_min) AS c_first", "least(ceil((b.x - ox) / tile_w) - 1, c_max) AS c_last",
+            "greatest(floor((oy - b.y) / tile_h), r_min) AS r_first", "least(ceil((oy - a.y) / tile_h) - 1, r_max) AS r_last")
+        .selectExpr("*", f"explode({_sequence('r_first', 'r_last')}) AS grow")
+        .selectExpr("fid AS query_id", "grid_id", "grow", f"explode({_sequence('c_first', 'c_last')}) AS gcol")
     )
     return keys.join(gridded, GRID_KEY).select("query_id", *tiles.columns)
 
@@ -287,20 +263,17 @@ FAR = 1 << 40
 
 def _on_bins(features: DataFrame, bin_size: float) -> DataFrame:
     """Features on an endless grid of square bins; no extent is needed, so nothing is joined."""
-    return features.select(
-        "fid", "rings", F.lit("bins").alias("grid_id"), F.lit(0.0).alias("ox"), F.lit(0.0).alias("oy"),
-        F.lit(float(bin_size)).alias("tile_w"), F.lit(float(bin_size)).alias("tile_h"),
-        *[F.lit(v).cast("bigint").alias(n) for n, v in
-          (("c_min", -FAR), ("c_max", FAR), ("r_min", -FAR), ("r_max", FAR))],
+    return features.selectExpr(
+        "fid", "rings", "'bins' AS grid_id", "0D AS ox", "0D AS oy",
+        f"{float(bin_size)}D AS tile_w", f"{float(bin_size)}D AS tile_h",
+        f"bigint(-{FAR}) AS c_min", f"bigint({FAR}) AS c_max", f"bigint(-{FAR}) AS r_min", f"bigint({FAR}) AS r_max",
     )
 
 
 def _binned_edges(features: DataFrame, bin_size: float, prefix: str) -> DataFrame:
     rows = _with_edge_columns(_edge_rows(_on_bins(features, bin_size)))
-    return rows.withColumn("gcol", F.explode("touched")).select(
-        F.col("fid").alias(prefix + "fid"), "gcol", "grow",
-        *[F.col(c).alias(prefix + c) for c in ("x1", "y1", "x2", "y2")],
-    )
+    return rows.selectExpr(
+        "explode(touched) AS gcol", "grow", *[f"{c} AS {prefix}{c}" for c in ("fid", "x1", "y1", "x2", "y2")])
 
 
 def _contained(inner: DataFrame, outer: DataFrame, bin_size: float) -> DataFrame:
@@ -309,24 +282,20 @@ def _contained(inner: DataFrame, outer: DataFrame, bin_size: float) -> DataFrame
     A vertex in a bin wholly inside is decided by the bin.  In a boundary bin its
     ray is tested against the outer feature's edges in the same row of bins.
     """
-    size = float(bin_size)
-    starts = (
-        inner.select(F.col("fid").alias("inner_fid"), F.posexplode("rings").alias("ring_no", "ring"))
-        .where(F.size("ring") > 0)
-        .select("inner_fid", "ring_no", F.element_at("ring", 1).alias("p"))
-        .select("inner_fid", "ring_no", F.col("p.x").alias("vx"), F.col("p.y").alias("vy"),
-                F.floor(F.col("p.x") / size).alias("gcol"), F.floor(-F.col("p.y") / size).alias("grow"))
-    )
+    starts = inner.selectExpr(
+        "fid AS inner_fid", "posexplode(transform(filter(rings, r -> size(r) > 0), r -> r[0])) AS (ring_no, p)"
+    ).selectExpr(
+        "inner_fid", "ring_no", "p.x AS vx", "p.y AS vy",
+        f"floor(p.x / {float(bin_size)}D) AS gcol", f"floor(-p.y / {float(bin_size)}D) AS grow")
     placed = _on_bins(outer, bin_size)
-    cover = _cover(placed).select(F.col("fid").alias("outer_fid"), "gcol", "grow", "is_inside")
+    cover = _cover(placed).selectExpr("fid AS outer_fid", "gcol", "grow", "is_inside")
     near = starts.join(cover, ["gcol", "grow"])
     sure = near.where("is_inside").select("inner_fid", "outer_fid")
-    outer_rows = _edge_rows(placed).select(F.col("fid").alias("outer_fid"), "grow", "x1", "y1", "x2", "y2")
-    crossing = ray_crosses(*[F.col(c) for c in ("vx", "vy", "x1", "y1", "x2", "y2")])
+    outer_rows = _edge_rows(placed).selectExpr("fid AS outer_fid", "grow", "x1", "y1", "x2", "y2")
     tested = (
-        near.where(~F.col("is_inside")).join(outer_rows, ["outer_fid", "grow"]).where(crossing)
-        .groupBy("inner_fid", "ring_no", "outer_fid").agg((F.count("*") % 2).alias("odd"))
-        .where("odd = 1").select("inner_fid", "outer_fid")
+        near.where("NOT is_inside").join(outer_rows, ["outer_fid", "grow"]).where(geo.ray_crosses("vx", "vy"))
+        .groupBy("inner_fid", "ring_no", "outer_fid").agg(F.count("*").alias("n"))
+        .where("n % 2 = 1").select("inner_fid", "outer_fid")
     )
     return sure.union(tested)
 
@@ -339,10 +308,8 @@ def features_intersect(left: DataFrame, right: DataFrame, bin_size: float) -> Da
     """
     a = _binned_edges(left, bin_size, "a_")
     b = _binned_edges(right, bin_size, "b_")
-    seg = [F.col(p + c) for p in ("a_", "b_") for c in ("x1", "y1", "x2", "y2")]
-    meeting = a.join(b, ["gcol", "grow"]).where(segments_meet(*seg)).select(
-        F.col("a_fid").alias("left_fid"), F.col("b_fid").alias("right_fid"))
-    in_right = _contained(left, right, bin_size).toDF("left_fid", "right_fid")
-    in_left = _contained(right, left, bin_size).toDF("right_fid", "left_fid").select(
-        "left_fid", "right_fid")
+    meeting = a.join(b, ["gcol", "grow"]).where(geo.segments_meet("a_", "b_")).selectExpr(
+        "a_fid AS left_fid", "b_fid AS right_fid")
+    in_right = _contained(left, right, bin_size).selectExpr("inner_fid AS left_fid", "outer_fid AS right_fid")
+    in_left = _contained(right, left, bin_size).selectExpr("outer_fid AS left_fid", "inner_fid AS right_fid")
     return meeting.union(in_right).union(in_left).distinct()

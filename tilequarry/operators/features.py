@@ -36,7 +36,7 @@ def single_attribute(features: DataFrame, kinds: tuple[str, ...], name: str, sql
 
 def envelopes(features: DataFrame) -> DataFrame:
     """fid, xmin, ymin, xmax, ymax."""
-    return features.select("fid", geo.envelope(F.col("rings")).alias("e")).select("fid", "e.*")
+    return features.selectExpr("fid", *[f"{geo.envelope_side('rings', s)} AS {s}" for s in geo.EXTENT])
 
 
 def first_feature(features: DataFrame, query_id: str) -> DataFrame:
@@ -51,7 +51,7 @@ def statistics(features: DataFrame) -> DataFrame:
     return features.agg(
         F.count("*").alias("n_features"),
         F.coalesce(F.sum(F.size("rings")), F.lit(0)).cast("bigint").alias("n_rings"),
-        F.coalesce(F.sum(geo.vertex_count(F.col("rings"))), F.lit(0)).alias("n_vertices"),
+        F.coalesce(F.sum(F.expr(geo.vertex_count("rings"))), F.lit(0)).alias("n_vertices"),
     )
 
 
@@ -112,15 +112,14 @@ def clip_to_tiles(tiles: DataFrame, features: DataFrame, region_size: float = co
     wholly inside get their rectangle without any cutting.
     """
     pairs = cov.tile_features(tiles, features, region_size)
-    rect = [F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")]
-    whole = pairs.where("is_inside").withColumn("piece", F.array(geo.box_ring(*rect)))
-    edge = pairs.where(~F.col("is_inside"))
-    shapes = features.select("fid", "rings")
+    rect = geo.box_ring("xmin", "ymin", "xmax", "ymax")
+    out = ["fid", "dataset_uid", "col", "row_", "is_inside"]
+    whole = pairs.where("is_inside").selectExpr(*out, f"array({rect}) AS piece")
+    edge = pairs.where("NOT is_inside")
     bands = (
-        edge.select("fid", "ymin", "ymax").distinct().join(shapes, "fid")
-        .select("fid", "ymin", "ymax", geo.clip_to_band(F.col("rings"), "y", F.col("ymin"), F.col("ymax")).alias("band"))
+        edge.select("fid", "ymin", "ymax").distinct().join(features.select("fid", "rings"), "fid")
+        .selectExpr("fid", "ymin", "ymax", f"{geo.clip_to_band('rings', 'y', 'ymin', 'ymax')} AS band")
     )
-    cut = edge.join(bands, ["fid", "ymin", "ymax"]).withColumn(
-        "piece", geo.clip_to_band(F.col("band"), "x", F.col("xmin"), F.col("xmax")))
-    out = ["fid", "dataset_uid", "col", "row_", "is_inside", "piece"]
-    return whole.select(out).union(cut.select(out))
+    cut = edge.join(bands, ["fid", "ymin", "ymax"]).selectExpr(
+        *out, f"{geo.clip_to_band('band', 'x', 'xmin', 'xmax')} AS piece")
+    return whole.union(cut)

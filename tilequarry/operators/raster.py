@@ -125,37 +125,29 @@ def mask_lines(tiles: DataFrame, regions: DataFrame, tile_size: int = TILE_SIZE,
     """
     gridded = cov.with_grid(tiles.select(*TILE_KEY, "x0", "y0", "tile_w", "tile_h"))
     # The same grid one level down: cells in place of tiles.
-    cell_grids = cov.grids_of(gridded).withColumns({
-        "tile_w": F.col("tile_w") / tile_size, "tile_h": F.col("tile_h") / tile_size,
-        "c_min": F.col("c_min") * tile_size, "c_max": (F.col("c_max") + 1) * tile_size - 1,
-        "r_min": F.col("r_min") * tile_size, "r_max": (F.col("r_max") + 1) * tile_size - 1,
-    })
-    traced = cov.scan_lines(regions, cell_grids, region_size).withColumnRenamed("fid", "region_id")
-    size = F.lit(float(tile_size))
-    reached = F.transform(
-        F.filter("flips", lambda c, i: i % 2 == 0),
-        lambda c, i: F.sequence(
-            F.floor(c / size),
-            F.floor((F.element_at("flips", (2 * i + 2).cast("int")) - 1) / size)),
+    ts = int(tile_size)
+    cell_grids = cov.grids_of(gridded).selectExpr(
+        "grid_id", "ox", "oy", f"tile_w / {ts} AS tile_w", f"tile_h / {ts} AS tile_h",
+        f"c_min * {ts} AS c_min", f"(c_max + 1) * {ts} - 1 AS c_max",
+        f"r_min * {ts} AS r_min", f"(r_max + 1) * {ts} - 1 AS r_max",
     )
-    first = F.col("gcol") * tile_size
-    cut = traced.select(
-        "region_id", "grid_id", "flips", F.floor(F.col("grow") / size).alias("tile_grow"),
-        F.pmod("grow", F.lit(tile_size)).alias("ly"),
-        F.explode(F.array_distinct(F.flatten(reached))).alias("gcol"),
-    ).select(
-        "region_id", "grid_id", "gcol", F.col("tile_grow").alias("grow"), "ly",
-        (F.size(F.filter("flips", lambda c: c <= first)) % 2 == 1).alias("starts_inside"),
-        F.transform(
-            F.filter("flips", lambda c: (c > first) & (c < first + tile_size)), lambda c: c - first,
-        ).alias("within"),
+    traced = cov.scan_lines(regions, cell_grids, region_size)
+    cut = traced.selectExpr(
+        "fid AS region_id", "grid_id", "flips", f"floor(grow / {ts}) AS grow", f"pmod(grow, {ts}) AS ly",
+        f"""explode(array_distinct(flatten(transform(
+              filter(flips, (c, i) -> i % 2 = 0),
+              (c, i) -> sequence(floor(c / {ts}), floor((element_at(flips, int(2 * i + 2)) - 1) / {ts})))))) AS gcol""",
+    ).selectExpr(
+        "region_id", "grid_id", "gcol", "grow", "ly",
+        f"size(filter(flips, c -> c <= gcol * {ts})) % 2 = 1 AS starts_inside",
+        f"""transform(filter(flips, c -> c > gcol * {ts} AND c < (gcol + 1) * {ts}), c -> c - gcol * {ts}) AS within""",
     )
     wanted = gridded if hits is None else gridded.join(hits, TILE_KEY, "left_semi")
     on_tiles = cut.join(wanted, cov.GRID_KEY)
     return on_tiles.select(
         "region_id", *TILE_KEY,
-        (F.col("row_") * tile_size + F.col("ly")).cast("int").alias("py"),
-        "starts_inside", F.transform("within", lambda c: c + F.col("col") * tile_size).alias("flips"),
+        F.expr(f"int(row_ * {ts} + ly)").alias("py"),
+        "starts_inside", F.expr(f"transform(within, c -> c + col * {ts})").alias("flips"),
     )
 
 
@@ -200,9 +192,8 @@ def mask_tiles(tiles: DataFrame, lines: DataFrame, tile_size: int = TILE_SIZE) -
 def crop_cells(cells: DataFrame, tiles: DataFrame, regions: DataFrame, bands: list[str],
                tile_size: int = TILE_SIZE, region_size: float = REGION_SIZE) -> DataFrame:
     """Cells whose centre is in a region's envelope; bands are null outside the region itself."""
-    env = envelope(F.col("rings"))
-    boxes = regions.select("fid", env.alias("e")).select(
-        "fid", F.array(box_ring(F.col("e.xmin"), F.col("e.ymin"), F.col("e.xmax"), F.col("e.ymax"))).alias("rings"))
+    boxes = regions.selectExpr("fid", f"{envelope('rings')} AS e").selectExpr(
+        "fid", f"array({box_ring('e.xmin', 'e.ymin', 'e.xmax', 'e.ymax')}) AS rings")
     key = ["region_id", *TILE_KEY, "py"]
     box = mask_lines(tiles, boxes, tile_size, region_size)
     shape = mask_lines(tiles, regions, tile_size, region_size).select(

@@ -95,7 +95,7 @@ def simple_query(cells: DataFrame, regions: DataFrame, features: DataFrame, tile
     """Without curve or index: tiles under the first region's envelope, masked, with their features."""
     region = first_region(regions)
     tiles = layout.footprints(cells, tile_size)
-    extents = region.select(F.col("fid").alias("query_id"), F.inline(F.array(envelope(F.col("rings")))))
+    extents = region.selectExpr("fid AS query_id", f"inline(array({envelope('rings')}))")
     near = cov.tiles_in_extents(tiles, extents, region_size).drop("query_id")
     lines = raster.mask_lines(near, region, tile_size, region_size)
     return SimpleResult(
