@@ -191,7 +191,9 @@ def scan_lines(features: DataFrame, grids: DataFrame, region_size: float = REGIO
         f"greatest(ceil((oy - greatest(y1, y2)) / tile_h - 0.5D - {SLACK}), r_min) AS r_first",
         f"least(floor((oy - least(y1, y2)) / tile_h - 0.5D + {SLACK}), r_max) AS r_last",
     ).selectExpr("*", f"explode({_sequence('r_first', 'r_last')}) AS grow")
-    flips = _with_flip(rows).where("flip IS NOT NULL").select("fid", "grid_id", "grow", "flip")
+    # Nulls go inside the generator: as a filter, the optimizer would repeat the expression.
+    flips = _with_flip(rows).selectExpr(
+        "fid", "grid_id", "grow", "explode(filter(array(flip), f -> f IS NOT NULL)) AS flip")
     odd = flips.groupBy("fid", "grid_id", "grow", "flip").agg(F.count("*").alias("n")).where("n % 2 = 1")
     return odd.groupBy("fid", "grid_id", "grow").agg(F.expr("sort_array(collect_list(flip)) AS flips"))
 
@@ -290,14 +292,13 @@ def _contained(inner: DataFrame, outer: DataFrame, bin_size: float) -> DataFrame
     placed = _on_bins(outer, bin_size)
     cover = _cover(placed).selectExpr("fid AS outer_fid", "gcol", "grow", "is_inside")
     near = starts.join(cover, ["gcol", "grow"])
-    sure = near.where("is_inside").select("inner_fid", "outer_fid")
-    outer_rows = _edge_rows(placed).selectExpr("fid AS outer_fid", "grow", "x1", "y1", "x2", "y2")
-    tested = (
-        near.where("NOT is_inside").join(outer_rows, ["outer_fid", "grow"]).where(geo.ray_crosses("vx", "vy"))
-        .groupBy("inner_fid", "ring_no", "outer_fid").agg(F.count("*").alias("n"))
-        .where("n % 2 = 1").select("inner_fid", "outer_fid")
-    )
-    return sure.union(tested)
+    outer_rows = _edge_rows(placed).selectExpr("fid AS outer_fid", "grow", "x1", "y1", "x2", "y2", "true AS on_boundary")
+    tested = near.withColumn("on_boundary", F.expr("NOT is_inside")).join(
+        outer_rows, ["outer_fid", "grow", "on_boundary"], "left")
+    crossed = F.expr(f"count_if({geo.ray_crosses('vx', 'vy')})")
+    return tested.groupBy("inner_fid", "ring_no", "outer_fid").agg(
+        F.expr("bool_or(is_inside)").alias("sure"), crossed.alias("n")
+    ).where("sure OR n % 2 = 1").select("inner_fid", "outer_fid")
 
 
 def features_intersect(left: DataFrame, right: DataFrame, bin_size: float) -> DataFrame:

@@ -290,20 +290,19 @@ def reproject(cells: DataFrame, bands: list[str], source: int, target: int, cell
         "u": (F.col("sx") - F.col("x0")) / F.col("cell_w") - 0.5,
         "v": (F.col("y0") - F.col("sy")) / F.col("cell_h") - 0.5,
     })
-    owner_x = F.floor(F.greatest(F.floor("u"), F.lit(0)) / F.lit(float(tile_size)))
-    owner_y = F.floor(F.greatest(F.floor("v"), F.lit(0)) / F.lit(float(tile_size)))
-    owned = placed.where(
-        (owner_x == F.col("col")) & (owner_y == F.col("row_"))
-        & F.col("u").between(-0.5, F.col("nx") - 0.5) & F.col("v").between(-0.5, F.col("ny") - 0.5)
-    ).withColumns({"px0": F.floor("u"), "py0": F.floor("v")}).withColumns({
-        "fx": F.col("u") - F.col("px0"), "fy": F.col("v") - F.col("py0")})
-    asks = F.array(*[
-        F.struct(
-            (F.col("px0") + i).cast("int").alias("px"), (F.col("py0") + j).cast("int").alias("py"),
-            ((F.col("fx") if i else 1 - F.col("fx")) * (F.col("fy") if j else 1 - F.col("fy"))).alias("w"))
-        for i in (0, 1) for j in (0, 1)
-    ])
-    asked = owned.select("dataset_uid", "gx", "gy", F.inline(asks))
+    ts = float(tile_size)
+    spot = placed.selectExpr(
+        "*", "floor(u) AS px0", "floor(v) AS py0", "u - floor(u) AS fx", "v - floor(v) AS fy",
+        f"""floor(greatest(u, 0D) / {ts}D) = col AND floor(greatest(v, 0D) / {ts}D) = row_
+            AND u >= -0.5D AND u <= nx - 0.5D AND v >= -0.5D AND v <= ny - 0.5D AS owned""")
+    asks = ", ".join(
+        f"struct(int(px0 + {i}) AS px, int(py0 + {j}) AS py, {'fx' if i else '(1D - fx)'} * {'fy' if j else '(1D - fy)'} AS w)"
+        for i in (0, 1) for j in (0, 1))
+    # The choice is made inside the generator: as a filter, the optimizer would copy the
+    # projection's series into it.
+    asked = spot.selectExpr(
+        "dataset_uid", "gx", "gy",
+        f"inline(if(owned, array({asks}), cast(array() AS array<struct<px:int,py:int,w:double>>)))")
     got = asked.join(cells.select("dataset_uid", "px", "py", *bands), ["dataset_uid", "px", "py"])
     sums = []
     for b in bands:
