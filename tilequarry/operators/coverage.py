@@ -103,8 +103,8 @@ def _edge_rows(matched: DataFrame) -> DataFrame:
     ).selectExpr("*", f"explode({_sequence('r_first', 'r_last')}) AS grow")
 
 
-def _with_edge_columns(rows: DataFrame) -> DataFrame:
-    """Add ``touched``: the grid columns whose closed tile in row ``grow`` the edge meets.
+def _with_column_range(rows: DataFrame) -> DataFrame:
+    """Add the grid columns that the edge reaches in row ``grow``, to be tested by ``_touched``.
 
     Steps are separate columns so that each is computed once.
     """
@@ -121,13 +121,19 @@ def _with_edge_columns(rows: DataFrame) -> DataFrame:
         "*",
         f"greatest(ceil((least(xa, xb) - ox) / tile_w - {SLACK}) - 1, c_min) AS c_first",
         f"least(floor((greatest(xa, xb) - ox) / tile_w + {SLACK}), c_max) AS c_last",
-    ).selectExpr(
-        "*",
-        f"""filter({_sequence('c_first', 'c_last')}, c -> {geo.edge_meets_box(
-            'x1', 'y1', 'x2', 'y2', '(ox + c * tile_w)', 'bottom', '(ox + (c + 1) * tile_w)', 'top')}) AS touched""",
     )
 
 
+def _touched() -> str:
+    """The grid columns whose closed tile in row ``grow`` the edge meets.
+
+    Written into the generator that spells them out: exploding a column of it would
+    make the optimizer repeat the test in a filter below.
+    """
+    test = geo.edge_meets_box("x1", "y1", "x2", "y2", "(ox + c * tile_w)", "bottom", "(ox + (c + 1) * tile_w)", "top")
+    return f"filter({_sequence('c_first', 'c_last')}, c -> {test})"
+
+
 def _with_flip(rows: DataFrame) -> DataFrame:
     """Add ``flip``: the first column whose centre on the row's centre line is on or right
     of the edge; null where the edge does not cross that line.
@@ -160,9 +166,9 @@ def coverage(features: DataFrame, grids: DataFrame, region_size: float = REGION_
 
 
 def _cover(matched: DataFrame) -> DataFrame:
-    rows = _with_flip(_with_edge_columns(_edge_rows(matched)))
-    marks = rows.selectExpr("fid", "grid_id", "grow", """inline(concat(
-        transform(touched, c -> named_struct('c', c, 'is_flip', false)),
+    rows = _with_flip(_with_column_range(_edge_rows(matched)))
+    marks = rows.selectExpr("fid", "grid_id", "grow", f"""inline(concat(
+        transform({_touched()}, c -> named_struct('c', c, 'is_flip', false)),
         if(flip IS NULL, cast(array() AS array<struct<c:bigint,is_flip:boolean>>),
            array(named_struct('c', flip, 'is_flip', true)))))""")
     # Combined on the map side; flips that cancel are gone after this.
@@ -273,9 +279,9 @@ def _on_bins(features: DataFrame, bin_size: float) -> DataFrame:
 
 
 def _binned_edges(features: DataFrame, bin_size: float, prefix: str) -> DataFrame:
-    rows = _with_edge_columns(_edge_rows(_on_bins(features, bin_size)))
+    rows = _with_column_range(_edge_rows(_on_bins(features, bin_size)))
     return rows.selectExpr(
-        "explode(touched) AS gcol", "grow", *[f"{c} AS {prefix}{c}" for c in ("fid", "x1", "y1", "x2", "y2")])
+        f"explode({_touched()}) AS gcol", "grow", *[f"{c} AS {prefix}{c}" for c in ("fid", "x1", "y1", "x2", "y2")])
 
 
 def _contained(inner: DataFrame, outer: DataFrame, bin_size: float) -> DataFrame:
