@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilequarry.functions import geometry as geo
-from tilequarry.functions.sfc import pad_left
 from tilequarry.operators import layout
 
 # Fixed values of the derived data.
@@ -29,15 +28,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A 64 x 64 two-band raster per 4096 orders."""
-    keyed = read(spark, sf_dir, "orders").selectExpr(
-        "o_orderkey", "o_orderstatus", "o_totalprice", "o_custkey", "floor(o_orderkey / 4096) AS k")
-    base = keyed.select(pad_left(F.col("k").cast("string"), 8).alias("dataset_uid"), F.expr(
-        f"""struct(
-          int(o_orderkey % {SIDE}) AS px, int(floor((o_orderkey % 4096) / {SIDE})) AS py,
-          {ORIGIN_X}D + {CELL}D * {SIDE} * (k % 4) AS x0, {ORIGIN_Y}D - {CELL}D * {SIDE} * floor(k / 4) AS y0,
-          {CELL}D AS cell_w, {CELL}D AS cell_h,
-          if(o_orderstatus = 'P', NULL, double(floor(o_totalprice) % 4096)) AS b1,
-          double(o_custkey % 256) AS b2)""").alias("c")).select("dataset_uid", "c.*")
+    keyed = read(spark, sf_dir, "orders").selectExpr("*", "floor(o_orderkey / 4096) AS k")
+    base = keyed.selectExpr(
+        "if(length(k) >= 8, string(k), lpad(string(k), 8, '0')) AS dataset_uid",
+        f"int(o_orderkey % {SIDE}) AS px", f"int(floor((o_orderkey % 4096) / {SIDE})) AS py",
+        f"{ORIGIN_X}D + {CELL}D * {SIDE} * (k % 4) AS x0", f"{ORIGIN_Y}D - {CELL}D * {SIDE} * floor(k / 4) AS y0",
+        f"{CELL}D AS cell_w", f"{CELL}D AS cell_h",
+        "if(o_orderstatus = 'P', NULL, double(floor(o_totalprice) % 4096)) AS b1",
+        "double(o_custkey % 256) AS b2")
     return layout.cut_to_grid(layout.cell_center(base), TILE)
 
 
@@ -73,22 +71,18 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_geometries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same features reduced to one of the six geometry kinds by ``fid % 6``."""
-    f = features(spark, sf_dir)
-    first = F.element_at("rings", 1)
-    kind = F.col("fid") % 6
-    open_line = F.slice(first, F.lit(1), F.size(first) - 1)
-    return f.select(
+    """The same features, each as one of the six geometry kinds, by ``fid % 6``."""
+    return features(spark, sf_dir).selectExpr(
         "fid", "attrs",
-        F.when(kind == 0, "Point").when(kind == 1, "LineString").when(kind == 2, "Polygon")
-        .when(kind == 3, "MultiPoint").when(kind == 4, "MultiLineString").otherwise("MultiPolygon").alias("geom_type"),
-        F.when(kind == 0, F.array(F.slice(first, 1, 1)))
-        .when(kind == 1, F.array(open_line))
-        .when(kind == 2, F.array(first))
-        .when(kind == 3, F.transform(first, lambda p: F.array(p)))
-        .when(kind == 4, F.transform("rings", lambda r: F.slice(r, F.lit(1), F.size(r) - 1)))
-        .otherwise(F.col("rings")).alias("rings"),
-    )
+        """CASE fid % 6 WHEN 0 THEN 'Point' WHEN 1 THEN 'LineString' WHEN 2 THEN 'Polygon'
+           WHEN 3 THEN 'MultiPoint' WHEN 4 THEN 'MultiLineString' ELSE 'MultiPolygon' END AS geom_type""",
+        """CASE fid % 6
+           WHEN 0 THEN array(slice(rings[0], 1, 1))
+           WHEN 1 THEN array(slice(rings[0], 1, size(rings[0]) - 1))
+           WHEN 2 THEN array(rings[0])
+           WHEN 3 THEN transform(rings[0], p -> array(p))
+           WHEN 4 THEN transform(rings, r -> slice(r, 1, size(r) - 1))
+           ELSE rings END AS rings""")
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
