@@ -13,4 +13,6 @@ SF = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    return build_session("tests", "local[4]", 4, "6g")
+    session = build_session("tests", "local[4]", 4, "6g")
+    session.conf.set("spark.sql.maxMetadataStringLength", "10000")  # whole scans in plan texts
+    return session

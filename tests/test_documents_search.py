@@ -45,12 +45,10 @@ def test_index_from_documents_equals_index_from_the_join(spark, world):
 
 def test_text_index_round_trip_in_blocks(spark, world):
     tiles, features, pairs = world
-    postings = index.build_postings(
-        documents.tile_attributes(tiles.withColumn("doc_path", F.concat(F.lit("json/"), "file_name")), features, 16.0)
-        .where("true").join(tiles.select("col", "row_", "tile_code"), ["col", "row_"]).select(
-            F.map_filter("attrs", lambda k, v: k != "na,me").alias("attrs"),
-            F.concat(F.lit("json/"), "tile_code").alias("doc_path"), "tile_code", "dataset_uid"),
-        ["doc_path", "tile_code", "dataset_uid"])
+    attrs = documents.tile_attributes(tiles, features, 16.0).select(
+        F.map_filter("attrs", lambda k, v: k != "na,me").alias("attrs"),
+        F.concat(F.lit("json/"), "tile_code").alias("doc_path"), "tile_code", "dataset_uid")
+    postings = index.build_postings(attrs, ["doc_path", "tile_code", "dataset_uid"])
     text = index.render_text(postings, block_bits=2)
     assert text.agg(F.max("n")).first()[0] <= 4
     assert set(map(tuple, index.load_text(text).collect())) == set(

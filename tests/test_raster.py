@@ -47,14 +47,14 @@ def test_mask_is_exact_for_random_regions(spark, cells):
     polygons.append((99, [[(-50.0, 50.0), (90.0, 50.0), (90.0, -70.0), (-50.0, -70.0), (-50.0, 50.0)]]))
     regions = shapes.features_frame(spark, polygons)
     cut = layout.cut_to_grid(frame, 8)
-    lines = raster.mask_lines(layout.footprints(frame, 8), regions, 8, 10.0)
-    got = [(r.region_id, r.dataset_uid, r.px, r.py) for r in raster.mask_cells(cut, lines).collect()]
+    spans = raster.mask_spans(layout.footprints(frame, 8), regions, 8, 10.0)
+    got = [(r.region_id, r.dataset_uid, r.px, r.py) for r in raster.mask_cells(cut, spans).collect()]
     want = {(fid, r[0], r[1], r[2]) for fid, rings in polygons for r in rows
             if shapes.inside((r[3] + r[1] + 0.5, r[4] - r[2] - 0.5), rings)}
     assert len(got) == len(want) and set(got) == want
 
     tiles = raster.assemble_tiles(frame, ["b1", "b2"], 8)
-    masked = raster.mask_tiles(tiles, lines, 8)
+    masked = raster.mask_tiles(tiles, spans, 8)
     kept = masked.select("region_id", "dataset_uid", *[c for c in tiles.columns if c != "dataset_uid"])
     seen = set()
     for region in {r.region_id for r in kept.select("region_id").collect()}:
@@ -67,8 +67,8 @@ def test_centres_on_an_edge_follow_the_ray_rule(spark):
     rows = cell_rows("a", 0, 0, 8, 8)
     frame = layout.cell_center(spark.createDataFrame(rows, SCHEMA))
     box = [[(1.5, -1.5), (5.5, -1.5), (5.5, -5.5), (1.5, -5.5), (1.5, -1.5)]]
-    lines = raster.mask_lines(layout.footprints(frame, 8), shapes.features_frame(spark, [(1, box)]), 8, 10.0)
-    got = {(r.px, r.py) for r in raster.mask_cells(layout.cut_to_grid(frame, 8), lines).collect()}
+    spans = raster.mask_spans(layout.footprints(frame, 8), shapes.features_frame(spark, [(1, box)]), 8, 10.0)
+    got = {(r.px, r.py) for r in raster.mask_cells(layout.cut_to_grid(frame, 8), spans).collect()}
     assert got == {(x, y) for x in range(8) for y in range(8) if shapes.inside((x + 0.5, -y - 0.5), box)}
 
 

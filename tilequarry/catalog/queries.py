@@ -436,15 +436,15 @@ def resample_bilinear(spark, d):
 
 @query
 def mask_region(spark, d):
-    lines = raster.mask_lines(fx.tiles(spark, d), fx.regions(spark, d), fx.TILE, fx.REGION)
-    return raster.mask_cells(fx.cells(spark, d), lines).select("region_id", "dataset_uid", "px", "py", *BANDS)
+    spans = raster.mask_spans(fx.tiles(spark, d), fx.regions(spark, d), fx.TILE, fx.REGION)
+    return raster.mask_cells(fx.cells(spark, d), spans).select("region_id", "dataset_uid", "px", "py", *BANDS)
 
 
 @query
 def mask_region_tiles(spark, d):
     tiles = raster.assemble_tiles(fx.cells(spark, d), BANDS, fx.TILE)
-    lines = raster.mask_lines(fx.tiles(spark, d), fx.regions(spark, d), fx.TILE, fx.REGION)
-    masked = raster.mask_tiles(tiles, lines, fx.TILE)
+    spans = raster.mask_spans(fx.tiles(spark, d), fx.regions(spark, d), fx.TILE, fx.REGION)
+    masked = raster.mask_tiles(tiles, spans, fx.TILE)
     band = F.element_at("bands", 2)
     present = F.filter(band, lambda v: v.isNotNull())
     return masked.select(

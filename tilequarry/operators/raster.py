@@ -113,80 +113,64 @@ def mosaic(cells: DataFrame, bands: list[str], x0: float, y0: float, tile_size:
 
 # --- masking and cropping --------------------------------------------------------------------
 
-def mask_lines(tiles: DataFrame, regions: DataFrame, tile_size: int = TILE_SIZE,
+def mask_spans(tiles: DataFrame, regions: DataFrame, tile_size: int = TILE_SIZE,
                region_size: float = REGION_SIZE, hits: DataFrame | None = None) -> DataFrame:
-    """Which cells of each tile row have their centre inside each region.
+    """The runs of cells whose centre is inside each region, cut at tile edges.
 
-    Rows (region_id, dataset_uid, col, row_, py, starts_inside, flips): the state
-    at the tile's first column and the columns at which it changes.  Only rows
-    with a cell inside appear.  Regions are traced once per grid, whatever the
-    number of datasets on it, and the traces are cut at tile edges; no band and no
-    cell is read.  ``hits`` keeps only tiles that a search found.
+    Rows (region_id, dataset_uid, col, row_, py, px_from, px_to), the end
+    exclusive.  Regions are traced once per grid, whatever the number of datasets
+    on it; no band and no cell is read.  ``hits`` keeps only tiles that a search
+    found.
     """
+    ts = int(tile_size)
     gridded = cov.with_grid(tiles.select(*TILE_KEY, "x0", "y0", "tile_w", "tile_h"))
     # The same grid one level down: cells in place of tiles.
-    ts = int(tile_size)
     cell_grids = cov.grids_of(gridded).selectExpr(
         "grid_id", "ox", "oy", f"tile_w / {ts} AS tile_w", f"tile_h / {ts} AS tile_h",
         f"c_min * {ts} AS c_min", f"(c_max + 1) * {ts} - 1 AS c_max",
         f"r_min * {ts} AS r_min", f"(r_max + 1) * {ts} - 1 AS r_max",
     )
-    traced = cov.scan_lines(regions, cell_grids, region_size)
-    cut = traced.selectExpr(
-        "fid AS region_id", "grid_id", "flips", f"floor(grow / {ts}) AS grow", f"pmod(grow, {ts}) AS ly",
-        f"""explode(array_distinct(flatten(transform(
-              filter(flips, (c, i) -> i % 2 = 0),
-              (c, i) -> sequence(floor(c / {ts}), floor((element_at(flips, int(2 * i + 2)) - 1) / {ts})))))) AS gcol""",
-    ).selectExpr(
-        "region_id", "grid_id", "gcol", "grow", "ly",
-        f"size(filter(flips, c -> c <= gcol * {ts})) % 2 = 1 AS starts_inside",
-        f"""transform(filter(flips, c -> c > gcol * {ts} AND c < (gcol + 1) * {ts}), c -> c - gcol * {ts}) AS within""",
-    )
+    runs = cov.scan_lines(regions, cell_grids, region_size).selectExpr(
+        "fid AS region_id", "grid_id", "grow AS line",
+        """inline(transform(filter(flips, (c, i) -> i % 2 = 0),
+             (c, i) -> named_struct('c_from', c, 'c_to', element_at(flips, int(2 * i + 2)))))""")
+    cut = runs.selectExpr(
+        "region_id", "grid_id", f"floor(line / {ts}) AS grow", f"pmod(line, {ts}) AS ly", "c_from", "c_to",
+        f"explode(sequence(floor(c_from / {ts}), floor((c_to - 1) / {ts}))) AS gcol")
     wanted = gridded if hits is None else gridded.join(hits, TILE_KEY, "left_semi")
-    on_tiles = cut.join(wanted, cov.GRID_KEY)
-    return on_tiles.select(
-        "region_id", *TILE_KEY,
-        F.expr(f"int(row_ * {ts} + ly)").alias("py"),
-        "starts_inside", F.expr(f"transform(within, c -> c + col * {ts})").alias("flips"),
+    return cut.join(wanted, cov.GRID_KEY).selectExpr(
+        "region_id", *TILE_KEY, f"int(row_ * {ts} + ly) AS py",
+        f"int(greatest(c_from - gcol * {ts}, 0) + col * {ts}) AS px_from",
+        f"int(least(c_to - gcol * {ts}, {ts}) + col * {ts}) AS px_to",
     )
 
 
-def _is_inside() -> Column:
-    passed = F.size(F.filter("flips", lambda c: c <= F.col("px")))
-    return F.col("starts_inside") != (passed % 2 == 1)
-
-
-def mask_cells(cells: DataFrame, lines: DataFrame) -> DataFrame:
+def mask_cells(cells: DataFrame, spans: DataFrame) -> DataFrame:
     """Cells whose centre is inside a region, once per region."""
-    keyed = lines.select("region_id", "dataset_uid", "col", "py", "starts_inside", "flips")
-    return cells.join(keyed, ["dataset_uid", "col", "py"]).where(_is_inside()).drop("starts_inside", "flips")
+    keyed = spans.select("region_id", "dataset_uid", "col", "py", "px_from", "px_to")
+    return cells.join(keyed, ["dataset_uid", "col", "py"]).where("px >= px_from AND px < px_to").drop("px_from", "px_to")
 
 
-def mask_tiles(tiles: DataFrame, lines: DataFrame, tile_size: int = TILE_SIZE) -> DataFrame:
+def mask_tiles(tiles: DataFrame, spans: DataFrame, tile_size: int = TILE_SIZE) -> DataFrame:
     """Tiles of arrays with every cell outside the region set to null, once per region.
 
-    The mask of a tile is built from at most ``tile_size`` lines and applied in
-    the JVM; tiles without a cell inside are dropped.
+    A tile's mask is put together from its spans, row by row, in one shuffle, and
+    applied in the JVM; tiles without a cell inside are dropped.
     """
-    first = F.col("col") * tile_size
-    toggles = F.transform(
-        F.sequence(F.lit(0), F.lit(tile_size - 1)),
-        lambda i: F.col("starts_inside") != (F.size(F.filter("flips", lambda c: c <= first + i)) % 2 == 1),
-    )
-    by_tile = lines.withColumn("inside", toggles).groupBy("region_id", *TILE_KEY).agg(
-        F.sort_array(F.collect_list(F.struct((F.col("py") - F.col("row_") * tile_size).alias("ly"), "inside")))
-        .alias("rows"))
-    outside = F.array_repeat(F.lit(False), tile_size)
-    partial = F.flatten(F.transform(
-        F.sequence(F.lit(0), F.lit(tile_size - 1)),
-        lambda i: F.coalesce(F.try_element_at(F.filter("rows", lambda r: r["ly"] == i), F.lit(1))["inside"], outside),
-    ))
-    whole = F.when(F.size("rows") == tile_size, F.flatten(F.col("rows.inside"))).otherwise(partial)
-    masks = by_tile.select("region_id", *TILE_KEY, whole.alias("keep"))
-    return tiles.join(masks, TILE_KEY).withColumn(
-        "bands",
-        F.transform("bands", lambda b: F.zip_with(b, F.col("keep"), lambda v, k: F.when(k, v))),
-    ).drop("keep")
+    ts = int(tile_size)
+    tile = ["region_id", *TILE_KEY]
+    rows = spans.repartition(*tile).groupBy(*tile, "py").agg(
+        F.expr(f"collect_list(struct(px_from - col * {ts} AS a, px_to - col * {ts} AS b)) AS runs")
+    ).selectExpr(
+        *tile, f"py - row_ * {ts} AS ly",
+        f"transform(sequence(0, {ts - 1}), i -> exists(runs, r -> i >= r.a AND i < r.b)) AS inside")
+    outside = f"array_repeat(false, {ts})"
+    masks = rows.groupBy(*tile).agg(
+        F.expr("sort_array(collect_list(struct(ly, inside))) AS rows")
+    ).selectExpr(*tile, f"""if(size(rows) = {ts}, flatten(rows.inside), flatten(transform(sequence(0, {ts - 1}),
+        i -> coalesce(try_element_at(filter(rows, r -> r.ly = i), 1).inside, {outside})))) AS keep""")
+    masked = "transform(bands, b -> zip_with(b, keep, (v, k) -> if(k, v, NULL)))"
+    return tiles.join(masks, TILE_KEY).withColumn("bands", F.expr(masked)).drop("keep")
 
 
 def crop_cells(cells: DataFrame, tiles: DataFrame, regions: DataFrame, bands: list[str],
@@ -194,17 +178,15 @@ def crop_cells(cells: DataFrame, tiles: DataFrame, regions: DataFrame, bands: li
     """Cells whose centre is in a region's envelope; bands are null outside the region itself."""
     boxes = regions.selectExpr("fid", f"{envelope('rings')} AS e").selectExpr(
         "fid", f"array({box_ring('e.xmin', 'e.ymin', 'e.xmax', 'e.ymax')}) AS rings")
-    key = ["region_id", *TILE_KEY, "py"]
-    box = mask_lines(tiles, boxes, tile_size, region_size)
-    shape = mask_lines(tiles, regions, tile_size, region_size).select(
-        *key, F.col("starts_inside").alias("s_inside"), F.col("flips").alias("s_flips"))
-    lines = box.join(shape, key, "left").drop("row_")
-    in_box = cells.join(lines, ["dataset_uid", "col", "py"]).where(_is_inside())
-    passed = F.size(F.filter("s_flips", lambda c: c <= F.col("px")))
-    keep = F.coalesce(F.col("s_inside") != (passed % 2 == 1), F.lit(False))
-    return in_box.withColumn("in_region", keep).withColumns(
-        {b: F.when(F.col("in_region"), F.col(b)) for b in bands}
-    ).drop("starts_inside", "flips", "s_inside", "s_flips")
+    line = ["region_id", *TILE_KEY, "py"]
+    box = mask_spans(tiles, boxes, tile_size, region_size)
+    shape = mask_spans(tiles, regions, tile_size, region_size).groupBy(*line).agg(
+        F.expr("collect_list(struct(px_from AS a, px_to AS b)) AS runs"))
+    in_box = mask_cells(cells, box)
+    kept = [c for c in in_box.columns if c not in line]
+    found = in_box.join(shape, line, "left").selectExpr(
+        *line, *kept, "coalesce(exists(runs, r -> px >= r.a AND px < r.b), false) AS in_region")
+    return found.withColumns({b: F.when(F.col("in_region"), F.col(b)) for b in bands})
 
 
 # --- resampling and reprojection -------------------------------------------------------------

@@ -66,8 +66,8 @@ def query_region(cells: DataFrame, tiles: DataFrame, regions: DataFrame, tile_si
     per region_id.
     """
     region = regions if all_features else first_region(regions)
-    lines = raster.mask_lines(tiles, region, tile_size, region_size, hits)
-    return raster.mask_cells(cells, lines)
+    spans = raster.mask_spans(tiles, region, tile_size, region_size, hits)
+    return raster.mask_cells(cells, spans)
 
 
 def search_then_query(cells: DataFrame, tiles: DataFrame, regions: DataFrame, postings: DataFrame,
@@ -75,7 +75,7 @@ def search_then_query(cells: DataFrame, tiles: DataFrame, regions: DataFrame, po
                       tile_size: int = TILE_SIZE, region_size: float = REGION_SIZE) -> DataFrame:
     """Keyword search first, then the region query on the tiles found.
 
-    Hits prune the tiles, the mask lines of those that remain prune the cells, and
+    Hits prune the tiles, the mask spans of those that remain prune the cells, and
     the cells are joined once.
     """
     hits = search.search_all(postings, keywords, mode)
@@ -97,9 +97,9 @@ def simple_query(cells: DataFrame, regions: DataFrame, features: DataFrame, tile
     tiles = layout.footprints(cells, tile_size)
     extents = region.selectExpr("fid AS query_id", f"inline(array({envelope('rings')}))")
     near = cov.tiles_in_extents(tiles, extents, region_size).drop("query_id")
-    lines = raster.mask_lines(near, region, tile_size, region_size)
+    spans = raster.mask_spans(near, region, tile_size, region_size)
     return SimpleResult(
-        cells=raster.mask_cells(cells, lines),
+        cells=raster.mask_cells(cells, spans),
         features=cov.features_on_tiles(near, features, region_size),
     )
 
