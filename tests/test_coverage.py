@@ -103,6 +103,15 @@ def test_feature_pairs_match_brute_force(spark, seed, bin_size):
     assert len(got) == len(want) and set(map(tuple, got)) == want
 
 
+def test_crowded_bins_are_cut_without_losing_a_pair(spark):
+    left = shapes.random_polygons(31, 60, 40, 6)
+    right = shapes.random_polygons(32, 60, 40, 6)
+    frames = shapes.features_frame(spark, left), shapes.features_frame(spark, right)
+    want = {(a, b) for a, ra in left for b, rb in right if shapes.polygons_meet(ra, rb)}
+    got = cov.features_intersect(*frames, 64.0, pairs_per_bin=1).collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
 def test_one_tile_under_a_third_of_all_features(spark):
     rows, tiles = two_grids(spark)
     hot = [(fid, [[(1.0, -1.0), (2.0, -1.0), (2.0, -2.0), (1.0, -1.0)]]) for fid in range(1000, 1400)]

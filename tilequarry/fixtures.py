@@ -7,7 +7,7 @@ shuffle.  Coordinates are whole numbers, hence exact in double arithmetic.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tilequarry.functions import geometry as geo
 from tilequarry.operators import layout
@@ -22,8 +22,15 @@ REGION = 2560.0     # coarse squares for pairing features with grids
 BIN = 80.0          # bins of the feature-feature join
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the given tables.  Its schema is looked up once, as that costs a job."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,7 +96,11 @@ def _explode_edges(matched: DataFrame) -> DataFrame:
 
 def _edge_rows(matched: DataFrame) -> DataFrame:
     """Each edge once per grid row whose closed band it reaches."""
-    return _explode_edges(matched).selectExpr(
+    return _over_rows(_explode_edges(matched))
+
+
+def _over_rows(one_per_edge: DataFrame) -> DataFrame:
+    return one_per_edge.selectExpr(
         "*",
         f"greatest(ceil((oy - greatest(y1, y2)) / tile_h - {SLACK}) - 1, r_min) AS r_first",
         f"least(floor((oy - least(y1, y2)) / tile_h + {SLACK}), r_max) AS r_last",
@@ -267,6 +271,10 @@ def tiles_in_extent(tiles: DataFrame, xmin: float, ymin: float, xmax: float, yma
 
 # Bounds of an endless grid, in bins.
 FAR = 1 << 40
+# When a bin is crowded, and how far it is cut: to about so many edges, at most 2^MAX_SPLIT parts a side.
+PAIRS_PER_BIN = 1 << 16
+EDGES_PER_BIN = 64
+MAX_SPLIT = 10
 
 
 def _on_bins(features: DataFrame, bin_size: float) -> DataFrame:
@@ -284,6 +292,35 @@ def _binned_edges(features: DataFrame, bin_size: float, prefix: str) -> DataFram
         f"explode({_touched()}) AS gcol", "grow", *[f"{c} AS {prefix}{c}" for c in ("fid", "x1", "y1", "x2", "y2")])
 
 
+def _split_hot_bins(a: DataFrame, b: DataFrame, bin_size: float, pairs: int) -> tuple[DataFrame, DataFrame]:
+    """Cut the bins in which more than ``pairs`` pairs of edges would be compared.
+
+    A crowded bin becomes 2^n x 2^n smaller ones, so that about ``EDGES_PER_BIN``
+    edges of a side stay together; edges keep to the parts they touch.  Without a
+    crowded bin the side with the counts is empty and falls out of the plan.
+    """
+    def counted(edges: DataFrame, name: str) -> DataFrame:
+        return edges.groupBy("gcol", "grow").agg(F.count("*").alias(name))
+
+    crowded = counted(a, "n_a").join(counted(b, "n_b"), ["gcol", "grow"]).where(f"n_a * n_b > {int(pairs)}").selectExpr(
+        "gcol", "grow",
+        f"bigint(pow(2, least({MAX_SPLIT}, greatest(1, ceil(log2(greatest(n_a, n_b) / {EDGES_PER_BIN}) / 2))))) AS parts")
+
+    def split(edges: DataFrame, prefix: str) -> DataFrame:
+        size = f"{float(bin_size)}D"
+        placed = edges.join(crowded, ["gcol", "grow"], "left").selectExpr(
+            "gcol AS bin_col", "grow AS bin_row", f"{prefix}fid",
+            *[f"{prefix}{c} AS {c}" for c in ("x1", "y1", "x2", "y2")],
+            f"gcol * {size} AS ox", f"-grow * {size} AS oy",
+            f"{size} / coalesce(parts, 1L) AS tile_w", f"{size} / coalesce(parts, 1L) AS tile_h",
+            "0L AS c_min", "coalesce(parts, 1L) - 1 AS c_max", "0L AS r_min", "coalesce(parts, 1L) - 1 AS r_max")
+        return _with_column_range(_over_rows(placed)).selectExpr(
+            "bin_col", "bin_row", f"explode({_touched()}) AS gcol", "grow", f"{prefix}fid",
+            *[f"{c} AS {prefix}{c}" for c in ("x1", "y1", "x2", "y2")])
+
+    return split(a, "a_"), split(b, "b_")
+
+
 def _contained(inner: DataFrame, outer: DataFrame, bin_size: float) -> DataFrame:
     """(inner, outer) pairs where the first vertex of some inner ring is inside outer.
 
@@ -307,15 +344,16 @@ def _contained(inner: DataFrame, outer: DataFrame, bin_size: float) -> DataFrame
     ).where("sure OR n % 2 = 1").select("inner_fid", "outer_fid")
 
 
-def features_intersect(left: DataFrame, right: DataFrame, bin_size: float) -> DataFrame:
+def features_intersect(left: DataFrame, right: DataFrame, bin_size: float,
+                       pairs_per_bin: int = PAIRS_PER_BIN) -> DataFrame:
     """(left_fid, right_fid) of every pair of polygons that share a point.
 
     Either two edges meet, found by an equi-join on bins with the exact segment
     test, or one polygon lies inside the other.
     """
-    a = _binned_edges(left, bin_size, "a_")
-    b = _binned_edges(right, bin_size, "b_")
-    meeting = a.join(b, ["gcol", "grow"]).where(geo.segments_meet("a_", "b_")).selectExpr(
+    a, b = _split_hot_bins(
+        _binned_edges(left, bin_size, "a_"), _binned_edges(right, bin_size, "b_"), bin_size, pairs_per_bin)
+    meeting = a.join(b, ["bin_col", "bin_row", "gcol", "grow"]).where(geo.segments_meet("a_", "b_")).selectExpr(
         "a_fid AS left_fid", "b_fid AS right_fid")
     in_right = _contained(left, right, bin_size).selectExpr("inner_fid AS left_fid", "outer_fid AS right_fid")
     in_left = _contained(right, left, bin_size).selectExpr("outer_fid AS left_fid", "inner_fid AS right_fid")

@@ -20,20 +20,29 @@ TILE_NAMES = [*TILE_KEY, "tile_code", "file_name"]
 
 def tile_attributes(tiles: DataFrame, features: DataFrame, region_size: float = REGION_SIZE) -> DataFrame:
     """One row per tile and intersecting feature, with the feature's attributes."""
-    pairs = cov.tile_features(tiles, features, region_size)
+    return with_attributes(cov.tile_features(tiles, features, region_size), features)
+
+
+def with_attributes(pairs: DataFrame, features: DataFrame) -> DataFrame:
     return pairs.join(features.select("fid", "attrs"), "fid")
 
 
 def tile_documents(tiles: DataFrame, features: DataFrame, region_size: float = REGION_SIZE,
-                   part_features: int = DOC_PART_FEATURES) -> DataFrame:
+                   part_features: int = DOC_PART_FEATURES, pairs: DataFrame | None = None) -> DataFrame:
     """(dataset_uid, col, row_, tile_code, file_name, doc_path, part, n_features, doc).
 
     Left outer: every tile has a document.  The text of a tile on which very many
     features lie is written in parts of about ``part_features`` features, each
     with the header, so no row grows with the data.
+
+    The tile-feature pairs are used twice; give ``pairs`` to read them from a
+    stored table.
     """
-    on_tile = tile_attributes(tiles, features, region_size).select(*TILE_KEY, "fid", "attrs")
-    sizes = on_tile.groupBy(*TILE_KEY).agg(F.count("*").alias("n")).where(F.col("n") > part_features)
+    if pairs is None:
+        pairs = cov.tile_features(tiles, features, region_size)
+    pairs = pairs.select(*TILE_KEY, "fid")
+    sizes = pairs.groupBy(*TILE_KEY).agg(F.count("*").alias("n")).where(F.col("n") > part_features)
+    on_tile = with_attributes(pairs, features)
     parted = on_tile.join(sizes, TILE_KEY, "left").select(
         *TILE_KEY, "fid", F.to_json("attrs").alias("line"),
         F.when(F.col("n").isNull(), 0).otherwise(

@@ -11,6 +11,8 @@ from tilequarry.constants import REGION_SIZE, SFC_HILBERT, TARGET_EPSG, TILE_SIZ
 from tilequarry.functions.geometry import envelope
 from tilequarry.operators import coverage as cov
 from tilequarry.operators import documents, index, layout, raster, search
+from tilequarry.operators.layout import TILE_KEY
+from tilequarry.session import ensure_checkpoint_dir
 
 
 def reproject_cells(cells: DataFrame, bands: list[str], source: int, target: int, cell_size: float,
@@ -42,9 +44,18 @@ def tile_raster(cells: DataFrame, bands: list[str], curve: str = SFC_HILBERT, ti
     return layout.with_tile_code(tiles, curve, sizes)
 
 
-def describe_tiles(coded_tiles: DataFrame, features: DataFrame, region_size: float = REGION_SIZE) -> DataFrame:
-    """One metadata document per tile."""
-    return documents.tile_documents(coded_tiles, features, region_size)
+def describe_tiles(coded_tiles: DataFrame, features: DataFrame, region_size: float = REGION_SIZE,
+                   checkpoint: bool = False) -> DataFrame:
+    """One metadata document per tile.
+
+    With ``checkpoint`` the tile-feature pairs are computed once and kept in the
+    shared checkpoint folder.
+    """
+    pairs = None
+    if checkpoint:
+        ensure_checkpoint_dir(coded_tiles.sparkSession)
+        pairs = cov.tile_features(coded_tiles, features, region_size).select(*TILE_KEY, "fid").checkpoint()
+    return documents.tile_documents(coded_tiles, features, region_size, pairs=pairs)
 
 
 def index_documents(docs: DataFrame) -> DataFrame:
@@ -70,6 +81,19 @@ def query_region(cells: DataFrame, tiles: DataFrame, regions: DataFrame, tile_si
     return raster.mask_cells(cells, spans)
 
 
+def query_region_tiles(tiles: DataFrame, regions: DataFrame, tile_size: int = TILE_SIZE,
+                       region_size: float = REGION_SIZE, all_features: bool = False,
+                       hits: DataFrame | None = None) -> DataFrame:
+    """As query_region on tiles of arrays: whole tiles, null outside the polygon.
+
+    The spans are found from the tiles' keys alone, so band arrays are read only
+    for the tiles they name.
+    """
+    region = regions if all_features else first_region(regions)
+    spans = raster.mask_spans(tiles, region, tile_size, region_size, hits)
+    return raster.mask_tiles(tiles, spans, tile_size)
+
+
 def search_then_query(cells: DataFrame, tiles: DataFrame, regions: DataFrame, postings: DataFrame,
                       keywords: list[str], mode: str = "strict", all_features: bool = False,
                       tile_size: int = TILE_SIZE, region_size: float = REGION_SIZE) -> DataFrame:
