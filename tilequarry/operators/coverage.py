@@ -166,11 +166,12 @@ def coverage(features: DataFrame, grids: DataFrame, region_size: float = REGION_
     ``is_inside`` cells lie wholly in the feature and meet no edge.  Each cell
     comes once per feature.
     """
-    return _cover(match_grids(features, grids, region_size))
+    return _cover_rows(_edge_rows(match_grids(features, grids, region_size)))
 
 
-def _cover(matched: DataFrame) -> DataFrame:
-    rows = _with_flip(_with_column_range(_edge_rows(matched)))
+def _cover_rows(edge_rows: DataFrame) -> DataFrame:
+    """Coverage of the grid rows given; each needs all edges of its features in that row."""
+    rows = _with_flip(_with_column_range(edge_rows))
     marks = rows.selectExpr("fid", "grid_id", "grow", f"""inline(concat(
         transform({_touched()}, c -> named_struct('c', c, 'is_flip', false)),
         if(flip IS NULL, cast(array() AS array<struct<c:bigint,is_flip:boolean>>),
@@ -332,12 +333,13 @@ def _contained(inner: DataFrame, outer: DataFrame, bin_size: float) -> DataFrame
     ).selectExpr(
         "inner_fid", "ring_no", "p.x AS vx", "p.y AS vy",
         f"floor(p.x / {float(bin_size)}D) AS gcol", f"floor(-p.y / {float(bin_size)}D) AS grow")
-    placed = _on_bins(outer, bin_size)
-    cover = _cover(placed).selectExpr("fid AS outer_fid", "gcol", "grow", "is_inside")
+    # A row of bins is decided by the edges in it, so rows without a vertex can go first.
+    outer_rows = _edge_rows(_on_bins(outer, bin_size)).join(starts.select("grow"), "grow", "left_semi")
+    cover = _cover_rows(outer_rows).selectExpr("fid AS outer_fid", "gcol", "grow", "is_inside")
     near = starts.join(cover, ["gcol", "grow"])
-    outer_rows = _edge_rows(placed).selectExpr("fid AS outer_fid", "grow", "x1", "y1", "x2", "y2", "true AS on_boundary")
     tested = near.withColumn("on_boundary", F.expr("NOT is_inside")).join(
-        outer_rows, ["outer_fid", "grow", "on_boundary"], "left")
+        outer_rows.selectExpr("fid AS outer_fid", "grow", "x1", "y1", "x2", "y2", "true AS on_boundary"),
+        ["outer_fid", "grow", "on_boundary"], "left")
     crossed = F.expr(f"count_if({geo.ray_crosses('vx', 'vy')})")
     return tested.groupBy("inner_fid", "ring_no", "outer_fid").agg(
         F.expr("bool_or(is_inside)").alias("sure"), crossed.alias("n")
