@@ -313,10 +313,10 @@ def _split_hot_bins(a: DataFrame, b: DataFrame, bin_size: float, pairs: int) ->
             "gcol AS bin_col", "grow AS bin_row", f"{prefix}fid",
             *[f"{prefix}{c} AS {c}" for c in ("x1", "y1", "x2", "y2")],
             f"gcol * {size} AS ox", f"-grow * {size} AS oy",
-            f"{size} / coalesce(parts, 1L) AS tile_w", f"{size} / coalesce(parts, 1L) AS tile_h",
+            f"{size} / coalesce(parts, 1L) AS tile_w", f"{size} / coalesce(parts, 1L) AS tile_h", "parts IS NULL AS is_whole",
             "0L AS c_min", "coalesce(parts, 1L) - 1 AS c_max", "0L AS r_min", "coalesce(parts, 1L) - 1 AS r_max")
         return _with_column_range(_over_rows(placed)).selectExpr(
-            "bin_col", "bin_row", f"explode({_touched()}) AS gcol", "grow", f"{prefix}fid",
+            "bin_col", "bin_row", f"explode(if(is_whole, array(0L), {_touched()})) AS gcol", "grow", f"{prefix}fid",
             *[f"{c} AS {prefix}{c}" for c in ("x1", "y1", "x2", "y2")])
 
     return split(a, "a_"), split(b, "b_")
