@@ -414,7 +414,10 @@ SELECT count(*) AS n_features, CAST(sum(nr) AS BIGINT) AS n_rings, CAST(sum(ne +
 FROM (SELECT fid, count(DISTINCT ring) AS nr, count(*) AS ne FROM fedges GROUP BY fid)"""
 
 ORACLE["keyword_and_search"] = f"WITH {POSTINGS}{search_views(['nation', 'seg_building', 'acctbal'])} SELECT * FROM hits"
-ORACLE["keyword_and_search_lenient"] = f"WITH {POSTINGS}{search_views(['nation', 'seg_building'])} SELECT * FROM hits"
+_LENIENT = "('nation', 'seg_building', 'no_such_keyword')"
+ORACLE["keyword_and_search_lenient"] = f"""WITH {POSTINGS}
+SELECT dataset_uid, col, row_ FROM postings WHERE kw IN {_LENIENT} GROUP BY ALL
+HAVING count(DISTINCT kw) = (SELECT count(DISTINCT kw) FROM postings WHERE kw IN {_LENIENT})"""
 ORACLE["keyword_and_search_setop"] = f"WITH {POSTINGS} " + " INTERSECT ".join(
     f"SELECT dataset_uid, col, row_ FROM postings WHERE kw = '{k}'" for k in ("nation", "seg_building", "acctbal"))
 
