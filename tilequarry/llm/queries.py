@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilequarry.llm import quality, simhash
-from tilequarry.llm.common import table
+from tilequarry.llm import bpe, quality, simhash
+from tilequarry.llm.common import table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -19,6 +19,15 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("byte_bpe_50k.json")
+    rows = bpe.encode(table(spark, sf_dir, "documents"), path)
+    return rows.select(
+        F.col("doc.doc_id").alias("doc_id"), (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2(bpe.decode(F.col("ids"), path), 256).alias("decoded_sha256"))
+
+
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(table(spark, sf_dir, "documents"))
