@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilequarry.llm import bpe, quality, simhash
-from tilequarry.llm.common import table, tokenizer_path
+from tilequarry.llm import bpe, quality, simhash, token_files
+from tilequarry.llm.common import new_folder, table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -19,6 +19,13 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "tokens")
+    token_files.write(table(spark, sf_dir, "documents"), folder, tokenizer_path("word_bpe_49k.json"), end_id=1)
+    return token_files.read(spark, folder, with_ids=False).drop("ids")
+
+
 @query
 def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
