@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilequarry.llm import bpe, quality, simhash, token_files
+from tilequarry.llm import bpe, quality, simhash, substring, token_files
 from tilequarry.llm.common import new_folder, table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,12 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.dedup(table(spark, sf_dir, "documents"), window=20)
+    return found.select(F.col("doc.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "tokens")
