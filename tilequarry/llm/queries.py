@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilequarry.llm import bpe, quality, simhash, substring, token_files
+from tilequarry.llm import bpe, quality, simhash, substring, suffix, token_files
 from tilequarry.llm.common import new_folder, table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.dedup(table(spark, sf_dir, "documents"), length=400)
+    return found.select(F.col("doc.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "tokens")
@@ -35,10 +41,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
-    rows = bpe.encode(table(spark, sf_dir, "documents"), path)
+    rows = bpe.encode(table(spark, sf_dir, "documents"), path, decoded=True)
     return rows.select(
         F.col("doc.doc_id").alias("doc_id"), (F.length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"), F.sha2(bpe.decode(F.col("ids"), path), 256).alias("decoded_sha256"))
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query
