@@ -26,3 +26,44 @@ f AS (SELECT *, CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_rep
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base > 0 AS base_failed, base + more = 0 AS kept, (base + more)::BIGINT AS failed FROM f
 """
+
+#: Level by level: shares by weight, full nodes first; then the running total in the seeded order.
+ORACLE["op6_mixing"] = r"""
+WITH d AS (SELECT doc_id, lang, source,
+    CASE WHEN source = 'src0' THEN 'crawl' WHEN regexp_matches(source, '^src[1-9]$') THEN 'reference' ELSE 'community' END AS domain,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents),
+leaf AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS available FROM d GROUP BY ALL),
+root AS (SELECT sum(available)::HUGEINT AS budget FROM leaf),
+n0 AS (SELECT domain, sum(available * 2)::HUGEINT AS cap, (CASE domain WHEN 'crawl' THEN 1 WHEN 'reference' THEN 2 ELSE 3 END)::HUGEINT AS w FROM leaf GROUP BY domain),
+o0 AS (SELECT n.*, r.budget AS b,
+    r.budget - coalesce(sum(n.cap) OVER ( ORDER BY n.cap::DOUBLE / n.w::DOUBLE, n.domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_,
+    sum(n.w) OVER () - coalesce(sum(n.w) OVER ( ORDER BY n.cap::DOUBLE / n.w::DOUBLE, n.domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest
+    FROM n0 n CROSS JOIN root r),
+f0 AS (SELECT *, cap * rest <= w * left_ AS full_ FROM o0),
+b0 AS (SELECT domain, CASE WHEN full_ THEN cap ELSE w * (b - coalesce(sum(CASE WHEN full_ THEN cap END) OVER (), 0))
+    // sum(CASE WHEN NOT full_ THEN w END) OVER () END AS budget FROM f0),
+n1 AS (SELECT domain, lang, sum(available * 2)::HUGEINT AS cap, (CASE WHEN lang = 'en' THEN 3 ELSE 1 END)::HUGEINT AS w FROM leaf GROUP BY domain, lang),
+o1 AS (SELECT n.*, r.budget AS b,
+    r.budget - coalesce(sum(n.cap) OVER (PARTITION BY n.domain ORDER BY n.cap::DOUBLE / n.w::DOUBLE, n.domain, n.lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_,
+    sum(n.w) OVER (PARTITION BY n.domain) - coalesce(sum(n.w) OVER (PARTITION BY n.domain ORDER BY n.cap::DOUBLE / n.w::DOUBLE, n.domain, n.lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest
+    FROM n1 n JOIN b0 r ON n.domain IS NOT DISTINCT FROM r.domain),
+f1 AS (SELECT *, cap * rest <= w * left_ AS full_ FROM o1),
+b1 AS (SELECT domain, lang, CASE WHEN full_ THEN cap ELSE w * (b - coalesce(sum(CASE WHEN full_ THEN cap END) OVER (PARTITION BY domain), 0))
+    // sum(CASE WHEN NOT full_ THEN w END) OVER (PARTITION BY domain) END AS budget FROM f1),
+n2 AS (SELECT domain, lang, source, sum(available * 2)::HUGEINT AS cap, (1)::HUGEINT AS w FROM leaf GROUP BY domain, lang, source),
+o2 AS (SELECT n.*, r.budget AS b,
+    r.budget - coalesce(sum(n.cap) OVER (PARTITION BY n.domain, n.lang ORDER BY n.cap::DOUBLE / n.w::DOUBLE, n.domain, n.lang, n.source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_,
+    sum(n.w) OVER (PARTITION BY n.domain, n.lang) - coalesce(sum(n.w) OVER (PARTITION BY n.domain, n.lang ORDER BY n.cap::DOUBLE / n.w::DOUBLE, n.domain, n.lang, n.source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest
+    FROM n2 n JOIN b1 r ON n.domain IS NOT DISTINCT FROM r.domain AND n.lang IS NOT DISTINCT FROM r.lang),
+f2 AS (SELECT *, cap * rest <= w * left_ AS full_ FROM o2),
+b2 AS (SELECT domain, lang, source, CASE WHEN full_ THEN cap ELSE w * (b - coalesce(sum(CASE WHEN full_ THEN cap END) OVER (PARTITION BY domain, lang), 0))
+    // sum(CASE WHEN NOT full_ THEN w END) OVER (PARTITION BY domain, lang) END AS budget FROM f2),
+p AS (SELECT b2.domain, b2.lang, b2.source, available, (budget // available)::BIGINT AS passes, (budget % available)::BIGINT AS remainder
+    FROM b2 JOIN leaf USING (domain, lang, source) WHERE available > 0),
+x AS (SELECT d.*, passes, remainder, sum(n_tokens) OVER (PARTITION BY domain, lang, source
+    ORDER BY md5('7:' || passes || ':' || doc_id), doc_id ROWS UNBOUNDED PRECEDING) AS upto
+    FROM d JOIN p USING (domain, lang, source)),
+y AS (SELECT doc_id, domain, lang, source, n_tokens, unnest(range(passes)) AS epoch FROM x
+    UNION ALL SELECT doc_id, domain, lang, source, n_tokens, passes FROM x WHERE remainder > 0 AND upto <= remainder)
+SELECT * FROM y
+"""

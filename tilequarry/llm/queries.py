@@ -7,12 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilequarry.llm import bpe, quality, simhash, substring, suffix, token_files
+from tilequarry.llm import bpe, mixing, quality, simhash, substring, suffix, token_files
 from tilequarry.llm.common import new_folder, table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+#: Mixture of the registered query and the pipeline: domain of a source, and weights among siblings.
+MIX_LEVELS = {
+    "domain": "CASE WHEN source = 'src0' THEN 'crawl' WHEN source RLIKE '^src[1-9]$' THEN 'reference' ELSE 'community' END",
+    "lang": "lang", "source": "source",
+}
+MIX_WEIGHTS = {("crawl",): 1, ("reference",): 2, ("community",): 3,
+               **{(d, "en"): 3 for d in ("crawl", "reference", "community")}}
+MIX_EPOCHS, MIX_SEED = 2, 7
+
 
 def query(fn: Query) -> Query:
     QUERIES[fn.__name__] = fn
@@ -47,6 +56,12 @@ def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents"), MIX_LEVELS, MIX_WEIGHTS, 1.0, MIX_EPOCHS, MIX_SEED)
+    return found.select(F.col("doc.doc_id").alias("doc_id"), "domain", "lang", "source", "n_tokens", "epoch")
+
+
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(table(spark, sf_dir, "documents"))
