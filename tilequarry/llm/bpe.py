@@ -20,17 +20,20 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilequarry.llm.common import row_struct
-from tilequarry.llm.tokens import Remembering, load, ragged, slices
+from tilequarry.llm.common import row_struct, written
+from tilequarry.llm.tokens import Remembering, arrow_slices, byte_characters, load, ragged
 
 #: Characters of an unsplit piece from which on it is cut, and of a leaf at most.
 LEAF = 4096
 #: Tokens of either side in the first window around a join, and how many must come out unchanged.
 WINDOW, AGREE = 8, 2
+#: Bytes of text encoded at a time.
+SLICE = 2 << 20
 
 #: The published byte-level pre-tokenizer pattern (fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -38,13 +41,6 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 PLAIN = r"[\x00-՗֐-ࢎऀ-౛ -₎　-ꟍ가-힣]*+"
 
 
-def byte_characters() -> list[str]:
-    """The character that stands for each byte in byte-level vocabularies, by the published rule."""
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    other = iter(range(256, 512))
-    return [chr(b) if b in set(shown) else chr(next(other)) for b in range(256)]
-
-
 class Bpe:
     """One vocabulary file, loaded once per task."""
 
@@ -170,38 +166,42 @@ def _join_leaves(rows: pd.DataFrame, path: str) -> pd.DataFrame:
 
 def unsplit(text: Column, leaf: int = LEAF) -> Column:
     """Whether a text may hold a piece of over `leaf` characters; decides the route only, never the ids."""
-    run = "|".join(rf"{c}{{{leaf}}}" for c in (r"\p{L}", r"\p{N}", r"[^\s\p{L}\p{N}]", r"\s"))
-    return (F.length(text) > leaf) & text.rlike(run)
+    return (F.length(text) > leaf) & text.rlike(rf"(?<!\S)\S{{{leaf}}}|\s{{{leaf}}}")
+
 
+def encode(docs: DataFrame, path: str, text: str = "text", leaf: int = LEAF, decoded: bool = False) -> DataFrame:
+    """doc (all input columns), ids (binary, little-endian unsigned 32-bit); with `decoded` also what they decode to.
 
-def encode(docs: DataFrame, path: str, text: str = "text", leaf: int = LEAF) -> DataFrame:
-    """doc (all input columns), ids (binary, little-endian unsigned 32-bit)."""
-    rows = docs.select(row_struct(docs), F.coalesce(docs[text].cast("string"), F.lit("")).alias("t"))
-    long = unsplit(F.col("t"), leaf)
-    short = _beside(rows.where(~long), path)
-    longer = rows.where(long).withColumn("digest", F.sha2("t", 256))
-    leaves = longer.select("digest", "t").dropDuplicates(["digest"]).mapInPandas(
+    Decoding looks at the ids only; doing it in the same pass spares moving them twice.
+    """
+    typed = docs.withColumn(text, docs[text].cast("string"))
+    rows = typed.select(row_struct(typed))
+    body = F.coalesce(F.col("doc").getField(text), F.lit(""))
+    schema = f"doc {rows.schema['doc'].dataType.simpleString()}, ids binary" + ", decoded binary" * decoded
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(path)
+        for b in batches:
+            for part, texts in arrow_slices(b, b.column(0).field(text), SLICE):
+                ids, counts = v.encode(texts)
+                out = {"doc": part.column(0), "ids": pa.array(_packed(ids, counts), pa.binary())}
+                if decoded:
+                    each = np.split(ids, np.cumsum(counts)[:-1])
+                    out["decoded"] = pa.array([v.decode(x) for x in each], pa.binary())
+                yield pa.RecordBatch.from_pydict(out)
+
+    long = unsplit(body, leaf)
+    short = rows.where(~long).mapInArrow(beside, schema)
+    longer = written(rows.where(long).withColumn("digest", F.sha2(body, 256)), "unsplit")
+    leaves = longer.select("digest", body.alias("t")).dropDuplicates(["digest"]).mapInPandas(
         partial(_leaves, path=path, leaf=leaf), "digest string, seq long, leaf long, whole boolean, part binary")
     # Leaves are small rows now, so the shuffle deals even one text over all tasks.
     done = leaves.repartition("digest", "seq", "leaf").mapInPandas(
         partial(_encode_leaves, path=path), "digest string, seq long, leaf long, ids binary")
     whole = done.groupBy("digest").applyInPandas(lambda rows: _join_leaves(rows, path), "digest string, ids binary")
-    return short.unionByName(longer.join(whole, "digest").select("doc", "ids"))
-
-
-def _beside(rows: DataFrame, path: str) -> DataFrame:
-    """doc, ids of rows (doc, t), by a function of the text column alone."""
-
-    @F.pandas_udf("binary")
-    def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        v = vocabulary(path)
-        for texts in batches:
-            all_texts, out = texts.tolist(), []
-            for i, j in slices(all_texts):
-                out += _packed(*v.encode(all_texts[i:j]))
-            yield pd.Series(out, dtype=object)
-
-    return rows.select("doc", ids_of("t").alias("ids"))
+    if decoded:
+        whole = whole.withColumn("decoded", decode(F.col("ids"), path))
+    return short.unionByName(longer.join(whole, "digest").select(short.columns))
 
 
 def decode(ids: Column, path: str) -> Column:

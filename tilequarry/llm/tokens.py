@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces remembered by one task; beyond that it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Bytes of text handled at a time, so that arrays stay small whatever the batch.
 SLICE_BYTES = 4 << 20
 
@@ -48,16 +52,18 @@ class Remembering:
         """All ids in order, and how many each piece has."""
         if len(self.at) > REMEMBERED:
             self.clear()
-        new = list(set(pieces).difference(self.at))
-        if new:
+        rows = np.fromiter(map(self.at.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(rows < 0).tolist()
+        if missing:
+            new = list({pieces[k] for k in missing})
             found = list(self.encode_all(new))
             lengths = np.fromiter(map(len, found), np.int64, len(found))
-            ids = np.fromiter((i for f in found for i in f), np.uint32, int(lengths.sum()))
+            ids = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
             self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
             self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lengths) - lengths))
             self.lengths = np.concatenate((self.lengths, lengths))
             self.flat = np.concatenate((self.flat, ids))
-        rows = np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
+            rows[missing] = [self.at[pieces[k]] for k in missing]
         lengths = self.lengths[rows]
         return self.flat[ragged(self.starts[rows], lengths)], lengths
 
@@ -74,6 +80,30 @@ def slices(texts: list, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
         yield a, len(texts)
 
 
+def arrow_slices(batch: pa.RecordBatch, texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """A batch in parts with about `most` bytes of text each, and the texts of each part (null: empty)."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // most
+    cut = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(size)]
+    for a, b in zip(cut, cut[1:]):
+        if a < b:
+            part = texts.slice(a, b - a)
+            yield batch.slice(a, b - a), pc.fill_null(part, b"" if pa.types.is_binary(part.type) else "").to_pylist()
+
+
+def byte_characters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies, by the published rule."""
+    shown = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174}
+    other = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(other)) for b in range(256)]
+
+
+#: Words whose lower case, normal form and pieces Python and the library see alike: Latin letters,
+#: digits and signs, without the dotted capital I and special strings.  Others go through the library.
+_SIMPLE = regex.compile(r"[\x21-\x7e\u00a1-\u012f\u0131-\u024f]++")
+#: The published pattern of the lower-case word vocabulary (fixed value).
+_WORD_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+
 def word_encoder(path: str) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
     """Texts (UTF-8) -> all ids, ids per text, for a tokenizer that drops white space and never looks across it.
 
@@ -81,8 +111,27 @@ def word_encoder(path: str) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndar
     that against the library on whole texts.
     """
     tok = load(path)
-    words = Remembering(lambda new: (e.ids for e in tok.encode_batch_fast(
-        [w.decode("utf-8", "replace") for w in new], add_special_tokens=False)))
+    merge, chars = tok.model.tokenize, dict(enumerate(byte_characters()))
+    pieces: dict[str, list[int]] = {}
+
+    def piece_ids(piece: str) -> list[int]:
+        found = pieces.get(piece)
+        if found is None:
+            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(chars)
+            found = pieces[piece] = [t.id for t in merge(shown)]
+        return found
+
+    def encode_words(new: list[bytes]) -> Iterator[list[int]]:
+        if len(pieces) > REMEMBERED:
+            pieces.clear()
+        for raw in new:
+            word = raw.decode("utf-8", "replace")
+            if _SIMPLE.fullmatch(word) and "<|" not in word:
+                yield [i for p in _WORD_PIECES.findall(word.lower()) for i in piece_ids(p)]
+            else:
+                yield tok.encode(word, add_special_tokens=False).ids
+
+    words = Remembering(encode_words)
 
     def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         split = [t.split() for t in texts]
