@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilequarry.llm import bpe, mixing, quality, simhash, substring, suffix, token_files
+from tilequarry.llm import bpe, html_text, mixing, quality, simhash, substring, suffix, token_files
 from tilequarry.llm.common import new_folder, table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,13 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder, with_ids=False).drop("ids")
 
 
+@query
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.main_text(table(spark, sf_dir, "pages"))
+    return found.select(F.col("doc.page_id").alias("page_id"), F.col("doc.url").alias("url"), "text",
+                        F.length("text").cast("long").alias("n_chars"))
+
+
 @query
 def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
