@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilequarry.llm import bpe, html_text, mixing, quality, simhash, substring, suffix, token_files
+from tilequarry.llm import bpe, html_text, mixing, quality, simhash, substring, suffix, token_files, toxicity
 from tilequarry.llm.common import new_folder, table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,17 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         (~quality.passes(quality.BASE)).alias("base_failed"), quality.passes("v2").alias("kept"), "failed")
 
 
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    seen = docs.select("doc_id", "text").where(~toxicity.held_out(F.col("doc_id"))).join(labels, "doc_id")
+    found = toxicity.score(docs, toxicity.fit(seen))
+    doc_id = F.col("doc.doc_id")
+    return found.select(doc_id.alias("doc_id"), F.coalesce(toxicity.held_out(doc_id), F.lit(False)).alias("held_out"), "score",
+                        (F.col("score") >= 0.5).cast("int").alias("predicted"), "credit", "passages")
+
+
 @query
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(table(spark, sf_dir, "documents"), shingle=3, radius=3)
