@@ -29,55 +29,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilequarry.llm import wordhash
+from tilequarry.llm import packed, wordhash
 from tilequarry.llm.common import row_struct
 from tilequarry.llm.tokens import slices
 
 WINDOW = 20
 #: Bytes of text for each bucket of probes.
-BUCKET_BYTES = 16 << 20
-_PACKED = "bucket long, oid binary, tk binary, n binary, pos binary, h1 binary, h2 binary"
-_MARKS = "oid long, tk long, pos binary"
+BUCKET_BYTES = 24 << 20
 _U = np.uint64
 
 
-def gaps(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
-    """Positions in order of (doc, pos): docs that occur, positions of each, gaps in bytes (255 means go on)."""
-    if not len(pos):
-        return np.empty(0, np.int64), np.empty(0, np.int32), b""
-    new = np.concatenate(([True], doc[1:] != doc[:-1]))
-    gap = np.where(new, pos, pos - np.concatenate(([0], pos[:-1])))
-    more, rest = gap // 255, gap % 255
-    ends = np.cumsum(more + 1)
-    out = np.full(ends[-1], 255, np.uint8)
-    out[ends - 1] = rest
-    first = np.flatnonzero(new)
-    return doc[first], np.diff(np.append(first, len(pos))).astype(np.int32), out.tobytes()
-
-
-def positions(n: np.ndarray, packed: bytes) -> np.ndarray:
-    """The positions that gaps() packed."""
-    if not len(n):
-        return np.empty(0, np.int64)
-    b = np.frombuffer(packed, np.uint8)
-    total = np.cumsum(b, dtype=np.int64)[np.flatnonzero(b < 255)]
-    first = np.cumsum(n) - n
-    return total - np.repeat(np.where(first > 0, total[first - 1], 0), n)
-
-
-def _row(bucket: int, oid: np.ndarray, tk: np.ndarray, doc: np.ndarray, pos: np.ndarray, *hashes: np.ndarray) -> tuple:
-    docs, n, packed = gaps(doc, pos)
-    return (bucket, oid[docs].tobytes(), tk[docs].tobytes(), n.tobytes(), packed, *(h.tobytes() for h in hashes))
-
-
-def _rows(buckets: np.ndarray, oid, tk, doc, pos, *hashes) -> list[tuple]:
-    """One row for each bucket; entries come in order of (doc, pos)."""
-    order = np.argsort(buckets, kind="stable")
-    cut = np.flatnonzero(np.concatenate(([True], np.diff(buckets[order]) != 0))) if len(order) else []
-    return [_row(int(buckets[part[0]]), oid, tk, doc[part], pos[part], *(h[part] for h in hashes))
-            for part in np.split(order, cut[1:])] if len(order) else []
-
-
 class _Slice:
     """The words of some texts and where each lies."""
 
@@ -94,7 +55,7 @@ class _Slice:
         return at - self.first[self.doc[at]]
 
     def rows(self, buckets, at, *hashes) -> list[tuple]:
-        return _rows(buckets, self.oid, self.tk, self.doc[at], self.pos(at), *hashes)
+        return packed.rows(buckets, self.oid, self.tk, self.doc[at], self.pos(at), *hashes)
 
 
 def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[_Slice, pd.DataFrame]]:
@@ -105,17 +66,6 @@ def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[_Slice, pd.DataFr
             yield _Slice(texts[i:j], part["oid"].to_numpy(np.int64), part["tk"].to_numpy(np.int64)), part
 
 
-def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of runs of equal rows."""
-    n = len(keys[0])
-    if not n:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    new = np.ones(n, bool)
-    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-    first = np.flatnonzero(new)
-    return first, np.diff(np.append(first, n))
-
-
 def _probes(batches: Iterator[pd.DataFrame], block: int, buckets: int) -> Iterator[pd.DataFrame]:
     """Index blocks and probes, packed by bucket; windows that repeat right here are hits already (rows without hashes)."""
     for s, _ in _slices(batches):
@@ -124,47 +74,26 @@ def _probes(batches: Iterator[pd.DataFrame], block: int, buckets: int) -> Iterat
         aligned = s.pos(at) % block == 0
         deal = np.concatenate((np.flatnonzero(aligned), np.flatnonzero(~aligned)))  # blocks stand first among equals
         order = deal[np.argsort(h[deal], kind="stable")]
-        first, n = _runs(h[order])
+        first, n = packed.runs(h[order])
         repeated = np.sort(order[np.repeat(n > 1, n)])
         sent = np.sort(order[first])
         low = (h[sent] & _U(0xFFFFFFFF)).astype(np.uint32)
         rows = [(*r, b"") for r in s.rows((h[sent] >> _U(32)) % _U(buckets), at[sent], low)]
         if len(repeated):
-            rows.append((*_row(int(h[repeated[0]] % _U(buckets)), s.oid, s.tk, s.doc[at[repeated]], s.pos(at[repeated])), b"", b""))
-        yield pd.DataFrame(rows, columns=["bucket", "oid", "tk", "n", "pos", "h1", "h2"])
-
-
-class _Entries:
-    """All entries of a bucket, unpacked."""
-
-    def __init__(self, rows: pd.DataFrame):
-        n = [np.frombuffer(x, np.int32) for x in rows["n"]]
-        join = lambda parts, kind: np.concatenate([np.frombuffer(x, kind) for x in parts]) if len(rows) else np.empty(0, kind)
-        self.oids, self.tks = join(rows["oid"], np.int64), join(rows["tk"], np.int64)
-        counts = np.concatenate(n) if n else np.empty(0, np.int32)
-        self.doc = np.repeat(np.arange(len(counts)), counts)
-        self.pos = np.concatenate([positions(k, p) for k, p in zip(n, rows["pos"])]) if n else np.empty(0, np.int64)
-
-    def marks(self, at: np.ndarray) -> pd.DataFrame:
-        """oid, tk, pos (u32 in order) of each document with one of these entries; `at` ascends."""
-        doc, raw = self.doc[at], self.pos[at].astype("<u4").tobytes()
-        first, n = _runs(doc)
-        return pd.DataFrame({"oid": self.oids[doc[first]], "tk": self.tks[doc[first]],
-                             "pos": [raw[4 * a:4 * (a + k)] for a, k in zip(first.tolist(), n.tolist())]})
+            rows.append((*packed.row(int(h[repeated[0]] % _U(buckets)), s.oid, s.tk, s.doc[at[repeated]], s.pos(at[repeated])), b"", b""))
+        yield pd.DataFrame(rows, columns=packed.COLUMNS)
 
 
-def _hits(rows: pd.DataFrame, block: int) -> pd.DataFrame:
+def _hits(frame: pd.DataFrame, block: int, parts: int) -> pd.DataFrame:
     """Blocks and windows of one bucket that found each other, and the hits found earlier."""
-    known = rows["h1"].str.len() == 0
-    out = [_Entries(rows[known])]
-    out = [e.marks(np.arange(len(e.pos))) for e in out]
-    e = _Entries(rows[~known])
-    fp = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["h1"][~known]] or [np.empty(0, np.uint32)])
-    order = np.argsort(fp)
-    first, n = _runs(fp[order])
+    here = packed.known(frame)
+    old, e = packed.Entries(frame[here]), packed.Entries(frame[~here])
+    out = [old.places(np.arange(len(old.pos)), parts)]
+    order = np.argsort(fp := packed.joined(frame["h1"][~here], np.uint32))
+    first, n = packed.runs(fp[order])
     if len(first):
         found = (n > 1) & np.maximum.reduceat((e.pos % block == 0)[order], first)
-        out.append(e.marks(np.sort(order[np.repeat(found, n)])))
+        out.append(e.places(np.sort(order[np.repeat(found, n)]), parts))
     return pd.concat(out)
 
 
@@ -174,7 +103,7 @@ def _candidates(batches: Iterator[pd.DataFrame], window: int, block: int, bucket
         total = int(s.counts.sum())
         edge = np.zeros(total + 1, np.int64)
         for k, hits in enumerate(part["hits"]):
-            p = np.unique(np.concatenate([np.frombuffer(x, "<u4") for x in hits])).astype(np.int64)
+            p = np.frombuffer(hits, "<u4").astype(np.int64)
             p = p[p < s.counts[k]] + s.first[k]
             np.add.at(edge, np.maximum(p - (window - block), s.first[k]), 1)
             np.subtract.at(edge, p + 1, 1)
@@ -186,30 +115,29 @@ def _candidates(batches: Iterator[pd.DataFrame], window: int, block: int, bucket
         later, firsts = _later(h1, h2, oid, pos)
         rows = s.rows(h1[firsts] % _U(buckets), at[firsts], h1[firsts], h2[firsts])
         if len(later):
-            rows.append((*_row(int(h1[later[0]] % _U(buckets)), s.oid, s.tk, s.doc[at[later]], pos[later]), b"", b""))
-        yield pd.DataFrame(rows, columns=["bucket", "oid", "tk", "n", "pos", "h1", "h2"])
+            rows.append((*packed.row(int(h1[later[0]] % _U(buckets)), s.oid, s.tk, s.doc[at[later]], pos[later]), b"", b""))
+        yield pd.DataFrame(rows, columns=packed.COLUMNS)
 
 
 def _later(h1, h2, oid, pos) -> tuple[np.ndarray, np.ndarray]:
     """Entries with an equal window at a smaller (oid, pos), and a first one of each kind; both ascend."""
     order = np.argsort(h1, kind="stable")
-    first, n = _runs(h1[order])
+    first, n = packed.runs(h1[order])
     alone, several = order[first[n == 1]], order[np.repeat(n > 1, n)]
     order = several[np.lexsort((pos[several], oid[several], h2[several], h1[several]))]
-    first, n = _runs(h1[order], h2[order])
+    first, n = packed.runs(h1[order], h2[order])
     least = np.repeat(order[first], n)
     later = (oid[order] > oid[least]) | (pos[order] > pos[least])
     return np.sort(order[later]), np.sort(np.concatenate((alone, order[first])))
 
 
-def _repeats(rows: pd.DataFrame) -> pd.DataFrame:
-    known = rows["h1"].str.len() == 0
-    old = _Entries(rows[known])
-    e = _Entries(rows[~known])
-    h1 = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["h1"][~known]] or [np.empty(0, np.uint64)])
-    h2 = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["h2"][~known]] or [np.empty(0, np.uint32)])
+def _repeats(frame: pd.DataFrame, parts: int) -> pd.DataFrame:
+    """Starts of windows with an earlier equal."""
+    here = packed.known(frame)
+    old, e = packed.Entries(frame[here]), packed.Entries(frame[~here])
+    h1, h2 = packed.joined(frame["h1"][~here], np.uint64), packed.joined(frame["h2"][~here], np.uint32)
     later, _ = _later(h1, h2, e.oids[e.doc], e.pos)
-    return pd.concat([old.marks(np.arange(len(old.pos))), e.marks(later)])
+    return pd.concat([old.places(np.arange(len(old.pos)), parts), e.places(later, parts)])
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, text: str = "text", key: str = "doc_id",
@@ -224,13 +152,13 @@ def dedup(docs: DataFrame, window: int = WINDOW, text: str = "text", key: str =
     whole = F.xxhash64("doc").alias("whole")
     size = rows.agg(F.sum(F.octet_length(body))).first()[0] or 0
     buckets = int(size // bucket_bytes) + 1
-    hits = rows.select("oid", "tk", body.alias("text")).mapInPandas(
-        partial(_probes, block=block, buckets=buckets), _PACKED).groupBy("bucket").applyInPandas(
-        lambda r: _hits(r, block), _MARKS).groupBy("oid", "tk").agg(F.collect_set("pos").alias("hits"))
+    hits = packed.by_document(rows.select("oid", "tk", body.alias("text")).mapInPandas(
+        partial(_probes, block=block, buckets=buckets), packed.PACKED).groupBy("bucket").applyInPandas(
+        lambda frame: _hits(frame, block, buckets), packed.PLACES), "hits")
     found = rows.join(hits, ["oid", "tk"]).select("oid", "tk", body.alias("text"), "hits", whole)
-    marks = found.mapInPandas(
-        partial(_candidates, window=window, block=block, buckets=buckets), _PACKED).groupBy("bucket").applyInPandas(
-        lambda r: _repeats(r), _MARKS).groupBy("oid", "tk").agg(F.collect_set("pos").alias("marks"))
+    marks = packed.by_document(found.mapInPandas(
+        partial(_candidates, window=window, block=block, buckets=buckets), packed.PACKED).groupBy("bucket").applyInPandas(
+        lambda frame: _repeats(frame, buckets), packed.PLACES), "marks")
 
     @F.pandas_udf("n_words long, n_removed long, spans array<long>, kept binary")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -238,10 +166,10 @@ def dedup(docs: DataFrame, window: int = WINDOW, text: str = "text", key: str =
             out = []
             for t, m in zip(texts, marked):
                 w = t.split()
-                if m is None or not len(m):
+                if m is None:
                     out.append((len(w), 0, [], b" ".join(w)))
                     continue
-                p = np.unique(np.concatenate([np.frombuffer(x, "<u4") for x in m])).astype(np.int64)
+                p = np.frombuffer(m, "<u4").astype(np.int64)
                 edge = np.zeros(len(w) + 1, np.int64)
                 edge[p] += 1
                 edge[p + window] -= 1

@@ -7,7 +7,7 @@ common prefixes of neighbours tell which L-byte strings repeat.
 To sort in parts, equal strings must meet in one part.  Every L-byte window is assigned to its
 anchor, the leftmost least K-byte hash in it, so equal windows have equal anchors.  A stretch
 of windows with one anchor, and the bytes they span, is a piece.  Anchors seen once are gone
-after a compact exchange (as in substring.py: each value once per few megabytes of text); the pieces of the
+after a compact exchange (each value once per few megabytes of text); the pieces of the
 others are dealt by anchor, equal ones collapse to one with a count, and each part's
 different pieces are sorted as one text.  Pieces of an anchor with more than `hot_bytes` are cut by
 the bytes common to `SEGMENTS` neighbouring windows and dealt again, down to single windows, which are
@@ -29,8 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilequarry.llm import packed
 from tilequarry.llm.common import row_struct, written
-from tilequarry.llm.substring import _MARKS, _PACKED, BUCKET_BYTES, _Entries, _row, _rows, _runs
 from tilequarry.llm.tokens import slices
 from tilequarry.llm.wordhash import mix
 
@@ -42,7 +42,10 @@ SEGMENTS = (32, 1)
 #: Bytes of different pieces of one anchor that are sorted in one part, and bytes sorted as one text.
 HOT_BYTES = 4 << 20
 SORT_BYTES = 192 << 10
-_LONGEST = 8 << 20  # of texts handled at a time; longer ones in overlapping parts
+#: Bytes of text for each bucket of anchors.
+BUCKET_BYTES = 24 << 20
+_AT_ONCE = 2 << 20  # bytes of text handled at a time
+_LONGEST = 8 << 20  # longer texts are handled in overlapping parts
 _PIECES = "bucket long, key long, oid long, tk long, off long, n long, anchor long, body binary"
 _U = np.uint64
 
@@ -137,7 +140,7 @@ def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     if n < length:
         return (*(np.empty(0, np.int64) for _ in range(4)), np.empty(0, np.uint64))
     gram = min(ANCHOR, length)
-    power = _powers(1 << max(22, n.bit_length()))
+    power = _powers(1 << max(21, n.bit_length()))
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * power[0][:n], out=sums[1:])
     hashes = mix((sums[gram:] - sums[:-gram]) * power[1][:n - gram + 1])
@@ -155,7 +158,7 @@ def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     ends = np.cumsum(sizes)
     text = np.repeat(np.arange(len(texts)), sizes)[:count]
     inside = np.flatnonzero(np.arange(count) + length <= ends[text])
-    first, windows = _runs(text[inside], at[inside])
+    first, windows = packed.runs(text[inside], at[inside])
     start = inside[first]
     base = (ends - sizes)[text[start]]
     return text[start], start - base, windows, at[start] - base, hashes[at[start]]
@@ -163,14 +166,14 @@ def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
 
 def _parts(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
     """Row, offset and bytes of texts, a few megabytes at a time; a long text in parts whose windows do not overlap."""
-    for i, j in slices(texts):
+    for i, j in slices(texts, _AT_ONCE):
         rows, offs, parts = [], [], []
         for k in range(i, j):
             for a in range(0, max(1, len(texts[k]) - length + 1), _LONGEST):
                 rows.append(k)
                 offs.append(a)
                 parts.append(texts[k][a:a + _LONGEST + length - 1])
-        for a, b in slices(parts, _LONGEST // 2):
+        for a, b in slices(parts, _AT_ONCE):
             yield rows[a:b], offs[a:b], parts[a:b]
 
 
@@ -189,23 +192,22 @@ def _probes(batches: Iterator[pd.DataFrame], length: int, buckets: int) -> Itera
     """Anchor hashes, packed by bucket; those that repeat right here are hits already (rows without hashes)."""
     for _, oid, tk, row, _, _, _, pos, _, _, h in _stretches(batches, length):
         order = np.argsort(h, kind="stable")
-        first, n = _runs(h[order])
+        first, n = packed.runs(h[order])
         many = np.sort(order[np.repeat(n > 1, n)])
         sent = np.sort(order[first])
-        rows = [(*r, b"") for r in _rows(h[sent] % _U(buckets), oid, tk, row[sent], pos[sent], h[sent])]
+        rows = [(*r, b"") for r in packed.rows(h[sent] % _U(buckets), oid, tk, row[sent], pos[sent], h[sent])]
         if len(many):
-            rows.append((*_row(int(h[many[0]] % _U(buckets)), oid, tk, row[many], pos[many]), b"", b""))
-        yield pd.DataFrame(rows, columns=["bucket", "oid", "tk", "n", "pos", "h1", "h2"])
+            rows.append((*packed.row(int(h[many[0]] % _U(buckets)), oid, tk, row[many], pos[many]), b"", b""))
+        yield pd.DataFrame(rows, columns=packed.COLUMNS)
 
 
-def _hits(rows: pd.DataFrame) -> pd.DataFrame:
+def _hits(frame: pd.DataFrame, parts: int) -> pd.DataFrame:
     """Stretches whose anchor stands elsewhere too."""
-    known = rows["h1"].str.len() == 0
-    old, e = _Entries(rows[known]), _Entries(rows[~known])
-    h = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["h1"][~known]] or [np.empty(0, np.uint64)])
-    order = np.argsort(h)
-    _, n = _runs(h[order])
-    return pd.concat([old.marks(np.arange(len(old.pos))), e.marks(np.sort(order[np.repeat(n > 1, n)]))])
+    here = packed.known(frame)
+    old, e = packed.Entries(frame[here]), packed.Entries(frame[~here])
+    order = np.argsort(h := packed.joined(frame["h1"][~here], np.uint64))
+    _, n = packed.runs(h[order])
+    return pd.concat([old.places(np.arange(len(old.pos)), parts), e.places(np.sort(order[np.repeat(n > 1, n)]), parts)])
 
 
 def _pieces(batches: Iterator[pd.DataFrame], length: int, buckets: int) -> Iterator[pd.DataFrame]:
@@ -214,9 +216,9 @@ def _pieces(batches: Iterator[pd.DataFrame], length: int, buckets: int) -> Itera
     A body says how many windows it has; n = 0 says that its own are marked already.
     """
     for b, oid, tk, row, parts, text, lo, pos, n, at, h in _stretches(batches, length):
-        hits = {k: np.unique(np.concatenate([np.frombuffer(x, "<u4") for x in b["hits"].iat[k]])) for k in np.unique(row).tolist()}
+        hits = {k: np.frombuffer(b["hits"].iat[k], "<u4") for k in np.unique(row).tolist()}
         wanted = np.zeros(len(row), bool)
-        first, count = _runs(row)
+        first, count = packed.runs(row)
         for a, c in zip(first.tolist(), count.tolist()):
             wanted[a:a + c] = np.isin(pos[a:a + c], hits[int(row[a])])
         seen: dict[tuple[int, bytes], list[int]] = {}
@@ -294,20 +296,20 @@ def _ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _marks(pieces: DataFrame, length: int, buckets: int, hot_bytes: int) -> DataFrame:
     """Ranges of marked windows of all pieces, level by level where an anchor is hot."""
-    out = pieces.where("body IS NULL").mapInPandas(_ranges, _MARKS)
+    out = pieces.where("body IS NULL").mapInPandas(_ranges, packed.DOCUMENT)
     pieces = pieces.where("body IS NOT NULL")
     for segment in SEGMENTS:
         hot = written(pieces.groupBy("key").agg(F.sum(F.octet_length("body")).alias("size")).where(F.col("size") > hot_bytes).select("key"), "hot")
         crowded = not hot.isEmpty()
         calm = pieces.join(hot, "key", "left_anti") if crowded else pieces
-        out = out.unionAll(calm.groupBy("bucket").applyInPandas(lambda r: _sorted(r, length), _MARKS))
+        out = out.unionAll(calm.groupBy("bucket").applyInPandas(lambda r: _sorted(r, length), packed.DOCUMENT))
         if not crowded:
             return out
         pieces = written(pieces.join(hot, "key", "left_semi").select(calm.columns).mapInPandas(
             partial(_cut, length=length, segment=segment, buckets=buckets), _PIECES), "pieces")
     # Single windows: equal keys are equal strings, so a count decides.
     twice = pieces.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    return out.unionAll(pieces.join(twice, "key", "left_semi").where("n > 0").select("oid", "tk", "off", "n").mapInPandas(_ranges, _MARKS))
+    return out.unionAll(pieces.join(twice, "key", "left_semi").where("n > 0").select("oid", "tk", "off", "n").mapInPandas(_ranges, packed.DOCUMENT))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id",
@@ -319,9 +321,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str =
     body = F.coalesce(F.col("doc").getField(text).cast("binary"), F.lit(b""))
     size = rows.agg(F.sum(F.octet_length(body))).first()[0] or 0
     buckets = int(size // bucket_bytes) + 1
-    hits = rows.select("oid", "tk", body.alias("text")).mapInPandas(
-        partial(_probes, length=length, buckets=buckets), _PACKED).groupBy("bucket").applyInPandas(
-        lambda r: _hits(r), _MARKS).groupBy("oid", "tk").agg(F.collect_set("pos").alias("hits"))
+    hits = packed.by_document(rows.select("oid", "tk", body.alias("text")).mapInPandas(
+        partial(_probes, length=length, buckets=buckets), packed.PACKED).groupBy("bucket").applyInPandas(
+        lambda frame: _hits(frame, buckets), packed.PLACES), "hits")
     found = rows.select("oid", "tk", body.alias("text")).join(hits, ["oid", "tk"])
     pieces = written(found.mapInPandas(partial(_pieces, length=length, buckets=buckets), _PIECES), "pieces")
     marks = _marks(pieces, length, buckets, hot_bytes).groupBy("oid", "tk").agg(F.collect_set("pos").alias("marks"))

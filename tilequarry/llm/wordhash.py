@@ -9,7 +9,7 @@ import numpy as np
 _U = np.uint64
 _BASE, _ROLL_A, _ROLL_B = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F)
 #: Bytes hashed at a time.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
