@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilequarry.llm import bpe, html_text, mixing, quality, simhash, substring, suffix, token_files, toxicity
+from tilequarry.llm import bpe, html_text, mixing, neighbours, quality, simhash, substring, suffix, token_files, toxicity
 from tilequarry.llm.common import new_folder, table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +88,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("score") >= 0.5).cast("int").alias("predicted"), "credit", "passages")
 
 
+@query
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 @query
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(table(spark, sf_dir, "documents"), shingle=3, radius=3)
