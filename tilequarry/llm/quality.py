@@ -87,7 +87,9 @@ def passes(policy: str | int, failed: Column | None = None) -> Column:
 
 def keep(docs: DataFrame, policy: str | int = "v2", text: str = "text") -> DataFrame:
     """The documents a policy keeps, with the columns they came with."""
-    kept = ledger(docs, text).where(passes(policy))
+    # stack() keeps the filter above the ledger: pushed below, it would work the rules out again, nested.
+    rows = ledger(docs, text).select(F.expr("stack(1, doc, failed) AS (doc, failed)"))
+    kept = rows.where(passes(policy))
     return kept.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
