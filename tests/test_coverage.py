@@ -1,5 +1,6 @@
 """The spatial joins against brute force: several grids, odd shapes, hot tiles."""
 
+import pytest
 import shapes
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -133,3 +134,17 @@ def test_clipped_pieces_add_up(spark):
             continue
         want = abs(sum(x1 * y2 - x2 * y1 for (x1, y1), (x2, y2) in shapes.edges(rings))) / 2
         assert abs(got[fid] - want) < 1e-6
+
+
+def test_repeated_features_lines_and_points(spark):
+    box = [[(0.5, -0.5), (5.5, -0.5), (5.5, -5.5), (0.5, -5.5), (0.5, -0.5)]]
+    line, point = [[(0.5, -0.5), (3.5, -0.5)]], [[(2.5, -2.5)]]
+    tiles = spark.createDataFrame(shapes.tile_rows("t", 0, 0, 1, 1, 6, 6), shapes.TILE_SCHEMA)
+    features = shapes.features_frame(spark, [(1, box), (1, box), (2, line), (3, point)])
+    found = {}
+    for r in cov.tile_features(tiles, features, 10.0).collect():
+        found.setdefault(r.fid, set()).add((r.col, r.row_))
+    assert len(found[1]) == 36
+    assert found[2] == {(c, 0) for c in range(4)} and found[3] == {(2, 2)}
+    with pytest.raises(Exception, match="one geometry"):
+        cov.tile_features(tiles, shapes.features_frame(spark, [(1, box), (1, line)]), 10.0).collect()

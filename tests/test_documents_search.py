@@ -4,6 +4,7 @@ import pytest
 import shapes
 from pyspark.sql import functions as F
 
+from tilequarry.functions import scalars
 from tilequarry.operators import documents, index, layout, search
 
 
@@ -94,3 +95,21 @@ def test_tags(spark):
     for op, want in (("=", [3]), ("!=", [1, 2, 4]), ("<", [2]), ("<=", [2, 3]), (">", [1, 4])):
         got = search.search_values(attrs, [search.SearchTag("area", op, "10")]).collect()
         assert sorted({r.col for r in got}) == want, op
+
+
+def test_more_keywords_than_bits_of_a_word(spark):
+    names = [f"k{i}" for i in range(150)]
+    rows = [(k, "d", 0, 0) for k in names] + [(k, "d", 1, 0) for k in names[:-1]]
+    postings = spark.createDataFrame(rows, "kw string, dataset_uid string, col int, row_ int")
+    assert [r.col for r in search.search_all(postings, names).collect()] == [0]
+    assert sorted(r.col for r in search.search_all(postings, names[:-1] + ["zzz"], mode="lenient").collect()) == [0, 1]
+    attrs = spark.createDataFrame([({k: "1"}, "d", 0, 0) for k in names], "attrs map<string,string>, dataset_uid string, col int, row_ int")
+    tags = [search.SearchTag(k, "=", "1") for k in names]
+    assert search.search_values(attrs, tags).count() == 1
+    assert search.search_values(attrs, [*tags, search.SearchTag("no", "=", "1")]).count() == 0
+
+
+def test_only_the_json_folder_of_a_path_goes(spark):
+    paths = spark.createDataFrame([("/data/jsonruns/tiles/json/a.json",), ("/x/json/json/b.json",)], "p string")
+    got = [r.t for r in paths.select(scalars.doc_to_tile_path(paths.p).alias("t")).collect()]
+    assert got == ["/data/jsonruns/tiles/a.tif", "/x/json/b.tif"]

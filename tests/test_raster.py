@@ -145,3 +145,18 @@ def test_negative_keys_are_dropped_and_names_parse(spark):
     for r in got.collect():
         assert (r.p_dataset_uid, r.p_tile_code, r.p_col, r.p_row_) == ("a_x", r.tile_code, r.col, r.row_)
     assert got.count() == 9
+
+
+@pytest.mark.parametrize("width,height,target", [(32, 32, 2.0), (30, 30, 5.0)])
+def test_reprojected_cells_do_not_depend_on_the_tile_size(spark, width, height, target):
+    rows = [("a", x, y, 300000.0, 1500000.0, 10.0, 10.0, float(x + y), 1.0) for x in range(width) for y in range(height)]
+    frame = layout.cell_center(spark.createDataFrame(rows, SCHEMA))
+    found = [sorted(tuple(r) for r in raster.reproject(frame, ["b1"], 32651, 3857, target, tile).select("gx", "gy").collect())
+             for tile in (8, 15, 32)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(set(found[0])) > width * height
+
+
+def test_repeated_and_missing_cells_of_a_row(spark):
+    rows = [("a", x, 0, 0.0, 0.0, 1.0, 1.0, b, 0.0) for x, b in ((0, 1.0), (0, 2.0), (2, 9.0))]
+    tile = raster.assemble_tiles(layout.cell_center(spark.createDataFrame(rows, SCHEMA)), ["b1"], 4).first()
+    assert tile.bands[0] == [1.0, None, 9.0] + [None] * 13

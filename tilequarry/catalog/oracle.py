@@ -400,7 +400,7 @@ ORACLE["features_per_tile"] = f"WITH {PAIRS} SELECT dataset_uid, col, row_, coun
 ORACLE["inverted_index"] = f"WITH {POSTINGS} SELECT kw, dataset_uid, col, row_ FROM postings"
 ORACLE["inverted_index_counts"] = """
 SELECT kw, doc, count(*) AS n FROM (
-  SELECT doc_id AS doc, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS kw FROM documents)
+  SELECT doc_id AS doc, unnest(regexp_split_to_array(lower(text), '[^\\p{L}]+')) AS kw FROM documents)
 WHERE kw <> '' GROUP BY kw, doc"""
 ORACLE["tile_cut"] = f"""WITH {CELLS}
 SELECT dataset_uid, col, row_, 64 AS n_cells, CAST(64 - count(b1) AS INTEGER) AS n_null,
@@ -480,7 +480,7 @@ ys AS (SELECT dataset_uid, unnest(range(CAST(ra AS BIGINT), CAST(rb AS BIGINT)))
 want AS (SELECT dataset_uid, gx, gy, degrees((gx + 0.5) * 10 / {prj.SEMI_MAJOR!r}) AS lon,
                 degrees(2 * atan(exp(-(gy + 0.5) * 10 / {prj.SEMI_MAJOR!r})) - pi() / 2) AS lat FROM xs JOIN ys USING (dataset_uid)),
 {sql_from_lonlat('want', 'dataset_uid, gx, gy')},
-dset AS (SELECT dataset_uid, any_value(k) AS k, 8 * (max(col) + 1) AS nx, 8 * (max(row_) + 1) AS ny FROM cells GROUP BY dataset_uid),
+dset AS (SELECT dataset_uid, any_value(k) AS k, max(px) + 1 AS nx, max(py) + 1 AS ny FROM cells GROUP BY dataset_uid),
 pos AS (SELECT dataset_uid, gx, gy, (ux - (300000 + 640 * (k % 4))) / 10 - 0.5 AS u,
                ((1500000 - 640 * (k // 4)) - uy) / 10 - 0.5 AS v, nx, ny FROM utm JOIN dset USING (dataset_uid)),
 used AS (SELECT *, floor(u) AS px0, floor(v) AS py0 FROM pos

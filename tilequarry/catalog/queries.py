@@ -470,8 +470,7 @@ def pipeline_tile_raster(spark, d):
 
 @query
 def pipeline_query_region(spark, d):
-    region = fx.regions(spark, d).where("fid = 0")
-    out = pipelines.query_region(fx.cells(spark, d), fx.tiles(spark, d), region, fx.TILE, fx.REGION)
+    out = pipelines.query_region(fx.cells(spark, d), fx.tiles(spark, d), fx.regions(spark, d), fx.TILE, fx.REGION)
     return out.select("dataset_uid", "px", "py", *BANDS)
 
 

@@ -40,7 +40,7 @@ def doc_name(tile_name: Column) -> Column:
 
 def doc_to_tile_path(path: Column) -> Column:
     """Path of the tile a document belongs to: leave the json folder, change the suffix."""
-    return F.regexp_replace(F.replace(path, F.lit("/json"), F.lit("")), r"\.json$", ".tif")
+    return F.regexp_replace(path, r"/json/([^/]+)\.json$", "/$1.tif")
 
 
 def strip_scheme(path: Column) -> Column:

@@ -84,6 +84,25 @@ def match_grids(features: DataFrame, grids: DataFrame, region_size: float = REGI
     return squares(envs, "e_").join(squares(boxes, "g_"), ["rx", "ry"]).where(reach).select("fid", "rings", *GRID)
 
 
+def drawn(features: DataFrame) -> DataFrame:
+    """Features as closed rings, each id once.
+
+    Rows that repeat a feature become one, since inside is decided by counting edges; an id
+    that is null or stands for different geometries fails the job.  An open path goes back the
+    way it came and a point is an edge to itself, so both have a boundary and no inside.
+    """
+    stored = [c for c in ("env",) if c in features.columns]
+    one = features.groupBy("fid").agg(
+        F.any_value("rings").alias("rings"), *[F.any_value(c).alias(c) for c in stored],
+        F.min(F.xxhash64("rings")).alias("h1"), F.max(F.xxhash64("rings")).alias("h2"))
+    closed = """transform(rings, r -> CASE
+        WHEN size(r) = 1 THEN concat(r, r)
+        WHEN size(r) > 1 AND element_at(r, 1) <> element_at(r, -1) THEN concat(r, slice(reverse(r), 2, size(r) - 1))
+        ELSE r END)"""
+    return one.selectExpr("fid", *stored, f"""IF(fid IS NULL OR h1 <> h2,
+        raise_error('feature ids must be there and stand for one geometry each'), {closed}) AS rings""")
+
+
 def _sequence(low: str, high: str) -> str:
     """low..high, empty when low > high."""
     return f"if({low} <= {high}, sequence({low}, {high}), cast(array() AS array<bigint>))"
@@ -166,7 +185,7 @@ def coverage(features: DataFrame, grids: DataFrame, region_size: float = REGION_
     ``is_inside`` cells lie wholly in the feature and meet no edge.  Each cell
     comes once per feature.
     """
-    return _cover_rows(_edge_rows(match_grids(features, grids, region_size)))
+    return _cover_rows(_edge_rows(match_grids(drawn(features), grids, region_size)))
 
 
 def _cover_rows(edge_rows: DataFrame) -> DataFrame:
@@ -197,7 +216,7 @@ def scan_lines(features: DataFrame, grids: DataFrame, region_size: float = REGIO
     A cell centre is inside if an odd number of ``flips`` is at or left of its
     column.  Exact at centres that lie on an edge.
     """
-    rows = _explode_edges(match_grids(features, grids, region_size)).selectExpr(
+    rows = _explode_edges(match_grids(drawn(features), grids, region_size)).selectExpr(
         "*",
         f"greatest(ceil((oy - greatest(y1, y2)) / tile_h - 0.5D - {SLACK}), r_min) AS r_first",
         f"least(floor((oy - least(y1, y2)) / tile_h - 0.5D + {SLACK}), r_max) AS r_last",

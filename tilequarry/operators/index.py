@@ -36,8 +36,8 @@ def posting_counts(words: DataFrame) -> DataFrame:
 
 
 def text_words(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """Lower-case words of a text column, split at everything that is not a-z."""
-    words = F.explode(F.split(F.lower(text), "[^a-z]+")).alias("kw")
+    """Lower-case words of a text column, split at everything that is no letter."""
+    words = F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("kw")
     return docs.select(F.col(doc).alias("doc"), words).where("kw <> ''")
 
 

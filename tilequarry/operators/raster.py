@@ -33,22 +33,23 @@ def assemble_tiles(cells: DataFrame, bands: list[str], tile_size: int = TILE_SIZ
         (F.col("py") - F.col("row_") * tile_size).cast("int").alias("ly"),
         *bands,
     ).repartition(*TILE_KEY)
-    cell = F.struct("lx", *[F.col(b).cast("double").alias(b) for b in bands])
+    # Equal cells become one: the least value there is, whatever order they come in.
+    cut = cut.groupBy(*TILE_KEY, "ly", "lx").agg(
+        *[F.min(F.col(b).cast("double")).alias(b) for b in bands], *[F.min(c).alias(c) for c in ORIGIN])
+    cell = F.struct("lx", *bands)
     strips = cut.groupBy(*TILE_KEY, "ly").agg(
         F.sort_array(F.collect_list(cell)).alias("s"),
         *[F.min(c).alias(c) for c in ORIGIN],
     )
 
+    def spread(items: str, at: str, wide: Column, value, gap: Column) -> Column:
+        """Values at their places: as many gaps before each as it is away from the one before, and the rest after the last."""
+        before = lambda x, k: x[at] - F.coalesce(F.get(F.col(items), k - 1)[at], F.lit(-1)) - 1
+        placed = F.flatten(F.transform(items, lambda x, k: F.concat(F.array_repeat(gap, before(x, k)), F.array(value(x)))))
+        return F.concat(placed, F.array_repeat(gap, wide - 1 - F.element_at(items, -1)[at]))
+
     def pad(band: str) -> Column:
-        values = F.transform("s", lambda c: c[band])
-        gaps = F.transform(
-            F.sequence(F.lit(0), F.lit(tile_size - 1)),
-            lambda i: F.try_element_at(F.filter("s", lambda c: c["lx"] == i), F.lit(1))[band],
-        )
-        # Cells 0..n-1 without a gap, the usual case, only need filling up at the end.
-        full_from_left = F.element_at("s", -1)["lx"] == F.size("s") - 1
-        tail = F.array_repeat(F.lit(None).cast("double"), F.lit(tile_size) - F.size("s"))
-        return F.when(full_from_left, F.concat(values, tail)).otherwise(gaps)
+        return spread("s", "lx", F.lit(tile_size), lambda c: c[band], F.lit(None).cast("double"))
 
     padded = strips.select(*TILE_KEY, *ORIGIN, "ly", *[pad(b).alias(b) for b in bands])
     stacked = padded.groupBy(*TILE_KEY).agg(
@@ -58,12 +59,7 @@ def assemble_tiles(cells: DataFrame, bands: list[str], tile_size: int = TILE_SIZ
     empty = F.array_repeat(F.lit(None).cast("double"), tile_size)
 
     def stack(band: str) -> Column:
-        whole = F.flatten(F.transform("strips", lambda s: s[band]))
-        holed = F.flatten(F.transform(
-            F.sequence(F.lit(0), F.lit(tile_size - 1)),
-            lambda i: F.coalesce(F.try_element_at(F.filter("strips", lambda s: s["ly"] == i), F.lit(1))[band], empty),
-        ))
-        return F.when(F.size("strips") == tile_size, whole).otherwise(holed)
+        return F.flatten(spread("strips", "ly", F.lit(tile_size), lambda r: r[band], empty))
 
     tiles = stacked.select(*TILE_KEY, *ORIGIN, F.array(*[stack(b) for b in bands]).alias("bands"))
     return layout.key_extent(tiles, tile_size).withColumns({
@@ -221,18 +217,19 @@ def resample_bilinear(cells: DataFrame, bands: list[str], dx: float, dy: float)
     )
 
 
-def projected_layouts(tiles: DataFrame, source: int, target: int, cell_size: float) -> DataFrame:
-    """Extent of each tile in the target projection, with the dataset's target origin.
+def projected_layouts(tiles: DataFrame, source: int, target: int, cell_size: float, tile_size: int = TILE_SIZE) -> DataFrame:
+    """Box of target cells around what each tile owns, in whole cells of the target grid.
 
-    The border is sampled at the corners and middles of every tile's edges; the
-    extent is widened by one target cell and snapped outwards to whole cells.
+    A tile owns the positions whose upper left neighbour is one of its cells, which reaches
+    half a cell beyond its right and lower edges.  That rectangle's border is sampled every
+    eight cells, and the box is widened by one target cell for the bend between samples.
     """
-    xs = [F.col("xmin"), (F.col("xmin") + F.col("xmax")) / 2, F.col("xmax")]
-    ys = [F.col("ymin"), (F.col("ymin") + F.col("ymax")) / 2, F.col("ymax")]
-    border = F.array(*[
-        F.struct(x.alias("bx"), y.alias("by"))
-        for i, x in enumerate(xs) for j, y in enumerate(ys) if not (i == 1 and j == 1)
-    ])
+    steps = max(4, tile_size // 8)
+    border = F.expr(f"""flatten(transform(sequence(0, {steps}), i -> array(
+        struct(xmin + (xmax + cell_w / 2 - xmin) * i / {steps} AS bx, ymax AS by),
+        struct(xmin + (xmax + cell_w / 2 - xmin) * i / {steps} AS bx, ymin - cell_h / 2 AS by),
+        struct(xmin AS bx, ymin - cell_h / 2 + (ymax - ymin + cell_h / 2) * i / {steps} AS by),
+        struct(xmax + cell_w / 2 AS bx, ymin - cell_h / 2 + (ymax - ymin + cell_h / 2) * i / {steps} AS by))))""")
     pts = tiles.select(*TILE_KEY, F.inline(border))
     size = F.lit(float(cell_size))
     return projection.project(pts, "bx", "by", source, target, "tx", "ty").groupBy(*TILE_KEY).agg(
@@ -256,10 +253,9 @@ def reproject(cells: DataFrame, bands: list[str], source: int, target: int, cell
         raise ValueError("nothing to reproject")
     tiles = layout.footprints(cells, tile_size)
     size = float(cell_size)
-    boxes = projected_layouts(tiles, source, target, cell_size).join(
+    boxes = projected_layouts(tiles, source, target, cell_size, tile_size).join(
         tiles.select(*TILE_KEY, *ORIGIN), TILE_KEY)
-    bounds = tiles.groupBy("dataset_uid").agg(
-        F.max((F.col("col") + 1) * tile_size).alias("nx"), F.max((F.col("row_") + 1) * tile_size).alias("ny"))
+    bounds = cells.groupBy("dataset_uid").agg((F.max("px") + 1).alias("nx"), (F.max("py") + 1).alias("ny"))
     wanted = (
         boxes.join(bounds, "dataset_uid")
         .withColumn("gy", F.explode(F.sequence("t_r1", F.col("t_r2") - 1)))

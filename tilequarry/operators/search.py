@@ -11,7 +11,7 @@ from tilequarry.operators.layout import TILE_KEY
 
 # The operators of a search tag.
 OPERATORS = ("=", "!=", "<", "<=", ">", ">=", "contains")
-MAX_TAGS = 62
+BITS = 62  # tests per bit word
 
 
 @dataclass(frozen=True)
@@ -34,20 +34,33 @@ def parse_tags(words: list[str]) -> list[SearchTag]:
     return tags
 
 
-def _marks(keywords: list[str], kw: Column) -> Column:
-    """One bit per keyword; null for others."""
-    mark = F.lit(None).cast("bigint")
-    for i, k in enumerate(keywords):
-        mark = F.when(kw == k, F.lit(1 << i).cast("bigint")).otherwise(mark)
-    return mark
+def _words(tests: list[Column]) -> list[Column]:
+    """Bit words: a bit for each test that holds, as many words as it takes."""
+    out = []
+    for a in range(0, len(tests), BITS):
+        bits = F.lit(0).cast("bigint")
+        for i, test in enumerate(tests[a:a + BITS]):
+            bits = bits.bitwiseOR(F.when(test, F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+        out.append(bits.alias(f"bits_{a // BITS}"))
+    return out
+
+
+def _full(n: int) -> list[int]:
+    """The bit words with all n bits set."""
+    return [(1 << min(BITS, n - a)) - 1 for a in range(0, n, BITS)]
+
+
+def _all_set(names: list[str], full: list) -> Column:
+    hit = F.lit(True)
+    for name, bits in zip(names, full):
+        hit = hit & (F.col(name) == bits)
+    return hit
 
 
 def _unique(keywords: list[str]) -> list[str]:
     unique = list(dict.fromkeys(keywords))
     if not unique:
         raise ValueError("no keyword given")
-    if len(unique) > MAX_TAGS:
-        raise ValueError(f"at most {MAX_TAGS} keywords in one search")
     return unique
 
 
@@ -62,13 +75,15 @@ def search_all(postings: DataFrame, keywords: list[str], mode: str = "strict",
     """
     keys = keys or TILE_KEY
     unique = _unique(keywords)
-    marked = postings.where(F.col("kw").isin(unique)).select(*keys, _marks(unique, F.col("kw")).alias("bit"))
-    per_tile = marked.groupBy(*keys).agg(F.bit_or("bit").alias("found"))
+    full = _full(len(unique))
+    names = [f"bits_{k}" for k in range(len(full))]
+    marked = postings.where(F.col("kw").isin(unique)).select(*keys, *_words([F.col("kw") == k for k in unique]))
+    per_tile = marked.groupBy(*keys).agg(*[F.bit_or(b).alias(b) for b in names])
     if mode == "strict":
-        return per_tile.where(F.col("found") == (1 << len(unique)) - 1).select(*keys)
+        return per_tile.where(_all_set(names, full)).select(*keys)
     if mode == "lenient":
-        present = marked.agg(F.bit_or("bit").alias("present")).scalar()
-        return per_tile.where(F.col("found") == present).select(*keys)
+        present = [marked.agg(F.bit_or(b).alias("present")).scalar() for b in names]
+        return per_tile.where(_all_set(names, present)).select(*keys)
     raise ValueError(f"unknown mode {mode!r}; use 'strict' or 'lenient'")
 
 
@@ -107,15 +122,16 @@ def search_values(tile_attrs: DataFrame, tags: list[SearchTag], keys: list[str]
     Each feature row yields a bit per tag that holds, or-ed per tile.
     """
     keys = keys or TILE_KEY
-    if not tags or len(tags) > MAX_TAGS:
-        raise ValueError(f"between 1 and {MAX_TAGS} tags in one search")
-    bits = F.lit(0).cast("bigint")
-    for i, t in enumerate(tags):
-        value = F.try_element_at("attrs", F.lit(t.tag))
-        bits = bits.bitwiseOR(F.when(_holds(t, value), F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    per_tile = tile_attrs.select(*keys, bits.alias("bit")).where("bit <> 0").groupBy(*keys).agg(
-        F.bit_or("bit").alias("found"))
-    return per_tile.where(F.col("found") == (1 << len(tags)) - 1).select(*keys)
+    if not tags:
+        raise ValueError("no tag given")
+    full = _full(len(tags))
+    names = [f"bits_{k}" for k in range(len(full))]
+    marked = tile_attrs.select(*keys, *_words([_holds(t, F.try_element_at("attrs", F.lit(t.tag))) for t in tags]))
+    some = F.lit(False)
+    for b in names:
+        some = some | (F.col(b) != 0)
+    per_tile = marked.where(some).groupBy(*keys).agg(*[F.bit_or(b).alias(b) for b in names])
+    return per_tile.where(_all_set(names, full)).select(*keys)
 
 
 def fetch_tiles(tiles: DataFrame, hits: DataFrame, keys: list[str] | None = None) -> DataFrame:
