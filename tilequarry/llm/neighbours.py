@@ -35,6 +35,8 @@ SAMPLE, PER_LIST = 65_536, 32
 CALIBRATED = 0.98
 #: Dimensions per block, and the strictness of the test: higher abandons less.
 COLUMNS, STRICT = 16, 2.1
+#: Room above the first distance to beat (squared): the vectors that set it must pass the test themselves.
+ROOM = 1.4
 #: Rows of a list, and queries, that one task compares.
 ROW_BLOCK, QUERY_BLOCK = 16_384, 2_048
 _PILOT = 1_024
@@ -166,8 +168,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, vec: str = "embedd
     query_blocks = max(1, math.ceil(4 * share / query_block))
     most = F.create_map(*[F.lit(x) for i, b in enumerate(blocks.tolist()) if b > 1 for x in (i, b)]) if (blocks > 1).any() else None
     in_list = F.coalesce(most[F.col("list")], F.lit(1)) if most is not None else F.lit(1)
-    placed = assigned.withColumn("block", F.pmod(F.xxhash64("vec_id"), in_list)).withColumn(
-        "turn", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    # Both sides of the cogroup need keys of one type, or equal keys hash apart.
+    placed = assigned.withColumn("block", F.pmod(F.xxhash64("vec_id"), in_list).cast("long")).withColumn(
+        "turn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -181,7 +184,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, vec: str = "embedd
                     # As many lists as it takes to find k others.
                     enough = int(np.searchsorted(np.cumsum(index.sizes[order[i]]), k + 1)) + 1
                     beat = _kth(first[i][index.pilot_ids != qid], k)
-                    beat = beat * (1 + 1e-6) + 1e-9
+                    beat = beat * ROOM + 1e-9
                     for lst in order[i][:max(index.probes, enough)].tolist():
                         out += [(lst, blk, int(qid) // 7 % query_blocks, qid, b["vec"].iat[a + i], beat) for blk in range(blocks[lst])]
             yield pd.DataFrame(out, columns=["list", "block", "turn", "query_id", "vec", "beat"])
