@@ -80,7 +80,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    # Labels grow with the documents, so they are merged, never broadcast.
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").hint("merge")
     seen = docs.select("doc_id", "text").where(~toxicity.held_out(F.col("doc_id"))).join(labels, "doc_id")
     found = toxicity.score(docs, toxicity.fit(seen))
     doc_id = F.col("doc.doc_id")
