@@ -25,15 +25,15 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilequarry.llm.common import row_struct, written
+from tilequarry.llm.common import released, row_struct, written
 from tilequarry.llm.tokens import Remembering, arrow_slices, byte_characters, load, ragged
 
 #: Characters of an unsplit piece from which on it is cut, and of a leaf at most.
 LEAF = 4096
 #: Tokens of either side in the first window around a join, and how many must come out unchanged.
 WINDOW, AGREE = 8, 2
-#: Bytes of text encoded at a time.
-SLICE = 2 << 20
+#: Bytes of text encoded at a time, and pieces remembered.
+SLICE, REMEMBERED = 1 << 20, 100_000
 
 #: The published byte-level pre-tokenizer pattern (fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -63,7 +63,7 @@ class Bpe:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(strings), np.uint8)
         self.strings = strings
-        self.pieces = Remembering(lambda new: [[self.added[p]] if p in self.added else self.merge(p.encode()) for p in new])
+        self.pieces = Remembering(lambda new: [[self.added[p]] if p in self.added else self.merge(p.encode()) for p in new], REMEMBERED)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of bytes that the pre-tokenizer does not split."""
@@ -179,6 +179,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", leaf: int = LEAF, dec
     body = F.coalesce(F.col("doc").getField(text), F.lit(""))
     schema = f"doc {rows.schema['doc'].dataType.simpleString()}, ids binary" + ", decoded binary" * decoded
 
+    @released
     def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for b in batches:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,3 +66,20 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def released(task: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """A task that hands the memory it freed back to the system, since Python workers idle on for later stages."""
+
+    @wraps(task)
+    def run(*args, **kwargs) -> Iterator:
+        try:
+            yield from task(*args, **kwargs)
+        finally:
+            gc.collect()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library: it keeps what it has
+
+    return run

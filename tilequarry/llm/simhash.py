@@ -12,7 +12,7 @@ Every fingerprint is indexed under its value of each partition and probes all va
 within t_i.  Equal keys meet after one shuffle, sorted, as a stream; candidates are
 verified there and only a spanning forest of the links leaves the task, so a group of k
 near copies gives about k rows.  A key with more than `run_limit` rows is not paired off but
-dealt out again under longer keys (the exact pigeonhole over four quarters), up to
+dealt out again under longer keys (the exact pigeonhole over four or more parts), up to
 LEVELS times, and paired off after that: nothing is dropped.
 
 Defined results: null and blank texts have fingerprint zero and link like any other;
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilequarry.llm.common import row_struct, written
+from tilequarry.llm.common import released, row_struct, written
 from tilequarry.llm.components import components
 
 BITS = 64
@@ -73,6 +73,7 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(_POWER[2 * ones > len(hashes)].sum(dtype=np.uint64))
 
 
+@released
 def _fingerprints(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
     for b in batches:
         fps = np.array([fingerprint(shingle_hashes(t, size)) for t in b["text"]], np.uint64)
@@ -183,6 +184,7 @@ def _masks(bits: list[int], most: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+@released
 def _keys(batches: Iterator[pd.DataFrame], plan: list[tuple[list[int], int]]) -> Iterator[pd.DataFrame]:
     """key, fp, probe: a row under each partition's own value (both roles) and one for each value probed."""
     ready = [(np.uint64(k + 1), np.uint64(sum(1 << b for b in bits)), _masks(bits, t)) for k, (bits, t) in enumerate(plan)]
@@ -252,20 +254,22 @@ def _links(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, radius: int) -> p
     return out[out["u"] != out["v"]]
 
 
-def _again(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, level: int) -> pd.DataFrame:
-    """Rows of a crowded key under four longer keys: one for each quarter of the bits, rotated by the level."""
+def _again(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, level: int, radius: int) -> pd.DataFrame:
+    """Rows of a crowded key under longer keys: one for each of radius + 1 parts of the bits (four at least), rotated by the level."""
     nodes, turn = _nodes(fp), np.uint64(8 * level % BITS)
+    parts = max(4, radius + 1) if fp.ndim == 1 else 4
     fp = fp if fp.ndim == 1 else fp[:, (level + 1) % fp.shape[1]]
     turned = (fp << turn) | (fp >> np.uint64((BITS - int(turn)) % BITS)) if turn else fp
     out = []
-    for q in range(4):
-        quarter = (turned >> np.uint64(16 * q)) & np.uint64(0xFFFF)
-        longer = _mix(_mix(key + quarter) + np.uint64(q + 11))
-        out.append(pd.DataFrame({"u": nodes, "v": nodes, "key": longer.view(np.int64),
-                                 "probe": probe, "again": True}))
+    for q in range(parts):
+        low, high = BITS * q // parts, BITS * (q + 1) // parts
+        part = (turned >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
+        longer = _mix(_mix(key + part) + np.uint64(q + 11))
+        out.append(pd.DataFrame({"u": nodes, "v": nodes, "key": longer.view(np.int64), "probe": probe, "again": True}))
     return pd.concat(out)
 
 
+@released
 def _stream(batches: Iterator[pd.DataFrame], radius: int, run_limit: int, level: int) -> Iterator[pd.DataFrame]:
     """Rows sorted by key, batch by batch; no more than a batch and `run_limit` rows are held."""
     held: list[np.ndarray] | None = None
@@ -277,7 +281,7 @@ def _stream(batches: Iterator[pd.DataFrame], radius: int, run_limit: int, level:
         cols = new if held is None else [np.concatenate(x) for x in zip(held, new)]
         if crowded is not None:
             rest = int(np.count_nonzero(cols[0] == crowded))  # they come first
-            yield _again(*[c[:rest] for c in cols], level)
+            yield _again(*[c[:rest] for c in cols], level, radius)
             cols = [c[rest:] for c in cols]
         crowded, held = None, None
         if not len(cols[0]):
@@ -293,7 +297,7 @@ def _stream(batches: Iterator[pd.DataFrame], radius: int, run_limit: int, level:
         done = len(cols[0]) if crowded is not None else last
         big = np.repeat(sizes > run_limit, sizes)[:done]
         if big.any():
-            yield _again(*[c[:done][big] for c in cols], level)
+            yield _again(*[c[:done][big] for c in cols], level, radius)
         yield _links(*[c[:done][~big] for c in cols], radius)
     if held is not None:
         yield _links(*held, radius)
@@ -335,6 +339,7 @@ def classes(docs: DataFrame, shingle: int = 3, radius: int = 3, text: str = "tex
 
 # ---- wider fingerprints, for looser similarities ---------------------------------------
 
+@released
 def _wide(batches: Iterator[pd.DataFrame], size: int, words: int) -> Iterator[pd.DataFrame]:
     salts = [np.uint64((k * 0x9E3779B97F4A7C15) % (1 << 64)) for k in range(words)]
     for b in batches:

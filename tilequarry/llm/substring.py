@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilequarry.llm import packed, wordhash
-from tilequarry.llm.common import row_struct
+from tilequarry.llm.common import released, row_struct
 from tilequarry.llm.tokens import slices
 
 WINDOW = 20
@@ -66,6 +66,7 @@ def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[_Slice, pd.DataFr
             yield _Slice(texts[i:j], part["oid"].to_numpy(np.int64), part["tk"].to_numpy(np.int64)), part
 
 
+@released
 def _probes(batches: Iterator[pd.DataFrame], block: int, buckets: int) -> Iterator[pd.DataFrame]:
     """Index blocks and probes, packed by bucket; windows that repeat right here are hits already (rows without hashes)."""
     for s, _ in _slices(batches):
@@ -97,6 +98,7 @@ def _hits(frame: pd.DataFrame, block: int, parts: int) -> pd.DataFrame:
     return pd.concat(out)
 
 
+@released
 def _candidates(batches: Iterator[pd.DataFrame], window: int, block: int, buckets: int) -> Iterator[pd.DataFrame]:
     """Windows that hold a hit, by 96 bits of hash; those with an earlier equal right here are marked already."""
     for s, part in _slices(batches):

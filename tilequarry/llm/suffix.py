@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilequarry.llm import packed
-from tilequarry.llm.common import row_struct, written
+from tilequarry.llm.common import released, row_struct, written
 from tilequarry.llm.tokens import slices
 from tilequarry.llm.wordhash import mix
 
@@ -188,6 +188,7 @@ def _stretches(batches: Iterator[pd.DataFrame], length: int):
             yield b, oid, tk, row, parts, text, lo, lo + off, n, at, h
 
 
+@released
 def _probes(batches: Iterator[pd.DataFrame], length: int, buckets: int) -> Iterator[pd.DataFrame]:
     """Anchor hashes, packed by bucket; those that repeat right here are hits already (rows without hashes)."""
     for _, oid, tk, row, _, _, _, pos, _, _, h in _stretches(batches, length):
@@ -210,6 +211,7 @@ def _hits(frame: pd.DataFrame, parts: int) -> pd.DataFrame:
     return pd.concat([old.places(np.arange(len(old.pos)), parts), e.places(np.sort(order[np.repeat(n > 1, n)]), parts)])
 
 
+@released
 def _pieces(batches: Iterator[pd.DataFrame], length: int, buckets: int) -> Iterator[pd.DataFrame]:
     """Pieces to be sorted; equal ones that meet right here are marked (rows without body) and one goes on, with n = 0.
 
@@ -235,6 +237,7 @@ def _pieces(batches: Iterator[pd.DataFrame], length: int, buckets: int) -> Itera
         yield pd.DataFrame(out, columns=["bucket", "key", "oid", "tk", "off", "n", "anchor", "body"])
 
 
+@released
 def _cut(batches: Iterator[pd.DataFrame], length: int, segment: int, buckets: int) -> Iterator[pd.DataFrame]:
     """Pieces of hot anchors, cut so that each part's windows share all but `segment` - 1 bytes on either side."""
     for b in batches:
@@ -252,40 +255,42 @@ def _cut(batches: Iterator[pd.DataFrame], length: int, segment: int, buckets: in
 
 def _sorted(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     """oid, tk, pos: ranges of window starts (u32 pairs) of the pieces of one bucket that stand elsewhere too."""
-    out = []
-
-    def mark(row, hit: np.ndarray) -> None:
-        turn = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
-        if row.n and len(turn):
-            out.append((row.oid, row.tk, (turn + row.off).astype("<u4").tobytes()))
+    oid, tk, off, n = (rows[c].to_numpy(np.int64) for c in ("oid", "tk", "off", "n"))
+    body = rows["body"].tolist()
+    out: list[tuple[int, bytes]] = []
 
-    def sort(batch: dict[bytes, list]) -> None:
-        for (body, owners), hit in zip(batch.items(), repeated(list(batch), length)):
-            for r in owners:
-                mark(r, hit)
+    def sort(batch: dict[bytes, int]) -> None:
+        for i, hit in zip(batch.values(), repeated(list(batch), length)):
+            if i >= 0 and n[i] and hit.any():
+                turn = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
+                out.append((i, (turn + off[i]).astype("<u4").tobytes()))
 
-    batch: dict[bytes, list] = {}
+    batch: dict[bytes, int] = {}
     size = 0
-    for _, group in rows.groupby("key"):
-        bodies: dict[bytes, list] = {}
-        for r in group.itertuples():
-            bodies.setdefault(r.body, []).append(r)
-        few = {}
-        for body, owners in bodies.items():
-            if len(owners) > 1:  # the piece as a whole stands twice
-                for r in owners:
-                    mark(r, np.ones(len(body) - length + 1, bool))
-                owners = []
-            few[body] = owners
-        if len(few) > 1:
-            batch |= few
-            size += sum(map(len, few))
+    order = np.argsort(rows["key"].to_numpy(np.int64), kind="stable")
+    first, count = packed.runs(rows["key"].to_numpy(np.int64)[order])
+    order = order.tolist()
+    for a, c in zip(first.tolist(), count.tolist()):
+        if c == 1:
+            continue
+        owner: dict[bytes, int] = {}  # the row of a piece; -1 if it stands twice as a whole and is marked
+        for i in order[a:a + c]:
+            before = owner.setdefault(body[i], i)
+            if before != i:
+                for k in (before, i):
+                    if k >= 0 and n[k]:
+                        out.append((k, np.array([off[k], off[k] + len(body[k]) - length + 1], "<u4").tobytes()))
+                owner[body[i]] = -1
+        if len(owner) > 1:
+            batch |= owner
+            size += sum(map(len, owner))
             if size >= SORT_BYTES:
                 sort(batch)
                 batch, size = {}, 0
     if batch:
         sort(batch)
-    return pd.DataFrame(out, columns=["oid", "tk", "pos"])
+    at = [i for i, _ in out]
+    return pd.DataFrame({"oid": oid[at], "tk": tk[at], "pos": [p for _, p in out]})
 
 
 def _ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -313,8 +318,11 @@ def _marks(pieces: DataFrame, length: int, buckets: int, hot_bytes: int) -> Data
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id",
-          bucket_bytes: int = BUCKET_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
-    """doc (all input columns), n_bytes, n_removed, n_spans, spans (start, end, ... in bytes), kept (bytes)."""
+          bucket_bytes: int = BUCKET_BYTES, hot_bytes: int = HOT_BYTES, as_text: bool = False) -> DataFrame:
+    """doc (all input columns), n_bytes, n_removed, n_spans, spans (start, end, ... in bytes), kept.
+
+    kept holds the bytes that stay; with `as_text` a string, without the characters that the cuts broke.
+    """
     body = F.coalesce(docs[text].cast("binary"), F.lit(b""))
     rows = docs.select(row_struct(docs), F.coalesce(docs[key].cast("long"), F.lit(-(1 << 63))).alias("oid"),
                        F.xxhash64(body).alias("tk"))
@@ -328,13 +336,15 @@ def dedup(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str =
     pieces = written(found.mapInPandas(partial(_pieces, length=length, buckets=buckets), _PIECES), "pieces")
     marks = _marks(pieces, length, buckets, hot_bytes).groupBy("oid", "tk").agg(F.collect_set("pos").alias("marks"))
 
-    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, spans array<long>, kept binary")
+    text_of = (lambda b: b.decode("utf-8", "ignore")) if as_text else (lambda b: b)
+
+    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, spans array<long>, kept " + ("string" if as_text else "binary"))
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, marked in batches:
             out = []
             for t, m in zip(texts, marked):
                 if m is None or not len(m):
-                    out.append((len(t), 0, 0, [], t))
+                    out.append((len(t), 0, 0, [], text_of(t)))
                     continue
                 p = np.concatenate([np.frombuffer(x, "<u4") for x in m]).astype(np.int64).reshape(-1, 2)
                 edge = np.zeros(len(t) + 1, np.int64)
@@ -343,7 +353,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str =
                 gone = np.cumsum(edge)[:-1] > 0
                 turn = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
                 kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
-                out.append((len(t), int(gone.sum()), len(turn) // 2, turn.tolist(), kept))
+                out.append((len(t), int(gone.sum()), len(turn) // 2, turn.tolist(), text_of(kept)))
             yield pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
     return rows.join(marks, ["oid", "tk"], "left").select("doc", cut(body, "marks").alias("r")).select("doc", "r.*")
