@@ -26,18 +26,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tilequarry.llm.tokens import ragged, slices, word_encoder
+from tilequarry.llm.common import released
+from tilequarry.llm.tokens import arrow_slices, word_encoder
 
 MAGIC = b"TQPFOR1\0"
 HEAD = "<8s5Q"
 BLOCK = 256
 PERCENTILE = 90
 #: Bytes of text that go into one file.
-FILE_BYTES = 32 << 20
+FILE_BYTES = 16 << 20
 _BATCH = 4096  # blocks packed at a time
 
 
@@ -111,14 +113,37 @@ def unpack(data: np.ndarray, starts: np.ndarray, first: int, last: int) -> np.nd
     return out.ravel()
 
 
-def file_bytes(shard: int, doc_ids: list, counts: np.ndarray, ids: np.ndarray) -> bytes:
-    """One whole file."""
-    starts, blocks = pack(ids)
-    plain = np.array([0 if d is None or d != d else d for d in doc_ids], "<i8")
-    null = np.array([d is None or d != d for d in doc_ids], np.uint8)
-    head = struct.pack(HEAD, MAGIC, shard, len(doc_ids), len(ids), len(starts) - 1, BLOCK)
-    return b"".join((head, plain.tobytes(), null.tobytes(), counts.astype("<u8").tobytes(),
-                     starts.astype("<u8").tobytes(), blocks.tobytes()))
+class FileBuilder:
+    """One file, built as ids come in; only packed blocks and one unfinished block are held."""
+
+    def __init__(self) -> None:
+        self.doc_ids: list[int | None] = []
+        self.counts, self.sizes, self.blocks = [], [], []
+        self.rest = np.zeros(0, np.uint32)
+        self.tokens = 0
+
+    def add(self, doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> None:
+        self.doc_ids += doc_ids
+        self.counts.append(counts.astype("<u8"))
+        self.tokens += len(ids)
+        ids = np.concatenate((self.rest, ids.astype(np.uint32)))
+        whole = len(ids) // BLOCK * BLOCK
+        self._pack(ids[:whole])
+        self.rest = ids[whole:].copy()
+
+    def _pack(self, ids: np.ndarray) -> None:
+        if len(ids):
+            starts, blocks = pack(ids)
+            self.sizes.append(np.diff(starts))
+            self.blocks.append(blocks.tobytes())
+
+    def bytes(self, shard: int) -> bytes:
+        self._pack(self.rest)
+        starts = np.concatenate(([0], np.cumsum(np.concatenate(self.sizes)) if self.sizes else [])).astype("<u8")
+        plain = np.array([d or 0 for d in self.doc_ids], "<i8")
+        null = np.array([d is None for d in self.doc_ids], np.uint8)
+        head = struct.pack(HEAD, MAGIC, shard, len(plain), self.tokens, len(starts) - 1, BLOCK)
+        return b"".join((head, plain.tobytes(), null.tobytes(), *(c.tobytes() for c in self.counts), starts.tobytes(), *self.blocks))
 
 
 class TokenFile:
@@ -149,23 +174,19 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = 1,
     # Ties are dealt by hash too, so one doc_id on many rows fills many files, not one.
     ranged = plain.repartitionByRange(int(total // file_bytes_of_text) + 1, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
-    def files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = word_encoder(tokenizer)
-        doc_ids, counts, ids = [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+    @released
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, out = word_encoder(tokenizer), FileBuilder()
         for b in batches:
-            texts = b["text"].tolist()
-            for i, j in slices(texts):
-                got, n = encode(texts[i:j])
+            for part, texts in arrow_slices(b, b.column("text")):
+                ids, n = encode(texts)
                 if end_id is not None:
-                    got, n = np.insert(got, np.cumsum(n), end_id), n + 1
-                ids.append(got.astype(np.uint32))
-                counts.append(n)
-            doc_ids += [None if pd.isna(d) else int(d) for d in b["doc_id"]]
-        if doc_ids:
-            shard = TaskContext.get().partitionId()
-            yield pd.DataFrame({"content": [file_bytes(shard, doc_ids, np.concatenate(counts), np.concatenate(ids))]})
-
-    packed = ranged.mapInPandas(files, "content binary")
+                    ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
+                out.add(part.column("doc_id").to_pylist(), n, ids)
+        if out.doc_ids:
+            yield pa.RecordBatch.from_pydict({"content": pa.array([out.bytes(TaskContext.get().partitionId())], pa.binary())})
+
+    packed = ranged.mapInArrow(files, "content binary")
     packed.select(F.col("content").cast("string").alias("value")).write.text(folder)
 
 
@@ -173,6 +194,7 @@ def read(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, ids (binary, little-endian u32; null unless asked for) of each document."""
     stored = spark.read.format("binaryFile").load(folder).where("length > 1").select("content")
 
+    @released
     def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for content in b["content"]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from itertools import chain, repeat
 
 import numpy as np
@@ -13,8 +14,8 @@ import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces remembered by one task; beyond that it starts anew.
-REMEMBERED = 200_000
+#: Pieces remembered by one worker, over its tasks; beyond that it starts anew.
+REMEMBERED = 300_000
 #: Bytes of text handled at a time, so that arrays stay small whatever the batch.
 SLICE_BYTES = 4 << 20
 
@@ -38,8 +39,8 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class Remembering:
     """Encodes pieces through `encode_all`, each distinct one once."""
 
-    def __init__(self, encode_all: Callable[[list], Iterable[list[int]]]):
-        self.encode_all = encode_all
+    def __init__(self, encode_all: Callable[[list], Iterable[list[int]]], most: int = REMEMBERED):
+        self.encode_all, self.most = encode_all, most
         self.clear()
 
     def clear(self) -> None:
@@ -48,24 +49,30 @@ class Remembering:
         self.lengths = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
-    def __call__(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in order, and how many each piece has."""
-        if len(self.at) > REMEMBERED:
+    def table(self, pieces: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where each of these different pieces begins in them and how many it has."""
+        if len(self.at) > self.most:
             self.clear()
         rows = np.fromiter(map(self.at.get, pieces, repeat(-1)), np.int64, len(pieces))
-        missing = np.flatnonzero(rows < 0).tolist()
-        if missing:
-            new = list({pieces[k] for k in missing})
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            new = [pieces[k] for k in missing.tolist()]
             found = list(self.encode_all(new))
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            ids = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
-            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
-            self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lengths) - lengths))
-            self.lengths = np.concatenate((self.lengths, lengths))
-            self.flat = np.concatenate((self.flat, ids))
-            rows[missing] = [self.at[pieces[k]] for k in missing]
-        lengths = self.lengths[rows]
-        return self.flat[ragged(self.starts[rows], lengths)], lengths
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            ids = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
+            rows[missing] = np.arange(len(self.at), len(self.at) + len(new))
+            self.at.update(zip(new, rows[missing].tolist()))
+            self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(size) - size))
+            self.lengths, self.flat = np.concatenate((self.lengths, size)), np.concatenate((self.flat, ids))
+        return self.flat, self.starts[rows], self.lengths[rows]
+
+    def __call__(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in order, and how many each piece has."""
+        place: dict = {}
+        rows = np.fromiter((place.setdefault(p, len(place)) for p in pieces), np.int64, len(pieces))
+        flat, starts, lengths = self.table(list(place))
+        per_piece = lengths[rows]
+        return flat[ragged(starts[rows], per_piece)], per_piece
 
 
 def slices(texts: list, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
@@ -80,7 +87,7 @@ def slices(texts: list, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
         yield a, len(texts)
 
 
-def arrow_slices(batch: pa.RecordBatch, texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
+def arrow_slices(batch: pa.RecordBatch, texts: pa.Array, most: int = SLICE_BYTES // 2) -> Iterator[tuple[pa.RecordBatch, list]]:
     """A batch in parts with about `most` bytes of text each, and the texts of each part (null: empty)."""
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // most
     cut = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(size)]
@@ -104,6 +111,7 @@ _SIMPLE = regex.compile(r"[\x21-\x7e\u00a1-\u012f\u0131-\u024f]++")
 _WORD_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
+@lru_cache(maxsize=1)
 def word_encoder(path: str) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
     """Texts (UTF-8) -> all ids, ids per text, for a tokenizer that drops white space and never looks across it.
 
@@ -112,31 +120,42 @@ def word_encoder(path: str) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndar
     """
     tok = load(path)
     merge, chars = tok.model.tokenize, dict(enumerate(byte_characters()))
-    pieces: dict[str, list[int]] = {}
+    signs: dict[str, list[int]] = {}
+
+    def letters(piece: str) -> list[int]:
+        return [t.id for t in merge(piece)]
 
     def piece_ids(piece: str) -> list[int]:
-        found = pieces.get(piece)
-        if found is None:
-            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(chars)
-            found = pieces[piece] = [t.id for t in merge(shown)]
-        return found
+        if piece in signs:
+            return signs[piece]
+        ids = letters(piece if piece.isascii() else piece.encode().decode("latin-1").translate(chars))
+        if len(piece) < 4 and len(signs) < REMEMBERED:
+            signs[piece] = ids
+        return ids
 
     def encode_words(new: list[bytes]) -> Iterator[list[int]]:
-        if len(pieces) > REMEMBERED:
-            pieces.clear()
         for raw in new:
-            word = raw.decode("utf-8", "replace")
-            if _SIMPLE.fullmatch(word) and "<|" not in word:
-                yield [i for p in _WORD_PIECES.findall(word.lower()) for i in piece_ids(p)]
+            if raw.isalpha():  # of bytes: ASCII letters only
+                yield letters(raw.lower().decode())
+            elif raw[:-1].isalpha() and raw[-1] in b".,;:!?":
+                yield letters(raw[:-1].lower().decode()) + piece_ids(chr(raw[-1]))
             else:
-                yield tok.encode(word, add_special_tokens=False).ids
+                word = raw.decode("utf-8", "replace")
+                if _SIMPLE.fullmatch(word) and "<|" not in word:
+                    yield [i for p in _WORD_PIECES.findall(word.lower()) for i in piece_ids(p)]
+                else:
+                    yield tok.encode(word, add_special_tokens=False).ids
 
     words = Remembering(encode_words)
 
     def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        split = [t.split() for t in texts]
-        ids, per_word = words([w for s in split for w in s])
-        ends = np.concatenate(([0], np.cumsum(per_word)))[np.cumsum([0, *map(len, split)])]
-        return ids, np.diff(ends)
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))
+        counted = split.values.dictionary_encode()
+        rows = counted.indices.to_numpy()
+        different = counted.dictionary.view(pa.binary()).to_pylist()
+        flat, starts, lengths = words.table(different)
+        per_word = lengths[rows]
+        ends = np.concatenate(([0], np.cumsum(per_word)))[split.offsets.to_numpy()]
+        return flat[ragged(starts[rows], per_word)], np.diff(ends)
 
     return encode
