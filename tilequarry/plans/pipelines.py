@@ -86,8 +86,8 @@ def query_region_tiles(tiles: DataFrame, regions: DataFrame, tile_size: int = TI
                        hits: DataFrame | None = None) -> DataFrame:
     """As query_region on tiles of arrays: whole tiles, null outside the polygon.
 
-    The spans are found from the tiles' keys alone, so band arrays are read only
-    for the tiles they name.
+    The spans are found from the tiles' keys alone; the join with them reads the
+    bands of every tile of the datasets they name.
     """
     region = regions if all_features else first_region(regions)
     spans = raster.mask_spans(tiles, region, tile_size, region_size, hits)
