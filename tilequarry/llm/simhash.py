@@ -29,7 +29,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilequarry.llm.common import released, row_struct, written
@@ -337,46 +337,178 @@ def classes(docs: DataFrame, shingle: int = 3, radius: int = 3, text: str = "tex
     return fps.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-# ---- wider fingerprints, for looser similarities ---------------------------------------
+# ---- near copies by their shingle sets ---------------------------------------------------
+
+#: Counters of the sketch by which shingles are ordered, rare ones first, and counters of one row of it.
+#: The order decides how much is compared, never what is found.
+SKETCH, _CELLS = 1 << 20, 4096
+#: Rounds that compare with pivots only, before whatever is not linked yet is compared pair by pair.
+PIVOTS = 4
+
+
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    """The different shingle hashes, sorted."""
+    return np.unique(shingle_hashes(text, size))
+
 
 @released
-def _wide(batches: Iterator[pd.DataFrame], size: int, words: int) -> Iterator[pd.DataFrame]:
-    salts = [np.uint64((k * 0x9E3779B97F4A7C15) % (1 << 64)) for k in range(words)]
+def _digests(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    """oid, tk and the digest of the shingle set; at the end the task's part of the sketch (cell, counts)."""
+    counts = np.zeros(SKETCH, np.int64)
     for b in batches:
-        out = []
+        digests, held, n = [], [], 0
         for t in b["text"]:
-            h = np.unique(shingle_hashes(t, size))  # sets: a repeated shingle counts once
-            out.append(np.array([fingerprint(h if not k else _mix(h ^ salt)) for k, salt in enumerate(salts)], np.uint64).tobytes())
-        yield b[["oid", "tk"]].assign(fp=out)
+            h = shingle_set(t, size)
+            digests.append(xxhash.xxh3_128_digest(h.tobytes()))
+            held.append(h)
+            n += len(h)
+            if n > SKETCH:
+                counts += np.bincount((np.concatenate(held) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+                held, n = [], 0
+        if n:
+            counts += np.bincount((np.concatenate(held) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+        yield b[["oid", "tk"]].assign(digest=digests, cell=-1, counts=None)
+    if counts.any():
+        parts = [x.tobytes() for x in counts.reshape(-1, _CELLS)]
+        yield pd.DataFrame({"oid": 0, "tk": 0, "digest": None, "cell": np.arange(len(parts)), "counts": parts})
+
+
+def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for cell, counts in zip(b["cell"], b["counts"]):
+            total[cell] = total.get(cell, 0) + np.frombuffer(counts, np.int64)
+    yield pd.DataFrame({"cell": list(total), "counts": [np.minimum(255, 8 * np.log2(1 + x)).astype(np.uint8).tobytes() for x in total.values()]})
+
+
+def _need(n: np.ndarray | int, similarity: float) -> np.ndarray | int:
+    """Shingles that a set of n shares at least with any set so similar to it."""
+    return np.ceil(similarity * n - 1e-9).astype(np.int64)
+
+
+@released
+def _prefixes(batches: Iterator[pd.DataFrame], size: int, similarity: float, rank: np.ndarray) -> Iterator[pd.DataFrame]:
+    """token, node, n, pos: the rarest shingles of each set, as many as any set similar enough must meet one of.
+
+    A shingle that is alone in its counter of the sketch (rank 8) is in no other set and makes no row.
+    """
+    for b in batches:
+        for a in range(0, len(b), 500):
+            out = []
+            for node, t in zip(b["node"][a:a + 500], b["text"][a:a + 500]):
+                h = shingle_set(t, size)
+                n = len(h)
+                if not n:
+                    continue
+                r = rank[(h % np.uint64(SKETCH)).astype(np.int64)]
+                first = np.lexsort((_mix(h), r))[: n - int(_need(np.int64(n), similarity)) + 1]
+                pos = np.flatnonzero(r[first] > 8)
+                out.append(pd.DataFrame({"token": h[first[pos]].view(np.int64), "node": node, "n": n, "pos": pos}))
+            if out:
+                yield pd.concat(out)
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 6, text: str = "text", key: str = "doc_id",
+@released
+def _sets(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for a in range(0, len(b), 500):
+            part = b[a:a + 500]
+            yield pd.DataFrame({"node": part["node"], "shingles": [shingle_set(t, size).view(np.int64) for t in part["text"]]})
+
+
+def _fits(left: str, right: str, similarity: float) -> Column:
+    """Whether sets that meet in this shingle first can share enough, by their sizes and its places."""
+    rest = F.least(F.col(f"{left}.n") - F.col(f"{left}.pos"), F.col(f"{right}.n") - F.col(f"{right}.pos"))
+    return rest >= similarity / (1 + similarity) * (F.col(f"{left}.n") + F.col(f"{right}.n")) - 1e-6
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """u, v of the pairs whose sets are this similar, by the sets themselves."""
+    x = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x"))
+    y = sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
+    both = pairs.join(x, "u").join(y, "v").withColumn("common", F.size(F.array_intersect("x", "y")))
+    return written(both.where(F.col("common") / (F.size("x") + F.size("y") - F.col("common")) >= similarity).select("u", "v"), "links")
+
+
+def _pair(left: str, right: str) -> list[Column]:
+    a, b = F.col(f"{left}.node"), F.col(f"{right}.node")
+    return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
+
+
+def _set_links(shared: DataFrame, sets: DataFrame, similarity: float, run_limit: int) -> DataFrame:
+    """u, v: edges that connect exactly the nodes which a chain of pairs this similar connects.
+
+    `shared` has the rows (token, node, n, pos) of the index.  Sets under one token are compared with a pivot first.
+    Then, token by token, all outside the token's largest class so far meet all others of another class, in blocks
+    of `run_limit` rows, each pair of blocks under a key of its own.
+    """
+    links, rows, before = None, shared.withColumn("label", F.col("node")), None
+    for k in range(PIVOTS + 1):
+        counts = rows.groupBy("token", "label").agg(F.count("*").alias("c"))
+        sizes = written(counts.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.sum("c").alias("k"),
+                                                    (F.sum("c") - F.max("c")).alias("s")).where("s > 0"), "sizes")
+        work, n = sizes.agg(F.sum(F.col("s").cast("double") * F.col("k")), F.sum("k")).first()
+        if not n:
+            return links if links is not None else shared.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
+        mixed = rows.join(sizes, "token")
+        if k == PIVOTS or k and (work <= 8 * n or before is not None and work > before / 2):
+            break
+        before = work if k else None
+        # A few pivots for each group of near copies, whichever of their shingles they meet in.
+        outside = mixed if not k else mixed.where("label <> major")
+        pivots = outside.groupBy("token").agg(F.min_by(F.struct("node", "n", "pos", "label"), F.xxhash64("node", F.pmod("token", F.lit(4)), F.lit(k))).alias("p"))
+        met = mixed.alias("l").join(pivots, "token").where((F.col("l.label") != F.col("p.label")) & _fits("l", "p", similarity))
+        found = _verified(met.select(*_pair("l", "p")).distinct(), sets, similarity)
+        links = found if links is None else links.unionAll(found)
+        roots = components(links)
+        rows = written(shared.join(roots, "node", "left").select(*shared.columns, F.coalesce("root", "node").alias("label")), "labels")
+    across = lambda size: F.ceil(F.col(size) / F.lit(run_limit)).cast("int")
+    every = lambda size: F.explode(F.sequence(F.lit(0), across(size) - 1))
+    columns = ["token", "node", "n", "pos", "label", "major"]
+    left = mixed.where("label <> major").select(*columns, F.pmod(F.xxhash64("node"), across("s")).cast("int").alias("i"), every("k").alias("j"))
+    right = mixed.select(*columns, F.pmod(F.xxhash64("node"), across("k")).cast("int").alias("j"), every("s").alias("i"))
+    met = left.alias("l").join(right.alias("r"), ["token", "i", "j"]).where(
+        (F.col("l.label") != F.col("r.label")) & ((F.col("r.label") == F.col("r.major")) | (F.col("l.node") < F.col("r.node")))
+        & _fits("l", "r", similarity))
+    found = _verified(met.select(*_pair("l", "r")).distinct(), sets, similarity)
+    return found if links is None else links.unionAll(found)
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id",
                 run_limit: int = RUN_LIMIT) -> DataFrame:
-    """oid, tk, component: classes of documents whose shingle sets are estimated to be at least this similar.
+    """oid, tk, component: classes of documents that chains of pairs with at least this Jaccard similarity connect.
 
-    A 64-bit fingerprint cannot tell 0.8 apart: such pairs differ in some ten bits.  With `words` fingerprints
-    beside each other, their distance estimates the angle between the shingle vectors, and thus the
-    similarity; candidates are pairs within three bits in a partition plan of any word.  That finds
-    every pair with at most 4 * words - 1 bits apart (0.91 and more, in expectation) and, where bits differ at
-    random, about 0.86 of the pairs at 0.8 and 0.95 at 0.85.  oid is the doc_id (null: the smallest long), tk the text's hash.
+    Shingle sets are compared as sets of 64-bit hashes.  Equal sets collapse first.  Candidates come from a prefix
+    filter: in any order of all shingles, two sets this similar share one of the first n - ceil(similarity * n) + 1 of
+    each, so none is missed, whatever the number of documents; each candidate is then decided by the sets
+    themselves.  oid is the doc_id (null: the smallest long), tk the text's hash.
     """
     body = F.coalesce(docs[text].cast("binary"), F.lit(b""))
     plain = docs.select(F.coalesce(docs[key].cast("long"), F.lit(-(1 << 63))).alias("oid"), F.xxhash64(body).alias("tk"), body.alias("text"))
-    fps = written(plain.mapInPandas(partial(_wide, size=shingle, words=words), "oid long, tk long, fp binary"), "fingerprints")
-    first = written(fps.groupBy("fp").agg(F.count("*").alias("copies")), "fingerprints")
-    word = first.select(F.expr("CAST(conv(hex(reverse(substring(fp, 1, 8))), 16, -10) AS LONG)").alias("fp"))
-    plan = plan_index(bit_statistics(word), first.count(), 3)
-    angle = np.arccos(min(1.0, 2 * similarity / (1 + similarity)))
-    radius = int(angle / np.pi * BITS * words)
-    rows = first.select("fp").mapInPandas(partial(_keys, plan=plan), "key long, fp binary, probe boolean")
-    roots = components(_connect(rows, "binary", radius, run_limit)).withColumnRenamed("node", "fp")
-    named = first.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("component"))
-    return fps.join(named, "fp").select("oid", "tk", "component")
-
-
-def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
+    seen = written(plain.mapInPandas(partial(_digests, size=shingle), "oid long, tk long, digest binary, cell int, counts binary"), "digests")
+    rank = np.zeros(SKETCH, np.uint8)
+    for r in seen.where("cell >= 0").select("cell", "counts").repartition("cell").mapInPandas(_summed, "cell int, counts binary").collect():
+        rank[r.cell * _CELLS:(r.cell + 1) * _CELLS] = np.frombuffer(r.counts, np.uint8)
+    seen = seen.where("cell < 0").select("oid", "tk", "digest")
+    first = seen.groupBy("digest").agg(F.min(F.struct("oid", "tk")).alias("w"))
+    first = written(first.select("digest", "w.oid", "w.tk", F.monotonically_increasing_id().alias("node")), "sets")
+    same = Window.partitionBy("oid", "tk").orderBy("node")
+    texts = plain.join(first.select("oid", "tk", "node"), ["oid", "tk"]).withColumn("copy", F.row_number().over(same))
+    texts = written(texts.where("copy = 1").select("node", "text"), "texts")
+    index = written(texts.mapInPandas(partial(_prefixes, size=shingle, similarity=similarity, rank=rank), "token long, node long, n int, pos int"), "index")
+    often = index.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
+    shared = written(index.join(often, "token"), "index")
+    wanted = texts.join(shared.select("node").distinct(), "node", "left_semi")
+    sets = written(wanted.mapInPandas(partial(_sets, size=shingle), "node long, shingles array<long>"), "sets")
+    roots = components(_set_links(shared, sets, similarity, run_limit))
+    named = first.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component"))
+    return seen.join(named, "digest").select("oid", "tk", "component")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id",
+             run_limit: int = RUN_LIMIT) -> DataFrame:
     """The documents less near copies: of each class the one with the smallest doc_id (then text hash) stays."""
-    winners = near_copies(docs, shingle, similarity, text=text, key=key).groupBy("component").agg(
+    winners = near_copies(docs, shingle, similarity, text, key, run_limit).groupBy("component").agg(
         F.min(F.struct("oid", "tk")).alias("w")).select("w.oid", "w.tk")
     body = F.coalesce(docs[text].cast("binary"), F.lit(b""))
     rows = docs.select(row_struct(docs), F.coalesce(docs[key].cast("long"), F.lit(-(1 << 63))).alias("oid"), F.xxhash64(body).alias("tk"))
