@@ -192,12 +192,10 @@ def _keys(batches: Iterator[pd.DataFrame], plan: list[tuple[list[int], int]]) ->
         fps = _words(b["fp"])
         for a in range(0, len(fps), 4096):
             fp = fps[a:a + 4096]
-            for w in range(1 if fp.ndim == 1 else fp.shape[1]):
-                word = fp if fp.ndim == 1 else fp[:, w]
-                for part, mask, flips in ready:
-                    keys = _mix(_mix((word & mask)[:, None] ^ flips[None, :]) + part + np.uint64(w << 8)).ravel()
-                    probe = np.tile(np.arange(len(flips)) > 0, len(fp))
-                    yield pd.DataFrame({"key": keys.view(np.int64), "fp": _nodes(np.repeat(fp, len(flips), axis=0)), "probe": probe})
+            for part, mask, flips in ready:
+                keys = _mix(_mix((fp & mask)[:, None] ^ flips[None, :]) + part).ravel()
+                probe = np.tile(np.arange(len(flips)) > 0, len(fp))
+                yield pd.DataFrame({"key": keys.view(np.int64), "fp": np.repeat(fp, len(flips)).view(np.int64), "probe": probe})
 
 
 def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -218,16 +216,8 @@ def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = up[label]
 
 
-def _nodes(fp: np.ndarray) -> np.ndarray | list[bytes]:
-    """Fingerprints as columns carry them: one word as a long, several as bytes."""
-    return fp.view(np.int64) if fp.ndim == 1 else [x.tobytes() for x in fp]
-
-
 def _words(column: pd.Series) -> np.ndarray:
-    """The words of fingerprints: one for each row, or a row of several."""
-    if column.dtype != object:
-        return column.to_numpy(np.int64).view(np.uint64)
-    return np.frombuffer(b"".join(column), np.uint64).reshape(len(column), -1)
+    return column.to_numpy(np.int64).view(np.uint64)
 
 
 def _links(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, radius: int) -> pd.DataFrame:
@@ -243,22 +233,21 @@ def _links(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, radius: int) -> p
         if not len(at):
             break
         to = at + step
-        apart = np.bitwise_count(fp[at] ^ fp[to]).reshape(len(at), -1).sum(1, dtype=np.int64)
+        apart = np.bitwise_count(fp[at] ^ fp[to])
         near = ~(probe[at] & probe[to]) & (apart <= radius) & (apart > 0)
         if near.any():
             label = _join(label, at[near], to[near])
         step += 1
     moved = np.flatnonzero(label != np.arange(n))
-    a, b = _nodes(fp[moved]), _nodes(fp[label[moved]])
+    a, b = fp[moved].view(np.int64), fp[label[moved]].view(np.int64)
     out = pd.DataFrame({"u": a, "v": b, "key": 0, "probe": False, "again": False})
     return out[out["u"] != out["v"]]
 
 
 def _again(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, level: int, radius: int) -> pd.DataFrame:
     """Rows of a crowded key under longer keys: one for each of radius + 1 parts of the bits (four at least), rotated by the level."""
-    nodes, turn = _nodes(fp), np.uint64(8 * level % BITS)
-    parts = max(4, radius + 1) if fp.ndim == 1 else 4
-    fp = fp if fp.ndim == 1 else fp[:, (level + 1) % fp.shape[1]]
+    nodes, turn = fp.view(np.int64), np.uint64(8 * level % BITS)
+    parts = max(4, radius + 1)
     turned = (fp << turn) | (fp >> np.uint64((BITS - int(turn)) % BITS)) if turn else fp
     out = []
     for q in range(parts):
@@ -303,14 +292,14 @@ def _stream(batches: Iterator[pd.DataFrame], radius: int, run_limit: int, level:
         yield _links(*held, radius)
 
 
-def _connect(rows: DataFrame, kind: str, radius: int, run_limit: int) -> DataFrame:
+def _connect(rows: DataFrame, radius: int, run_limit: int) -> DataFrame:
     """u, v of the rows (key, fp, probe) that link under some key."""
     out, level = None, 0
     while True:
         dealt = rows.repartition("key").sortWithinPartitions("key")
         limit = run_limit if level < LEVELS else 1 << 62
         found = written(dealt.mapInPandas(partial(_stream, radius=radius, run_limit=limit, level=level),
-                                          f"u {kind}, v {kind}, key long, probe boolean, again boolean"), "links")
+                                          "u long, v long, key long, probe boolean, again boolean"), "links")
         edges = found.where("NOT again").select("u", "v").distinct()
         out = edges if out is None else out.unionAll(edges)
         again = found.where("again")
@@ -322,7 +311,7 @@ def _connect(rows: DataFrame, kind: str, radius: int, run_limit: int) -> DataFra
 def links(fps: DataFrame, radius: int = 3, run_limit: int = RUN_LIMIT) -> DataFrame:
     """u, v: edges that connect exactly the distinct fingerprints linked by a chain of near pairs."""
     plan = plan_index(bit_statistics(fps), fps.count(), radius)
-    return _connect(fps.mapInPandas(partial(_keys, plan=plan), "key long, fp long, probe boolean"), "long", radius, run_limit)
+    return _connect(fps.mapInPandas(partial(_keys, plan=plan), "key long, fp long, probe boolean"), radius, run_limit)
 
 
 def classes(docs: DataFrame, shingle: int = 3, radius: int = 3, text: str = "text", key: str = "doc_id",
