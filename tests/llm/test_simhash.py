@@ -108,3 +108,29 @@ def test_near_copies_keep_one(spark):
     kept = simhash.keep_one(frame(spark, docs))
     assert sorted(r.doc_id for r in kept.collect()) == [10 * k for k in range(12)]
     assert kept.columns == frame(spark, docs).columns
+
+
+def test_crowded_keys_end_in_bounded_groups(spark, tmp_path, monkeypatch):
+    """Fingerprints that stay under one key at every level: no task may pair off more than two blocks of a key."""
+    rng, limit, folder = random.Random(6), 40, str(tmp_path)
+    base = rng.getrandbits(16)
+    fps = np.array(sorted({base | sum(1 << b for b in rng.sample(range(48, 64), rng.choice([1, 2, 3, 5, 7, 9]))) for _ in range(500)}), np.uint64)
+    stream = simhash._stream
+
+    def watched(batches, radius, run_limit, level):
+        def noted():
+            count = {}
+            for b in batches:
+                for k, n in b["key"].value_counts().items():
+                    count[k] = count.get(k, 0) + n
+                yield b
+            most = max((n for n in count.values() if n <= run_limit), default=0)
+            open(f"{folder}/{most}", "w").close()
+        return stream(noted(), radius, run_limit, level)
+
+    monkeypatch.setattr(simhash, "_stream", watched)
+    place = {int(v): k for k, v in enumerate(fps.view(np.int64))}
+    found = simhash.links(spark.createDataFrame([(int(v),) for v in fps.view(np.int64)], "fp long"), 3, limit).collect()
+    label = simhash._join(np.arange(len(fps)), np.array([place[r.u] for r in found]), np.array([place[r.v] for r in found]))
+    assert (label == classes_by_hand(fps, 3)).all()
+    assert 0 < max(int(p.name) for p in tmp_path.iterdir()) <= 4 * limit

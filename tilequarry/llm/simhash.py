@@ -13,7 +13,8 @@ within t_i.  Equal keys meet after one shuffle, sorted, as a stream; candidates
 verified there and only a spanning forest of the links leaves the task, so a group of k
 near copies gives about k rows.  A key with more than `run_limit` rows is not paired off but
 dealt out again under longer keys (the exact pigeonhole over four or more parts), up to
-LEVELS times, and paired off after that: nothing is dropped.
+LEVELS times; what is crowded still is linked to a pivot, and the rest of the key is compared
+with all of it in blocks of `run_limit` rows, spread over tasks: nothing is dropped.
 
 Defined results: null and blank texts have fingerprint zero and link like any other;
 exact copies share a fingerprint and thus a class, and are never paired; a null doc_id
@@ -41,7 +42,7 @@ PROBE_WORK, CANDIDATE_WORK = 50.0, 1.0
 #: Rows of one key that are paired off directly; more are dealt out under longer keys.
 RUN_LIMIT = 20_000
 #: Times a crowded key is made longer.  After three, rows of a key agree in 16 bits thrice over, overlapping in
-#: part; what is still together then is mostly near indeed, and is paired off whatever its number.
+#: part; what is still together then is mostly near indeed, so that a pivot links most of it.
 LEVELS = 3
 _SLICE = 1 << 16
 _POWER = np.uint64(1) << np.arange(BITS, dtype=np.uint64)
@@ -292,12 +293,37 @@ def _stream(batches: Iterator[pd.DataFrame], radius: int, run_limit: int, level:
         yield _links(*held, radius)
 
 
+def _blocks(rows: DataFrame, radius: int, run_limit: int) -> tuple[DataFrame, DataFrame]:
+    """Crowded keys cut up: u, v of rows near the key's pivot, and all rows under keys of bounded size.
+
+    Rows near the pivot are connected by it, so only the others need to meet every row of the key: they and the whole
+    key are cut into blocks of about `run_limit` rows, and each pair of blocks has a key of its own.
+    """
+    pivots = rows.groupBy("key").agg(F.count("*").alias("k"), F.min("fp").alias("pivot"))
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot"))) <= radius
+    rows = written(rows.join(pivots, "key").withColumn("near", near | (F.col("k") <= run_limit)), "crowded")
+    big = rows.where(F.col("k") > run_limit)
+    stars = big.where("near AND fp <> pivot").select(F.col("fp").alias("u"), F.col("pivot").alias("v")).distinct()
+    apart = big.where("NOT near").groupBy("key").agg(F.count("*").alias("s"))
+    across = lambda size: F.ceil(F.col(size) / F.lit(run_limit)).cast("int")
+    block = lambda size: F.pmod(F.xxhash64("fp", "probe"), across(size)).cast("int")
+    every = lambda size: F.explode(F.sequence(F.lit(0), across(size) - 1))
+    big = big.join(apart, "key")
+    left = big.where("NOT near").select("key", "fp", "probe", block("s").alias("i"), every("k").alias("j"))
+    right = big.select("key", "fp", "probe", block("k").alias("j"), every("s").alias("i"))
+    dealt = left.unionByName(right).select(F.xxhash64("key", "i", "j").alias("key"), "fp", "probe").distinct()
+    return stars, dealt.unionAll(rows.where(F.col("k") <= run_limit).select("key", "fp", "probe"))
+
+
 def _connect(rows: DataFrame, radius: int, run_limit: int) -> DataFrame:
     """u, v of the rows (key, fp, probe) that link under some key."""
     out, level = None, 0
     while True:
+        limit = run_limit
+        if level == LEVELS:
+            stars, rows = _blocks(rows, radius, run_limit)
+            limit, out = 1 << 62, out.unionAll(stars)  # no key has more rows than two blocks
         dealt = rows.repartition("key").sortWithinPartitions("key")
-        limit = run_limit if level < LEVELS else 1 << 62
         found = written(dealt.mapInPandas(partial(_stream, radius=radius, run_limit=limit, level=level),
                                           "u long, v long, key long, probe boolean, again boolean"), "links")
         edges = found.where("NOT again").select("u", "v").distinct()
