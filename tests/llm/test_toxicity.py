@@ -61,3 +61,14 @@ def test_passages_and_awkward_texts(spark):
     nothing = toxicity.fit(train.where("toxic = 0"))
     assert {r.score for r in toxicity.score(frame(spark, docs[:3]), nothing).collect()} == {0.0}
     assert toxicity.score(frame(spark, docs).limit(0), model).count() == 0
+
+
+def test_rare_toxic_words_are_found_beside_any_number_of_ordinary_ones(spark):
+    rng = random.Random(3)
+    name = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxy", k=10))
+    common = [name() for _ in range(30000)]  # more than 131,072 features
+    assert len({f for w in common for f in toxicity.features(w)}) > 1 << 17
+    rows = [(k, " ".join(common) + (" zzvile" if k else ""), 1) for k in range(8)]
+    rows += [(8 + k, " ".join(name() for _ in range(30000)), 0) for k in range(50)]
+    lexicon = toxicity._lexicon(spark.createDataFrame(rows, "doc_id long, text string, toxic long").select("text", "toxic"))
+    assert "zzvile" in lexicon

@@ -9,9 +9,9 @@ S * rate - log(K n) to its credit (natural log of odds against chance); rate and
 fitted on the other documents.  Credits of all significant segments add up, and a logistic curve
 over them, fitted on the labels, turns the sum into a score from 0 to 1.
 
-Bounds: the candidates for the lexicon are the `CANDIDATES` features that most toxic documents
-have; everything else counts all labelled rows.  What reaches the driver is that
-list, a histogram of word scores and one of credits, of fixed size.
+Both classes are counted over all features in Spark, and log-odds and standard errors are columns
+there.  What reaches the driver is the lexicon, which is every feature that passes and grows with the
+vocabulary, and a histogram of word scores and one of credits, of fixed size.
 
 Defined results: null, empty and wordless texts have no segment and the least credit; a null
 doc_id takes no part in fitting and is scored like any other; labels that repeat count again; without a toxic or without
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from tilequarry.llm.common import row_struct, written
 
-#: Most features looked at, least toxic documents that have one, standard errors it must stand out by.
-CANDIDATES, MIN_DOCS, MIN_Z = 1 << 17, 3, 3.0
+#: Least toxic documents that have a feature of the lexicon, standard errors it must stand out by.
+MIN_DOCS, MIN_Z = 3, 3.0
 #: Weight of the prior in features, and what each feature has at least.
 PRIOR, LEAST = 500.0, 0.5
 #: Lengths of word beginnings that are features beside the word.
@@ -43,6 +43,8 @@ BEGINNINGS = (4, 5, 6, 7, 8)
 _BIN, _LOW, _HIGH = 0.25, -40.0, 400.0
 _WORD = re.compile(r"[^\W\d_]+")
 _REMEMBERED = 300_000
+#: Features a task counts before it hands the counts on.
+_COUNTED = 200_000
 
 
 def features(word: str) -> list[str]:
@@ -107,38 +109,41 @@ class Model:
 
 # ---- fitting ------------------------------------------------------------------------
 
-def _count(train: DataFrame, toxic: int, wanted: frozenset[str] | None) -> DataFrame:
-    """feature, docs: in how many documents of a class; the empty feature holds the sum over all features."""
+def _count(train: DataFrame) -> DataFrame:
+    """feature, y1, y0: in how many toxic and other documents; the empty feature holds the sums over all features."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def rows() -> Iterator[pd.DataFrame]:
+            every = list(c[0].keys() | c[1].keys())
+            for a in range(0, len(every), 10_000):
+                some = every[a:a + 10_000]
+                yield pd.DataFrame({"feature": pd.Series(some, dtype=object), "y1": [c[1][f] for f in some], "y0": [c[0][f] for f in some]})
+
+        c: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
         for b in batches:
-            c: Counter[str] = Counter()
-            for t in b["text"]:
+            for t, toxic in zip(b["text"], b["toxic"]):
                 found = {f for w in set(_WORD.findall(t.lower())) for f in features(w)}
-                c[""] += len(found)
-                c.update(found if wanted is None else found & wanted)
-            yield pd.DataFrame({"feature": list(c), "docs": list(c.values())})
+                c[toxic][""] += len(found)
+                c[toxic].update(found)
+                if len(c[0]) + len(c[1]) > _COUNTED:
+                    yield from rows()
+                    c = (Counter(), Counter())
+        yield from rows()
 
-    rows = train.where(F.col("toxic") == toxic).select("text").mapInPandas(count, "feature string, docs long")
-    return rows.groupBy("feature").agg(F.sum("docs").alias("docs"))
+    rows = train.mapInPandas(count, "feature string, y1 long, y0 long")
+    return rows.groupBy("feature").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0"))
 
 
 def _lexicon(train: DataFrame) -> dict[str, float]:
-    kept = _count(train, 1, None).where(F.col("docs") >= MIN_DOCS).orderBy(F.desc(F.col("feature") == ""), F.desc("docs"), "feature")
-    toxic = {r.feature: r.docs for r in kept.limit(CANDIDATES + 1).collect()}
-    other = {r.feature: r.docs for r in _count(train, 0, frozenset(toxic)).collect()}
-    n1, n0 = toxic.pop("", 0), other.pop("", 0)
+    counts = written(_count(train).where((F.col("y1") >= MIN_DOCS) | (F.col("feature") == "")), "counts")
+    n1, n0 = next(iter(counts.where("feature = ''").select("y1", "y0").collect()), (0, 0))
     if not n1 or not n0:
         return {}
-    out = {}
-    for f, y1 in toxic.items():
-        y0 = other.get(f, 0)
-        prior = PRIOR * (y1 + y0) / (n1 + n0) + LEAST
-        a, b = y1 + prior, y0 + prior
-        odds = math.log(a / (n1 + PRIOR - y1)) - math.log(b / (n0 + PRIOR - y0))
-        if odds / math.sqrt(1 / a + 1 / b) >= MIN_Z:
-            out[f] = odds
-    return out
+    y1, y0 = F.col("y1"), F.col("y0")
+    prior = PRIOR * (y1 + y0) / (n1 + n0) + LEAST
+    odds = F.log((y1 + prior) / (n1 + PRIOR - y1)) - F.log((y0 + prior) / (n0 + PRIOR - y0))
+    scored = counts.where("feature <> ''").select("feature", odds.alias("odds"), F.sqrt(1 / (y1 + prior) + 1 / (y0 + prior)).alias("error"))
+    return {r.feature: r.odds for r in scored.where(F.col("odds") / F.col("error") >= MIN_Z).select("feature", "odds").toLocalIterator()}
 
 
 def _histogram(rows: DataFrame, by: list[str]) -> list:
