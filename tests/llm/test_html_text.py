@@ -48,3 +48,23 @@ def test_odd_pages(spark):
     found = main_text(pages).select("doc.page_id", "text").collect()
     assert sorted(map(tuple, found), key=str) == [(1, "a"), (1, "a"), (None, "")]
     assert main_text(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("attrs", ['title="A hidden gem in Rome"', 'class="overflow hidden wide"', "title='x class=sidebar y'",
+                                   'data-note="style = \'display:none\'"', 'title="say aria-hidden=true"'])
+def test_words_inside_attribute_values_hide_nothing(attrs):
+    assert extract(f"<body><article {attrs}>{BODY}</article>") == TEXT
+
+
+@pytest.mark.parametrize("attrs", ["hidden", "HIDDEN=''", "class=x hidden", "hidden=until-found", "aria-hidden=true",
+                                   "style='color: red;display : none'", "style=display:none"])
+def test_hidden_elements_go(attrs):
+    assert extract(f"<body><article>{BODY}<p {attrs}>hidden, text, here</p></article>") == TEXT
+
+
+def test_parts_beside_an_article_stay():
+    one = "".join(f"<p>Part one, sentence {k}, with commas, and some more text to read.</p>" for k in range(6))
+    two = one.replace("one", "two")
+    want = [f"Part {n}, sentence {k}, with commas, and some more text to read." for n in ("one", "two") for k in range(6)]
+    assert extract(f"<body><main><article>{one}</article><section>{two}</section></main>") == "\n".join(want)
+    assert extract(f"<body><main>{one}</main><div>{two}</div>") == "\n".join(want)

@@ -44,8 +44,9 @@ CONTENT = frozenset("article body content entry main page post text blog story".
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>")
-_NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s/=]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
+#: A stray quoted string, or a name and its value if it has one.
+_ATTR = re.compile(r"""\"[^"]*"|'[^']*'|([^\s"'<>/=][^\s"'>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
+_NO_DISPLAY = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: An open element of the key is closed by a start tag of the values, within the boundary.
 _CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
@@ -53,14 +54,25 @@ _CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr"
 _BOUNDARY = frozenset("ul ol dl table html body article section div".split())
 
 
+def attributes(attrs: str) -> dict[str, str]:
+    """Names (lower case) and values of a tag's attributes; of equal names the first counts."""
+    out: dict[str, str] = {}
+    for m in _ATTR.finditer(attrs):
+        if m[1]:
+            out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
 class Node:
     __slots__ = ("tag", "words", "parent", "children", "hidden", "score", "size", "link_size")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.parent, self.children = tag, parent, []
-        found = " ".join(m[2] or m[3] or m[4] or "" for m in _NAMED.finditer(attrs)) if attrs else ""
+        named = attributes(attrs) if attrs else {}
+        found = " ".join(named[k] for k in ("class", "id", "role") if k in named)
         self.words = frozenset(w.lower() for w in _WORDS.findall(found)) if found else frozenset()
-        self.hidden = bool(attrs) and _HIDDEN.search(attrs) is not None
+        self.hidden = bool(named) and ("hidden" in named or named.get("aria-hidden", "").strip().lower() == "true"
+                                       or _NO_DISPLAY.search(named.get("style", "")) is not None)
         self.score = 0.0
         self.size = self.link_size = 0
 
@@ -304,9 +316,6 @@ def _with_siblings(best: Node) -> list[Node]:
     for n in siblings:
         alike = n.tag == best.tag and n.words == best.words and bool(n.words)
         score = n.score * (1 - _links(n)) + (0.2 * best.score if alike else 0.0)
-        if best.tag in ("article", "main"):  # says itself where it begins and ends; a title may stand before it
-            out += [n] * (n is best or n.tag == "h1")
-            continue
         plain = n.tag == "p" and n.size > 0 and _links(n) < 0.25
         if n is best or n.tag not in ("article",) and (score >= least or plain or n.tag in HEADING) or n.tag == "article" and score >= least:
             out.append(n)
