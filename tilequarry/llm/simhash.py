@@ -24,6 +24,7 @@ gives an empty result; only doc_id and text are read, whatever else the table ho
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -384,7 +385,7 @@ def _digests(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFram
             counts += np.bincount((np.concatenate(held) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
         yield b[["oid", "tk"]].assign(digest=digests, cell=-1, counts=None)
     if counts.any():
-        parts = [x.tobytes() for x in counts.reshape(-1, _CELLS)]
+        parts = [zlib.compress(x.tobytes(), 1) for x in counts.reshape(-1, _CELLS)]
         yield pd.DataFrame({"oid": 0, "tk": 0, "digest": None, "cell": np.arange(len(parts)), "counts": parts})
 
 
@@ -392,7 +393,7 @@ def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total: dict[int, np.ndarray] = {}
     for b in batches:
         for cell, counts in zip(b["cell"], b["counts"]):
-            total[cell] = total.get(cell, 0) + np.frombuffer(counts, np.int64)
+            total[cell] = total.get(cell, 0) + np.frombuffer(zlib.decompress(counts), np.int64)
     yield pd.DataFrame({"cell": list(total), "counts": [np.minimum(255, 8 * np.log2(1 + x)).astype(np.uint8).tobytes() for x in total.values()]})
 
 
@@ -466,6 +467,9 @@ def _set_links(shared: DataFrame, sets: DataFrame, similarity: float, run_limit:
         if not n:
             return links if links is not None else shared.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
         mixed = rows.join(sizes, "token")
+        if k:  # a token whose sets are all of one class stays so and drops out
+            mixed = written(mixed, "mixed")
+            shared = mixed.select(*shared.columns)
         if k == PIVOTS or k and (work <= 8 * n or before is not None and work > before / 2):
             break
         before = work if k else None
@@ -476,7 +480,7 @@ def _set_links(shared: DataFrame, sets: DataFrame, similarity: float, run_limit:
         found = _verified(met.select(*_pair("l", "p")).distinct(), sets, similarity)
         links = found if links is None else links.unionAll(found)
         roots = components(links)
-        rows = written(shared.join(roots, "node", "left").select(*shared.columns, F.coalesce("root", "node").alias("label")), "labels")
+        rows = shared.join(roots, "node", "left").select(*shared.columns, F.coalesce("root", "node").alias("label"))
     across = lambda size: F.ceil(F.col(size) / F.lit(run_limit)).cast("int")
     every = lambda size: F.explode(F.sequence(F.lit(0), across(size) - 1))
     columns = ["token", "node", "n", "pos", "label", "major"]
