@@ -113,3 +113,13 @@ def test_only_the_json_folder_of_a_path_goes(spark):
     paths = spark.createDataFrame([("/data/jsonruns/tiles/json/a.json",), ("/x/json/json/b.json",)], "p string")
     got = [r.t for r in paths.select(scalars.doc_to_tile_path(paths.p).alias("t")).collect()]
     assert got == ["/data/jsonruns/tiles/a.tif", "/x/json/b.tif"]
+
+
+def test_a_full_tile_is_one_document_in_fid_order(spark):
+    tiles = layout.with_tile_code(spark.createDataFrame(shapes.tile_rows("d1", 0, 0, 8, 8, 1, 1), shapes.TILE_SCHEMA))
+    n = 4500
+    pairs = tiles.crossJoin(spark.range(n).withColumnRenamed("id", "fid")).select("dataset_uid", "col", "row_", "fid")
+    features = spark.range(n).select(F.col("id").alias("fid"), F.create_map(F.lit("UID"), F.col("id").cast("string")).alias("attrs"))
+    rows = documents.tile_documents(tiles, features, 16.0, pairs=pairs).collect()
+    assert [(r.part, r.n_features) for r in rows] == [(0, n)]
+    assert rows[0].doc.split(",\n")[1:] == ['{"UID":"%d"}' % k for k in range(n)]

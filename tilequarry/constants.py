@@ -9,5 +9,4 @@ TARGET_EPSG = 32651       # default target of a reprojection
 
 # Sizes that bound how much one row may hold.
 POSTINGS_BLOCK_BITS = 12  # a rendered posting list covers 2^12 curve positions
-DOC_PART_FEATURES = 4096  # features in one part of a tile document
 REGION_SIZE = 100_000.0   # edge, in map units, of the cells that pair features with grids

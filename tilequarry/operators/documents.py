@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilequarry.constants import DOC_PART_FEATURES, REGION_SIZE
+from tilequarry.constants import REGION_SIZE
 from tilequarry.functions import scalars
 from tilequarry.operators import coverage as cov
 from tilequarry.operators.layout import TILE_KEY
@@ -28,26 +28,23 @@ def with_attributes(pairs: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def tile_documents(tiles: DataFrame, features: DataFrame, region_size: float = REGION_SIZE,
-                   part_features: int = DOC_PART_FEATURES, pairs: DataFrame | None = None) -> DataFrame:
+                   part_features: int | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """(dataset_uid, col, row_, tile_code, file_name, doc_path, part, n_features, doc).
 
-    Left outer: every tile has a document.  The text of a tile on which very many
-    features lie is written in parts of about ``part_features`` features, each
-    with the header, so no row grows with the data.
-
-    The tile-feature pairs are used twice; give ``pairs`` to read them from a
-    stored table.
+    Left outer: every tile has a document, one row of part 0 in fid order whatever the
+    number of features.  Only with ``part_features`` is a fuller tile written in parts of
+    about so many features, each with the header; the pairs are then used twice.  Give
+    ``pairs`` to read them from a stored table.
     """
     if pairs is None:
         pairs = cov.tile_features(tiles, features, region_size)
     pairs = pairs.select(*TILE_KEY, "fid")
-    sizes = pairs.groupBy(*TILE_KEY).agg(F.count("*").alias("n")).where(F.col("n") > part_features)
-    on_tile = with_attributes(pairs, features)
-    parted = on_tile.join(sizes, TILE_KEY, "left").select(
-        *TILE_KEY, "fid", F.to_json("attrs").alias("line"),
-        F.when(F.col("n").isNull(), 0).otherwise(
-            F.pmod(F.xxhash64("fid"), F.ceil(F.col("n") / part_features))).alias("part"),
-    )
+    on_tile, part = with_attributes(pairs, features), F.lit(0)
+    if part_features is not None:
+        sizes = pairs.groupBy(*TILE_KEY).agg(F.count("*").alias("n")).where(F.col("n") > part_features)
+        on_tile = on_tile.join(sizes, TILE_KEY, "left")
+        part = F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("fid"), F.ceil(F.col("n") / part_features)))
+    parted = on_tile.select(*TILE_KEY, "fid", F.to_json("attrs").alias("line"), part.alias("part"))
     bodies = parted.groupBy(*TILE_KEY, "part").agg(
         F.count("*").alias("n_features"),
         F.sort_array(F.collect_list(F.struct("fid", "line"))).alias("lines"),
