@@ -48,6 +48,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables in the shared folder that one job writes, and drops once what follows is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """As written(); the table can be dropped by its DataFrame."""
+        path = new_folder(self.spark, name)
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(table)] = (path, table)
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that nothing reads any more; those of others are left alone."""
+        for table in tables:
+            path, _ = self.paths.pop(id(table), (None, None))
+            if path:
+                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def drop_all(self) -> None:
+        self.drop(*[table for _, table in self.paths.values()])
+
+
 def words(text: Column) -> Column:
     """Array of the maximal runs without white space; null and blank texts give an empty array."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), "")

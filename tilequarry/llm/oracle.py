@@ -67,3 +67,56 @@ y AS (SELECT doc_id, domain, lang, source, n_tokens, unnest(range(passes)) AS ep
     UNION ALL SELECT doc_id, domain, lang, source, n_tokens, passes FROM x WHERE remainder > 0 AND upto <= remainder)
 SELECT * FROM y
 """
+
+#: Every n-gram of 1 to 5 words within pieces, counted; the score at each cut in 128-bit whole numbers.
+ORACLE["op11_phrase_collocations"] = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+    FROM w, (VALUES (1), (2), (3), (4), (5)) AS o(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL),
+total AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND a >= 100),
+inner_ AS (SELECT lang, a, unnest(flatten(list_transform(range(2, k), lambda m: list_transform(range(1, k - m + 2),
+    lambda i: array_to_string(w[i:i + m - 1], ' '))))) AS phrase FROM c),
+lost AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN inner_ i ON i.lang = c.lang AND i.phrase = c.phrase AND 100 * i.a >= 100 * c.a),
+kept AS (SELECT * FROM c ANTI JOIN lost USING (lang, phrase)),
+cut AS (SELECT *, unnest(range(1, k)) AS j FROM kept),
+scored AS (SELECT cut.lang, cut.phrase, cut.a, l.a AS l, r.a AS r, n, j,
+    ((1000::HUGEINT * cut.a * n) // (l.a::HUGEINT * r.a))::BIGINT AS score
+    FROM cut JOIN total ON total.lang = cut.lang
+    JOIN f l ON l.lang = cut.lang AND l.phrase = array_to_string(w[1:j], ' ')
+    JOIN f r ON r.lang = cut.lang AND r.phrase = array_to_string(w[j + 1:], ' ')),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS nth FROM scored) WHERE nth = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best) WHERE rank <= 2000
+"""
+
+#: Each order is run over the failure masks, step by step.
+ORACLE["op12_filter_audit"] = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+m AS (SELECT doc_id, part, CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * list_unique(w) < 50 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > least THEN 16 ELSE 0 END AS mask FROM w),
+cell AS (SELECT part, mask, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic
+    FROM m LEFT JOIN labels USING (doc_id) GROUP BY ALL),
+x AS (SELECT unnest([0, 1, 2, 3, 4]) AS b),
+orders AS (SELECT [a.b, b.b, c.b, d.b, e.b] AS o FROM x a, x b, x c, x d, x e
+    WHERE len(list_distinct([a.b, b.b, c.b, d.b, e.b])) = 5),
+step AS (SELECT array_to_string(list_transform(o, lambda f: 'ABCDE'[f + 1]), '') AS filter_order, s AS step, o[s] AS f,
+    coalesce(list_sum(list_transform(o[1:s - 1], lambda g: 1 << g)), 0)::INTEGER AS before
+    FROM orders, range(1, 6) r(s)),
+run AS (SELECT part, filter_order, step, f,
+    coalesce(sum(n) FILTER (mask & (before | (1 << f)) = 0), 0) AS kept,
+    coalesce(sum(n) FILTER (mask & before = 0 AND mask & (1 << f) <> 0), 0) AS removed,
+    coalesce(sum(n) FILTER (mask & before <> 0 AND mask & (1 << f) <> 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (mask = 1 << f), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (mask & before = 0 AND mask & (1 << f) <> 0), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & (1 << f) <> 0), 0) AS toxic_lost
+    FROM cell, step GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+    unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+    (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM run
+"""

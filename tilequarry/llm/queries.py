@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilequarry.llm import bpe, html_text, mixing, neighbours, quality, simhash, substring, suffix, token_files, toxicity
+from tilequarry.llm import (bpe, collocations, filter_audit, html_text, mixing, neighbours, quality, simhash, substring, suffix,
+                            token_counts, token_files, toxicity)
 from tilequarry.llm.common import new_folder, table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,3 +99,19 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(table(spark, sf_dir, "documents"), shingle=3, radius=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_counts.count(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return found.select(F.col("doc.doc_id").alias("doc_id"), "n_bytes", "n_tokens", "over_limit")
