@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tilequarry.functions import geometry as geo
 from tilequarry.operators import coverage as cov
+from tilequarry.operators import documents, layout
 from tilequarry.operators import features as ft
 
 
@@ -148,3 +149,55 @@ def test_repeated_features_lines_and_points(spark):
     assert found[2] == {(c, 0) for c in range(4)} and found[3] == {(2, 2)}
     with pytest.raises(Exception, match="one geometry"):
         cov.tile_features(tiles, shapes.features_frame(spark, [(1, box), (1, line)]), 10.0).collect()
+
+
+def test_repeated_features_are_one_in_every_operator(spark):
+    box = [[(0.5, -0.5), (5.5, -0.5), (5.5, -5.5), (0.5, -5.5), (0.5, -0.5)]]
+    within = [[(1.25, -1.25), (2.25, -1.25), (2.25, -2.25), (1.25, -1.25)]]
+    tiles = layout.with_tile_code(spark.createDataFrame(shapes.tile_rows("t", 0, 0, 2, 2, 3, 4), shapes.TILE_SCHEMA))
+    twice = shapes.features_frame(spark, [(1, box), (1, box)], UID=str)
+    docs = documents.tile_documents(tiles, twice)
+    assert docs.agg(F.sum("n_features")).first()[0] == sum(r.doc.count("UID") for r in docs.collect()) == 9
+    assert cov.features_on_tiles(tiles, twice).count() == 1
+    assert ft.clip_to_tiles(tiles, twice).count() == 9
+    inner = shapes.features_frame(spark, [(7, within)])
+    assert [tuple(r) for r in cov.features_intersect(inner, twice, 4.0).collect()] == [(7, 1)]
+    assert [tuple(r) for r in cov.features_intersect(inner, twice, 4.0, direct_pairs=0).collect()] == [(7, 1)]
+    with pytest.raises(Exception, match="one geometry"):
+        cov.features_on_tiles(tiles, shapes.features_frame(spark, [(1, box), (1, within)])).collect()
+
+
+def test_ids_are_checked_once(spark):
+    features = shapes.features_frame(spark, shapes.random_polygons(1, 5, 20, 4))
+    checked = cov.once(features)
+    assert cov.once(checked) is checked and "Aggregate" not in checked.select("fid", "rings").where("fid > 1")._jdf.queryExecution().analyzed().toString().split("Filter")[0]
+    assert cov.once(checked.where("fid > 1").select("fid", "rings")).columns == ["fid", "rings"]
+
+
+@pytest.mark.parametrize("unit", [1.0, 1e-4, 1e5])
+def test_squares_follow_the_size_of_what_they_hold(spark, unit):
+    """From degrees to metres: no square holds more than its share, and no pair is lost between levels."""
+    polygons = shapes.random_polygons(4, 120, 400, 4) + [(900, [[(0.0, 0.0), (400.0, 0.0), (400.0, -400.0), (0.0, 0.0)]])]
+    scaled = [(f, [[(x * unit, y * unit) for x, y in r] for r in rings]) for f, rings in polygons]
+    features = shapes.features_frame(spark, scaled)
+    sides = features.select("fid", "rings").transform(lambda d: cov._with_sides(d, "a_")).select("fid", *["a_" + s for s in geo.EXTENT])
+    right = sides.select(*[F.col(c).alias(c.replace("a_", "b_")).alias(c.replace("a_", "b_") if c != "fid" else "other") for c in sides.columns])
+    got = {(r.fid, r.other) for r in cov.envelope_pairs(sides, right).select("fid", "other").collect()}
+    rows = {r.fid: r for r in sides.collect()}
+    want = {(a, b) for a, x in rows.items() for b, y in rows.items()
+            if x.a_xmin <= y.a_xmax and x.a_xmax >= y.a_xmin and x.a_ymin <= y.a_ymax and x.a_ymax >= y.a_ymin}
+    assert got == want
+    own = sides.withColumn("level", cov._level("a_")).groupBy(
+        "level", F.expr("floor(a_xmin / pow(4D, level))"), F.expr("floor(a_ymin / pow(4D, level))")).count()
+    assert own.agg(F.max("count")).first()[0] <= 25
+
+
+def test_large_polygons_go_by_bins(spark):
+    left, right = shapes.random_polygons(41, 20, 50, 12), shapes.random_polygons(42, 15, 50, 25)
+    want = {(a, b) for a, ra in left for b, rb in right if shapes.polygons_meet(ra, rb)}
+    frames = shapes.features_frame(spark, left), shapes.features_frame(spark, right)
+    for direct in (0, 40, 10**6):
+        got = cov.features_intersect(*frames, 16.0, direct_pairs=direct).collect()
+        assert len(got) == len(want) and set(map(tuple, got)) == want
+    assert {tuple(r) for r in cov.features_intersect(frames[0], frames[0], 16.0, ordered=True).collect()} == {
+        (a, b) for a, ra in left for b, rb in left if a < b and shapes.polygons_meet(ra, rb)}

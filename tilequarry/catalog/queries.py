@@ -243,7 +243,7 @@ def clip_features_to_grid(spark, d):
 @query
 def feature_feature_join(spark, d):
     f = fx.features(spark, d)
-    return cov.features_intersect(f, f, fx.BIN).where("left_fid < right_fid")
+    return cov.features_intersect(f, f, fx.BIN, ordered=True)
 
 
 @query

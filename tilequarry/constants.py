@@ -9,4 +9,4 @@ TARGET_EPSG = 32651       # default target of a reprojection
 
 # Sizes that bound how much one row may hold.
 POSTINGS_BLOCK_BITS = 12  # a rendered posting list covers 2^12 curve positions
-REGION_SIZE = 100_000.0   # edge, in map units, of the cells that pair features with grids
+REGION_SIZE = None        # edge, in map units, of the squares that pair features with grids; None: by the size of each

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from tilequarry.functions import geometry as geo
-from tilequarry.operators import layout
+from tilequarry.operators import coverage, layout
 
 # Fixed values of the derived data.
 TILE = 8            # cells per tile edge
@@ -64,7 +64,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = geo.box_ring("x + 120 - r", "y - r", "x + 120 + r", "y + r")
     triangle = geo.ring(("x - r", "y - r"), ("x + r", "y - r"), ("x", "y + r"))
     diamond = geo.ring(("x", "y - r"), ("x + r", "y"), ("x", "y + r"), ("x - r", "y"))
-    return base.selectExpr(
+    return coverage.known_unique(base.selectExpr(
         "fid", "'MultiPolygon' AS geom_type",
         f"""CASE shp WHEN 0 THEN array({box}) WHEN 1 THEN array({triangle}) WHEN 2 THEN array({diamond})
             WHEN 3 THEN array({box}, {hole}) ELSE array({box}, {moved}) END AS rings""",
@@ -74,7 +74,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
              struct('acctbal' AS k, if(fid % 7 = 0, string(c_acctbal), NULL) AS v),
              struct('nation' AS k, if(fid % 3 = 0, string(c_nationkey), NULL) AS v),
              struct(concat('seg_', lower(seg)) AS k, '1' AS v)), e -> e.v IS NOT NULL)) AS attrs""",
-        "seg", "shp")
+        "seg", "shp"))
 
 
 def mixed_geometries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,4 +97,4 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = f"{ORIGIN_X + 100}D + 450 * r_regionkey", f"{ORIGIN_Y - 50}D"
     offsets = ((0, 0), (400, 0), (400, -200), (200, -200), (200, -400), (0, -400))
     shape = geo.ring(*[(f"{x} + {dx}", f"{y} + {dy}") for dx, dy in offsets])
-    return read(spark, sf_dir, "region").selectExpr("bigint(r_regionkey) AS fid", f"array({shape}) AS rings")
+    return coverage.known_unique(read(spark, sf_dir, "region").selectExpr("bigint(r_regionkey) AS fid", f"array({shape}) AS rings"))

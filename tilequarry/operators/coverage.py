@@ -19,7 +19,7 @@ is spread over many keys.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilequarry.constants import REGION_SIZE
@@ -27,6 +27,8 @@ from tilequarry.functions import geometry as geo
 
 # Widens the candidate ranges, in cells; exact tests decide afterwards.
 SLACK = 1e-6
+# Finest and coarsest level of squares: 4^-12 and 4^24 map units.
+LOW_LEVEL, TOP_LEVEL = -12, 24
 
 GRID_KEY = ["grid_id", "gcol", "grow"]
 GRID = ["grid_id", "ox", "oy", "tile_w", "tile_h", "c_min", "c_max", "r_min", "r_max"]
@@ -53,54 +55,102 @@ def grids_of(gridded: DataFrame) -> DataFrame:
     )
 
 
-def match_grids(features: DataFrame, grids: DataFrame, region_size: float = REGION_SIZE) -> DataFrame:
-    """Pair each feature with the grids its envelope reaches.
+def _level(p: str) -> Column:
+    """The level whose squares, 4^level map units wide, are no narrower than a rectangle; points are on the lowest."""
+    return F.expr(f"""int(least({TOP_LEVEL}, ceil(log(4D, greatest({p}xmax - {p}xmin, {p}ymax - {p}ymin, pow(4D, {LOW_LEVEL}))))))""")
 
-    An equi-join on coarse squares.  A pair that shares several squares is kept
-    only in the one with the lower-left corner of the overlap, so no distinct is
-    needed afterwards.
+
+def envelope_pairs(left: DataFrame, right: DataFrame, condition: str = "true", square: float | None = None,
+                   left_levels: list[int] | None = None, right_levels: list[int] | None = None) -> DataFrame:
+    """Rows of left and right whose closed rectangles (a_xmin.. and b_xmin..) share a point, each pair once.
+
+    Every rectangle lies in at most four squares of its level and of any coarser one.  Two rectangles meet on the
+    coarser of their levels, in the square of the overlap's lower left corner; so squares
+    are small where rectangles are, whatever the map's unit, and no distinct follows.  A side is laid out on the
+    levels that the other has (looked up if not given).  With ``square``, all squares are of that width instead.
     """
-    def squares(df: DataFrame, p: str) -> DataFrame:
-        """One row per coarse square that a rectangle reaches."""
-        def span(axis: str) -> str:
-            low, high = f"floor({p}{axis}min / {region_size})", f"floor({p}{axis}max / {region_size})"
-            return f"explode(sequence({low}, {high})) AS r{axis}"
-        return df.selectExpr("*", span("x")).selectExpr("*", span("y"))
+    def squares(df: DataFrame, p: str, other: DataFrame, q: str, levels: list[int] | None) -> DataFrame:
+        """A rectangle on its own level and on the coarser ones of the other side."""
+        if square:
+            at, width = df.withColumn("level", F.lit(0)), f"{float(square)!r}D"
+        else:
+            used = other.agg(F.collect_set(_level(q)).alias("used")).scalar() if levels is None else F.array(*map(F.lit, levels)).cast("array<int>")
+            at = df.withColumns({"levels": used, "own": _level(p)}).withColumn(
+                "level", F.explode(F.expr("array_union(array(own), filter(levels, x -> x > own))"))).drop("levels").withColumnRenamed("own", f"{p}level")
+            width = "pow(4D, level)"
+        for axis in ("x", "y"):
+            low, high = f"floor({p}{axis}min / {width})", f"floor({p}{axis}max / {width})"
+            at = at.selectExpr("*", f"explode(sequence({low}, {high})) AS r{axis}")
+        return at
+
+    width, top = (f"{float(square)!r}D", "true") if square else ("pow(4D, level)", "level = greatest(a_level, b_level)")
+    reach = f"""{top} AND a_xmin <= b_xmax AND a_xmax >= b_xmin AND a_ymin <= b_ymax AND a_ymax >= b_ymin
+        AND rx = floor(greatest(a_xmin, b_xmin) / {width}) AND ry = floor(greatest(a_ymin, b_ymin) / {width})"""
+    met = squares(left, "a_", right, "b_", right_levels).join(squares(right, "b_", left, "a_", left_levels), ["level", "rx", "ry"])
+    return met.where(f"{reach} AND ({condition})").drop("level", "rx", "ry", "a_level", "b_level")
+
+
+def _with_sides(features: DataFrame, p: str) -> DataFrame:
+    """fid, rings and the envelope, with a prefix.
+
+    A feature without vertices has no edges either, so its place does not matter; a default
+    that is never null keeps null checks on the envelope out of the plan.
+    """
+    stored = "env" in features.columns
+    return features.selectExpr("fid", "rings", *[
+        f"coalesce({f'env.{s}' if stored else geo.envelope_side('rings', s)}, 0D) AS {p}{s}" for s in geo.EXTENT])
 
+
+def match_grids(features: DataFrame, grids: DataFrame, region_size: float | None = REGION_SIZE) -> DataFrame:
+    """Pair each feature with the grids its envelope reaches."""
     boxes = grids.selectExpr(
         *GRID,
-        "ox + c_min * tile_w AS g_xmin", "ox + (c_max + 1) * tile_w AS g_xmax",
-        "oy - (r_max + 1) * tile_h AS g_ymin", "oy - r_min * tile_h AS g_ymax",
+        "ox + c_min * tile_w AS b_xmin", "ox + (c_max + 1) * tile_w AS b_xmax",
+        "oy - (r_max + 1) * tile_h AS b_ymin", "oy - r_min * tile_h AS b_ymax",
     )
-    # A feature without vertices has no edges either, so its place does not matter; a default
-    # that is never null keeps null checks on the envelope out of the plan.
-    stored = "env" in features.columns
-    envs = features.selectExpr("fid", "rings", *[
-        f"coalesce({f'env.{s}' if stored else geo.envelope_side('rings', s)}, 0D) AS e_{s}" for s in geo.EXTENT])
-    reach = f"""
-        e_xmin <= g_xmax AND e_xmax >= g_xmin AND e_ymin <= g_ymax AND e_ymax >= g_ymin
-        AND rx = floor(greatest(e_xmin, g_xmin) / {region_size})
-        AND ry = floor(greatest(e_ymin, g_ymin) / {region_size})"""
-    return squares(envs, "e_").join(squares(boxes, "g_"), ["rx", "ry"]).where(reach).select("fid", "rings", *GRID)
+    return envelope_pairs(_with_sides(features, "a_"), boxes, square=region_size, left_levels=list(range(LOW_LEVEL, TOP_LEVEL + 1))).select("fid", "rings", *GRID)
 
 
-def drawn(features: DataFrame) -> DataFrame:
-    """Features as closed rings, each id once.
+UNIQUE = {"unique": True}
+
+
+def known_unique(features: DataFrame) -> DataFrame:
+    """Features whose ids are known to be there and different, as those of a keyed table are; marks the column, checks nothing.
+
+    The mark stays on the column through selections and in stored tables.
+    """
+    return features.withMetadata("fid", UNIQUE)
+
+
+def once(features: DataFrame) -> DataFrame:
+    """Each feature once, all columns kept.  Every operator on features begins here.
 
     Rows that repeat a feature become one, since inside is decided by counting edges; an id
-    that is null or stands for different geometries fails the job.  An open path goes back the
-    way it came and a point is an edge to itself, so both have a boundary and no inside.
+    that is null or stands for different geometries fails the job.  Where attributes differ, one row's
+    are kept whole.  Ids marked as unique are left alone, so a table is checked once, when it is stored.
     """
-    stored = [c for c in ("env",) if c in features.columns]
+    if features.schema["fid"].metadata.get("unique"):
+        return features
+    rest = [c for c in features.columns if c != "fid"]
+    comparable = [F.to_json(c) if features.schema[c].dataType.typeName() in ("map", "variant") else F.col(c) for c in rest]
     one = features.groupBy("fid").agg(
-        F.any_value("rings").alias("rings"), *[F.any_value(c).alias(c) for c in stored],
+        F.min_by(F.struct(*rest), F.xxhash64(*comparable)).alias("f"),
         F.min(F.xxhash64("rings")).alias("h1"), F.max(F.xxhash64("rings")).alias("h2"))
-    closed = """transform(rings, r -> CASE
+    checked = one.selectExpr("""IF(fid IS NULL OR h1 <> h2,
+        bigint(raise_error('feature ids must be there and stand for one geometry each')), fid) AS fid""", "f")
+    return known_unique(checked.select("fid", "f.*"))
+
+
+def drawn(features: DataFrame) -> DataFrame:
+    """Features as closed rings, each id once.
+
+    An open path goes back the way it came and a point is an edge to itself, so both have a boundary and no inside.
+    """
+    stored = [c for c in ("env",) if c in features.columns]
+    return once(features.select("fid", *stored, "rings")).selectExpr("fid", *stored, """transform(rings, r -> CASE
         WHEN size(r) = 1 THEN concat(r, r)
         WHEN size(r) > 1 AND element_at(r, 1) <> element_at(r, -1) THEN concat(r, slice(reverse(r), 2, size(r) - 1))
-        ELSE r END)"""
-    return one.selectExpr("fid", *stored, f"""IF(fid IS NULL OR h1 <> h2,
-        raise_error('feature ids must be there and stand for one geometry each'), {closed}) AS rings""")
+        ELSE r END) AS rings""")
 
 
 def _sequence(low: str, high: str) -> str:
@@ -179,7 +229,7 @@ def _with_flip(rows: DataFrame) -> DataFrame:
     )
 
 
-def coverage(features: DataFrame, grids: DataFrame, region_size: float = REGION_SIZE) -> DataFrame:
+def coverage(features: DataFrame, grids: DataFrame, region_size: float | None = REGION_SIZE) -> DataFrame:
     """(fid, grid_id, gcol, grow, is_inside): every grid cell each feature intersects.
 
     ``is_inside`` cells lie wholly in the feature and meet no edge.  Each cell
@@ -210,7 +260,7 @@ def _cover_rows(edge_rows: DataFrame) -> DataFrame:
         "fid", "grid_id", "gcol", "grow", "is_inside")
 
 
-def scan_lines(features: DataFrame, grids: DataFrame, region_size: float = REGION_SIZE) -> DataFrame:
+def scan_lines(features: DataFrame, grids: DataFrame, region_size: float | None = REGION_SIZE) -> DataFrame:
     """(fid, grid_id, grow, flips): where each row's centre line enters and leaves a feature.
 
     A cell centre is inside if an odd number of ``flips`` is at or left of its
@@ -230,34 +280,35 @@ def scan_lines(features: DataFrame, grids: DataFrame, region_size: float = REGIO
 
 # --- joins of features with tiles ------------------------------------------------------------
 
-def tile_features(tiles: DataFrame, features: DataFrame, region_size: float = REGION_SIZE) -> DataFrame:
+def tile_features(tiles: DataFrame, features: DataFrame, region_size: float | None = REGION_SIZE) -> DataFrame:
     """Inner join: one row per tile and feature that intersects its closed rectangle."""
     gridded = with_grid(tiles)
     covered = coverage(features, grids_of(gridded), region_size)
     return covered.join(gridded, GRID_KEY).select("fid", "is_inside", *tiles.columns)
 
 
-def tiles_with_features(tiles: DataFrame, features: DataFrame, region_size: float = REGION_SIZE) -> DataFrame:
+def tiles_with_features(tiles: DataFrame, features: DataFrame, region_size: float | None = REGION_SIZE) -> DataFrame:
     """Left outer join: as tile_features, and tiles without a feature once, with a null fid."""
     gridded = with_grid(tiles)
     covered = coverage(features, grids_of(gridded), region_size)
     return gridded.join(covered, GRID_KEY, "left").select("fid", "is_inside", *tiles.columns)
 
 
-def features_on_tiles(tiles: DataFrame, features: DataFrame, region_size: float = REGION_SIZE) -> DataFrame:
+def features_on_tiles(tiles: DataFrame, features: DataFrame, region_size: float | None = REGION_SIZE) -> DataFrame:
     """Semi join: the features that intersect at least one tile."""
+    features = once(features)
     hit = tile_features(tiles, features, region_size).select("fid").distinct()
     return features.join(hit, "fid", "left_semi")
 
 
-def tiles_without_features(tiles: DataFrame, features: DataFrame, region_size: float = REGION_SIZE) -> DataFrame:
+def tiles_without_features(tiles: DataFrame, features: DataFrame, region_size: float | None = REGION_SIZE) -> DataFrame:
     """Anti join: the tiles that no feature intersects."""
     gridded = with_grid(tiles)
     covered = coverage(features, grids_of(gridded), region_size)
     return gridded.join(covered, GRID_KEY, "left_anti").select(*tiles.columns)
 
 
-def tiles_in_extents(tiles: DataFrame, extents: DataFrame, region_size: float = REGION_SIZE) -> DataFrame:
+def tiles_in_extents(tiles: DataFrame, extents: DataFrame, region_size: float | None = REGION_SIZE) -> DataFrame:
     """Pairs of a tile and a query envelope that overlap, touching edges excluded.
 
     Each envelope is spelled out as the grid keys it covers, then equi-joined.
@@ -289,6 +340,8 @@ def tiles_in_extent(tiles: DataFrame, xmin: float, ymin: float, xmax: float, yma
 
 # --- joins of features with features ---------------------------------------------------------
 
+# Pairs of edges up to which two features are compared edge by edge, in one expression.
+DIRECT_PAIRS = 1 << 14
 # Bounds of an endless grid, in bins.
 FAR = 1 << 40
 # When a bin is crowded, and how far it is cut: to about so many edges, at most 2^MAX_SPLIT parts a side.
@@ -365,9 +418,46 @@ def _contained(inner: DataFrame, outer: DataFrame, bin_size: float) -> DataFrame
     ).where("sure OR n % 2 = 1").select("inner_fid", "outer_fid")
 
 
+def _share_a_point() -> str:
+    """Two polygons (edges ea and eb, rings a_rings and b_rings): an edge of one meets one of the other, or a ring of one starts inside the other."""
+    def starts_in(rings: str, edges: str) -> str:
+        crossed = f"filter({edges}, f -> {geo.ray_crosses('r[0].x', 'r[0].y', 'f.x1', 'f.y1', 'f.x2', 'f.y2')})"
+        return f"exists({rings}, r -> size(r) > 0 AND size({crossed}) % 2 = 1)"
+
+    return (f"(exists(ea, e -> exists(eb, f -> {geo.segments_meet('e.', 'f.')})) OR "
+            f"{starts_in('a_rings', 'eb')} OR {starts_in('b_rings', 'ea')})")
+
+
 def features_intersect(left: DataFrame, right: DataFrame, bin_size: float,
-                       pairs_per_bin: int = PAIRS_PER_BIN) -> DataFrame:
-    """(left_fid, right_fid) of every pair of polygons that share a point.
+                       pairs_per_bin: int = PAIRS_PER_BIN, direct_pairs: int = DIRECT_PAIRS, ordered: bool = False) -> DataFrame:
+    """(left_fid, right_fid) of every pair of polygons that share a point; with ``ordered`` only where left_fid < right_fid.
+
+    Envelopes are paired first.  Two polygons of few edges are then compared as they are, in one expression; those with
+    more than ``direct_pairs`` pairs of edges go by bins (``_by_bins``), where each edge meets only those near it.
+    """
+    left, right = drawn(left), drawn(right)
+    condition = "a_fid < b_fid" if ordered else "true"
+    counted = [_with_sides(df, p).select(F.col("fid").alias(f"{p}fid"), *[p + s for s in geo.EXTENT],
+                                         F.expr(geo.vertex_count("rings")).alias(f"{p}n")) for df, p in ((left, "a_"), (right, "b_"))]
+    known = [df.agg(F.collect_set(_level(p)).alias("levels"), F.max(f"{p}n").alias("most")).first() for df, p in zip(counted, ("a_", "b_"))]
+    pairs = envelope_pairs(*counted, condition, None, known[0].levels, known[1].levels)
+    small = pairs.where(f"a_n * b_n <= {int(direct_pairs)}").select("a_fid", "b_fid")
+    rings = [df.select(F.col("fid").alias(f"{p}fid"), F.col("rings").alias(f"{p}rings")) for df, p in ((left, "a_"), (right, "b_"))]
+    shapes = small.join(rings[0], "a_fid").join(rings[1], "b_fid").selectExpr(
+        "a_fid", "b_fid", "a_rings", "b_rings", f"{geo.edges('a_rings')} AS ea", f"{geo.edges('b_rings')} AS eb")
+    # The test is made inside a generator: as a filter, the optimizer would copy the edges into it.
+    direct = shapes.selectExpr(f"inline(if({_share_a_point()}, array(struct(a_fid AS left_fid, b_fid AS right_fid)), "
+                               "cast(array() AS array<struct<left_fid:bigint,right_fid:bigint>>)))")
+    if (known[0].most or 0) * (known[1].most or 0) <= direct_pairs:
+        return direct
+    large = pairs.where(f"a_n * b_n > {int(direct_pairs)}").select(F.col("a_fid").alias("left_fid"), F.col("b_fid").alias("right_fid"))
+    met = _by_bins(left.join(large, left["fid"] == large["left_fid"], "left_semi"),
+                   right.join(large, right["fid"] == large["right_fid"], "left_semi"), bin_size, pairs_per_bin)
+    return direct.unionByName(met.join(large, ["left_fid", "right_fid"], "left_semi"))
+
+
+def _by_bins(left: DataFrame, right: DataFrame, bin_size: float, pairs_per_bin: int) -> DataFrame:
+    """features_intersect() of drawn features by edges.
 
     Either two edges meet, found by an equi-join on bins with the exact segment
     test, or one polygon lies inside the other.

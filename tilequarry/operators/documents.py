@@ -18,16 +18,16 @@ from tilequarry.operators.layout import TILE_KEY
 TILE_NAMES = [*TILE_KEY, "tile_code", "file_name"]
 
 
-def tile_attributes(tiles: DataFrame, features: DataFrame, region_size: float = REGION_SIZE) -> DataFrame:
+def tile_attributes(tiles: DataFrame, features: DataFrame, region_size: float | None = REGION_SIZE) -> DataFrame:
     """One row per tile and intersecting feature, with the feature's attributes."""
     return with_attributes(cov.tile_features(tiles, features, region_size), features)
 
 
 def with_attributes(pairs: DataFrame, features: DataFrame) -> DataFrame:
-    return pairs.join(features.select("fid", "attrs"), "fid")
+    return pairs.join(cov.once(features.select("fid", "rings", "attrs")).select("fid", "attrs"), "fid")
 
 
-def tile_documents(tiles: DataFrame, features: DataFrame, region_size: float = REGION_SIZE,
+def tile_documents(tiles: DataFrame, features: DataFrame, region_size: float | None = REGION_SIZE,
                    part_features: int | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """(dataset_uid, col, row_, tile_code, file_name, doc_path, part, n_features, doc).
 

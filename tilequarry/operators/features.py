@@ -104,13 +104,14 @@ def to_geojson(features: DataFrame, name_attr: str) -> DataFrame:
     )
 
 
-def clip_to_tiles(tiles: DataFrame, features: DataFrame, region_size: float = cov.REGION_SIZE) -> DataFrame:
+def clip_to_tiles(tiles: DataFrame, features: DataFrame, region_size: float | None = cov.REGION_SIZE) -> DataFrame:
     """One clipped piece per tile that a feature intersects.
 
     A feature is first cut into bands, one per tile row, and each band into tiles,
     so the work is vertices times rows rather than vertices times tiles.  Tiles
     wholly inside get their rectangle without any cutting.
     """
+    features = cov.once(features)
     pairs = cov.tile_features(tiles, features, region_size)
     rect = geo.box_ring("xmin", "ymin", "xmax", "ymax")
     out = ["fid", "dataset_uid", "col", "row_", "is_inside"]

@@ -110,7 +110,7 @@ def mosaic(cells: DataFrame, bands: list[str], x0: float, y0: float, tile_size:
 # --- masking and cropping --------------------------------------------------------------------
 
 def mask_spans(tiles: DataFrame, regions: DataFrame, tile_size: int = TILE_SIZE,
-               region_size: float = REGION_SIZE, hits: DataFrame | None = None) -> DataFrame:
+               region_size: float | None = REGION_SIZE, hits: DataFrame | None = None) -> DataFrame:
     """The runs of cells whose centre is inside each region, cut at tile edges.
 
     Rows (region_id, dataset_uid, col, row_, py, px_from, px_to), the end
@@ -170,7 +170,7 @@ def mask_tiles(tiles: DataFrame, spans: DataFrame, tile_size: int = TILE_SIZE) -
 
 
 def crop_cells(cells: DataFrame, tiles: DataFrame, regions: DataFrame, bands: list[str],
-               tile_size: int = TILE_SIZE, region_size: float = REGION_SIZE) -> DataFrame:
+               tile_size: int = TILE_SIZE, region_size: float | None = REGION_SIZE) -> DataFrame:
     """Cells whose centre is in a region's envelope; bands are null outside the region itself."""
     boxes = regions.selectExpr("fid", f"{envelope('rings')} AS e").selectExpr(
         "fid", f"array({box_ring('e.xmin', 'e.ymin', 'e.xmax', 'e.ymax')}) AS rings")

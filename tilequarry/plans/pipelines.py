@@ -44,7 +44,7 @@ def tile_raster(cells: DataFrame, bands: list[str], curve: str = SFC_HILBERT, ti
     return layout.with_tile_code(tiles, curve, sizes)
 
 
-def describe_tiles(coded_tiles: DataFrame, features: DataFrame, region_size: float = REGION_SIZE,
+def describe_tiles(coded_tiles: DataFrame, features: DataFrame, region_size: float | None = REGION_SIZE,
                    checkpoint: bool = False) -> DataFrame:
     """One metadata document per tile.
 
@@ -69,7 +69,7 @@ def first_region(regions: DataFrame) -> DataFrame:
 
 
 def query_region(cells: DataFrame, tiles: DataFrame, regions: DataFrame, tile_size: int = TILE_SIZE,
-                 region_size: float = REGION_SIZE, all_features: bool = False,
+                 region_size: float | None = REGION_SIZE, all_features: bool = False,
                  hits: DataFrame | None = None) -> DataFrame:
     """Cells inside the query polygon, from the tiles under it (those in ``hits`` if given).
 
@@ -82,7 +82,7 @@ def query_region(cells: DataFrame, tiles: DataFrame, regions: DataFrame, tile_si
 
 
 def query_region_tiles(tiles: DataFrame, regions: DataFrame, tile_size: int = TILE_SIZE,
-                       region_size: float = REGION_SIZE, all_features: bool = False,
+                       region_size: float | None = REGION_SIZE, all_features: bool = False,
                        hits: DataFrame | None = None) -> DataFrame:
     """As query_region on tiles of arrays: whole tiles, null outside the polygon.
 
@@ -96,7 +96,7 @@ def query_region_tiles(tiles: DataFrame, regions: DataFrame, tile_size: int = TI
 
 def search_then_query(cells: DataFrame, tiles: DataFrame, regions: DataFrame, postings: DataFrame,
                       keywords: list[str], mode: str = "strict", all_features: bool = False,
-                      tile_size: int = TILE_SIZE, region_size: float = REGION_SIZE) -> DataFrame:
+                      tile_size: int = TILE_SIZE, region_size: float | None = REGION_SIZE) -> DataFrame:
     """Keyword search first, then the region query on the tiles found.
 
     Hits prune the tiles, the mask spans of those that remain prune the cells, and
@@ -115,7 +115,7 @@ class SimpleResult:
 
 
 def simple_query(cells: DataFrame, regions: DataFrame, features: DataFrame, tile_size: int = TILE_SIZE,
-                 region_size: float = REGION_SIZE) -> SimpleResult:
+                 region_size: float | None = REGION_SIZE) -> SimpleResult:
     """Without curve or index: tiles under the first region's envelope, masked, with their features."""
     region = first_region(regions)
     tiles = layout.footprints(cells, tile_size)
@@ -129,7 +129,7 @@ def simple_query(cells: DataFrame, regions: DataFrame, features: DataFrame, tile
 
 
 def clip_metadata(tiles: DataFrame, features: DataFrame, regions: DataFrame, filter_first: bool = True,
-                  bin_size: float | None = None, region_size: float = REGION_SIZE) -> DataFrame:
+                  bin_size: float | None = None, region_size: float | None = REGION_SIZE) -> DataFrame:
     """Features clipped to the tiles; only those that meet the first region if ``filter_first``."""
     from tilequarry.operators.features import clip_to_tiles
 
