@@ -526,3 +526,9 @@ SELECT fid, data FROM fjson WHERE fid IN (SELECT fid FROM pairs SEMI JOIN near U
 ORACLE["pipeline_simple_cells"] = f"""WITH {MASK}
 SELECT CAST((cx - 300005) / 10 AS BIGINT) AS gx, CAST((1499995 - cy) / 10 AS BIGINT) AS gy, b1, b2,
        CAST(floor((1499995 - cy) / 80) AS BIGINT) AS band_row FROM mask WHERE region_id = 0"""
+
+_SUMS = "count(b2) AS n_kept, coalesce(sum(b1), 0.0) AS sum_b1, coalesce(sum(b2), 0.0) AS sum_b2"
+ORACLE["query_region_tiles"] = f"""WITH {MASK}
+SELECT dataset_uid, col, row_, {_SUMS} FROM mask WHERE region_id = 0 GROUP BY ALL"""
+ORACLE["search_then_query_tiles"] = f"""WITH {_masked_postings()}{search_views(['nation', 'seg_building'])}
+SELECT region_id, dataset_uid, col, row_, {_SUMS} FROM mask SEMI JOIN hits USING (dataset_uid, col, row_) GROUP BY ALL"""

@@ -5,6 +5,7 @@ Each runs an operator over whole tables.  Columns are named as in oracle.py.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,8 @@ from tilequarry.functions import projection, scalars, sfc
 from tilequarry.operators import coverage as cov
 from tilequarry.operators import documents, features as ft, index, layout, raster, search
 from tilequarry.plans import pipelines
+from tilequarry.session import ensure_checkpoint_dir
+from tilequarry.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,6 +52,20 @@ def doc_postings(spark: SparkSession, d: str) -> DataFrame:
     return postings(spark, d).join(tiles, KEY).select("kw", "doc_path", "tile_code", "dataset_uid")
 
 
+def stored_layer(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The tiles of the given tables, stored as a layer in the shared folder and read back with their layouts."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/layer-{uuid.uuid4().hex}"
+    tables.write_layer(pipelines.tile_raster(fx.cells(spark, d), BANDS, tile_size=fx.TILE), folder)
+    return tables.read_layer(spark, folder)
+
+
+def tile_sums(tiles: DataFrame, *keys: str) -> DataFrame:
+    """Cells with a value in the last band, and each band's sum."""
+    present = [F.filter(F.element_at("bands", i + 1), lambda v: v.isNotNull()) for i in range(len(BANDS))]
+    return tiles.select(*keys, *KEY, F.size(present[-1]).cast("bigint").alias("n_kept"),
+                        *[F.aggregate(v, F.lit(0.0), lambda a, x: a + x).alias("sum_" + b) for b, v in zip(BANDS, present)])
+
+
 # --- sources ---------------------------------------------------------------------------------
 
 @query
@@ -482,6 +499,21 @@ def search_then_query(spark, d):
     return out.select("region_id", "dataset_uid", "px", "py", *BANDS)
 
 
+@query
+def query_region_tiles(spark, d):
+    """The first region, from stored tiles."""
+    tiles, layouts = stored_layer(spark, d)
+    return tile_sums(pipelines.query_region_tiles(tiles, fx.regions(spark, d), fx.TILE, fx.REGION, layouts=layouts))
+
+
+@query
+def search_then_query_tiles(spark, d):
+    tiles, layouts = stored_layer(spark, d)
+    out = pipelines.search_then_query_tiles(tiles, fx.regions(spark, d), postings(spark, d), KEYWORDS, all_features=True,
+                                            tile_size=fx.TILE, region_size=fx.REGION, layouts=layouts)
+    return tile_sums(out, "region_id")
+
+
 @query
 def search_then_query_first(spark, d):
     out = pipelines.search_then_query(

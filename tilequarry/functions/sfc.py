@@ -140,3 +140,54 @@ def tile_code(code: Column) -> Column:
 def tile_code_value(code: Column) -> Column:
     """Curve position of a hex tile code."""
     return F.conv(code, 16, 10).cast("bigint")
+
+
+# --- ranges of codes -------------------------------------------------------------------------
+
+def position(curve: str, col: int, row: int, bits: int) -> int:
+    """Code of one key, outside of Spark."""
+    code = 0
+    for i in range(bits - 1, -1, -1):
+        x, y = col >> i & 1, row >> i & 1
+        if curve == SFC_ZORDER:
+            code = code << 2 | y << 1 | x
+            continue
+        if curve != SFC_HILBERT:
+            raise ValueError(f"unknown curve {curve!r}; use {SFC_HILBERT!r} or {SFC_ZORDER!r}")
+        code = code << 2 | (3 * x ^ y)
+        if not y:
+            flip = (1 << bits) - 1 if x else 0
+            col, row = row ^ flip, col ^ flip
+    return code
+
+
+def code_ranges(curve: str, cols: tuple[int, int], rows: tuple[int, int], bits: int, most: int = 64) -> list[tuple[int, int]]:
+    """Ascending ranges (first, last) of codes that hold every key of a rectangle of keys (ends included).
+
+    A square of 2^k keys a side, aligned to its size, is one run of the curve.  The key space is quartered where the rectangle's border runs;
+    at ``most`` ranges the squares on the border are taken whole, so ranges may hold other keys but never miss one.
+    """
+    (c1, c2), (r1, r2) = cols, rows
+    c1, r1, c2, r2 = max(c1, 0), max(r1, 0), min(c2, (1 << bits) - 1), min(r2, (1 << bits) - 1)
+    if c1 > c2 or r1 > r2:
+        return []
+    whole: list[tuple[int, int, int]] = []
+    border = [(0, 0, bits)]
+    while border and border[0][2] > 0 and len(whole) + len(border) <= most:
+        finer = []
+        for c, r, k in border:
+            half = 1 << (k - 1)
+            for x, y in ((c, r), (c + half, r), (c, r + half), (c + half, r + half)):
+                if x > c2 or y > r2 or x + half <= c1 or y + half <= r1:
+                    continue
+                inside = x >= c1 and y >= r1 and x + half - 1 <= c2 and y + half - 1 <= r2
+                (whole if inside else finer).append((x, y, k - 1))
+        border = finer
+    starts = sorted((position(curve, c, r, bits) >> 2 * k << 2 * k, 4 ** k) for c, r, k in whole + border)
+    ranges: list[tuple[int, int]] = []
+    for first, n in starts:
+        if ranges and ranges[-1][1] + 1 == first:
+            ranges[-1] = (ranges[-1][0], first + n - 1)
+        else:
+            ranges.append((first, first + n - 1))
+    return ranges

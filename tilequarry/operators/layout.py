@@ -188,3 +188,15 @@ def curve_order(tiles: DataFrame, block_bits: int = 12) -> DataFrame:
     within = Window.partitionBy("dataset_uid", "block").orderBy("sfc")
     ranked = blocked.withColumn("rank_in_block", F.row_number().over(within)).join(starts, ["dataset_uid", "block"])
     return ranked.withColumn("pos", F.col("start") + F.col("rank_in_block")).drop("block", "start", "rank_in_block")
+
+
+def stored_layouts(tiles: DataFrame) -> DataFrame:
+    """What a query needs to know of each dataset before it opens a tile: grid, key bounds, extent, bits of its curve.
+
+    From coded tiles, stored or not; reads no band.
+    """
+    return tiles.groupBy("dataset_uid").agg(
+        *[F.min(c).alias(c) for c in ("x0", "y0", "tile_w", "tile_h")], F.count("*").alias("n_tiles"),
+        F.min("col").alias("min_col"), F.min("row_").alias("min_row"), F.max("col").alias("max_col"), F.max("row_").alias("max_row"),
+        F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"),
+        sfc.curve_bits(F.max("col"), F.max("row_")).alias("bits"))

@@ -147,26 +147,34 @@ def mask_cells(cells: DataFrame, spans: DataFrame) -> DataFrame:
     return cells.join(keyed, ["dataset_uid", "col", "py"]).where("px >= px_from AND px < px_to").drop("px_from", "px_to")
 
 
+def mask_runs(spans: DataFrame, tile_size: int = TILE_SIZE) -> DataFrame:
+    """Each tile's mask as ascending runs of cells, counted along the tile's rows: region_id, tile key, runs (a, b)."""
+    ts = int(tile_size)
+    start = f"(py - row_ * {ts}) * {ts} - col * {ts}"
+    return spans.groupBy("region_id", *TILE_KEY).agg(
+        F.expr(f"sort_array(collect_list(struct({start} + px_from AS a, {start} + px_to AS b))) AS runs"))
+
+
 def mask_tiles(tiles: DataFrame, spans: DataFrame, tile_size: int = TILE_SIZE) -> DataFrame:
     """Tiles of arrays with every cell outside the region set to null, once per region.
 
-    A tile's mask is put together from its spans, row by row, in one shuffle, and
-    applied in the JVM; tiles without a cell inside are dropped.
+    Tiles without a cell inside are dropped.
     """
-    ts = int(tile_size)
-    tile = ["region_id", *TILE_KEY]
-    rows = spans.repartition(*tile).groupBy(*tile, "py").agg(
-        F.expr(f"collect_list(struct(px_from - col * {ts} AS a, px_to - col * {ts} AS b)) AS runs")
-    ).selectExpr(
-        *tile, f"py - row_ * {ts} AS ly",
-        f"transform(sequence(0, {ts - 1}), i -> exists(runs, r -> i >= r.a AND i < r.b)) AS inside")
-    outside = f"array_repeat(false, {ts})"
-    masks = rows.groupBy(*tile).agg(
-        F.expr("sort_array(collect_list(struct(ly, inside))) AS rows")
-    ).selectExpr(*tile, f"""if(size(rows) = {ts}, flatten(rows.inside), flatten(transform(sequence(0, {ts - 1}),
-        i -> coalesce(try_element_at(filter(rows, r -> r.ly = i), 1).inside, {outside})))) AS keep""")
-    masked = "transform(bands, b -> zip_with(b, keep, (v, k) -> if(k, v, NULL)))"
-    return tiles.join(masks, TILE_KEY).withColumn("bands", F.expr(masked)).drop("keep")
+    return apply_runs(tiles, mask_runs(spans, tile_size), tile_size)
+
+
+def apply_runs(tiles: DataFrame, runs: DataFrame, tile_size: int = TILE_SIZE) -> DataFrame:
+    """Bands cut to their runs: a gap of nulls and a slice for each.
+
+    Runs are small beside the tiles.  Where they are a stored table, Spark knows their size
+    and, up to its limit, hands them to where the tiles are read; beyond it the two are merged.
+    """
+    n = int(tile_size) ** 2
+    gap = "array_repeat(CAST(NULL AS DOUBLE), int({}))"
+    before = "coalesce(get(runs, i - 1).b, 0)"
+    cut = (f"flatten(transform(runs, (r, i) -> concat({gap.format(f'r.a - {before}')}, slice(band, int(r.a) + 1, int(r.b - r.a)))))")
+    masked = f"transform(bands, band -> concat({cut}, {gap.format(f'{n} - element_at(runs, -1).b')}))"
+    return tiles.join(runs, TILE_KEY).withColumn("bands", F.expr(masked)).drop("runs")
 
 
 def crop_cells(cells: DataFrame, tiles: DataFrame, regions: DataFrame, bands: list[str],

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from tilequarry.constants import REGION_SIZE, SFC_HILBERT, TARGET_EPSG, TILE_SIZE
 from tilequarry.functions.geometry import envelope
 from tilequarry.operators import coverage as cov
-from tilequarry.operators import documents, index, layout, raster, search
+from tilequarry.operators import documents, index, layout, pruning, raster, search
 from tilequarry.operators.layout import TILE_KEY
-from tilequarry.session import ensure_checkpoint_dir
+from tilequarry.session import ensure_checkpoint_dir, kept
 
 
 def reproject_cells(cells: DataFrame, bands: list[str], source: int, target: int, cell_size: float,
@@ -83,15 +83,17 @@ def query_region(cells: DataFrame, tiles: DataFrame, regions: DataFrame, tile_si
 
 def query_region_tiles(tiles: DataFrame, regions: DataFrame, tile_size: int = TILE_SIZE,
                        region_size: float | None = REGION_SIZE, all_features: bool = False,
-                       hits: DataFrame | None = None) -> DataFrame:
-    """As query_region on tiles of arrays: whole tiles, null outside the polygon.
+                       hits: DataFrame | None = None, layouts: DataFrame | None = None, curve: str = SFC_HILBERT) -> DataFrame:
+    """As query_region on stored tiles of arrays: whole tiles, null outside the polygon.
 
-    The spans are found from the tiles' keys alone; the join with them reads the
-    bands of every tile of the datasets they name.
+    The envelope comes first: it reaches the scan as predicates on plain columns, so only
+    tiles under it are opened.  The mask's runs are found from keys alone and stored, so that bands need no
+    shuffle to meet them while the runs are within Spark's limit.  ``layouts`` adds datasets and runs of the curve.
     """
     region = regions if all_features else first_region(regions)
-    spans = raster.mask_spans(tiles, region, tile_size, region_size, hits)
-    return raster.mask_tiles(tiles, spans, tile_size)
+    near = pruning.tiles_under(tiles, pruning.envelope_of(region), layouts, curve)
+    spans = raster.mask_spans(near, region, tile_size, region_size, hits)
+    return raster.apply_runs(near, kept(raster.mask_runs(spans, tile_size), "runs"), tile_size)
 
 
 def search_then_query(cells: DataFrame, tiles: DataFrame, regions: DataFrame, postings: DataFrame,
@@ -106,6 +108,14 @@ def search_then_query(cells: DataFrame, tiles: DataFrame, regions: DataFrame, po
     return query_region(cells, tiles, regions, tile_size, region_size, all_features, hits)
 
 
+def search_then_query_tiles(tiles: DataFrame, regions: DataFrame, postings: DataFrame, keywords: list[str], mode: str = "strict",
+                            all_features: bool = False, tile_size: int = TILE_SIZE, region_size: float | None = REGION_SIZE,
+                            layouts: DataFrame | None = None, curve: str = SFC_HILBERT) -> DataFrame:
+    """Keyword search first, then the region query on the stored tiles found."""
+    hits = search.search_all(postings, keywords, mode)
+    return query_region_tiles(tiles, regions, tile_size, region_size, all_features, hits, layouts, curve)
+
+
 @dataclass(frozen=True)
 class SimpleResult:
     """Masked cells, and the features on the tiles they came from."""

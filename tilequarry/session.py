@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(name: str = "tilequarry", master: str = "local[8]", shuffle_partitions: int | None = None,
@@ -26,10 +27,17 @@ def build_session(name: str = "tilequarry", master: str = "local[8]", shuffle_pa
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints: the session's own, or a new one for a local run."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         configured = tempfile.mkdtemp(prefix="tilequarry-")
     spark.sparkContext.setCheckpointDir(configured)
     return configured
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared checkpoint folder: worked out once, its size known to what joins it."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tilequarry.functions.scalars import has_suffix
+from tilequarry.operators import layout
 
 
 def write_tiles(tiles: DataFrame, path: str, partitions: int | None = None) -> None:
@@ -27,6 +28,17 @@ def read_tiles(spark: SparkSession, path: str, dataset_uids: list[str] | None =
     return tiles if dataset_uids is None else tiles.where(F.col("dataset_uid").isin(dataset_uids))
 
 
+def write_layer(tiles: DataFrame, path: str, partitions: int | None = None) -> None:
+    """Tiles, and beside them the layouts of their datasets, taken from the tiles as written."""
+    write_tiles(tiles, f"{path}/tiles", partitions)
+    layout.stored_layouts(read_tiles(tiles.sparkSession, f"{path}/tiles")).write.mode("overwrite").parquet(f"{path}/layouts")
+
+
+def read_layer(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Tiles and layouts of a stored layer."""
+    return read_tiles(spark, f"{path}/tiles"), spark.read.parquet(f"{path}/layouts")
+
+
 def _read_partitioned(spark: SparkSession, path: str) -> DataFrame:
     """A table with a folder per dataset; without a schema 00000001 would come back as a number."""
     found = spark.read.parquet(path).schema
