@@ -8,6 +8,8 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,9 +43,31 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def noting(paths: list[str]) -> Iterator[None]:
+    """Notes where written() puts its tables meanwhile."""
+    before = _made.set(paths)
+    try:
+        yield
+    finally:
+        _made.reset(before)
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Removes tables that nothing reads any more, wherever they lie."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage and survives lost executors."""
     path = new_folder(df.sparkSession, name)
+    if (made := _made.get()) is not None:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -56,10 +80,12 @@ class Scratch:
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
         """As written(); the table can be dropped by its DataFrame."""
-        path = new_folder(self.spark, name)
-        df.write.parquet(path)
-        table = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(table)] = (path, table)
+        own: list[str] = []
+        with noting(own):
+            table = written(df, name)
+        if (made := _made.get()) is not None:
+            made.extend(own)
+        self.paths[id(table)] = (own[0], table)
         return table
 
     def drop(self, *tables: DataFrame) -> None:
@@ -67,11 +93,7 @@ class Scratch:
         for table in tables:
             path, _ = self.paths.pop(id(table), (None, None))
             if path:
-                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-
-    def drop_all(self) -> None:
-        self.drop(*[table for _, table in self.paths.values()])
+                delete(self.spark, path)
 
 
 def words(text: Column) -> Column:
