@@ -39,3 +39,36 @@ def test_prefixes_passes_and_awkward_rows(spark):
     assert {r["count"] for r in twice} == {2}
     assert mixing.mix(frame(spark, docs).limit(0), LEVELS, {}, 1.0).count() == 0
     assert mixing.mix(frame(spark, docs), LEVELS, {}, 0).count() == 0
+
+
+def test_equal_rows_at_the_cut_and_null_weights(spark):
+    docs = [(1, "a b c")] * 7 + [(None, "x y")] * 5 + [(9, "p q r s")]
+    for budget in range(0, 36):
+        rows = mixing.mix(frame(spark, docs), {"d": "'all'"}, {}, budget, 1, seed=budget).select("doc.doc_id", "n_tokens").collect()
+        left = 35 - sum(r.n_tokens for r in rows) if budget == 35 else budget - sum(r.n_tokens for r in rows)
+        assert 0 <= left < 4 and len(rows) <= 13
+    leaves = spark.createDataFrame([(None, 100), ("", 100), ("x", 100)], "d string, available long")
+    got = {r.d: r.budget for r in mixing.budgets(leaves, ["d"], {(None,): 2, ("",): 1, ("x",): 1}, 120, 1).collect()}
+    assert got == {None: 60, "": 30, "x": 30}
+
+
+def test_prefix_is_that_of_the_sorted_rows(spark):
+    import hashlib
+
+    docs = [(k, "w " * (k % 7) + "end") for k in range(300)] + [(400, "long " * 5000)]
+    rows = mixing.mix(frame(spark, docs), {"d": "'all'"}, {}, 700, 1, seed=5, slice_digits=1).select("doc.doc_id").collect()
+    order = sorted((hashlib.md5(f"5:0:{d}".encode()).hexdigest(), d, len(t.split())) for d, t in docs)
+    want, spent = [], 0
+    for _, d, n in order:
+        spent += n
+        if spent > 700:
+            break
+        want.append(d)
+    assert sorted(r.doc_id for r in rows) == sorted(want)
+
+
+def test_plan_has_no_nested_loop_and_reads_texts_once(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    text = mixing.mix(docs, LEVELS, {}, 1.0, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in text and "Cartesian" not in text and "Window" not in text
+    assert text.count("text:string") == 1
