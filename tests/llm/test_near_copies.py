@@ -76,3 +76,15 @@ def test_the_given_table(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     got = sorted(r.doc_id for r in simhash.keep_one(docs).collect())
     assert got == kept_by_hand([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_shingles_of_crowded_counters_are_not_counted(spark):
+    """All of them salted, or none: the classes are the same."""
+    rows = [(k, " ".join(f"w{(k // 4) * 7 + j}" for j in range(60)) + f" x{k}") for k in range(40)] + [(100, "alone " * 9), (101, None)]
+    found = []
+    for crowded in (9, 255):
+        classes = {}
+        for r in simhash.near_copies(frame(spark, rows), 5, 0.8, crowded=crowded).collect():
+            classes.setdefault(r.component, set()).add(r.oid)
+        found.append(sorted(map(sorted, classes.values())))
+    assert found[0] == found[1] and max(map(len, found[0])) == 4

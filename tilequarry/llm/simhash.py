@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilequarry.llm.common import released, row_struct, written
+from tilequarry.llm.common import Scratch, released, row_struct, written
 from tilequarry.llm.components import components
 
 BITS = 64
@@ -358,6 +358,8 @@ def classes(docs: DataFrame, shingle: int = 3, radius: int = 3, text: str = "tex
 #: Counters of the sketch by which shingles are ordered, rare ones first, and counters of one row of it.
 #: The order decides how much is compared, never what is found.
 SKETCH, _CELLS = 1 << 20, 4096
+#: Rank of a counter with a million shingles, and the parts into which the rows of its shingles go.
+CROWDED, SALTS = 160, 1024
 #: Rounds that compare with pivots only, before whatever is not linked yet is compared pair by pair.
 PIVOTS = 4
 
@@ -403,10 +405,11 @@ def _need(n: np.ndarray | int, similarity: float) -> np.ndarray | int:
 
 
 @released
-def _prefixes(batches: Iterator[pd.DataFrame], size: int, similarity: float, rank: np.ndarray) -> Iterator[pd.DataFrame]:
-    """token, node, n, pos: the rarest shingles of each set, as many as any set similar enough must meet one of.
+def _prefixes(batches: Iterator[pd.DataFrame], size: int, similarity: float, rank: np.ndarray, crowded: int) -> Iterator[pd.DataFrame]:
+    """token, salt, node, n, pos: the rarest shingles of each set, as many as any set similar enough must meet one of.
 
-    A shingle that is alone in its counter of the sketch (rank 8) is in no other set and makes no row.
+    A shingle that is alone in its counter of the sketch (rank 8) is in no other set and makes no row.  One whose
+    counter is crowded is salted by its set, as it needs no counting; the salt of the others is -1.
     """
     for b in batches:
         for a in range(0, len(b), 500):
@@ -419,7 +422,8 @@ def _prefixes(batches: Iterator[pd.DataFrame], size: int, similarity: float, ran
                 r = rank[(h % np.uint64(SKETCH)).astype(np.int64)]
                 first = np.lexsort((_mix(h), r))[: n - int(_need(np.int64(n), similarity)) + 1]
                 pos = np.flatnonzero(r[first] > 8)
-                out.append(pd.DataFrame({"token": h[first[pos]].view(np.int64), "node": node, "n": n, "pos": pos}))
+                salt = np.where(r[first[pos]] >= crowded, int(node) % SALTS, -1)
+                out.append(pd.DataFrame({"token": h[first[pos]].view(np.int64), "salt": salt, "node": node, "n": n, "pos": pos}))
             if out:
                 yield pd.concat(out)
 
@@ -494,7 +498,7 @@ def _set_links(shared: DataFrame, sets: DataFrame, similarity: float, run_limit:
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id",
-                run_limit: int = RUN_LIMIT) -> DataFrame:
+                run_limit: int = RUN_LIMIT, crowded: int = CROWDED) -> DataFrame:
     """oid, tk, component: classes of documents that chains of pairs with at least this Jaccard similarity connect.
 
     Shingle sets are compared as sets of 64-bit hashes.  Equal sets collapse first.  Candidates come from a prefix
@@ -502,6 +506,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text
     each, so none is missed, whatever the number of documents; each candidate is then decided by the sets
     themselves.  oid is the doc_id (null: the smallest long), tk the text's hash.
     """
+    scratch = Scratch(docs.sparkSession)
     body = F.coalesce(docs[text].cast("binary"), F.lit(b""))
     plain = docs.select(F.coalesce(docs[key].cast("long"), F.lit(-(1 << 63))).alias("oid"), F.xxhash64(body).alias("tk"), body.alias("text"))
     seen = written(plain.mapInPandas(partial(_digests, size=shingle), "oid long, tk long, digest binary, cell int, counts binary"), "digests")
@@ -513,12 +518,16 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text
     first = written(first.select("digest", "w.oid", "w.tk", F.monotonically_increasing_id().alias("node")), "sets")
     same = Window.partitionBy("oid", "tk").orderBy("node")
     texts = plain.join(first.select("oid", "tk", "node"), ["oid", "tk"]).withColumn("copy", F.row_number().over(same))
-    texts = written(texts.where("copy = 1").select("node", "text"), "texts")
-    index = written(texts.mapInPandas(partial(_prefixes, size=shingle, similarity=similarity, rank=rank), "token long, node long, n int, pos int"), "index")
-    often = index.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-    shared = written(index.join(often, "token"), "index")
-    wanted = texts.join(shared.select("node").distinct(), "node", "left_semi")
-    sets = written(wanted.mapInPandas(partial(_sets, size=shingle), "node long, shingles array<long>"), "sets")
+    texts = scratch.written(texts.where("copy = 1").select("node", "text"), "texts")
+    index = texts.mapInPandas(partial(_prefixes, size=shingle, similarity=similarity, rank=rank, crowded=crowded),
+                              "token long, salt int, node long, n int, pos int")
+    # Shingles of a crowded counter stay uncounted: those alone after all link nothing later on.
+    often = index.withColumn("k", F.count("*").over(Window.partitionBy("token", "salt"))).where("salt >= 0 OR k > 1")
+    shared = written(often.select("token", "node", "n", "pos"), "index")
+    # Stored, so that Spark knows their number and, while they are few, moves no text to them.
+    nodes = scratch.written(shared.select("node").distinct(), "nodes")
+    sets = written(texts.join(nodes, "node", "left_semi").mapInPandas(partial(_sets, size=shingle), "node long, shingles array<long>"), "sets")
+    scratch.drop(texts, nodes)
     roots = components(_set_links(shared, sets, similarity, run_limit))
     named = first.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component"))
     return seen.join(named, "digest").select("oid", "tk", "component")
@@ -531,6 +540,6 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: s
         F.min(F.struct("oid", "tk")).alias("w")).select("w.oid", "w.tk")
     body = F.coalesce(docs[text].cast("binary"), F.lit(b""))
     rows = docs.select(row_struct(docs), F.coalesce(docs[key].cast("long"), F.lit(-(1 << 63))).alias("oid"), F.xxhash64(body).alias("tk"))
-    same = Window.partitionBy("oid", "tk").orderBy("oid")
+    same = Window.partitionBy("oid", "tk").orderBy(F.xxhash64("doc"))
     kept = rows.join(winners, ["oid", "tk"]).withColumn("copy", F.row_number().over(same)).where("copy = 1")
     return kept.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
