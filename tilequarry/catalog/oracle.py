@@ -465,7 +465,7 @@ SELECT o_orderkey, {rounded('lon', '1e7', 'lon_e7')}, {rounded('lat', '1e7', 'la
        {rounded(f'radians(lon) * {prj.SEMI_MAJOR!r}', '1000', 'mx_mm')},
        {rounded(f'ln(tan(radians(lat) / 2 + pi() / 4)) * {prj.SEMI_MAJOR!r}', '1000', 'my_mm')}
 FROM utm"""
-ORACLE["reproject_raster"] = f"""WITH {TILES},
+REPROJECTED = f"""{TILES},
 border AS (
   SELECT dataset_uid, unnest([xmin, xmin, xmin, xmax, xmax, xmax, (xmin + xmax) / 2, (xmin + xmax) / 2]) AS bx,
          unnest([ymin, (ymin + ymax) / 2, ymax, ymin, (ymin + ymax) / 2, ymax, ymin, ymax]) AS by_ FROM tiles),
@@ -491,9 +491,11 @@ asks AS (SELECT p.dataset_uid, gx, gy, px0 + i AS px, py0 + j AS py,
          JOIN tiles t ON t.dataset_uid = p.dataset_uid AND t.col = floor(greatest(px0, 0) / 8)
                      AND t.row_ = floor(greatest(py0, 0) / 8)),
 sums AS (SELECT a.dataset_uid, gx, gy, sum(b1 * w) AS v1, sum(w) FILTER (b1 IS NOT NULL) AS w1, sum(b2 * w) AS v2, sum(w) AS w2
-         FROM asks a JOIN cells c ON c.dataset_uid = a.dataset_uid AND c.px = a.px AND c.py = a.py GROUP BY ALL)
+         FROM asks a JOIN cells c ON c.dataset_uid = a.dataset_uid AND c.px = a.px AND c.py = a.py GROUP BY ALL),
+moved AS (
 SELECT dataset_uid, gx, gy, {rounded('CASE WHEN w1 > 0 THEN v1 / w1 END', '100', 'b1_e2')},
-       {rounded('CASE WHEN w2 > 0 THEN v2 / w2 END', '100', 'b2_e2')} FROM sums"""
+       {rounded('CASE WHEN w2 > 0 THEN v2 / w2 END', '100', 'b2_e2')} FROM sums)"""
+ORACLE["reproject_raster"] = f"WITH {REPROJECTED} SELECT dataset_uid, gx, gy, b1_e2, b2_e2 FROM moved"
 ORACLE["resample_bilinear"] = f"""WITH {CELLS},
 near AS (
   SELECT a.dataset_uid, a.px, a.py, n.b1, n.b2,
@@ -532,3 +534,37 @@ ORACLE["query_region_tiles"] = f"""WITH {MASK}
 SELECT dataset_uid, col, row_, {_SUMS} FROM mask WHERE region_id = 0 GROUP BY ALL"""
 ORACLE["search_then_query_tiles"] = f"""WITH {_masked_postings()}{search_views(['nation', 'seg_building'])}
 SELECT region_id, dataset_uid, col, row_, {_SUMS} FROM mask SEMI JOIN hits USING (dataset_uid, col, row_) GROUP BY ALL"""
+
+SCENES = CELLS + """,
+placed AS (
+  SELECT dataset_uid, k, b1, b2, 52 * (k % 4) + k % 3 AS ox, 52 * (k // 4) + k % 2 AS oy, px, py FROM cells
+),
+merged AS (
+  SELECT 'layer' AS dataset_uid, gx, gy, CAST(gx // 8 AS INTEGER) AS col, CAST(gy // 8 AS INTEGER) AS row_, x0, y0,
+         first(b1 ORDER BY d) FILTER (b1 IS NOT NULL) AS b1, first(b2 ORDER BY d) FILTER (b2 IS NOT NULL) AS b2
+  FROM (SELECT dataset_uid AS d, ox + px - (SELECT min(ox) FROM placed) AS gx, oy + py - (SELECT min(oy) FROM placed) AS gy,
+               300000 + 10 * (SELECT min(ox) FROM placed) AS x0, 1500000 - 10 * (SELECT min(oy) FROM placed) AS y0, b1, b2 FROM placed)
+  GROUP BY gx, gy, x0, y0
+),
+tiles AS (
+  SELECT dataset_uid, col, row_, CAST(x0 + 80 * col AS DOUBLE) AS xmin, CAST(y0 - 80 * (row_ + 1) AS DOUBLE) AS ymin,
+         CAST(x0 + 80 * (col + 1) AS DOUBLE) AS xmax, CAST(y0 - 80 * row_ AS DOUBLE) AS ymax,
+         count(b2) AS n_kept, coalesce(sum(b1), 0.0) AS sum_b1, coalesce(sum(b2), 0.0) AS sum_b2
+  FROM merged GROUP BY dataset_uid, col, row_, x0, y0
+)"""
+ORACLE["layer_from_scenes"] = f"""WITH RECURSIVE {SCENES}{CODED}
+SELECT dataset_uid, col, row_, xmin, ymin, xmax, ymax, sfc, stem || '.tif' AS file_name, n_kept, sum_b1, sum_b2 FROM coded"""
+ORACLE["mosaic_stored_tiles"] = f"""WITH {SCENES}
+SELECT dataset_uid, col, row_, xmin, ymin, xmax, ymax, n_kept, sum_b1, sum_b2 FROM tiles"""
+ORACLE["pipeline_tile_raster_reprojected"] = f"""WITH RECURSIVE {REPROJECTED},
+corner AS (SELECT dataset_uid, min(gx) AS cx0, min(gy) AS cy0 FROM moved GROUP BY dataset_uid),
+rtiles AS (
+  SELECT dataset_uid, CAST((gx - cx0) // 8 AS INTEGER) AS col, CAST((gy - cy0) // 8 AS INTEGER) AS row_,
+         CAST(10 * (any_value(cx0) + 8 * ((gx - cx0) // 8)) AS DOUBLE) AS xmin,
+         CAST(10 * (any_value(cx0) + 8 * ((gx - cx0) // 8 + 1)) AS DOUBLE) AS xmax,
+         CAST(-10 * (any_value(cy0) + 8 * ((gy - cy0) // 8)) AS DOUBLE) AS ymax,
+         CAST(-10 * (any_value(cy0) + 8 * ((gy - cy0) // 8 + 1)) AS DOUBLE) AS ymin,
+         count(b2_e2) AS n_kept, CAST(coalesce(sum(b1_e2), 0) AS BIGINT) AS sum_b1_e2, CAST(coalesce(sum(b2_e2), 0) AS BIGINT) AS sum_b2_e2
+  FROM moved JOIN corner USING (dataset_uid) GROUP BY dataset_uid, (gx - cx0) // 8, (gy - cy0) // 8
+){CODED.replace('tiles', 'rtiles')}
+SELECT dataset_uid, col, row_, xmin, ymin, xmax, ymax, sfc, stem || '.tif' AS file_name, n_kept, sum_b1_e2, sum_b2_e2 FROM coded"""

@@ -15,7 +15,7 @@ from tilequarry import fixtures as fx
 from tilequarry.functions import geometry as geo
 from tilequarry.functions import projection, scalars, sfc
 from tilequarry.operators import coverage as cov
-from tilequarry.operators import documents, features as ft, index, layout, raster, search
+from tilequarry.operators import documents, features as ft, index, layout, raster, scenes, search
 from tilequarry.plans import pipelines
 from tilequarry.session import ensure_checkpoint_dir
 from tilequarry.sources import tables
@@ -536,3 +536,30 @@ def pipeline_simple_cells(spark, d):
     found = pipelines.simple_query(
         fx.cells(spark, d), fx.regions(spark, d), fx.features(spark, d), fx.TILE, fx.REGION)
     return raster.mosaic(found.cells, BANDS, fx.ORIGIN_X, fx.ORIGIN_Y, fx.TILE)
+
+
+# --- many scenes, one layer ------------------------------------------------------------------
+
+@query
+def layer_from_scenes(spark, d):
+    """Overlapping scenes with origins of their own as the coded tiles of one layer."""
+    tiles = scenes.layer_from_scenes(fx.scenes(spark, d), BANDS, "layer", tile_size=fx.TILE)
+    return tile_sums(tiles, *layout.EXTENT, "sfc", "file_name")
+
+
+@query
+def mosaic_stored_tiles(spark, d):
+    """Stored tiles of overlapping datasets, merged as arrays where they meet."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/layer-{uuid.uuid4().hex}"
+    tables.write_tiles(pipelines.tile_raster(fx.scenes(spark, d), BANDS, tile_size=fx.TILE), folder)
+    return tile_sums(scenes.mosaic_tiles(tables.read_tiles(spark, folder), len(BANDS), "layer", fx.TILE), *layout.EXTENT)
+
+
+@query
+def pipeline_tile_raster_reprojected(spark, d):
+    """The tiling job with a projection of its own; values in hundredths, summed exactly."""
+    tiles = pipelines.tile_raster(fx.cells(spark, d), BANDS, tile_size=fx.TILE, source_epsg=fx.EPSG, target_epsg=3857, cell_size=10.0)
+    present = [F.filter(F.element_at("bands", i + 1), lambda v: v.isNotNull()) for i in range(len(BANDS))]
+    hundredths = [F.aggregate(v, F.lit(0).cast("bigint"), lambda a, x: a + F.floor(x * 100 + 0.5)).alias(f"sum_{b}_e2")
+                  for b, v in zip(BANDS, present)]
+    return tiles.select(*KEY, *layout.EXTENT, "sfc", "file_name", F.size(present[-1]).cast("bigint").alias("n_kept"), *hundredths)

@@ -7,6 +7,7 @@ shuffle.  Coordinates are whole numbers, hence exact in double arithmetic.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tilequarry.functions import geometry as geo
@@ -46,6 +47,15 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.cut_to_grid(layout.cell_center(base), TILE)
 
 
+def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rasters laid closer, so that neighbours overlap, each with an origin of its own."""
+    k = F.col("dataset_uid").cast("bigint")
+    step = SIDE - 12
+    moved = cells(spark, sf_dir).withColumns({
+        "x0": ORIGIN_X + CELL * (step * (k % 4) + k % 3), "y0": ORIGIN_Y - CELL * (step * F.floor(k / 4) + k % 2)})
+    return layout.cut_to_grid(layout.cell_center(moved), TILE)
+
+
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.footprints(cells(spark, sf_dir), TILE)
 

@@ -21,33 +21,42 @@ ORIGIN = ["x0", "y0", "cell_w", "cell_h"]
 
 # --- cutting and stitching -------------------------------------------------------------------
 
-def assemble_tiles(cells: DataFrame, bands: list[str], tile_size: int = TILE_SIZE) -> DataFrame:
+def spread(items: str, at: str, wide: Column, value, gap: Column) -> Column:
+    """Values at their places: as many gaps before each as it is away from the one before, and the rest after the last."""
+    before = lambda x, k: x[at] - F.coalesce(F.get(F.col(items), k - 1)[at], F.lit(-1)) - 1
+    placed = F.flatten(F.transform(items, lambda x, k: F.concat(F.array_repeat(gap, before(x, k)), F.array(value(x)))))
+    return F.concat(placed, F.array_repeat(gap, wide - 1 - F.element_at(items, -1)[at]))
+
+
+def assemble_tiles(cells: DataFrame, bands: list[str], tile_size: int = TILE_SIZE, first_by: str | None = None) -> DataFrame:
     """Cells to tiles of arrays.
 
     One shuffle by tile; inside it cells become strips of one row, and strips a
     tile, so no list is longer than the tile is wide.  Missing cells are null.
+    Where several cells share a place, the first by ``first_by`` with a value wins, band by band.
     """
+    order = [first_by] if first_by else []
     cut = layout.cut_to_grid(cells, tile_size).select(
-        *TILE_KEY, *ORIGIN,
+        *TILE_KEY, *ORIGIN, *order,
         (F.col("px") - F.col("col") * tile_size).cast("int").alias("lx"),
         (F.col("py") - F.col("row_") * tile_size).cast("int").alias("ly"),
         *bands,
     ).repartition(*TILE_KEY)
-    # Equal cells become one: the least value there is, whatever order they come in.
-    cut = cut.groupBy(*TILE_KEY, "ly", "lx").agg(
-        *[F.min(F.col(b).cast("double")).alias(b) for b in bands], *[F.min(c).alias(c) for c in ORIGIN])
+
+    def merged(band: str) -> Column:
+        # Equal cells become one: the least value there is, whatever order they come in.
+        value = F.col(band).cast("double")
+        if not first_by:
+            return F.min(value).alias(band)
+        return F.min(F.when(value.isNotNull(), F.struct(first_by, value.alias("v"))))["v"].alias(band)
+
+    cut = cut.groupBy(*TILE_KEY, "ly", "lx").agg(*[merged(b) for b in bands], *[F.min(c).alias(c) for c in ORIGIN])
     cell = F.struct("lx", *bands)
     strips = cut.groupBy(*TILE_KEY, "ly").agg(
         F.sort_array(F.collect_list(cell)).alias("s"),
         *[F.min(c).alias(c) for c in ORIGIN],
     )
 
-    def spread(items: str, at: str, wide: Column, value, gap: Column) -> Column:
-        """Values at their places: as many gaps before each as it is away from the one before, and the rest after the last."""
-        before = lambda x, k: x[at] - F.coalesce(F.get(F.col(items), k - 1)[at], F.lit(-1)) - 1
-        placed = F.flatten(F.transform(items, lambda x, k: F.concat(F.array_repeat(gap, before(x, k)), F.array(value(x)))))
-        return F.concat(placed, F.array_repeat(gap, wide - 1 - F.element_at(items, -1)[at]))
-
     def pad(band: str) -> Column:
         return spread("s", "lx", F.lit(tile_size), lambda c: c[band], F.lit(None).cast("double"))
 

@@ -19,9 +19,10 @@ def reproject_cells(cells: DataFrame, bands: list[str], source: int, target: int
                     tile_size: int) -> DataFrame:
     """Cells on the target grid, in the same self-describing form as the input.
 
-    Each dataset's origin is its own top-left target cell.
+    Each dataset's origin is its own top-left target cell.  The moved cells are stored once, as the
+    corners, the curve's size and the tiles all need them.
     """
-    moved = raster.reproject(cells, bands, source, target, cell_size, tile_size)
+    moved = kept(raster.reproject(cells, bands, source, target, cell_size, tile_size), "moved")
     corner = moved.groupBy("dataset_uid").agg(F.min("gx").alias("gx0"), F.min("gy").alias("gy0"))
     placed = moved.join(corner, "dataset_uid").select(
         "dataset_uid",
