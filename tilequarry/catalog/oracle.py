@@ -295,7 +295,9 @@ placed AS (
     UNION ALL SELECT fid, 0, unnest([x, x + r, x, x - r, x]), unnest([y - r, y, y + r, y, y - r]),
                      unnest([1, 2, 3, 4, 5]) FROM fbase WHERE shp = 2)
 ),
-parts AS (SELECT fid, ring, '[[' || string_agg(p, ',' ORDER BY o) || ']]' AS part FROM placed GROUP BY fid, ring)
+texts AS (SELECT fid, ring, '[' || string_agg(p, ',' ORDER BY o) || ']' AS r FROM placed GROUP BY fid, ring),
+parts AS (SELECT fid, min(ring) AS ring, '[' || string_agg(texts.r, ',' ORDER BY ring) || ']' AS part
+          FROM texts JOIN fbase USING (fid) GROUP BY fid, CASE WHEN shp = 3 THEN 0 ELSE ring END)
 SELECT fid, 'B' || CAST(fid % 50 AS VARCHAR) AS name,
        '{{"type":"MultiPolygon","coordinates":[' || string_agg(part, ',' ORDER BY ring) || ']}}' AS geometry, any_value(data) AS data
 FROM parts JOIN fjson USING (fid) GROUP BY fid"""

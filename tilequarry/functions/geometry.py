@@ -98,6 +98,44 @@ def ring_area(r: str) -> str:
     return f"(abs(aggregate({_steps(r, 'p.x * q.y - q.x * p.y')}, 0D, (s, v) -> s + v)) / 2)"
 
 
+def ring_holds(outer: str, inner: str) -> str:
+    """Some vertex or middle of an edge of ``inner`` lies strictly inside ``outer``: for rings that do not
+    cross, the whole ring does.  Stops at the first such point; envelopes are compared first."""
+    sides = [f"array_{f}(transform({r}, p -> p.{a}))" for a in "xy" for f in ("min", "max") for r in (outer, inner)]
+    within = (f"{sides[0]} <= {sides[1]} AND {sides[2]} >= {sides[3]} AND {sides[4]} <= {sides[5]} AND {sides[6]} >= {sides[7]}")
+    middle = point("(p.x + q.x) / 2", "(p.y + q.y) / 2")
+    probes = f"concat({inner}, {_steps(inner, middle)})"
+    side = _side("e.x1", "e.y1", "e.x2", "e.y2", "pt.x", "pt.y")
+    on_edge = (f"({side} = 0 AND pt.x BETWEEN least(e.x1, e.x2) AND greatest(e.x1, e.x2)"
+               f" AND pt.y BETWEEN least(e.y1, e.y2) AND greatest(e.y1, e.y2))")
+    around = edges(f"array({outer})")
+    crossings = f"size(filter({around}, e -> {ray_crosses('pt.x', 'pt.y', 'e.x1', 'e.y1', 'e.x2', 'e.y2')}))"
+    return f"({within} AND exists({probes}, pt -> {crossings} % 2 = 1 AND NOT exists({around}, e -> {on_edge})))"
+
+
+def rings_around(rings: str) -> str:
+    """For each ring, the indexes of the rings that hold it.  Of two rings that would hold each other
+    (they cross, so the polygon is not valid) the larger is the outer one, or the earlier."""
+    larger = f"({ring_area('host')} > {ring_area('guest')} OR ({ring_area('host')} = {ring_area('guest')} AND j < i))"
+    return (f"transform({rings}, (guest, i) -> filter(transform({rings}, (host, j) -> "
+            f"if(j <> i AND {ring_holds('host', 'guest')} AND {larger}, j, -1)), j -> j >= 0))")
+
+
+def hole_shells(around: str) -> str:
+    """From rings_around: the shell of each ring that is a hole, -1 for rings that are shells themselves.
+
+    A ring within an odd number of others is a hole of the one a level up; without such a ring it counts as a shell."""
+    up = f"filter(a, j -> size(get({around}, j)) = size(a) - 1)"
+    return f"transform({around}, a -> if(size(a) % 2 = 1, coalesce(get({up}, 0), -1), -1))"
+
+
+def nested_parts(rings: str, shells: str) -> str:
+    """ARRAY of polygons, each its shell and then its holes; every ring is in one of them."""
+    holes = f"transform(filter(transform({shells}, (s, k) -> if(s = i, k, -1)), k -> k >= 0), k -> get({rings}, k))"
+    part = f"if(s < 0, concat(array(get({rings}, i)), {holes}), NULL)"
+    return f"filter(transform({shells}, (s, i) -> {part}), g -> g IS NOT NULL)"
+
+
 def clip_half_plane(rings: str, axis: str, bound: str, keep_above: bool) -> str:
     """Cut closed rings by a line parallel to an axis and keep one side.
 

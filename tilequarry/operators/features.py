@@ -75,13 +75,22 @@ def _position(p: Column) -> Column:
     return F.array(p["x"], p["y"])
 
 
-def geojson_geometry(rings: Column, kind: Column) -> Column:
-    """GeoJSON geometry text.
+def with_parts(features: DataFrame) -> DataFrame:
+    """Add ``parts``: a multipolygon's rings nested by containment, each part a shell and its holes; null for other kinds."""
+    columns = [c for c in features.columns if c != "parts"]
+    several = "geom_type = 'MultiPolygon' AND size(rings) > 1"
+    around = features.selectExpr(*columns, f"if({several}, {geo.rings_around('rings')}, NULL) AS around_")
+    found = around.selectExpr(*columns, f"{geo.hole_shells('around_')} AS shells_")
+    return found.selectExpr(*columns, f"""CASE WHEN {several} THEN {geo.nested_parts('rings', 'shells_')}
+        WHEN geom_type = 'MultiPolygon' THEN transform(rings, r -> array(r)) END AS parts""")
 
-    A multipolygon is written with one ring per part; rings are not nested into
-    shells and holes, as inside is even-odd over all of them.
-    """
-    paths = F.transform(rings, lambda r: F.transform(r, _position))
+
+def geojson_geometry(rings: Column, kind: Column, parts: Column) -> Column:
+    """GeoJSON geometry text; ``parts`` holds a multipolygon's nested rings."""
+    def path(r: Column) -> Column:
+        return F.transform(r, _position)
+
+    paths = F.transform(rings, path)
 
     def geometry(coordinates: Column) -> Column:
         return F.to_json(F.struct(kind.alias("type"), coordinates.alias("coordinates")))
@@ -90,20 +99,28 @@ def geojson_geometry(rings: Column, kind: Column) -> Column:
         F.when(kind == "Point", geometry(F.element_at(F.flatten(paths), 1)))
         .when(kind == "MultiPoint", geometry(F.flatten(paths)))
         .when(kind == "LineString", geometry(F.element_at(paths, 1)))
-        .when(kind == "MultiPolygon", geometry(F.transform(paths, lambda p: F.array(p))))
+        .when(kind == "MultiPolygon", geometry(F.transform(parts, lambda p: F.transform(p, path))))
         .otherwise(geometry(paths))
     )
 
 
 def to_geojson(features: DataFrame, name_attr: str) -> DataFrame:
     """(name, geometry, data): the two texts written per feature, and what names them."""
-    return features.select(
+    return with_parts(features).select(
         "fid", F.try_element_at("attrs", F.lit(name_attr)).alias("name"),
-        geojson_geometry(F.col("rings"), F.col("geom_type")).alias("geometry"),
+        geojson_geometry(F.col("rings"), F.col("geom_type"), F.col("parts")).alias("geometry"),
         F.to_json("attrs").alias("data"),
     )
 
 
+def to_geojson_lines(features: DataFrame) -> DataFrame:
+    """One GeoJSON feature a line, as ``geojson.read_geojson_lines`` reads them."""
+    text = with_parts(features).select(
+        geojson_geometry(F.col("rings"), F.col("geom_type"), F.col("parts")).alias("geometry"), F.to_json("attrs").alias("data"))
+    return text.select(F.concat(F.lit('{"type":"Feature","geometry":'), F.coalesce("geometry", F.lit("null")),
+                                F.lit(',"properties":'), F.coalesce("data", F.lit("{}")), F.lit("}")).alias("line"))
+
+
 def clip_to_tiles(tiles: DataFrame, features: DataFrame, region_size: float | None = cov.REGION_SIZE) -> DataFrame:
     """One clipped piece per tile that a feature intersects.
 

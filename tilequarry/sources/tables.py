@@ -93,6 +93,11 @@ def write_geojson(rendered: DataFrame, path: str) -> None:
         rendered.select("name", part).write.mode("overwrite").partitionBy("name").text(f"{path}/{part}")
 
 
+def write_geojson_lines(lines: DataFrame, path: str) -> None:
+    """Whole features, one a line."""
+    lines.select("line").write.mode("overwrite").text(path)
+
+
 def write_feature_json(data: DataFrame, path: str) -> None:
     """Attribute objects of filtered features, one JSON object per line."""
     data.select("data").write.mode("overwrite").text(path)
