@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tilequarry.llm.common import released
+from tilequarry.llm.common import no_cycle_search, released
 from tilequarry.llm.tokens import arrow_slices, word_encoder
 
 MAGIC = b"TQPFOR1\0"
@@ -178,11 +178,12 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = 1,
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, out = word_encoder(tokenizer), FileBuilder()
         for b in batches:
-            for part, texts in arrow_slices(b, b.column("text")):
-                ids, n = encode(texts)
-                if end_id is not None:
-                    ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
-                out.add(part.column("doc_id").to_pylist(), n, ids)
+            with no_cycle_search():
+                for part, texts in arrow_slices(b, b.column("text")):
+                    ids, n = encode(texts)
+                    if end_id is not None:
+                        ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
+                    out.add(part.column("doc_id").to_pylist(), n, ids)
         if out.doc_ids:
             yield pa.RecordBatch.from_pydict({"content": pa.array([out.bytes(TaskContext.get().partitionId())], pa.binary())})
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache
 from itertools import chain, repeat
 
@@ -16,6 +16,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces remembered by one worker, over its tasks; beyond that it starts anew.
 REMEMBERED = 300_000
+#: Pieces of words remembered likewise.
+PIECES = 150_000
 #: Bytes of text handled at a time, so that arrays stay small whatever the batch.
 SLICE_BYTES = 4 << 20
 
@@ -39,7 +41,7 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class Remembering:
     """Encodes pieces through `encode_all`, each distinct one once."""
 
-    def __init__(self, encode_all: Callable[[list], Iterable[list[int]]], most: int = REMEMBERED):
+    def __init__(self, encode_all: Callable[[list], Iterable[Sequence[int]]], most: int = REMEMBERED):
         self.encode_all, self.most = encode_all, most
         self.clear()
 
@@ -120,25 +122,24 @@ def word_encoder(path: str) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndar
     """
     tok = load(path)
     merge, chars = tok.model.tokenize, dict(enumerate(byte_characters()))
-    signs: dict[str, list[int]] = {}
-
-    def letters(piece: str) -> list[int]:
-        return [t.id for t in merge(piece)]
-
-    def piece_ids(piece: str) -> list[int]:
-        if piece in signs:
-            return signs[piece]
-        ids = letters(piece if piece.isascii() else piece.encode().decode("latin-1").translate(chars))
-        if len(piece) < 4 and len(signs) < REMEMBERED:
-            signs[piece] = ids
+    known: dict[str, tuple[int, ...]] = {}
+
+    def piece_ids(piece: str) -> tuple[int, ...]:
+        """Ids of a lower-case piece; words in capitals, with signs or with endings share their pieces."""
+        ids = known.get(piece)
+        if ids is None:
+            if len(known) >= PIECES:
+                known.clear()
+            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(chars)
+            ids = known[piece] = tuple([t.id for t in merge(shown)])
         return ids
 
-    def encode_words(new: list[bytes]) -> Iterator[list[int]]:
+    def encode_words(new: list[bytes]) -> Iterator[Sequence[int]]:
         for raw in new:
             if raw.isalpha():  # of bytes: ASCII letters only
-                yield letters(raw.lower().decode())
+                yield piece_ids(raw.lower().decode())
             elif raw[:-1].isalpha() and raw[-1] in b".,;:!?":
-                yield letters(raw[:-1].lower().decode()) + piece_ids(chr(raw[-1]))
+                yield piece_ids(raw[:-1].lower().decode()) + piece_ids(chr(raw[-1]))
             else:
                 word = raw.decode("utf-8", "replace")
                 if _SIMPLE.fullmatch(word) and "<|" not in word:
