@@ -1,4 +1,6 @@
+import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -30,6 +32,36 @@ def test_all_maximal_segments():
         assert len(got) == len(want) and np.allclose([g[0] for g in got], [w[0] for w in want])
 
 
+def test_segments_take_linear_time():
+    model = toxicity.Model(cost=3.0)
+    runs = {"falls": np.tile([1.0, 0.0], 100_000), "rises": np.full(200_000, 1.0),
+            "falls, then rises": np.concatenate((np.tile([1.0, 0.0], 50_000), np.full(100_000, 1.0)))}
+    for name, scores in runs.items():
+        begun = time.process_time()
+        found = model.segments(scores)
+        assert time.process_time() - begun < 5, name
+        assert len(found) == {"falls": 100_000, "rises": 1, "falls, then rises": 50_001}[name]
+
+
+def test_scores_are_what_the_definition_gives(spark):
+    """Credits and scores of a fitted model, worked out from its parts on each text."""
+    rng = random.Random(5)
+    word = lambda: rng.choice(["foul", "vile", "rude"] if rng.random() < 0.012 else [f"word{chr(97 + k)}" for k in range(20)])
+    docs = [(k, " ".join(word() for _ in range(rng.randrange(0, 120)))) for k in range(400)]
+    train = frame(spark, docs).selectExpr("text", "IF(text RLIKE 'foul|vile', 1, 0) AS toxic")
+    model = toxicity.fit(train)
+    assert model.lexicon
+    for r in toxicity.score(frame(spark, docs), model).select("doc.doc_id", "score", "credit", "passages").collect():
+        words = dict(docs)[r.doc_id].split()
+        known = [max([model.lexicon.get(f, 0.0) for f in toxicity.features(w)]) for w in words]
+        found = segments_by_hand([x if x > 0 else -model.cost for x in known])
+        credits = [s * model.rate - model.log_k - math.log(len(words)) for s, _, _ in found]
+        want = toxicity._LOW if not credits else min(toxicity._HIGH, sum(c for c in credits if c > 0) or max(toxicity._LOW, max(credits)))
+        assert abs(r.credit - want) < 1e-6
+        assert abs(r.score - 1 / (1 + math.exp(-model.curve[0] - model.curve[1] * want))) < 1e-9
+        assert r.passages == [p for c, (_, a, b) in zip(credits, found) if c > 0 for p in (a, b)]
+
+
 def test_held_out_accuracy(spark):
     sf_dir = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}

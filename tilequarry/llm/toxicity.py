@@ -67,25 +67,29 @@ class Model:
         return np.fromiter(map(memory.__getitem__, found), np.float64, len(found))
 
     def segments(self, scores: np.ndarray) -> list[tuple[float, int, int]]:
-        """All maximal scoring segments (score, first word, end), by one scan over the words that score."""
+        """All maximal scoring segments (score, first word, end), by one scan over the words that score.
+
+        Each open segment knows the nearest earlier one with a lower left total, so the search jumps over
+        those between, and every jump is made once: the scan is linear however the totals run.
+        """
         at = np.flatnonzero(scores)
-        open_: list[list[float]] = []  # left total, right total, first word, end, best earlier segment
+        open_: list[tuple[float, float, int, int, int]] = []  # left total, right total, first word, end, nearest lower
         total, before = 0.0, 0
         for i, s in zip(at.tolist(), scores[at].tolist()):
-            total -= self.cost * (i - before)
-            new = [total, total + s, i, i + 1]
-            total += s
-            before = i + 1
-            while True:
-                j = len(open_) - 1
-                while j >= 0 and open_[j][0] >= new[0]:
-                    j -= 1
-                if j < 0 or open_[j][1] >= new[1]:
-                    open_.append(new)
+            left = total - self.cost * (i - before)
+            total, first, before = left + s, i, i + 1
+            j = len(open_) - 1
+            while j >= 0:
+                if open_[j][0] >= left:
+                    j = open_[j][4]
+                elif open_[j][1] >= total:
                     break
-                new = [open_[j][0], new[1], open_[j][2], new[3]]
-                del open_[j:]
-        return [(r - l, int(a), int(b)) for l, r, a, b in open_]
+                else:  # the earlier one and all since then become one with this
+                    left, _, first, _, back = open_[j]
+                    del open_[j:]
+                    j = back
+            open_.append((left, total, first, before, j))
+        return [(right - left, first, end) for left, right, first, end, _ in open_]
 
     def passages(self, scores: np.ndarray) -> list[tuple[float, int, int]]:
         """Segments with a credit above 0: credit, first word, end."""
@@ -219,7 +223,7 @@ def _logistic(rows: list) -> tuple[float, float]:
 def fit(labelled: DataFrame, text: str = "text", label: str = "toxic") -> Model:
     """Model of labelled documents (text, label 0 or 1)."""
     train = written(labelled.where(labelled[label].isin(0, 1)).select(
-        F.coalesce(labelled[text].cast("string"), F.lit("")).alias("text"), labelled[label].cast("long").alias("toxic")), "labelled")
+        F.coalesce(labelled[text].cast("string"), F.lit("")).alias("text"), labelled[label].cast("long").alias("toxic")), "labelled", "zstd")
     model = Model(lexicon=_lexicon(train))
     if not model.lexicon:
         return model
