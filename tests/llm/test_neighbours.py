@@ -44,6 +44,29 @@ def test_small_blocks_hot_list_and_ties(spark):
     assert [v for _, v in tied] == [600, 601, 602, 603, 604]
 
 
+def test_two_levels_of_centroids_and_hot_queries(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((40, 16))[rng.integers(0, 40, 3000)] * 3 + rng.standard_normal((3000, 16))
+    ids = np.arange(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    index = neighbours.fit(df.withColumnRenamed("embedding", "vec"), 16, len(x), 10, coarse=9)
+    assert len(index.coarse) == 9 and len(index.sizes) >= int(3000 ** 0.5) and index.sizes.sum() == 3000
+    assert index.probes < len(index.sizes)
+    found = neighbours.search(df, F.col("vec_id") % 20 == 0, query_block=4, row_block=50, coarse=9).collect()
+    assert len(found) == 1500 and check(found, x, ids, 10) >= 0.9
+
+
+def test_pairs_of_many_queries_are_those_of_each():
+    rng = np.random.default_rng(9)
+    x, q = rng.standard_normal((3000, 40)), rng.standard_normal((30, 40))
+    d = ((x[None] - q[:, None]) ** 2).sum(2)
+    beat = np.sort(d, axis=1)[:, 9]
+    qi, ri = neighbours.scan_pairs(np.ascontiguousarray(x.T), q, beat)
+    pairs = set(zip(qi.tolist(), ri.tolist()))
+    assert len(pairs) == len(qi) and all(d[a, b] <= beat[a] * (1 + 1e-6) for a, b in pairs)
+    assert len(pairs) >= 0.95 * 300
+
+
 def test_scan_abandons_but_keeps_the_nearest():
     rng = np.random.default_rng(6)
     x, q = rng.standard_normal((2000, 64)), rng.standard_normal(64)
