@@ -570,3 +570,46 @@ rtiles AS (
   FROM moved JOIN corner USING (dataset_uid) GROUP BY dataset_uid, (gx - cx0) // 8, (gy - cy0) // 8
 ){CODED.replace('tiles', 'rtiles')}
 SELECT dataset_uid, col, row_, xmin, ymin, xmax, ymax, sfc, stem || '.tif' AS file_name, n_kept, sum_b1_e2, sum_b2_e2 FROM coded"""
+
+# --- bitmaps, document lines, borders, cell types ---------------------------------------------
+ORACLE["keyword_and_search_bitmap"] = ORACLE["keyword_and_search"]
+ORACLE["keyword_or_search_bitmap"] = f"""WITH {POSTINGS}
+SELECT DISTINCT dataset_uid, col, row_ FROM postings WHERE kw IN ('nation', 'seg_building', 'acctbal')"""
+ORACLE["keyword_tile_counts"] = f"WITH {POSTINGS} SELECT kw, count(*) AS n_tiles FROM postings GROUP BY kw"
+ORACLE["tile_document_lines"] = f"""WITH RECURSIVE {PAIRS}{CODED},
+numbered AS (SELECT *, max(fid) OVER (PARTITION BY dataset_uid, col, row_) AS last FROM pairs)
+SELECT dataset_uid, 'json/' || stem || '.json' AS doc_path,
+       '{{"tile_file_name":"' || stem || '.tif","tile_code":"' || tile_code || '","tile_dataset_uid":"' || dataset_uid || '"}},' AS line
+FROM coded
+UNION ALL SELECT dataset_uid, 'json/' || stem || '.json', data || CASE WHEN fid = last THEN '' ELSE ',' END
+FROM numbered JOIN fjson USING (fid) JOIN coded USING (dataset_uid, col, row_)
+UNION ALL SELECT dataset_uid, 'json/' || stem || '.json', '{{}}' FROM coded ANTI JOIN pairs USING (dataset_uid, col, row_)"""
+ORACLE["resample_bilinear_tiles"] = f"""WITH {TILES},
+spread AS (
+  SELECT dataset_uid, px - i AS px, py - j AS py, b1, b2, (CASE WHEN i = 0 THEN 0.75 ELSE 0.25 END)::DOUBLE * 0.5::DOUBLE AS w
+  FROM cells CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(i, j)),
+moved AS (
+  SELECT dataset_uid, px, py, sum(b1 * w) / sum(w) FILTER (b1 IS NOT NULL) AS b1, sum(b2 * w) / sum(w) FILTER (b2 IS NOT NULL) AS b2
+  FROM spread GROUP BY ALL)
+SELECT m.* FROM moved m SEMI JOIN tiles t
+ON t.dataset_uid = m.dataset_uid AND t.col = floor(m.px / 8.0) AND t.row_ = floor(m.py / 8.0)
+WHERE b1 IS NOT NULL OR b2 IS NOT NULL"""
+ORACLE["typed_tiles"] = f"""WITH {CELLS}
+SELECT 'uint16' AS cell_type, 32651 AS epsg, dataset_uid, col, row_, count(b2) AS n_kept,
+       coalesce(sum(b1), 0.0) AS sum_b1, coalesce(sum(b2), 0.0) AS sum_b2 FROM cells GROUP BY ALL"""
+_TYPED = """SELECT dataset_uid, 32651 AS epsg, '{}' AS cell_type, 8 AS tile_size, count(*) AS n_tiles,
+  10.0::DOUBLE AS cell_w, 10.0::DOUBLE AS cell_h, min(col) AS min_col, min(row_) AS min_row, max(col) AS max_col, max(row_) AS max_row,
+  min(xmin)::DOUBLE AS xmin, min(ymin)::DOUBLE AS ymin, max(xmax)::DOUBLE AS xmax, max(ymax)::DOUBLE AS ymax
+  FROM tiles WHERE {} GROUP BY dataset_uid"""
+_TYPED_FIELDS = "cell_h cell_type cell_w epsg max_col max_row min_col min_row tile_size xmax xmin ymax ymin".split()
+
+
+def _typed_fields(source: str, value: str) -> str:
+    return " UNION ALL ".join(f"SELECT dataset_uid, '{f}' AS field, CAST({f} AS VARCHAR) AS {value} FROM {source}" for f in _TYPED_FIELDS)
+
+
+ORACLE["layer_metadata_typed"] = f"WITH {TILES} {_TYPED.format('uint16', 'true')}"
+ORACLE["compare_typed_layers"] = f"""WITH {TILES}, a AS ({_TYPED.format('uint16', 'true')}), b AS ({_TYPED.format('int32', 'col > 0')}),
+l AS ({_typed_fields('a', 'left_value')}), r AS ({_typed_fields('b', 'right_value')})
+SELECT dataset_uid, field, left_value, right_value, left_value IS NOT DISTINCT FROM right_value AS is_equal
+FROM l FULL JOIN r USING (dataset_uid, field)"""

@@ -15,7 +15,7 @@ from tilequarry import fixtures as fx
 from tilequarry.functions import geometry as geo
 from tilequarry.functions import projection, scalars, sfc
 from tilequarry.operators import coverage as cov
-from tilequarry.operators import documents, features as ft, index, layout, raster, scenes, search
+from tilequarry.operators import bitmaps, documents, features as ft, halo, index, layout, raster, scenes, search, typed
 from tilequarry.plans import pipelines
 from tilequarry.session import ensure_checkpoint_dir
 from tilequarry.sources import tables
@@ -52,6 +52,10 @@ def doc_postings(spark: SparkSession, d: str) -> DataFrame:
     return postings(spark, d).join(tiles, KEY).select("kw", "doc_path", "tile_code", "dataset_uid")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def stored_layer(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The tiles of the given tables, stored as a layer in the shared folder and read back with their layouts."""
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/layer-{uuid.uuid4().hex}"
@@ -240,6 +244,14 @@ def tile_metadata_docs(spark, d):
     return documents.tile_documents(coded_tiles(spark, d), fx.features(spark, d), fx.REGION)
 
 
+@query
+def tile_document_lines(spark, d):
+    """Tile documents written as lines, a folder each, and read back."""
+    folder = new_folder(spark, "documents")
+    tables.write_document_lines(documents.document_lines(coded_tiles(spark, d), fx.features(spark, d), fx.REGION), folder)
+    return tables.read_document_lines(spark, folder)
+
+
 @query
 def features_on_tiles(spark, d):
     hit = cov.features_on_tiles(fx.tiles(spark, d), fx.features(spark, d), fx.REGION)
@@ -331,6 +343,31 @@ def keyword_and_search_setop(spark, d):
     return search.search_all_by_sets(postings(spark, d), [*KEYWORDS, "acctbal"])
 
 
+def stored_bitmaps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The index of the given tables as bitmaps, stored and read back, and the bits of the datasets' curves."""
+    folder = new_folder(spark, "bitmaps")
+    tiles = coded_tiles(spark, d).select(*KEY, "sfc")
+    tables.write_bitmaps(bitmaps.build_bitmaps(postings(spark, d).join(tiles, KEY)), folder)
+    return spark.read.parquet(folder), layout.curve_sizes(tiles)
+
+
+@query
+def keyword_and_search_bitmap(spark, d):
+    stored, sizes = stored_bitmaps(spark, d)
+    return bitmaps.tiles_found(bitmaps.and_search(stored, [*KEYWORDS, "acctbal"]), sizes)
+
+
+@query
+def keyword_or_search_bitmap(spark, d):
+    stored, sizes = stored_bitmaps(spark, d)
+    return bitmaps.tiles_found(bitmaps.or_search(stored, [*KEYWORDS, "acctbal"]), sizes)
+
+
+@query
+def keyword_tile_counts(spark, d):
+    return bitmaps.tile_counts(stored_bitmaps(spark, d)[0])
+
+
 # --- order -----------------------------------------------------------------------------------
 
 @query
@@ -451,6 +488,13 @@ def resample_bilinear(spark, d):
     return raster.resample_bilinear(fx.cells(spark, d), BANDS, 0.25, 0.5)
 
 
+@query
+def resample_bilinear_tiles(spark, d):
+    """The same kernel over stored tiles and their neighbours' borders; cells without a value are left out."""
+    moved = halo.resample_bilinear_tiles(stored_layer(spark, d)[0], 0.25, 0.5, fx.TILE)
+    return raster.tile_cells(moved, BANDS, fx.TILE).where("b1 IS NOT NULL OR b2 IS NOT NULL").select("dataset_uid", "px", "py", *BANDS)
+
+
 @query
 def mask_region(spark, d):
     spans = raster.mask_spans(fx.tiles(spark, d), fx.regions(spark, d), fx.TILE, fx.REGION)
@@ -563,3 +607,30 @@ def pipeline_tile_raster_reprojected(spark, d):
     hundredths = [F.aggregate(v, F.lit(0).cast("bigint"), lambda a, x: a + F.floor(x * 100 + 0.5)).alias(f"sum_{b}_e2")
                   for b, v in zip(BANDS, present)]
     return tiles.select(*KEY, *layout.EXTENT, "sfc", "file_name", F.size(present[-1]).cast("bigint").alias("n_kept"), *hundredths)
+
+
+# --- cell types ------------------------------------------------------------------------------
+
+def typed_layer(spark: SparkSession, d: str, cell_type: str, epsg: int) -> DataFrame:
+    """The tiles of the given tables with a cell type and projection, stored and read back."""
+    folder = new_folder(spark, "typed")
+    tiles = pipelines.tile_raster(fx.cells(spark, d), BANDS, tile_size=fx.TILE)
+    tables.write_tiles(typed.with_cell_type(tiles, cell_type, epsg, fx.TILE), folder)
+    return tables.read_tiles(spark, folder)
+
+
+@query
+def typed_tiles(spark, d):
+    return tile_sums(typed.as_doubles(typed_layer(spark, d, "uint16", fx.EPSG)), "cell_type", "epsg")
+
+
+@query
+def layer_metadata_typed(spark, d):
+    return typed.layer_metadata(typed_layer(spark, d, "uint16", fx.EPSG))
+
+
+@query
+def compare_typed_layers(spark, d):
+    """All tiles as uint16 against those right of the first column, as int32."""
+    left, right = (typed_layer(spark, d, t, fx.EPSG) for t in ("uint16", "int32"))
+    return typed.compare_layers(typed.layer_metadata(left), typed.layer_metadata(right.where("col > 0")))

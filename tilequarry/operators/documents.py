@@ -14,6 +14,7 @@ from tilequarry.constants import REGION_SIZE
 from tilequarry.functions import scalars
 from tilequarry.operators import coverage as cov
 from tilequarry.operators.layout import TILE_KEY
+from tilequarry.session import kept
 
 TILE_NAMES = [*TILE_KEY, "tile_code", "file_name"]
 
@@ -61,6 +62,44 @@ def tile_documents(tiles: DataFrame, features: DataFrame, region_size: float | N
     )
 
 
+def document_lines(tiles: DataFrame, features: DataFrame, region_size: float | None = REGION_SIZE,
+                   pairs: DataFrame | None = None) -> DataFrame:
+    """(dataset_uid, doc_path, place, fid, line): the same documents, a row for each of their lines.
+
+    Lines come by (place, fid): the header, then features, or the empty object.  No row holds a document, so a
+    tile may carry any number of features.  Pairs that are not given are stored first, as they are used twice.
+    """
+    if pairs is None:
+        pairs = kept(cov.tile_features(tiles, features, region_size).select(*TILE_KEY, "fid"), "pairs")
+    pairs = pairs.select(*TILE_KEY, "fid")
+    last = pairs.groupBy(*TILE_KEY).agg(F.max("fid").alias("last"))
+    named = tiles.select(*TILE_NAMES, scalars.path_join("json", scalars.doc_name(F.col("file_name"))).alias("doc_path")).join(
+        last, TILE_KEY, "left")
+    header = F.to_json(F.struct(
+        F.col("file_name").alias("tile_file_name"), F.col("tile_code"), F.col("dataset_uid").alias("tile_dataset_uid")))
+    none = F.lit(None).cast("long")
+    first = F.struct(F.lit(0).alias("place"), none.alias("fid"), F.concat(header, F.lit(",")).alias("line"))
+    empty = F.struct(F.lit(1).alias("place"), none.alias("fid"), F.lit("{}").alias("line"))
+    heads = named.select("dataset_uid", "doc_path", F.inline(F.when(F.col("last").isNull(), F.array(first, empty)).otherwise(F.array(first))))
+    after = F.when(F.col("fid") == F.col("last"), "").otherwise(",")
+    body = with_attributes(pairs, features).join(named.select(*TILE_KEY, "doc_path", "last"), TILE_KEY).select(
+        "dataset_uid", "doc_path", F.lit(1).alias("place"), F.col("fid").cast("long").alias("fid"),
+        F.concat(F.to_json("attrs"), after).alias("line"))
+    return heads.unionByName(body)
+
+
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """Rows (doc_path, tile_code, dataset_uid, attrs) of document lines, one for each feature.
+
+    ``lines`` has dataset_uid, doc_path and line, in any order.  The line with exactly the three keys of a header is one.
+    """
+    attrs = F.from_json(F.regexp_replace("line", ",$", ""), "map<string,string>")
+    parsed = lines.select("doc_path", "dataset_uid", attrs.alias("attrs")).where(F.size("attrs") > 0)
+    header = F.array_sort(F.map_keys("attrs")) == F.array(*[F.lit(k) for k in ("tile_code", "tile_dataset_uid", "tile_file_name")])
+    code = scalars.parse_tile_name(F.regexp_replace("doc_path", r"\.json$", ".tif"))["tile_code"]
+    return parsed.where(~header).select("doc_path", code.alias("tile_code"), "dataset_uid", "attrs")
+
+
 def parse_documents(docs: DataFrame) -> DataFrame:
     """Rows (doc_path, tile_code, dataset_uid, attrs) of document texts, one per feature line.
 

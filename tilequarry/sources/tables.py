@@ -58,6 +58,24 @@ def write_documents(docs: DataFrame, path: str) -> None:
     docs.write.mode("overwrite").partitionBy("dataset_uid").parquet(path)
 
 
+def write_document_lines(lines: DataFrame, path: str, partitions: int | None = None) -> None:
+    """Lines of tile documents as text, a folder per document.
+
+    One range shuffle by (document, place of the line) and a sort that may spill: a task streams its lines out, and a
+    document with very many is cut into several files, whose names are in the order of its lines.
+    """
+    keys = ["dataset_uid", "doc_path", "place", "fid"]
+    ranged = lines.repartitionByRange(partitions, *keys) if partitions else lines.repartitionByRange(*keys)
+    ranged.sortWithinPartitions(*keys).select("dataset_uid", "doc_path", "line").write.mode("overwrite").partitionBy(
+        "dataset_uid", "doc_path").text(path)
+
+
+def read_document_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(dataset_uid, doc_path, line) of ``write_document_lines``; a task reads a part of a document's lines."""
+    found = spark.read.schema("value string, dataset_uid string, doc_path string").text(path)
+    return found.select("dataset_uid", "doc_path", F.col("value").alias("line"))
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return _read_partitioned(spark, path)
 
@@ -78,6 +96,12 @@ def write_postings(postings: DataFrame, path: str) -> None:
         "overwrite").parquet(path)
 
 
+def write_bitmaps(bitmaps: DataFrame, path: str) -> None:
+    """Bitmaps clustered by keyword and block, so a search reads the row groups of its keywords only."""
+    keys = ["kw", "dataset_uid", "block"]
+    bitmaps.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+
+
 def write_index_text(rendered: DataFrame, path: str) -> None:
     rendered.select("line").write.mode("overwrite").text(path)
 
