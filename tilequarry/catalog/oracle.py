@@ -613,3 +613,28 @@ ORACLE["compare_typed_layers"] = f"""WITH {TILES}, a AS ({_TYPED.format('uint16'
 l AS ({_typed_fields('a', 'left_value')}), r AS ({_typed_fields('b', 'right_value')})
 SELECT dataset_uid, field, left_value, right_value, left_value IS NOT DISTINCT FROM right_value AS is_equal
 FROM l FULL JOIN r USING (dataset_uid, field)"""
+
+
+# --- clipping ---------------------------------------------------------------------------------
+def _share(axis: str, at_end: bool) -> str:
+    """Where edge e enters (or leaves) the tile's extent along an axis, as a share of its length."""
+    step = f"(e.{axis}2 - e.{axis}1)"
+    near, far = (f"(t.{axis}{side} - e.{axis}1) / {step}" for side in (("max", "min") if at_end else ("min", "max")))
+    within = f"e.{axis}1 BETWEEN t.{axis}min AND t.{axis}max"
+    return f"CASE WHEN {step} = 0 THEN (CASE WHEN {within} THEN {'1 ELSE -1' if at_end else '0 ELSE 2'} END) WHEN {step} > 0 THEN {near} ELSE {far} END"
+
+
+ORACLE["clip_paths_to_grid"] = f"""WITH {TILES},{FEATURES},
+lines AS (
+  SELECT e.* FROM fedges e JOIN fbase USING (fid)
+  WHERE (fid % 6 = 4 OR (fid % 6 = 1 AND ring = 0))
+    AND NOT (y2 < y1 AND CASE shp WHEN 1 THEN true WHEN 2 THEN x2 > x1 ELSE x1 = x2 END)),
+parts AS (
+  SELECT fid, dataset_uid, col, row_, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))
+    * greatest(0, least(1, {_share('x', True)}, {_share('y', True)}) - greatest(0, {_share('x', False)}, {_share('y', False)})) AS part
+  FROM lines e JOIN tiles t ON {touches()})
+SELECT fid, dataset_uid, col, row_, CAST(floor(sum(part) * 1000 + 0.5) AS BIGINT) AS length_e3
+FROM parts GROUP BY ALL HAVING length_e3 > 0"""
+ORACLE["clip_metadata_all"] = ORACLE["clip_features_to_grid"]
+ORACLE["clip_metadata_first"] = f"""WITH {PAIRS},{REGIONS},{polygon_pairs('fedges', 'fid', 'redges', 'region_id')}
+SELECT fid, dataset_uid, col, row_ FROM pairs WHERE fid IN (SELECT lid FROM poly_pairs WHERE rid = 0)"""

@@ -269,6 +269,26 @@ def clip_features_to_grid(spark, d):
     return pieces.select("fid", *KEY)
 
 
+@query
+def clip_paths_to_grid(spark, d):
+    """Length, in thousandths, of each line on each tile."""
+    lines = ft.of_kind(fx.mixed_geometries(spark, d), "LineString", "MultiLineString")
+    pieces = ft.clip_to_tiles(fx.tiles(spark, d), lines, fx.REGION)
+    return pieces.select("fid", *KEY, F.expr(f"bigint(floor({geo.path_length('piece')} * 1000 + 0.5D))").alias("length_e3")).where(
+        "length_e3 > 0")
+
+
+@query
+def clip_metadata_first(spark, d):
+    """Features that meet the first region, clipped to the tiles."""
+    return pipelines.clip_metadata(fx.tiles(spark, d), fx.features(spark, d), fx.regions(spark, d), True, fx.BIN, fx.REGION).select("fid", *KEY)
+
+
+@query
+def clip_metadata_all(spark, d):
+    return pipelines.clip_metadata(fx.tiles(spark, d), fx.features(spark, d), fx.regions(spark, d), False, None, fx.REGION).select("fid", *KEY)
+
+
 @query
 def feature_feature_join(spark, d):
     f = fx.features(spark, d)

@@ -153,6 +153,55 @@ def clip_half_plane(rings: str, axis: str, bound: str, keep_above: bool) -> str:
     return f"filter({closed}, r -> {ring_area('r')} > 0)"
 
 
+def is_closed(r: str) -> str:
+    """The path is a polygon's ring: it ends where it began and has an inside."""
+    return f"(size({r}) > 3 AND {r}[0] = element_at({r}, -1))"
+
+
+def _edge_span(axis: str, low: str, high: str) -> tuple[str, str]:
+    """Where an edge from p to q, as a share of its length, enters and leaves low <= axis <= high; it misses if it leaves first."""
+    step = f"(q.{axis} - p.{axis})"
+    near, far = (f"if({step} > 0, {{}}, {{}}) - p.{axis}".format(*b) for b in ((low, high), (high, low)))
+    flat = f"if(p.{axis} BETWEEN {low} AND {high}, {{}}, {{}})"
+    return (f"if({step} = 0, {flat.format('0D', '2D')}, greatest(0D, ({near}) / {step}))",
+            f"if({step} = 0, {flat.format('1D', '-1D')}, least(1D, ({far}) / {step}))")
+
+
+def clip_path_to_band(rings: str, axis: str, low: str, high: str) -> str:
+    """Part of open paths with low <= axis <= high: pieces of paths, and points that lie there.
+
+    A path that leaves and comes back becomes several; what only touches the band has no length and disappears.
+    """
+    other = "y" if axis == "x" else "x"
+    enter, leave = _edge_span(axis, low, high)
+
+    def at(share: str) -> str:
+        on_axis = f"greatest({low}, least({high}, p.{axis} + {share} * (q.{axis} - p.{axis})))"
+        across = f"p.{other} + {share} * (q.{other} - p.{other})"
+        cut = point(on_axis, across) if axis == "x" else point(across, on_axis)
+        return f"CASE WHEN {share} <= 0 THEN p WHEN {share} >= 1 THEN q ELSE {cut} END"
+
+    none = f"cast(array() AS {RINGS_TYPE})"
+    span = f"named_struct('p', p, 'q', q, 'a', {enter}, 'b', {leave})"
+    spans = f"filter({_steps('r', span)}, s -> s.a < s.b)"
+    pieces = (f"filter(transform({spans}, s -> transform(array(s), (s, i) -> transform(array(s.p), p -> transform(array(s.q), q -> "
+              f"named_struct('a', {at('s.a')}, 'b', {at('s.b')}))[0])[0])[0]), e -> e.a <> e.b)")
+    last = "element_at(acc, -1)"
+    joined = (f"if(size(acc) > 0 AND element_at({last}, -1) = e.a, "
+              f"concat(slice(acc, 1, size(acc) - 1), array(concat({last}, array(e.b)))), concat(acc, array(array(e.a, e.b))))")
+    paths = f"aggregate({pieces}, {none}, (acc, e) -> {joined})"
+    points = f"if(r[0].{axis} BETWEEN {low} AND {high}, array(r), {none})"
+    return f"flatten(transform(filter({rings}, r -> size(r) > 0), r -> if(size(r) = 1, {points}, {paths})))"
+
+
 def clip_to_band(rings: str, axis: str, low: str, high: str) -> str:
-    """Part of the rings with low <= axis <= high."""
-    return clip_half_plane(clip_half_plane(rings, axis, low, True), axis, high, False)
+    """Part of the rings with low <= axis <= high; rings stay closed, open paths open."""
+    closed = f"filter({rings}, r -> {is_closed('r')})"
+    cut = clip_half_plane(clip_half_plane(closed, axis, low, True), axis, high, False)
+    return f"concat({cut}, {clip_path_to_band(f'filter({rings}, r -> NOT {is_closed("r")})', axis, low, high)})"
+
+
+def path_length(rings: str) -> str:
+    """Length of all edges."""
+    edge = "sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y))"
+    return f"aggregate(flatten(transform(filter({rings}, r -> size(r) > 1), r -> {_steps('r', edge)})), 0D, (s, v) -> s + v)"
