@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from llm_helpers import SF_SMALL, awkward, by_value, frame
+from llm_helpers import SF_SMALL, awkward, by_value, frame, same_as_sql
 from pyspark.sql import functions as F
 
 from tilequarry.llm import substring, suffix
@@ -90,3 +90,8 @@ def test_suffix_order_and_prefixes():
     order = suffix.suffix_array(text, 100)
     common = suffix.neighbour_prefixes(text, order, 100)
     assert dict(zip(order.tolist(), common.tolist()))[3] == 5  # abcabx follows abcabcabx
+
+
+@pytest.mark.parametrize("name", ["op1_substring_dedup", "op2_suffix_array_dedup"])
+def test_queries_equal_their_sql(spark, name):
+    same_as_sql(spark, name)

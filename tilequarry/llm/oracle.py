@@ -4,6 +4,43 @@ from __future__ import annotations
 
 ORACLE: dict[str, str] = {}
 
+ORACLE["op1_substring_dedup"] = r"""
+WITH w AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+pos AS (SELECT r, generate_subscripts(ws, 1) AS i, unnest(ws) AS word FROM w),
+lagged AS (SELECT r, i, string_agg(word, ' ') OVER span AS seq, count(*) OVER span AS n FROM pos
+           WINDOW span AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+seen AS (SELECT r, i, row_number() OVER (PARTITION BY seq ORDER BY r, i) > 1 AS again FROM lagged WHERE n = 20),
+cover AS (SELECT p.r, p.i, p.word,
+            coalesce(bool_or(s.again) OVER (PARTITION BY p.r ORDER BY p.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS gone
+          FROM pos p LEFT JOIN seen s ON s.r = p.r AND s.i = p.i),
+kept AS (SELECT r, count(*) AS n, count(*) FILTER (gone) AS n_gone, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS text
+         FROM cover GROUP BY r)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(n_gone, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (r)
+"""
+
+#: A window's 64-bit hash stands for its 400 bytes here: doubled up to 256, then 256 + 128 + 16.
+_DOUBLED = "".join(f"h{2 * k} AS (SELECT *, hash(h{k}, lead(h{k}, {k}) OVER (PARTITION BY r ORDER BY i)) AS h{2 * k} FROM h{k}),\n"
+                   for k in (1, 2, 4, 8, 16, 32, 64, 128))
+ORACLE["op2_suffix_array_dedup"] = f"""
+WITH w AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r, hex(encode(coalesce(text, ''))) AS x FROM documents),
+b AS (SELECT r, x, regexp_extract_all(x, '..') AS bs FROM w),
+pos AS (SELECT r, generate_subscripts(bs, 1) AS i, unnest(bs) AS byte FROM b),
+h1 AS (SELECT *, hash(byte) AS h1 FROM pos),
+{_DOUBLED}
+starts AS (SELECT r, i, byte, hash(h256, lead(h128, 256) OVER o, lead(h16, 384) OVER o) AS seq, lead(1, 399) OVER o IS NOT NULL AS whole
+       FROM h256 WINDOW o AS (PARTITION BY r ORDER BY i)),
+seen AS (SELECT r, i, byte, whole AND count(*) OVER (PARTITION BY seq, whole) > 1 AS again FROM starts),
+cover AS (SELECT r, i, byte, bool_or(again) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 399 PRECEDING AND CURRENT ROW) AS gone FROM seen),
+runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS first FROM cover),
+kept AS (SELECT r, count(*) AS n, count(*) FILTER (gone) AS n_gone, count(*) FILTER (first) AS n_spans,
+                string_agg(byte, '' ORDER BY i) FILTER (NOT gone) AS x FROM runs GROUP BY r)
+SELECT doc_id, coalesce(n, 0) AS n_bytes, coalesce(n_gone, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept.x, ''))) AS kept_sha256
+FROM w LEFT JOIN kept USING (r)
+"""
+
 ORACLE["op7_quality_rules"] = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
