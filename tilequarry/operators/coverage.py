@@ -127,15 +127,15 @@ def once(features: DataFrame) -> DataFrame:
 
     Rows that repeat a feature become one, since inside is decided by counting edges; an id
     that is null or stands for different geometries fails the job.  Where attributes differ, one row's
-    are kept whole.  Ids marked as unique are left alone, so a table is checked once, when it is stored.
+    are kept whole.  Without ``rings`` only ids are checked.  Ids marked as unique are left alone, so a table is checked once, when it is stored.
     """
     if features.schema["fid"].metadata.get("unique"):
         return features
     rest = [c for c in features.columns if c != "fid"]
     comparable = [F.to_json(c) if features.schema[c].dataType.typeName() in ("map", "variant") else F.col(c) for c in rest]
+    shape = F.xxhash64("rings") if "rings" in rest else F.lit(0)
     one = features.groupBy("fid").agg(
-        F.min_by(F.struct(*rest), F.xxhash64(*comparable)).alias("f"),
-        F.min(F.xxhash64("rings")).alias("h1"), F.max(F.xxhash64("rings")).alias("h2"))
+        F.min_by(F.struct(*rest), F.xxhash64(*comparable)).alias("f"), F.min(shape).alias("h1"), F.max(shape).alias("h2"))
     checked = one.selectExpr("""IF(fid IS NULL OR h1 <> h2,
         bigint(raise_error('feature ids must be there and stand for one geometry each')), fid) AS fid""", "f")
     return known_unique(checked.select("fid", "f.*"))

@@ -25,7 +25,9 @@ def tile_attributes(tiles: DataFrame, features: DataFrame, region_size: float |
 
 
 def with_attributes(pairs: DataFrame, features: DataFrame) -> DataFrame:
-    return pairs.join(cov.once(features.select("fid", "rings", "attrs")).select("fid", "attrs"), "fid")
+    """Pairs with the attributes of their feature; a table of ids and attributes alone will do."""
+    checked = [c for c in ("rings",) if c in features.columns]
+    return pairs.join(cov.once(features.select("fid", *checked, "attrs")).select("fid", "attrs"), "fid")
 
 
 def tile_documents(tiles: DataFrame, features: DataFrame, region_size: float | None = REGION_SIZE,
