@@ -1,7 +1,11 @@
 """The stages one by one on the smallest table, against SQL and brute force."""
 
+import random
+
 import duckdb
-from llm_helpers import SF_SMALL
+import numpy as np
+from llm_helpers import SF_SMALL, frame
+from test_simhash import classes_by_hand, fingerprint_by_hand
 
 import corpus_pipeline
 from tilequarry.llm.common import table, written
@@ -38,3 +42,29 @@ def test_stages(spark):
     assert all(r.n_chars == len(r.text) for r in after["suffix_array_dedup"])
     assert {(r.doc_id, r.text) for r in after["mixing_to_weights"]} <= set(want.items())
     assert len(after["bpe_encode_decode"]) == len(after["mixing_to_weights"]) and all(r.round_trip for r in after["bpe_encode_decode"])
+
+
+def test_near_dedup_is_by_fingerprints(spark):
+    """The stage keeps the document that names each class of op10, whatever the shingles of the others share."""
+    rng = random.Random(12)
+    docs = []
+    for k in range(30):
+        base = [f"w{rng.randrange(400)}" for _ in range(200 + 10 * k)]
+        docs.append((100 * k, " ".join(base)))
+        for j in range(1, 10):  # from one word changed to a sixth of them
+            edited = list(base)
+            for at in rng.sample(range(len(base)), 1 + (j - 1) * len(base) // 48):
+                edited[at] = f"v{j}"
+            docs.append((100 * k + j, " ".join(edited)))
+    docs += [(5000, docs[0][1]), (5001, None), (5002, " \n"), (5003, ""), (None, docs[0][1]), (None, "a b c d"), (0, docs[0][1])]
+    ids = sorted({d for d, _ in docs if d is not None})
+    fps = {d: fingerprint_by_hand(t) for d, t in docs if d is not None}
+    label = classes_by_hand(np.array([fps[i] for i in ids], np.uint64), 3)
+    want = sorted(ids[x] for x in set(label.tolist()))
+    given = frame(spark, docs)
+    kept = corpus_pipeline.simhash_near_dedup(spark, given, "")
+    got = kept.collect()
+    assert kept.columns == given.columns and 30 < len(want) < 300
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == want
+    assert [r.text for r in got if r.doc_id is None] == ["a b c d"]
+    assert corpus_pipeline.simhash_near_dedup(spark, given.limit(0), "").count() == 0

@@ -79,7 +79,7 @@ def fingerprint(hashes: np.ndarray) -> int:
 def _fingerprints(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
     for b in batches:
         fps = np.array([fingerprint(shingle_hashes(t, size)) for t in b["text"]], np.uint64)
-        yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fps.view(np.int64)})
+        yield b.drop(columns="text").assign(fp=fps.view(np.int64))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -345,14 +345,46 @@ def classes(docs: DataFrame, shingle: int = 3, radius: int = 3, text: str = "tex
             run_limit: int = RUN_LIMIT) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id reachable over links, the document's own included."""
     fps = written(fingerprints(docs, shingle, text, key), "fingerprints")
-    first = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
-    roots = components(links(first.select("fp"), radius, run_limit))
-    named = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = _named(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), radius, run_limit)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return fps.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def _named(first: DataFrame, radius: int, run_limit: int) -> DataFrame:
+    """fp, first, root: the class of each different fingerprint, named by one of its fingerprints."""
+    first = written(first, "fingerprints")
+    roots = components(links(first.select("fp"), radius, run_limit))
+    return first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
+def _keyed(docs: DataFrame, text: str, key: str) -> list[Column]:
+    """oid and tk: doc_id (null: the smallest long) and the text's hash."""
+    body = F.coalesce(docs[text].cast("binary"), F.lit(b""))
+    return [F.coalesce(docs[key].cast("long"), F.lit(-(1 << 63))).alias("oid"), F.xxhash64(body).alias("tk")]
+
+
+def _rows_of(docs: DataFrame, winners: DataFrame, text: str, key: str) -> DataFrame:
+    """The rows of docs that winners (oid, tk) name, one for each; which of several with equal id and text follows their other columns."""
+    rows = docs.select(row_struct(docs), *_keyed(docs, text, key))
+    same = Window.partitionBy("oid", "tk").orderBy(F.xxhash64("doc"))
+    kept = rows.join(winners, ["oid", "tk"]).withColumn("copy", F.row_number().over(same)).where("copy = 1")
+    return kept.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
+
+
+def keep_first(docs: DataFrame, shingle: int = 3, radius: int = 3, text: str = "text", key: str = "doc_id",
+               run_limit: int = RUN_LIMIT) -> DataFrame:
+    """The documents less the others of each class that links of fingerprints make: the one whose doc_id names the class stays.
+
+    Of rows with that doc_id one stays (the smallest text hash); a null doc_id stays only where the class has no other.
+    """
+    body = F.coalesce(docs[text].cast("binary"), F.lit(b""))
+    plain = docs.select(docs[key].isNull().alias("nameless"), *_keyed(docs, text, key), body.alias("text"))
+    fps = plain.mapInPandas(partial(_fingerprints, size=shingle), "nameless boolean, oid long, tk long, fp long")
+    named = _named(fps.groupBy("fp").agg(F.min(F.struct("nameless", "oid", "tk")).alias("first")), radius, run_limit)
+    winners = named.groupBy("root").agg(F.min("first").alias("w")).select("w.oid", "w.tk")
+    return _rows_of(docs, winners, text, key)
+
+
 # ---- near copies by their shingle sets ---------------------------------------------------
 
 #: Counters of the sketch by which shingles are ordered, rare ones first, and counters of one row of it.
@@ -538,8 +570,4 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: s
     """The documents less near copies: of each class the one with the smallest doc_id (then text hash) stays."""
     winners = near_copies(docs, shingle, similarity, text, key, run_limit).groupBy("component").agg(
         F.min(F.struct("oid", "tk")).alias("w")).select("w.oid", "w.tk")
-    body = F.coalesce(docs[text].cast("binary"), F.lit(b""))
-    rows = docs.select(row_struct(docs), F.coalesce(docs[key].cast("long"), F.lit(-(1 << 63))).alias("oid"), F.xxhash64(body).alias("tk"))
-    same = Window.partitionBy("oid", "tk").orderBy(F.xxhash64("doc"))
-    kept = rows.join(winners, ["oid", "tk"]).withColumn("copy", F.row_number().over(same)).where("copy = 1")
-    return kept.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
+    return _rows_of(docs, winners, text, key)
