@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from llm_helpers import SF_SMALL, awkward, by_value, frame, same_as_sql
 from pyspark.sql import functions as F
@@ -95,3 +97,23 @@ def test_suffix_order_and_prefixes():
 @pytest.mark.parametrize("name", ["op1_substring_dedup", "op2_suffix_array_dedup"])
 def test_queries_equal_their_sql(spark, name):
     same_as_sql(spark, name)
+
+
+def test_anchors_take_little_memory():
+    """A task that looks for anchors, in texts together or in a long one, needs a fraction of 100 bytes for each byte it holds."""
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 123, n, np.uint8)) for n in [3000] * 700 + [3 << 20, 399, 400, 0]]
+    suffix._powers(1 << 21)
+    rows = pd.DataFrame({"oid": range(len(texts)), "tk": 0, "text": texts})
+    tracemalloc.start()
+    for _ in suffix._probes(iter([rows]), 400, 4):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 110e6
+    windows = np.zeros(len(texts), int)
+    for _, _, _, row, parts, text, lo, pos, n, at, h in suffix._stretches(iter([rows]), 400):
+        np.add.at(windows, row, n)
+        assert all(lo[k] <= at[k] <= lo[k] + 368 for k in range(len(lo)))
+        assert all(parts[text[k]][lo[k]:lo[k] + 9] == texts[row[k]][pos[k]:pos[k] + 9] for k in range(len(lo)))
+    assert windows.tolist() == [max(0, len(t) - 399) for t in texts]

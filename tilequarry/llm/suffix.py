@@ -45,7 +45,8 @@ SORT_BYTES = 192 << 10
 #: Bytes of text for each bucket of anchors.
 BUCKET_BYTES = 24 << 20
 _AT_ONCE = 2 << 20  # bytes of text handled at a time
-_LONGEST = 8 << 20  # longer texts are handled in overlapping parts
+_HASHED = 512 << 10  # bytes of them hashed at a time, at some 100 bytes of memory each
+_LONGEST = 512 << 10  # longer texts are handled in overlapping parts
 _PIECES = "bucket long, key long, oid long, tk long, off long, n long, anchor long, body binary"
 _U = np.uint64
 
@@ -134,6 +135,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     """text, first window, windows, anchor position and hash of each stretch with one anchor, in order."""
+    found = []
+    for a, b in slices(texts, _HASHED):
+        text, *rest = _anchors(texts[a:b], length)
+        found.append((text + a, *rest))
+    return tuple(map(np.concatenate, zip(*found))) if found else _anchors([], length)
+
+
+def _anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """anchors() of texts that are hashed at once."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     n = len(data)
