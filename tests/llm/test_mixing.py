@@ -67,6 +67,21 @@ def test_prefix_is_that_of_the_sorted_rows(spark):
     assert sorted(r.doc_id for r in rows) == sorted(want)
 
 
+def test_blank_texts_around_the_cut(spark):
+    """Texts without a word stand before and after the first that does not fit, in its slice."""
+    import hashlib
+
+    docs = [(k, "" if k % 3 else "w " * 5) for k in range(200)]
+    rows = mixing.mix(frame(spark, docs), {"d": "'all'"}, {}, 152, 1, seed=2, slice_digits=0).select("doc.doc_id").collect()
+    want, spent = [], 0
+    for _, d, n in sorted((hashlib.md5(f"2:0:{d}".encode()).hexdigest(), d, len(t.split())) for d, t in docs):
+        spent += n
+        if spent > 152:
+            break
+        want.append(d)
+    assert sorted(r.doc_id for r in rows) == sorted(want)
+
+
 def test_plan_has_no_nested_loop_and_reads_texts_once(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     text = mixing.mix(docs, LEVELS, {}, 1.0, 2)._jdf.queryExecution().executedPlan().toString()

@@ -116,12 +116,11 @@ def cut_offs(narrow: DataFrame, plan: DataFrame, names: Sequence[str], seed: int
     equal = last.groupBy(*names, "left", "order", "id", "n_tokens", "h").agg(F.count("*").alias("n"))
     within = Window.partitionBy(*names).orderBy("order", "id", "n_tokens", "h")
     equal = equal.withColumn("upto", F.sum(F.col("n_tokens") * F.col("n")).over(within))
-    # The first that does not fit; before it, everything does.
-    over = equal.where("upto > left").groupBy(*names).agg(F.min(F.struct(
-        "order", "id", "n_tokens", "h", F.expr("(left - (upto - n_tokens * n)) div n_tokens").alias("quota"))).alias("cut"))
+    # The first that does not fit, which has tokens; before it, everything does.
+    over = equal.where("upto > left").groupBy(*names).agg(F.min(F.struct("order", "id", "n_tokens", "h", "n", "upto", "left")).alias("cut"))
     return _matching_left(plan, over, names).select(
         *names, "passes", "remainder", F.expr("IF(cut IS NULL, NULL, struct(cut.order, cut.id, cut.n_tokens, cut.h))").alias("cut"),
-        F.coalesce("cut.quota", F.lit(0)).cast("long").alias("quota"))
+        F.coalesce(F.expr("(cut.left - (cut.upto - cut.n_tokens * cut.n)) div cut.n_tokens"), F.lit(0)).cast("long").alias("quota"))
 
 
 def _matching_left(plan: DataFrame, over: DataFrame, names: Sequence[str]) -> DataFrame:
