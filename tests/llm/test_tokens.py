@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 from llm_helpers import SF_SMALL, awkward, frame
 
-from tilequarry.llm import bpe, token_files
+from tilequarry.llm import bpe, token_files, tokens
 from tilequarry.llm.common import new_folder, tokenizer_path
 from tilequarry.llm.queries import QUERIES
 from tilequarry.llm.tokens import load, word_encoder
@@ -29,6 +29,24 @@ def test_words_in_a_row_are_the_text():
     assert [ids[e - n:e].tolist() for e, n in zip(ends, counts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_words_share_their_pieces(monkeypatch):
+    """Words in capitals, with signs or with digits are encoded from pieces that all of them share, as the library does."""
+    stems, ends, asked = [f"st{chr(97 + k)}mñ" for k in range(20)], ["", "%%", ".", "é", "7", "99", "×", "'ll", "<|", "Ω", "\x1c", "\u0301"], []
+    table = tokens.Remembering.table
+    monkeypatch.setattr(tokens.Remembering, "table", lambda self, pieces: asked.extend(pieces) or table(self, pieces))
+    encode, tok = tokens.word_encoder.__wrapped__(WORDS), load(WORDS)
+    texts = [" ".join(w for e in ends[:6] for w in (s + e, (s + e).upper(), e + s + e)) for s in stems]
+    odd = [" ".join((s + e, (s + e).upper(), e + s.title())) + "\t" for s in stems for e in ends] + ["", " "]
+    rng = random.Random(9)
+    odd += ["".join(rng.choice([*ends, "a", "Ñ", " ", "\n"]) for _ in range(rng.randrange(30))) for _ in range(2000)]
+    ids, counts = encode([t.encode() for t in texts])
+    assert len(asked) == len(set(asked)) <= 3 * len(stems) + 10
+    more, n = encode([t.encode() for t in odd])
+    ids, stop = np.concatenate((ids, more)).tolist(), np.cumsum(np.concatenate((counts, n))).tolist()
+    for t, a, b in zip(texts + odd, [0, *stop], stop):
+        assert ids[a:b] == tok.encode(t, add_special_tokens=False).ids
+
+
 def test_blocks_round_trip():
     rng = np.random.default_rng(1)
     for n in (0, 1, 256, 257, 5000, 256 * 4097 + 3):
