@@ -104,3 +104,31 @@ def test_rare_toxic_words_are_found_beside_any_number_of_ordinary_ones(spark):
     rows += [(8 + k, " ".join(name() for _ in range(30000)), 0) for k in range(50)]
     lexicon = toxicity._lexicon(spark.createDataFrame(rows, "doc_id long, text string, toxic long").select("text", "toxic"))
     assert "zzvile" in lexicon
+
+
+def test_words_by_table_are_those_of_the_rule():
+    rng = random.Random(7)
+    signs = [chr(c) for c in range(0x300)] + list("Σςǅİ²½١_ﬁ𝐀汉字́ Å")
+    texts = ["".join(rng.choices(signs[:top], k=rng.randrange(0, 60))) for top in (128, 256, len(signs)) for _ in range(500)]
+    for t in [*texts, "".join(signs), "".join(signs[:256]), "", " \x85\xa0\x1c"]:
+        assert toxicity.words(t) == toxicity._WORD.findall(t.lower())
+
+
+def test_rate_and_curve_are_fitted_on_stored_scores(spark, monkeypatch):
+    """The labelled texts are split into words for the counts and for the scores, and not again."""
+    rng = random.Random(8)
+    docs = [(k, " ".join(rng.choice("abcdefgh") * 5 for _ in range(30)) + (" gemein ЗЛО" if k % 3 == 0 else " gemein" if k % 10 == 1 else ""))
+            for k in range(120)]
+    train = frame(spark, docs + [(0, None), (1, ""), (2, "1 2 _")]).selectExpr("text", "IF(text RLIKE 'ЗЛО', 1, 0) AS toxic")
+    given = []
+    for name in ("_word_histogram", "_credits"):
+        monkeypatch.setattr(toxicity, name, lambda df, *a, f=getattr(toxicity, name): given.append(df) or f(df, *a))
+    model = toxicity.fit(train)
+    assert {"gemein", "зло"} <= set(model.lexicon)
+    assert len(given) == 3 and all("text" not in df.columns for df in given)
+    found = {r.doc_id: r.score for r in toxicity.score(frame(spark, docs), model).select("doc.doc_id", "score").collect()}
+    assert all((s >= 0.5) == (k % 3 == 0) for k, s in found.items())
+    # Every word of ordinary documents is in the histogram, those without a score too.
+    ordinary = [t for k, t in docs if k % 3] + ["1 2 _"]
+    assert sum(toxicity._word_histogram(given[0]).values()) == sum(len(toxicity.words(t)) for t in ordinary)
+    assert sum(r.n for r in toxicity._credits(given[0], model)) == len(docs) + 3

@@ -11,7 +11,8 @@ over them, fitted on the labels, turns the sum into a score from 0 to 1.
 
 Both classes are counted over all features in Spark, and log-odds and standard errors are columns
 there.  What reaches the driver is the lexicon, which is every feature that passes and grows with the
-vocabulary, and a histogram of word scores and one of credits, of fixed size.
+vocabulary, and a histogram of word scores and one of credits, of fixed size.  The labelled texts are read twice, for the
+counts and for their words' scores; these are stored (only those that are not 0), and rate, K and curve are fitted on them.
 
 Defined results: null, empty and wordless texts have no segment and the least credit; a null
 doc_id takes no part in fitting and is scored like any other; labels that repeat count again; without a toxic or without
@@ -42,15 +43,50 @@ BEGINNINGS = (4, 5, 6, 7, 8)
 #: Bins of a credit and of a word score, and the range kept apart.
 _BIN, _LOW, _HIGH = 0.25, -40.0, 400.0
 _WORD = re.compile(r"[^\W\d_]+")
+#: Latin-1 with a space for what is in no word.
+_LETTERS = bytes(c if _WORD.match(chr(c)) else 32 for c in range(256))
 _REMEMBERED = 300_000
 #: Features a task counts before it hands the counts on.
 _COUNTED = 200_000
+_SCORED = "toxic long, n_words long, at array<int>, score array<double>"
+
+
+def words(text: str) -> list[str]:
+    """The words of a text in lower case; by table where Latin-1 can write it."""
+    text = text.lower()
+    try:
+        return text.encode("latin-1").translate(_LETTERS).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return _WORD.findall(text)
 
 
 def features(word: str) -> list[str]:
     return [word, *(word[:k] + "-" for k in BEGINNINGS if k < len(word))]
 
 
+class Scores(dict[str, float]):
+    """Score of each word met so far: the greatest of its features, 0 where the lexicon has none."""
+
+    def __init__(self, lexicon: dict[str, float]):
+        super().__init__()
+        self.lexicon, self.heads = lexicon, {f[:BEGINNINGS[0]] for f in lexicon}
+
+    def __missing__(self, word: str) -> float:
+        found = 0.0
+        if word[:BEGINNINGS[0]] in self.heads:  # all features of a word begin like it
+            found = max((self.lexicon[f] for f in features(word) if f in self.lexicon), default=0.0)
+        self[word] = found
+        return found
+
+    def of(self, text: str) -> np.ndarray:
+        """The score of each word of a text."""
+        found = words(text)
+        out = np.fromiter(map(self.__getitem__, found), np.float64, len(found))
+        if len(self) > _REMEMBERED:
+            self.clear()
+        return out
+
+
 @dataclass
 class Model:
     lexicon: dict[str, float] = field(default_factory=dict)
@@ -59,13 +95,6 @@ class Model:
     log_k: float = 0.0
     curve: tuple[float, float] = (-math.inf, 0.0)
 
-    def word_scores(self, text: str, memory: dict[str, float]) -> np.ndarray:
-        """Lexicon score of each word, 0 where it has none."""
-        found = _WORD.findall(text.lower())
-        for w in set(found).difference(memory):
-            memory[w] = max((self.lexicon[f] for f in features(w) if f in self.lexicon), default=0.0)
-        return np.fromiter(map(memory.__getitem__, found), np.float64, len(found))
-
     def segments(self, scores: np.ndarray) -> list[tuple[float, int, int]]:
         """All maximal scoring segments (score, first word, end), by one scan over the words that score.
 
@@ -91,19 +120,18 @@ class Model:
             open_.append((left, total, first, before, j))
         return [(right - left, first, end) for left, right, first, end, _ in open_]
 
-    def passages(self, scores: np.ndarray) -> list[tuple[float, int, int]]:
-        """Segments with a credit above 0: credit, first word, end."""
-        base = self.log_k + math.log(max(1, len(scores)))
-        return [(s * self.rate - base, a, b) for s, a, b in self.segments(scores) if s * self.rate > base]
+    def judged(self, scores: np.ndarray) -> tuple[float, list[tuple[float, int, int]]]:
+        """Credit, and the segments with one above 0: credit, first word, end.
 
-    def credit(self, scores: np.ndarray) -> float:
-        """Sum over significant segments; without one, what the best falls short by."""
+        The credit is the sum over these significant segments; without one, what the best falls short by.
+        """
         found = self.segments(scores)
         if not found:
-            return _LOW
+            return _LOW, []
         base = self.log_k + math.log(len(scores))
-        credits = [s * self.rate - base for s, _, _ in found]
-        return min(_HIGH, sum(c for c in credits if c > 0) or max(_LOW, max(credits)))
+        credits = [(s * self.rate - base, a, b) for s, a, b in found]
+        passages = [c for c in credits if c[0] > 0]
+        return min(_HIGH, sum(c for c, _, _ in passages) or max(_LOW, max(credits)[0])), passages
 
     def probability(self, credit: float) -> float:
         a, b = self.curve
@@ -126,9 +154,13 @@ def _count(train: DataFrame) -> DataFrame:
         c: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
         for b in batches:
             for t, toxic in zip(b["text"], b["toxic"]):
-                found = {f for w in set(_WORD.findall(t.lower())) for f in features(w)}
-                c[toxic][""] += len(found)
+                found = set(words(t))
                 c[toxic].update(found)
+                c[toxic][""] += len(found)
+                for k in BEGINNINGS:
+                    starts = {w[:k] + "-" for w in found if len(w) > k}
+                    c[toxic].update(starts)
+                    c[toxic][""] += len(starts)
                 if len(c[0]) + len(c[1]) > _COUNTED:
                     yield from rows()
                     c = (Counter(), Counter())
@@ -154,37 +186,47 @@ def _histogram(rows: DataFrame, by: list[str]) -> list:
     return rows.groupBy(*by).agg(F.sum("n").alias("n")).collect()
 
 
-def _word_histogram(train: DataFrame, model: Model) -> Counter[float]:
+def _scored(train: DataFrame, model: Model) -> DataFrame:
+    """toxic, n_words, and place and score of the words that have one, of each labelled document."""
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memory = Scores(model.lexicon)
+        for b in batches:
+            out = []
+            for t, toxic in zip(b["text"], b["toxic"]):
+                s = memory.of(t)
+                at = np.flatnonzero(s)
+                out.append((toxic, len(s), at.astype(np.int32), s[at]))
+            yield pd.DataFrame(out, columns=["toxic", "n_words", "at", "score"])
+
+    return written(train.select("text", "toxic").mapInPandas(score, _SCORED), "scored")
+
+
+def _word_histogram(scored: DataFrame) -> Counter[float]:
     """How often ordinary documents' words have each score (in tenths)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memory: dict[str, float] = {}
         for b in batches:
-            c: Counter[int] = Counter()
-            for t in b["text"]:
-                values, n = np.unique(np.rint(model.word_scores(t, memory) * 10).astype(int), return_counts=True)
-                c.update(dict(zip(values.tolist(), n.tolist())))
-            memory = {} if len(memory) > _REMEMBERED else memory
-            yield pd.DataFrame({"tenths": list(c), "n": list(c.values())}, dtype=np.int64)
-
-    rows = train.where("toxic = 0").select("text").mapInPandas(count, "tenths long, n long")
+            values, n = np.unique(np.rint(np.concatenate([np.empty(0), *b["score"]]) * 10).astype(int), return_counts=True)
+            yield pd.DataFrame({"tenths": [0, *values], "n": [b["n_words"].sum() - n.sum(), *n]}, dtype=np.int64)
+
+    rows = scored.where("toxic = 0").select("n_words", "score").mapInPandas(count, "tenths long, n long")
     return Counter({r.tenths / 10: r.n for r in _histogram(rows, ["tenths"])})
 
 
-def _credits(train: DataFrame, model: Model) -> list:
+def _credits(scored: DataFrame, model: Model) -> list:
     """toxic, bin, n: labelled documents by credit in bins."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memory: dict[str, float] = {}
         for b in batches:
             c: Counter[tuple] = Counter()
-            for t, toxic in zip(b["text"], b["toxic"]):
-                credit = model.credit(model.word_scores(t, memory))
-                c[int(toxic), round(credit / _BIN)] += 1
-            memory = {} if len(memory) > _REMEMBERED else memory
+            for toxic, n, at, score in b[["toxic", "n_words", "at", "score"]].itertuples(index=False):
+                scores = np.zeros(n)
+                scores[at] = score
+                c[int(toxic), round(model.judged(scores)[0] / _BIN)] += 1
             yield pd.DataFrame([(*k, n) for k, n in c.items()], columns=["toxic", "bin", "n"])
 
-    return _histogram(train.select("text", "toxic").mapInPandas(count, "toxic long, bin long, n long"), ["toxic", "bin"])
+    return _histogram(scored.mapInPandas(count, "toxic long, bin long, n long"), ["toxic", "bin"])
 
 
 def _rate(scores: Counter[float], cost: float) -> float:
@@ -227,16 +269,16 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic") -> Model:
     model = Model(lexicon=_lexicon(train))
     if not model.lexicon:
         return model
-    scores = _word_histogram(train, model)
-    words = max(1, sum(scores.values()))
-    model.cost = max(0.02, 2 * sum(s * n for s, n in scores.items()) / words)
+    scored = _scored(train, model)
+    scores = _word_histogram(scored)
+    model.cost = max(0.02, 2 * sum(s * n for s, n in scores.items()) / max(1, sum(scores.values())))
     model.rate = _rate(scores, model.cost)
     # log K from the mean of what ordinary documents' best segments reach: mean credit is Euler's constant then.
-    rows = _credits(train, model)
+    rows = _credits(scored, model)
     ordinary = [(r.bin * _BIN, r.n) for r in rows if r.toxic == 0 and r.bin * _BIN > _LOW]
     if ordinary:
         model.log_k = sum(x * n for x, n in ordinary) / sum(n for _, n in ordinary) - 0.5772
-        rows = _credits(train, model)
+        rows = _credits(scored, model)
     model.curve = _logistic(rows)
     return model
 
@@ -247,14 +289,12 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("score double, credit double, passages array<long>")
     def scores_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        memory: dict[str, float] = {}
+        memory = Scores(model.lexicon)
         for b in batches:
             out = []
             for t in b:
-                s = model.word_scores(t, memory)
-                credit = model.credit(s)
-                out.append((model.probability(credit), credit, [k for _, a, e in model.passages(s) for k in (a, e)]))
-                memory = {} if len(memory) > _REMEMBERED else memory
+                credit, passages = model.judged(memory.of(t))
+                out.append((model.probability(credit), credit, [k for _, a, e in passages for k in (a, e)]))
             yield pd.DataFrame(out, columns=["score", "credit", "passages"])
 
     body = F.coalesce(F.col("doc").getField(text).cast("string"), F.lit(""))
