@@ -1,5 +1,8 @@
 """The spatial joins against brute force: several grids, odd shapes, hot tiles."""
 
+import random
+import re
+
 import pytest
 import shapes
 from hypothesis import HealthCheck, given, settings
@@ -201,3 +204,41 @@ def test_large_polygons_go_by_bins(spark):
         assert len(got) == len(want) and set(map(tuple, got)) == want
     assert {tuple(r) for r in cov.features_intersect(frames[0], frames[0], 16.0, ordered=True).collect()} == {
         (a, b) for a, ra in left for b, rb in left if a < b and shapes.polygons_meet(ra, rb)}
+
+
+def few_edged(seed, n, side, radii):
+    """Boxes, triangles, boxes with a hole, pairs of boxes, lines and points of several sizes."""
+    rng, out = random.Random(seed), []
+    for fid in range(n):
+        x, y, r = rng.randrange(side), -rng.randrange(side), rng.choice(radii)
+        box, hole, moved = ([(x + m + s * a, y + s * b) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))]
+                            for s, m in ((r, 0), (r / 2, 0), (r, 3 * r)))
+        out.append((fid, [[box], [box[:3] + box[:1]], [box, hole], [box, moved], [box[:2]], [box[:1]]][fid % 6]))
+    return out
+
+
+@pytest.mark.parametrize("radii", [(1, 2, 3), (0.01, 2, 64)])
+def test_many_polygons_of_few_edges_are_compared_as_columns(spark, radii):
+    """Sizes far apart share no square; other polygons, and those that seem to be twice, are compared as before."""
+    few = few_edged(1, 90, 40, radii)
+    polygons = few + [(1000 + f, rings) for f, rings in shapes.random_polygons(3, 6, 40, 8)]
+    closed = {f: [r + r[-2::-1] if len(r) == 2 else r * 2 if len(r) == 1 else r for r in rings] for f, rings in polygons}
+    want = {(a, b) for a, x in closed.items() for b, y in closed.items() if shapes.polygons_meet(x, y)}
+    features = shapes.features_frame(spark, polygons)
+    got = [tuple(r) for r in cov.features_intersect(features, features, 8.0, compiled_from=0).collect()]
+    assert len(got) == len(want) and set(got) == want
+    for more in ({"direct_pairs": 20}, {"direct_pairs": 0}):
+        got = [tuple(r) for r in cov.features_intersect(features, features, 8.0, ordered=True, compiled_from=0, **more).collect()]
+        assert len(got) == len(set(got)) and set(got) == {p for p in want if p[0] < p[1]}
+    twice = cov.known_unique(features.unionByName(features.where("fid < 9")))
+    a, b = (sorted(map(tuple, cov.features_intersect(twice, features, 8.0, compiled_from=k).collect())) for k in (0, 1 << 62))
+    assert a == b and set(a) == want
+
+
+def test_many_pairs_are_not_sent_for_their_polygons(spark):
+    """Polygons of few edges are shuffled by square, with their edges; no pair of ids is shuffled to fetch them."""
+    features = cov.known_unique(shapes.features_frame(spark, few_edged(2, 60, 40, (1, 2))))
+    found = cov.features_intersect(features, features, 8.0, ordered=True, compiled_from=0)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"hashpartitioning\(([^)]*?), \d+\)", text.split("Initial Plan")[-1])
+    assert keys and all("rx" in k or k.startswith("fid") for k in keys) and "a_rings" not in text

@@ -79,17 +79,20 @@ def ray_crosses(px: str, py: str, x1: str = "x1", y1: str = "y1", x2: str = "x2"
 def segments_meet(a: str, b: str) -> str:
     """Two closed segments (columns with prefixes a and b) share a point: their boxes
     overlap and neither lies strictly on one side of the other's line."""
-    def ends(p: str) -> list[str]:
-        return [p + c for c in ("x1", "y1", "x2", "y2")]
+    return edges_meet(*[[p + c for c in ("x1", "y1", "x2", "y2")] for p in (a, b)])
 
-    def apart(line: str, other: str) -> str:
-        x1, y1, x2, y2 = ends(other)
-        return f"signum({_side(*ends(line), x1, y1)}) * signum({_side(*ends(line), x2, y2)})"
 
-    ax1, ay1, ax2, ay2 = ends(a)
-    bx1, by1, bx2, by2 = ends(b)
-    return (f"(least({ax1}, {ax2}) <= greatest({bx1}, {bx2}) AND greatest({ax1}, {ax2}) >= least({bx1}, {bx2})"
-            f" AND least({ay1}, {ay2}) <= greatest({by1}, {by2}) AND greatest({ay1}, {ay2}) >= least({by1}, {by2})"
+def edges_meet(a: list[str], b: list[str], rightward: bool = False) -> str:
+    """segments_meet() of two segments given by x1, y1, x2, y2; with ``rightward`` both have x1 <= x2."""
+    def apart(line: list[str], other: list[str]) -> str:
+        x1, y1, x2, y2 = other
+        return f"signum({_side(*line, x1, y1)}) * signum({_side(*line, x2, y2)})"
+
+    ax1, ay1, ax2, ay2 = a
+    bx1, by1, bx2, by2 = b
+    level = (f"{ax1} <= {bx2} AND {ax2} >= {bx1}" if rightward else
+             f"least({ax1}, {ax2}) <= greatest({bx1}, {bx2}) AND greatest({ax1}, {ax2}) >= least({bx1}, {bx2})")
+    return (f"({level} AND least({ay1}, {ay2}) <= greatest({by1}, {by2}) AND greatest({ay1}, {ay2}) >= least({by1}, {by2})"
             f" AND {apart(a, b)} <= 0 AND {apart(b, a)} <= 0)")
 
 

@@ -19,6 +19,9 @@ is spread over many keys.
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -342,6 +345,10 @@ def tiles_in_extent(tiles: DataFrame, xmin: float, ymin: float, xmax: float, yma
 
 # Pairs of edges up to which two features are compared edge by edge, in one expression.
 DIRECT_PAIRS = 1 << 14
+# Polygons with up to so many edges and rings have them as columns when they are compared.
+FEW_EDGES, FEW_RINGS = 8, 2
+# They are compared so if pairs can be this many: compiling the comparison takes longer than a few million of them as arrays.
+COMPILED_FROM = 1 << 30
 # Bounds of an endless grid, in bins.
 FAR = 1 << 40
 # When a bin is crowded, and how far it is cut: to about so many edges, at most 2^MAX_SPLIT parts a side.
@@ -428,32 +435,164 @@ def _share_a_point() -> str:
             f"{starts_in('a_rings', 'eb')} OR {starts_in('b_rings', 'ea')})")
 
 
+def _is_few() -> str:
+    """The polygon has few edges in few rings, and no coordinate that is missing or not finite."""
+    finite = "p.x BETWEEN -1e300D AND 1e300D AND p.y BETWEEN -1e300D AND 1e300D"
+    return (f"coalesce(size(rings) BETWEEN 1 AND {FEW_RINGS} AND {geo.vertex_count('rings')} - size(rings) <= {FEW_EDGES} "
+            f"AND forall(rings, r -> size(r) > 1 AND forall(r, p -> {finite})), false)")
+
+
+def _edge_columns(few: DataFrame, p: str) -> DataFrame:
+    """Polygons of few edges with a column for each coordinate of each edge, x1 <= x2, the first edge of every ring in front.
+
+    Places that are left hold the first vertex as an edge to itself, which meets what the polygon meets anyway and crosses no ray.
+    """
+    keys = [f"{p}{c}" for c in ("fid", *geo.EXTENT, "n", "size")]
+    by_ring = few.selectExpr(*keys, f"""transform(rings, r -> transform({geo.edges('array(r)')}, e -> if(
+        e.x1 <= e.x2, e, named_struct('x1', e.x2, 'y1', e.y2, 'x2', e.x1, 'y2', e.y1)))) AS by_ring""")
+    placed = by_ring.selectExpr(
+        *keys, f"size(by_ring) AS {p}starts",
+        "concat(transform(by_ring, s -> s[0]), flatten(transform(by_ring, s -> slice(s, 2, size(s) - 1)))) AS e")
+    places = [f"coalesce(get(e, {i}).{c}, get(e, 0).{c[0]}1, 0D) AS {p}{c}_{i}" for i in range(FEW_EDGES) for c in ("x1", "y1", "x2", "y2")]
+    return placed.selectExpr(*keys, f"{p}starts", f"size(e) AS {p}edges", *places)
+
+
+def _few_share_a_point() -> str:
+    """_share_a_point() of polygons as _edge_columns() has them: no array and no lambda, so all of it is compiled."""
+    def any_of(tests: list[str], count: str, at: int = 0) -> str:
+        """One of the first ``count`` tests holds."""
+        rest = f" OR {any_of(tests, count, at + 1)}" if at + 1 < len(tests) else ""
+        return f"({count} > {at} AND ({tests[at]}{rest}))"
+
+    def edge(p: str, i: int) -> list[str]:
+        return [f"{p}{c}_{i}" for c in ("x1", "y1", "x2", "y2")]
+
+    def in_reach(i: int) -> str:
+        x1, y1, x2, y2 = edge("a_", i)
+        return (f"{x1} <= b_xmax AND {x2} >= b_xmin"
+                f" AND ({y1} <= b_ymax OR {y2} <= b_ymax) AND ({y1} >= b_ymin OR {y2} >= b_ymin)")
+
+    def starts_in(p: str, q: str) -> str:
+        def inside(i: int) -> str:
+            x, y = edge(p, i)[:2]
+            odd = " <> ".join(["false", *[geo.ray_crosses(x, y, *edge(q, j)) for j in range(FEW_EDGES)]])
+            return f"({x} BETWEEN {q}xmin AND {q}xmax AND {y} BETWEEN {q}ymin AND {q}ymax AND ({odd}))"
+
+        return any_of([inside(i) for i in range(FEW_RINGS)], f"{p}starts")
+
+    met = [f"({in_reach(i)} AND {any_of([geo.edges_meet(edge('a_', i), edge('b_', j), True) for j in range(FEW_EDGES)], 'b_edges')})"
+           for i in range(FEW_EDGES)]
+    return f"({any_of(met, 'a_edges')} OR {starts_in('a_', 'b_')} OR {starts_in('b_', 'a_')})"
+
+
+def _near(left: DataFrame, right: DataFrame, condition: str, width: float, left_levels: list[int], right_levels: list[int]) -> DataFrame:
+    """envelope_pairs() for sides of many rows, of which most have sizes (a_size, b_size) around ``width``.
+
+    Those are all laid out on squares of that width; what is far larger or smaller goes on levels of its own, 4^level times as
+    wide.  A pair is looked for on the coarser of its levels only, in the square where the later of the two begins.
+    """
+    def squares(df: DataFrame, p: str, q: str, levels: list[int]) -> DataFrame:
+        at = df.selectExpr("*", f"{_size_level(f'{p}size', width)} AS {p}level").selectExpr(
+            "*", f"explode(array({', '.join(map(str, levels))})) AS {q}level")
+        at = at.selectExpr("*", f"{width!r}D * pow(4D, greatest(a_level, b_level)) AS side")
+        for axis in ("x", "y"):
+            at = at.selectExpr("*", f"floor({p}{axis}min / side) AS low", f"floor({p}{axis}max / side) AS high").selectExpr(
+                "*", f"explode(sequence(low, high)) AS r{axis}").selectExpr("*", f"r{axis} = low AS {p}first_{axis}").drop("low", "high")
+        return at.drop("side", f"{p}size")
+
+    reach = f"""({condition}) AND a_xmin <= b_xmax AND a_xmax >= b_xmin AND a_ymin <= b_ymax AND a_ymax >= b_ymin
+        AND (a_first_x OR b_first_x) AND (a_first_y OR b_first_y)"""
+    # Many pairs come of few bytes, so neither side is broadcast however small it is: the work would stay in the tasks of the other's files.
+    a, b = squares(left, "a_", "b_", right_levels), squares(right, "b_", "a_", left_levels)
+    return a.hint("merge").join(b, ["a_level", "b_level", "rx", "ry"]).where(reach).drop("a_level", "b_level", "rx", "ry")
+
+
+def _size_level(size: str, width: float) -> str:
+    """The level of _near() for rectangles of a size: 0 from an eighth of ``width`` to four times as much."""
+    return (f"int(CASE WHEN {size} > {4 * width!r}D THEN least({TOP_LEVEL}, ceil(log(4D, {size} / {4 * width!r}D))) "
+            f"WHEN {size} <= {width / 8!r}D THEN greatest({LOW_LEVEL}, ceil(log(4D, {size} / {width / 2!r}D))) ELSE 0 END)")
+
+
+def _levels_of(octaves: list[int], width: float) -> list[int]:
+    """Levels that sizes within the given powers of two can have."""
+    def level(size: float) -> int:
+        if size > 4 * width:
+            return min(TOP_LEVEL, math.ceil(math.log(size / (4 * width), 4)))
+        return max(LOW_LEVEL, math.ceil(math.log(size / (width / 2), 4))) if size <= width / 8 else 0
+
+    return sorted({k for o in octaves for k in range(level(2.0 ** o * 0.999), level(2.0 ** (o + 1) * 1.001) + 1)})
+
+
 def features_intersect(left: DataFrame, right: DataFrame, bin_size: float,
-                       pairs_per_bin: int = PAIRS_PER_BIN, direct_pairs: int = DIRECT_PAIRS, ordered: bool = False) -> DataFrame:
+                       pairs_per_bin: int = PAIRS_PER_BIN, direct_pairs: int = DIRECT_PAIRS, ordered: bool = False,
+                       compiled_from: int = COMPILED_FROM) -> DataFrame:
     """(left_fid, right_fid) of every pair of polygons that share a point; with ``ordered`` only where left_fid < right_fid.
 
-    Envelopes are paired first.  Two polygons of few edges are then compared as they are, in one expression; those with
-    more than ``direct_pairs`` pairs of edges go by bins (``_by_bins``), where each edge meets only those near it.
+    Envelopes are paired first.  If there are many, polygons of few edges (``FEW_EDGES``) take them along as columns and are compared
+    where envelopes meet.  Two others with up to ``direct_pairs`` pairs of edges are compared as they are, in one expression;
+    those with more go by bins (``_by_bins``), where each edge meets only those near it.
     """
-    left, right = drawn(left), drawn(right)
     condition = "a_fid < b_fid" if ordered else "true"
-    counted = [_with_sides(df, p).select(F.col("fid").alias(f"{p}fid"), *[p + s for s in geo.EXTENT],
-                                         F.expr(geo.vertex_count("rings")).alias(f"{p}n")) for df, p in ((left, "a_"), (right, "b_"))]
-    known = [df.agg(F.collect_set(_level(p)).alias("levels"), F.max(f"{p}n").alias("most")).first() for df, p in zip(counted, ("a_", "b_"))]
+
+    def side(features: DataFrame, p: str) -> DataFrame:
+        """Spread over tasks first: the files of many small features are few."""
+        stored = [c for c in ("env",) if c in features.columns]
+        spread = drawn(features.select("fid", *stored, "rings").repartition("fid"))
+        sides = _with_sides(spread, p).selectExpr("*", f"{geo.vertex_count('rings')} AS {p}n", f"{_is_few()} AS few")
+        size = f"greatest({p}xmax - {p}xmin, {p}ymax - {p}ymin, pow(4D, {LOW_LEVEL}))"
+        return sides.selectExpr(f"fid AS {p}fid", *[p + s for s in geo.EXTENT], f"{p}n", f"{size} AS {p}size", "few", "rings")
+
+    def known_of(df: DataFrame, p: str):
+        return df.agg(
+            F.max(f"{p}n").alias("most"), F.collect_set(_level(p)).alias("levels"),
+            F.expr(f"coalesce(bool_or(NOT few AND {p}n > 0), false)").alias("others"), F.expr(f"count({p}fid) > count(DISTINCT {p}fid)").alias("repeats"),
+            F.expr(f"sum(ln({p}size)) FILTER (WHERE few)").alias("logs"), F.expr("count_if(few)").alias("n"),
+            F.expr(f"collect_set(int(floor(log2({p}size)))) FILTER (WHERE few)").alias("octaves")).first()
+
+    a, b = side(left, "a_"), side(right, "b_")
+    known = [known_of(a, "a_")]
+    known.append(known[0] if right is left else known_of(b, "b_"))
+    if known[0].n * known[1].n < max(1, compiled_from):
+        return functools.reduce(DataFrame.unionByName, _of_many_edges(
+            a.withColumn("few", F.lit(False)), b.withColumn("few", F.lit(False)), condition, known, bin_size, pairs_per_bin, direct_pairs))
+    repeats = any(k.repeats for k in known)
+    if repeats:  # ids that are said to be different and are not: every row of one stands for all of them
+        def single(df: DataFrame, p: str) -> DataFrame:
+            again = df.groupBy(f"{p}fid").agg((F.count("*") > 1).alias("again"))
+            return df.join(again, f"{p}fid").withColumn("few", F.expr("few AND NOT again")).drop("again")
+
+        a, b = single(a, "a_"), single(b, "b_")
+    width = 2 ** 0.5 * math.exp((known[0].logs + known[1].logs) / (known[0].n + known[1].n))
+    # The partition's number keeps a condition where it is: here, behind the shuffle that spreads the polygons.
+    few = [_edge_columns(df.where(f"if(spark_partition_id() < 0, false, few AND {p}fid IS NOT NULL)"), p) for df, p in ((a, "a_"), (b, "b_"))]
+    bounded = f"{condition} AND a_n * b_n <= {int(direct_pairs)}" if direct_pairs < (FEW_EDGES + FEW_RINGS) ** 2 else condition
+    near = _near(*few, bounded, width, *[_levels_of(k.octaves, width) for k in known])
+    # And here, outside the join's compiled function, which the test would make too long; with a lambda beside it, it is cut into short ones.
+    met = near.where(f"if(spark_partition_id() < 0, exists(array(a_starts), x -> x < 0), {_few_share_a_point()})")
+    parts = [met.select(F.col("a_fid").alias("left_fid"), F.col("b_fid").alias("right_fid"))]
+    if repeats or any(k.others for k in known) or known[0].most * known[1].most > direct_pairs:
+        parts += _of_many_edges(a, b, condition, known, bin_size, pairs_per_bin, direct_pairs)
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _of_many_edges(a: DataFrame, b: DataFrame, condition: str, known: list, bin_size: float, pairs_per_bin: int, direct_pairs: int) -> list[DataFrame]:
+    """The pairs of features_intersect() that are not of two polygons of few edges, and those beyond ``direct_pairs``."""
+    counted = [df.select(f"{p}fid", *[p + s for s in geo.EXTENT], f"{p}n", F.col("few").alias(f"{p}few")) for df, p in ((a, "a_"), (b, "b_"))]
     pairs = envelope_pairs(*counted, condition, None, known[0].levels, known[1].levels)
-    small = pairs.where(f"a_n * b_n <= {int(direct_pairs)}").select("a_fid", "b_fid")
-    rings = [df.select(F.col("fid").alias(f"{p}fid"), F.col("rings").alias(f"{p}rings")) for df, p in ((left, "a_"), (right, "b_"))]
+    small = pairs.where(f"a_n * b_n <= {int(direct_pairs)} AND NOT (a_few AND b_few)").select("a_fid", "b_fid")
+    rings = [df.select(F.col(f"{p}fid"), F.col("rings").alias(f"{p}rings")) for df, p in ((a, "a_"), (b, "b_"))]
     shapes = small.join(rings[0], "a_fid").join(rings[1], "b_fid").selectExpr(
         "a_fid", "b_fid", "a_rings", "b_rings", f"{geo.edges('a_rings')} AS ea", f"{geo.edges('b_rings')} AS eb")
     # The test is made inside a generator: as a filter, the optimizer would copy the edges into it.
     direct = shapes.selectExpr(f"inline(if({_share_a_point()}, array(struct(a_fid AS left_fid, b_fid AS right_fid)), "
                                "cast(array() AS array<struct<left_fid:bigint,right_fid:bigint>>)))")
     if (known[0].most or 0) * (known[1].most or 0) <= direct_pairs:
-        return direct
+        return [direct]
     large = pairs.where(f"a_n * b_n > {int(direct_pairs)}").select(F.col("a_fid").alias("left_fid"), F.col("b_fid").alias("right_fid"))
+    left, right = (df.select(F.col(f"{p}fid").alias("fid"), "rings") for df, p in ((a, "a_"), (b, "b_")))
     met = _by_bins(left.join(large, left["fid"] == large["left_fid"], "left_semi"),
                    right.join(large, right["fid"] == large["right_fid"], "left_semi"), bin_size, pairs_per_bin)
-    return direct.unionByName(met.join(large, ["left_fid", "right_fid"], "left_semi"))
+    return [direct, met.join(large, ["left_fid", "right_fid"], "left_semi")]
 
 
 def _by_bins(left: DataFrame, right: DataFrame, bin_size: float, pairs_per_bin: int) -> DataFrame:
