@@ -109,3 +109,37 @@ def test_document_lines_are_the_documents(spark, tmp_path):
     a = sorted(map(str, documents.parse_lines(lines).select(*fields).collect()))
     b = sorted(map(str, documents.parse_documents(documents.tile_documents(tiles, features, 16.0)).select(*fields).collect()))
     assert a == b
+
+
+def test_short_documents_are_spread_and_read_together(spark, tmp_path):
+    """Folders and texts as Spark would write them; each task writes short documents, and reads many."""
+    rows = [("d+1 é", f"json/{i}%2F:a=b+c^'.json", place, None, f"{i} {place} ü") for i in range(400) for place in (0, 1)]
+    rows += [(None, "json/x.json", 0, None, None), ("d2", "", 0, None, "x"), ("d2", "a\\b[c]{d}\"#*?", 0, None, ""), ("d2", "a", 0, None, "{},")]
+    rows += [("d0", f"json/long{i % 60}.json", 1, i, f"line {i}") for i in range(1800)]
+    lines = spark.createDataFrame(rows, "dataset_uid string, doc_path string, place int, fid long, line string")
+    path, plain = str(tmp_path / "docs"), str(tmp_path / "plain")
+    for _ in range(2):  # what was there goes
+        tables.write_document_lines(lines, path, partitions=7)
+    lines.coalesce(1).sortWithinPartitions("dataset_uid", "doc_path", "place", "fid").select("dataset_uid", "doc_path", "line").write.partitionBy(
+        "dataset_uid", "doc_path").text(plain)
+
+    def stored(at):
+        texts, tasks = {}, {}
+        for folder in glob.glob(f"{at}/dataset_uid=*/doc_path=*"):
+            parts = sorted(f for f in os.listdir(folder) if not f.endswith(".crc"))
+            texts[os.path.relpath(folder, at)] = b"".join(open(os.path.join(folder, f), "rb").read() for f in parts)
+            for f in parts:
+                tasks.setdefault(f.split("-")[1], []).append(folder)
+        return texts, tasks
+
+    (got, tasks), (want, _) = stored(path), stored(plain)
+    assert got == want and os.path.exists(f"{path}/_SUCCESS")
+    assert len(tasks) == 7 and all(sum("uid=d+1" in f for f in folders) > 20 for folders in tasks.values())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        read = tables.read_document_lines(spark, path)
+        assert read.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+        back = sorted(map(repr, map(tuple, read.collect())))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert back == sorted(repr((r[0] or None, r[1] or None, r[4] or "")) for r in rows)

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import functools
+import os
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tilequarry.functions.scalars import has_suffix
 from tilequarry.operators import layout
+from tilequarry.sources.geotiff import _by_value
 
 
 def write_tiles(tiles: DataFrame, path: str, partitions: int | None = None) -> None:
@@ -62,18 +70,98 @@ def write_document_lines(lines: DataFrame, path: str, partitions: int | None = N
     """Lines of tile documents as text, a folder per document.
 
     One range shuffle by (document, place of the line) and a sort that may spill: a task streams its lines out, and a
-    document with very many is cut into several files, whose names are in the order of its lines.
+    document with very many is cut into several files, whose names are in the order of its lines.  Ranges follow a hash of the
+    document, so that short documents, which cost a folder each and hardly a byte, are spread among the long ones; and there are
+    as many as shuffles have partitions, since few bytes would be joined to few tasks.
+
+    In a folder of the local or a mounted file system tasks make the files themselves, as Hadoop's starts three processes for a document
+    there if its native library is missing.  Elsewhere Spark writes them.
+    """
+    keys, spark = ["dataset_uid", "doc_path", "place", "fid"], lines.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = lines.repartitionByRange(n, F.xxhash64("dataset_uid", "doc_path"), *keys)
+    text = ranged.sortWithinPartitions(*keys).select("dataset_uid", "doc_path", "line")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if store.getScheme() != "file":
+        text.write.mode("overwrite").partitionBy("dataset_uid", "doc_path").text(path)
+        return
+    store.delete(at, True)
+    store.mkdirs(at)
+    root, job = store.makeQualified(at).toUri().getPath(), uuid.uuid4().hex
+    as_bytes = text.select(*[F.col(c).cast("binary") for c in text.columns])
+    as_bytes.mapInArrow(functools.partial(_by_value(_write_folders), root, job), "files bigint").agg(F.sum("files")).first()
+    store.create(spark._jvm.org.apache.hadoop.fs.Path(at, "_SUCCESS")).close()
+
+
+#: How Spark names the folder of a partition value that is null or empty.
+_NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+#: What Spark writes as %XX in the name of a partition's folder.
+_ESCAPED = {c: f"%{c:02X}".encode() for c in (*range(1, 32), *b"\"#%'*/:=?\\{[]^", 127)}
+
+
+def _folder(name: str, value: bytes | None) -> bytes:
+    """The folder of one partition value, as Spark names it."""
+    text = b"".join(_ESCAPED.get(c) or bytes((c,)) for c in value) if value else _NO_VALUE.encode()
+    return name.encode() + b"=" + text
+
+
+def _write_folders(root: str, job: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (dataset_uid, doc_path, line) of one task as a file for each document; a file gets its name when it is whole.
+
+    A task that is run again writes the same files.
     """
-    keys = ["dataset_uid", "doc_path", "place", "fid"]
-    ranged = lines.repartitionByRange(partitions, *keys) if partitions else lines.repartitionByRange(*keys)
-    ranged.sortWithinPartitions(*keys).select("dataset_uid", "doc_path", "line").write.mode("overwrite").partitionBy(
-        "dataset_uid", "doc_path").text(path)
+    context = TaskContext.get()
+    name = f"part-{context.partitionId():05d}-{job}.c000.txt".encode()
+    hidden = b".%s.%d" % (name, context.taskAttemptId())
+    files, document, out, folder = 0, None, None, b""
+
+    def close() -> None:
+        if out is not None:
+            out.close()
+            os.replace(os.path.join(folder, hidden), os.path.join(folder, name))
+
+    try:
+        for batch in batches:
+            for uid, doc, line in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if out is None or (uid, doc) != document:
+                    close()
+                    document, files = (uid, doc), files + 1
+                    folder = os.path.join(root.encode(), _folder("dataset_uid", uid), _folder("doc_path", doc))
+                    os.makedirs(folder, exist_ok=True)
+                    out = open(os.path.join(folder, hidden), "wb")
+                out.write((line or b"") + b"\n")
+        close()
+    except BaseException:
+        if out is not None and not out.closed:
+            out.close()
+        raise
+    yield pa.RecordBatch.from_pydict({"files": [files]})
 
 
 def read_document_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(dataset_uid, doc_path, line) of ``write_document_lines``; a task reads a part of a document's lines."""
-    found = spark.read.schema("value string, dataset_uid string, doc_path string").text(path)
-    return found.select("dataset_uid", "doc_path", F.col("value").alias("line"))
+    """(dataset_uid, doc_path, line) of ``write_document_lines``; a task reads a part of a document's lines, or many short documents.
+
+    Names are taken from the files' paths, row by row: as partitions the driver would go through all folders.  Spark counts a file
+    as some megabytes, so there would also be a task for every few documents.
+    """
+    found = spark.read.schema("value string").option("recursiveFileLookup", "true").text(path)
+    folders = F.regexp_extract(_unescaped(F.col("_metadata.file_path")), r"/dataset_uid=([^/]*)/doc_path=([^/]*)/[^/]*$", 0)
+    parts = found.select(F.split(folders, "/").alias("parts"), F.col("value").alias("line"))
+
+    def named(i: int, name: str) -> Column:
+        text = F.substring(F.get("parts", F.lit(i)), len(name) + 2, 1 << 30)
+        return F.when(text != _NO_VALUE, _unescaped(text)).alias(name)
+
+    lines = parts.select(named(1, "dataset_uid"), named(2, "doc_path"), "line")
+    n_bytes = int(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    most = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return lines.coalesce(max(4 * spark.sparkContext.defaultParallelism, -(-n_bytes // most)))
+
+
+def _unescaped(text: Column) -> Column:
+    """Text with its %XX as characters; a plus stays one."""
+    return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
