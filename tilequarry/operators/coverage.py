@@ -491,10 +491,15 @@ def _near(left: DataFrame, right: DataFrame, condition: str, width: float, left_
     Those are all laid out on squares of that width; what is far larger or smaller goes on levels of its own, 4^level times as
     wide.  A pair is looked for on the coarser of its levels only, in the square where the later of the two begins.
     """
+    one = left_levels == right_levels and len(left_levels) == 1  # then both sides of a join with itself are one shuffle
+
     def squares(df: DataFrame, p: str, q: str, levels: list[int]) -> DataFrame:
-        at = df.selectExpr("*", f"{_size_level(f'{p}size', width)} AS {p}level").selectExpr(
-            "*", f"explode(array({', '.join(map(str, levels))})) AS {q}level")
-        at = at.selectExpr("*", f"{width!r}D * pow(4D, greatest(a_level, b_level)) AS side")
+        if one:
+            at = df.withColumn("side", F.lit(width * 4.0 ** levels[0]))
+        else:
+            at = df.selectExpr("*", f"{_size_level(f'{p}size', width)} AS {p}level").selectExpr(
+                "*", f"explode(array({', '.join(map(str, levels))})) AS {q}level")
+            at = at.selectExpr("*", f"{width!r}D * pow(4D, greatest(a_level, b_level)) AS side")
         for axis in ("x", "y"):
             at = at.selectExpr("*", f"floor({p}{axis}min / side) AS low", f"floor({p}{axis}max / side) AS high").selectExpr(
                 "*", f"explode(sequence(low, high)) AS r{axis}").selectExpr("*", f"r{axis} = low AS {p}first_{axis}").drop("low", "high")
@@ -504,7 +509,8 @@ def _near(left: DataFrame, right: DataFrame, condition: str, width: float, left_
         AND (a_first_x OR b_first_x) AND (a_first_y OR b_first_y)"""
     # Many pairs come of few bytes, so neither side is broadcast however small it is: the work would stay in the tasks of the other's files.
     a, b = squares(left, "a_", "b_", right_levels), squares(right, "b_", "a_", left_levels)
-    return a.hint("merge").join(b, ["a_level", "b_level", "rx", "ry"]).where(reach).drop("a_level", "b_level", "rx", "ry")
+    keys = ["rx", "ry"] if one else ["a_level", "b_level", "rx", "ry"]
+    return a.hint("merge").join(b, keys).where(reach).drop(*keys)
 
 
 def _size_level(size: str, width: float) -> str:
